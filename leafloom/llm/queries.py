@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leafloom.llm.bpe import op4_bpe
+from leafloom.llm.quality import OP7_SQL, op7_quality
+from leafloom.llm.sharding import op10_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_bpe": op4_bpe}
+    return {"op4_bpe": op4_bpe, "op7_quality": op7_quality, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality": OP7_SQL}
