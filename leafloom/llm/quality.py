@@ -41,8 +41,7 @@ def _repeated() -> Column:
 def measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """`keep` with the counts of each text: n_words, word_chars, n_symbols, n_upper, n_lines, n_dup_lines, n_repeat_words."""
     t = text_of(text)
-    trimmed = F.regexp_replace(t, rf"^{SPACE}|{SPACE}$", "")
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
+    words = F.filter(F.split(t, SPACE), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     one = docs.select(*keep, t.alias("t"), words.alias("w"), lines.alias("l"))
     n = F.size("w")
