@@ -83,6 +83,14 @@ def prior(hosts: int, n: int, f: int, p: float, pp: float) -> tuple[float, float
     return mean * strength, (1 - mean) * strength
 
 
+def filtered(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of `docs` that are kept. Rows alike in key, text and host share a verdict."""
+    tie = F.xxhash64(text_of(text))
+    seen = docs.select(F.col(key).alias("_key"), F.col(host).alias("_from"), F.col(text).alias("_text"), tie.alias("_tie"))
+    kept = judge(measures(seen, "_text", ("_key", "_from", "_tie")), "_from").where("kept").select("_key", "_from", "_tie").distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col("_key")) & F.col(host).eqNullSafe(F.col("_from")) & (tie == F.col("_tie")), "left_semi")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its counts, the base verdict and the host-level verdict."""
     out = judge(measures(table(spark, sf_dir, "documents")))
