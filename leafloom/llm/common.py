@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,10 @@ def bounded_parts(df: DataFrame, size: Column, target_bytes: int) -> tuple[int,
     """Sum of `size` over all rows, and the number of parts of `target_bytes` that it fills (1 at least)."""
     total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
     return total, max(1, -(-total // target_bytes))
+
+
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system: workers outlive their tasks, and other stages need the room."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)

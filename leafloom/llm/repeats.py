@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafloom.llm.common import bounded_parts, table, text_of
+from leafloom.llm.common import bounded_parts, give_back, table, text_of
 from leafloom.llm.suffixes import LENGTH, REACH, WIDTH, Run, anchors, common, covered, decoded, front_code, merge, sort, suffixes, unpack
 
 GROUP_BYTES = 4 << 20
@@ -95,6 +95,7 @@ def _spans(key: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray,
 
 def asking(key: str, text: str, n: int) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
+        give_back()
         _, texts, _, _ = _ordered(group, key, text)
         of, _, h = anchors(texts)
         h, of, several = _several(of, h)
@@ -127,6 +128,7 @@ def answering(asked: pa.Table) -> pa.Table:
 
 def sorting(key: str, text: str, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(group: pa.Table, told: pa.Table) -> pa.Table:
+        give_back()
         out: list[tuple[int, int | None, bytes]] = []
         if group.num_rows:
             _, texts, docs, keys = _ordered(group, key, text)
@@ -162,6 +164,7 @@ def _sorted_runs(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, of: np.
 
 def merging(n: int) -> Callable[[pa.Table], pa.Table]:
     def run(part: pa.Table) -> pa.Table:
+        give_back()
         rows = list(zip(part.column("g").to_pylist(), part.column("data").to_pylist(), strict=True))
         out = [(g, d) for g, d in rows if g is not None]
         runs = [unpack(d) for g, d in rows if g is None]
@@ -226,6 +229,7 @@ def repeated(docs: DataFrame, make: Callable, schema: T.StructType, key: str = "
     found = runs.groupBy("part").applyInArrow(merging(n), "g long, data binary")
 
     def finish(group: pa.Table, spans: pa.Table) -> pa.Table:
+        give_back()
         order, texts, docs_, keys = _ordered(group, key, text)
         got = [_arrays(d, "<i8", "<i8", "<i4", "<i4") for d in spans.column("data").to_pylist()]
         k, doc, start, end = (np.concatenate([x[i] for x in got]) for i in range(4)) if got else (np.empty(0, np.int64),) * 4

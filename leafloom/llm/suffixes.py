@@ -26,7 +26,7 @@ PAD = 0xFF
 _U = np.uint64
 _PLACE = 24
 #: Bytes of texts whose anchors are sought at once.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 _P = 0x5851F42D4C957F2D
 
 
@@ -101,7 +101,8 @@ def _anchors(texts: list[bytes], first: int) -> tuple[np.ndarray, np.ndarray, np
     mark[(m[inside] & _U((1 << _PLACE) - 1)).astype(np.int64)] = True
     at = np.flatnonzero(mark)
     of = np.searchsorted(ends, at, side="right")
-    return of + first, at - (ends - sizes)[of], h[at]
+    # anchors have the least hashes of their windows; hashed once more, they are even
+    return of + first, at - (ends - sizes)[of], _mix(h[at]) >> _U(24)
 
 
 def suffixes(text: bytes, places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
