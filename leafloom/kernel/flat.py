@@ -20,12 +20,6 @@ class Tree:
         for i in range(1, len(types)):
             self.kids[parent[i]].append(i)
 
-    @classmethod
-    def from_rows(cls, rows: list[dict], is_fragment: bool = False, base_url: str | None = None) -> Tree:
-        get = lambda k: [r[k] for r in rows]
-        attrs = [[(a["ns"], a["name"], a["value"]) for a in r["attrs"] or ()] for r in rows]
-        return cls(get("type"), get("ns"), get("name"), get("value"), [-1 if p is None else p for p in get("parent")], get("subtree_end"), attrs, is_fragment, base_url)
-
     def is_html(self, i: int, *names: str) -> bool:
         return self.type[i] == "element" and self.ns[i] == "html" and (not names or self.name[i] in names)
 
@@ -47,35 +41,46 @@ class Tree:
             out[i] = p if self.is_html(p, "template") else out[p]
         return out
 
-    def rows(self) -> list[dict]:
-        """The nodes as structs of NODE (see leafloom.schema)."""
+    def columns(self) -> dict[str, list]:
+        """The fields of NODE (see leafloom.schema), a list over nodes each."""
         n, inside = len(self.type), self.templates()
-        out: list[dict] = [
-            {
-                "id": i, "parent": self.parent[i] if i else None, "subtree_end": self.end[i], "depth": 0, "first_child": self.kids[i][0] if self.kids[i] else None, "next_sib": None, "prev_sib": None, "next_elem": None, "prev_elem": None, "elem_pos": None, "elem_count": None,
-                "n_elem_children": 0, "n_text_children": 0, "type": self.type[i], "ns": self.ns[i], "name": self.name[i], "value": self.value[i], "is_template": self.is_html(i, "template"), "in_template_of": inside[i] if inside[i] >= 0 else None, "attrs": [{"ns": a, "name": b, "value": c} for a, b, c in self.attrs[i]],
-            }
-            for i in range(n)
-        ]
+        none = lambda: [None] * n
+        depth, first, next_sib, prev_sib, next_elem, prev_elem, pos, count, elems, texts = [0] * n, none(), none(), none(), none(), none(), none(), none(), [0] * n, [0] * n
+        kind = self.type
         for i in range(n):
             kids = self.kids[i]
-            elems = [k for k in kids if self.type[k] == "element"]
-            out[i]["n_elem_children"], out[i]["n_text_children"] = len(elems), sum(self.type[k] == "text" for k in kids)
-            for a, b in zip(kids, kids[1:]):
-                out[a]["next_sib"], out[b]["prev_sib"] = b, a
-            last, depth = None, out[i]["depth"] + 1
+            if not kids:
+                continue
+            first[i] = kids[0]
+            d, before, last, e = depth[i] + 1, None, None, []
             for k in kids:
-                out[k]["depth"], out[k]["prev_elem"] = depth, last
-                if self.type[k] == "element":
+                depth[k], prev_elem[k], prev_sib[k] = d, last, before
+                if before is not None:
+                    next_sib[before] = k
+                before = k
+                if kind[k] == "element":
                     last = k
+                    e.append(k)
+                elif kind[k] == "text":
+                    texts[i] += 1
+            elems[i] = len(e)
+            for p, k in enumerate(e, 1):
+                pos[k], count[k] = p, len(e)
             last = None
             for k in reversed(kids):
-                out[k]["next_elem"] = last
-                if self.type[k] == "element":
+                next_elem[k] = last
+                if kind[k] == "element":
                     last = k
-            for p, k in enumerate(elems, 1):
-                out[k]["elem_pos"], out[k]["elem_count"] = p, len(elems)
-        return out
+        return {
+            "id": list(range(n)), "parent": [None, *self.parent[1:]], "subtree_end": self.end, "depth": depth, "first_child": first, "next_sib": next_sib, "prev_sib": prev_sib, "next_elem": next_elem, "prev_elem": prev_elem, "elem_pos": pos, "elem_count": count,
+            "n_elem_children": elems, "n_text_children": texts, "type": kind, "ns": self.ns, "name": self.name, "value": self.value, "is_template": [self.is_html(i, "template") for i in range(n)], "in_template_of": [t if t >= 0 else None for t in inside], "attrs": self.attrs,
+        }
+
+    def rows(self) -> list[dict]:
+        """The nodes as structs of NODE."""
+        c = self.columns()
+        c["attrs"] = [[{"ns": a, "name": b, "value": v} for a, b, v in x] for x in self.attrs]
+        return [dict(zip(c, r, strict=True)) for r in zip(*c.values(), strict=True)]
 
 
 def freeze(b: Builder) -> Tree:

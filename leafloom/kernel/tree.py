@@ -48,6 +48,9 @@ source style summary table tbody td template textarea tfoot th thead title tr tr
 SPECIAL_FOREIGN = {MATH: _set("mi mo mn ms mtext annotation-xml"), SVG: _set("foreignObject desc title")}
 SCOPE = _set("applet caption html table td th marquee object select template")
 IMPLIED = _set("dd dt li optgroup option p rb rp rt rtc")
+_BUTTON, _LISTS, _TABLES = _set("button"), _set("ol ul"), _set("html table template")
+_IMPLIED_ALL = IMPLIED | _set("caption colgroup tbody td tfoot th thead tr")
+_MAY_STAY_OPEN = IMPLIED | _set("tbody td tfoot th thead tr body html")
 FORMATTING = _set("a b big code em font i nobr s small strike strong tt u")
 HEADINGS = _set("h1 h2 h3 h4 h5 h6")
 BLOCKS = _set("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer header hgroup main menu
@@ -176,19 +179,19 @@ class Builder:
         return False
 
     def in_button_scope(self, names) -> bool:
-        return self.in_scope(names, _set("button"))
+        return self.in_scope(names, _BUTTON)
 
     def in_list_scope(self, names) -> bool:
-        return self.in_scope(names, _set("ol ul"))
+        return self.in_scope(names, _LISTS)
 
     def in_table_scope(self, names) -> bool:
-        return self.in_scope(names, only=_set("html table template"))
+        return self.in_scope(names, only=_TABLES)
 
     def on_stack(self, name: str) -> bool:
         return any(n.ns == HTML and n.name == name for n in self.stack)
 
     def implied(self, but: str | None = None, all_: bool = False) -> None:
-        names = IMPLIED | _set("caption colgroup tbody td tfoot th thead tr") if all_ else IMPLIED
+        names = _IMPLIED_ALL if all_ else IMPLIED
         while self.stack and self.current.ns == HTML and self.current.name in names and self.current.name != but:
             self.pop()
 
@@ -1084,7 +1087,7 @@ class Builder:
             if not self.in_scope(("body",)):
                 self.wrong("end-tag")
                 return
-            if any(n.ns != HTML or n.name not in IMPLIED | _set("tbody td tfoot th thead tr body html") for n in self.stack):
+            if any(n.ns != HTML or n.name not in _MAY_STAY_OPEN for n in self.stack):
                 self.wrong("end-tag")
             self.mode = "after_body"
             if name == "html":
@@ -1160,7 +1163,7 @@ class Builder:
         if self.template_modes:
             self.eof_in_template()
             return
-        if any(n.ns != HTML or n.name not in IMPLIED | _set("tbody td tfoot th thead tr body html") for n in self.stack):
+        if any(n.ns != HTML or n.name not in _MAY_STAY_OPEN for n in self.stack):
             self.wrong("eof")
         self._stop()
 

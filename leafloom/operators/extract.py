@@ -28,6 +28,22 @@ BATCH_ROWS = 2_000
 _NEEDED = ("parent", "subtree_end", "type", "ns", "name", "value", "attrs")
 
 
+def trees(pages: pa.ListArray, fragments: list[bool], bases: list[str | None]) -> Iterator[Tree]:
+    """The trees of pages' nodes, read column by column."""
+    flat, starts = pages.flatten(), [0]
+    for n in pages.value_lengths().to_pylist():
+        starts.append(starts[-1] + (n or 0))
+    column = {f.name: flat.field(f.name).to_pylist() for f in flat.type if f.name != "attrs"}
+    attrs = flat.field("attrs")
+    inner, ends = attrs.flatten(), [0]
+    for n in attrs.value_lengths().to_pylist():
+        ends.append(ends[-1] + (n or 0))
+    parts = list(zip(*(inner.field(i).to_pylist() for i in range(3)), strict=True))
+    for a, b, f, base in zip(starts, starts[1:], fragments, bases, strict=False):
+        get = lambda c, a=a, b=b: column[c][a:b]
+        yield Tree(get("type"), get("ns"), get("name"), get("value"), [-1 if p is None else p for p in get("parent")], get("subtree_end"), [parts[ends[i] : ends[i + 1]] for i in range(a, b)], f, base)
+
+
 def over_pages(docs: DataFrame, fn: Callable[[Tree], Iterable[dict]], schema: str, key: str = KEY) -> DataFrame:
     """The rows that `fn` yields for each page's tree, with the page's key. Pages with an error yield none."""
     kept = F.transform("nodes", lambda n: F.struct(*(n[c].alias(c) for c in _NEEDED)))
@@ -38,9 +54,7 @@ def over_pages(docs: DataFrame, fn: Callable[[Tree], Iterable[dict]], schema: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for b in batches:
-            for k, f, base, n in zip(b.column(key), b.column("f"), b.column("b"), b.column("n"), strict=True):
-                t = Tree.from_rows(n.as_py(), f.as_py(), base.as_py())
-                k = k.as_py()
+            for k, t in zip(b.column(key).to_pylist(), trees(b.column("n"), b.column("f").to_pylist(), b.column("b").to_pylist()), strict=True):
                 rows += [{key: k} | r for r in fn(t)]
                 if len(rows) >= BATCH_ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from leafloom.functions.columns import attr, classes, node_name
 from leafloom.operators import extract as E
 from leafloom.operators import nodes as N
-from leafloom.sources.pages import fragment, parse
+from leafloom.sources.pages import fragment, parse, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,7 +47,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(read(spark, sf_dir, "pages"), "html", "page_id", ("url",), base_url="url")
+    return parse(spread(read(spark, sf_dir, "pages")), "html", "page_id", ("url",), base_url="url")
+
+
+def parse_rows(df: DataFrame, **options) -> DataFrame:
+    """Pages that a scan makes, dealt to all cores."""
+    return parse(spread(df), **options)
 
 
 def esc(c: Column) -> Column:
@@ -64,7 +69,10 @@ def markup(*parts) -> Column:
 def gathered(df: DataFrame, by: str, order: str, piece: Column, head: str, tail: str) -> DataFrame:
     """A page (page_id, html) for each `by`: the pieces in order between head and tail."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), piece.alias("p"))))
-    return df.groupBy(F.col(by).alias("page_id")).agg(F.concat(F.lit(head), F.array_join(F.transform(rows, lambda r: r["p"]), ""), F.lit(tail)).alias("html"))
+    spark = df.sparkSession
+    # a number of its own: else small pages would be gathered into few tasks, and parsing them takes far longer than reading them
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, by).groupBy(F.col(by).alias("page_id")).agg(F.concat(F.lit(head), F.array_join(F.transform(rows, lambda r: r["p"]), ""), F.lit(tail)).alias("html"))
 
 
 # -- pages ---------------------------------------------------------------------------------------------------------------------
@@ -269,14 +277,14 @@ def form_fields(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     options = F.array_join(F.transform(F.array(*map(F.lit, "FOP")), lambda s: F.concat(F.lit("<option value="), s, F.when(s == F.col("o_orderstatus"), " selected").otherwise(""), F.lit(">"), s)), "")
     html = markup('<form action=/save method=post><input name=order value="', esc(F.col("o_orderpriority")), '"><select name=state>', options, "</select><input type=checkbox name=big", F.when(F.col("o_totalprice") > 1e5, " checked").otherwise(""), "><textarea name=note>\nof ", F.col("o_custkey"), "</textarea></form>")
-    return E.form_fields(parse(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))).select("page_id", "name", "type", "value")
+    return E.form_fields(parse_rows(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))).select("page_id", "name", "type", "value")
 
 
 @query("SELECT o_orderkey AS page_id, 'https://shop.test/save' AS action, 'post' AS method, 4::BIGINT AS fields, o_totalprice > 100000 AS big FROM orders")
 def forms(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     html = markup("<form id=f action=/save method=POST><p><input name=a><input type=checkbox name=big", F.when(F.col("o_totalprice") > 100000, " checked").otherwise(""), "><button>Go</button></form><input form=f name=late><input name=none>")
-    docs = parse(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html"), F.lit("https://shop.test/orders/1").alias("url")), base_url="url")
+    docs = parse_rows(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html"), F.lit("https://shop.test/orders/1").alias("url")), base_url="url")
     return E.forms(docs).select("page_id", "action", "method", F.size("fields").cast("long").alias("fields"), F.exists("fields", lambda f: F.coalesce(f["checked"], F.lit(False))).alias("big"))
 
 
@@ -301,7 +309,7 @@ UNION ALL SELECT p_partkey, 'https://schema.test/Product', 'url', 'https://shop.
 def microdata(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     html = markup("<div itemscope itemtype='https://schema.test/Product' itemref=more><h1 itemprop=name>", esc(F.col("p_name")), "</h1><a itemprop=url href='p/", F.col("p_partkey"), "'>see</a></div><meta id=more itemprop=brand content=\"", esc(F.col("p_brand")), '">')
-    docs = parse(p.select(F.col("p_partkey").alias("page_id"), html.alias("html"), F.lit("https://shop.test/").alias("url")), base_url="url")
+    docs = parse_rows(p.select(F.col("p_partkey").alias("page_id"), html.alias("html"), F.lit("https://shop.test/").alias("url")), base_url="url")
     return E.microdata(docs).select("page_id", F.array_join("type", " ").alias("type"), "property", "value")
 
 
@@ -309,7 +317,7 @@ def microdata(spark, sf_dir):
 def json_ld(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     html = markup("<script type='Application/LD+JSON; charset=utf-8'><!--", F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"))), "--></script><script type=application/ld+json>{no json</script>")
-    found = E.json_ld(parse(p.select(F.col("p_partkey").alias("page_id"), html.alias("html")))).where("json IS NOT NULL")
+    found = E.json_ld(parse_rows(p.select(F.col("p_partkey").alias("page_id"), html.alias("html")))).where("json IS NOT NULL")
     return found.select("page_id", F.expr("variant_get(json, '$.name', 'string')").alias("name"), F.expr("variant_get(json, '$.size', 'bigint')").alias("size"))
 
 
@@ -320,14 +328,14 @@ UNION ALL SELECT c_custkey, NULL, 'og:segment', c_mktsegment FROM customer"""
 def meta(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
     html = markup("<META Name=author content='", esc(F.col("c_name")), "'><meta property=og:segment content=\"", esc(F.col("c_mktsegment")), '"><p>x')
-    return E.meta(parse(c.select(F.col("c_custkey").alias("page_id"), html.alias("html")))).select("page_id", "name", "property", "content")
+    return E.meta(parse_rows(c.select(F.col("c_custkey").alias("page_id"), html.alias("html")))).select("page_id", "name", "property", "content")
 
 
 @query("SELECT c_custkey AS page_id, 'https://site.test/a/c/' || c_nationkey || '?n=' || c_custkey AS url FROM customer")
 def base_and_url(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
     html = markup("<base href='../c/./x/'><a href='../", F.col("c_nationkey"), "?n=", F.col("c_custkey"), "'>go</a>")
-    docs = parse(c.select(F.col("c_custkey").alias("page_id"), html.alias("html"), F.lit("https://site.test/a/b/page.html").alias("u")), base_url="u")
+    docs = parse_rows(c.select(F.col("c_custkey").alias("page_id"), html.alias("html"), F.lit("https://site.test/a/b/page.html").alias("u")), base_url="u")
     a = N.elements(N.nodes(docs), "a")
     return E.url(a, docs).select("page_id", "url")
 
@@ -359,7 +367,7 @@ def selector_list(spark, sf_dir):
 @query("SELECT doc_id AS page_id, text AS text FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT contains(text, chr(0)) AND NOT contains(text, chr(160))")
 def preformatted(spark, sf_dir):
     d = read(spark, sf_dir, "documents").where("text IS NOT NULL AND NOT contains(text, char(13)) AND NOT contains(text, char(0)) AND NOT contains(text, char(160))")
-    docs = parse(d.select(F.col("doc_id").alias("page_id"), markup("<pre>\n", esc(F.col("text")), "</pre>").alias("html")))
+    docs = parse_rows(d.select(F.col("doc_id").alias("page_id"), markup("<pre>\n", esc(F.col("text")), "</pre>").alias("html")))
     return E.text_clean(docs, "pre", trim=False).select("page_id", "text")
 
 
@@ -367,7 +375,7 @@ def preformatted(spark, sf_dir):
 def decoded_bytes(spark, sf_dir):
     s = read(spark, sf_dir, "supplier")
     raw = F.encode(markup("<meta charset=latin1><p title=\"", esc(F.col("s_name")), '">caf', "\xe9"), "ISO-8859-1")
-    docs = parse(s.select(F.col("s_suppkey").alias("page_id"), raw.alias("html")))
+    docs = parse_rows(s.select(F.col("s_suppkey").alias("page_id"), raw.alias("html")))
     p = N.elements(N.nodes(docs), "p").select("page_id", attr("title").alias("name"))
     return p.join(docs.select("page_id", "encoding", "encoding_source"), "page_id")
 
@@ -376,4 +384,4 @@ def decoded_bytes(spark, sf_dir):
 def permissive_errors(spark, sf_dir):
     s = read(spark, sf_dir, "supplier")
     raw = F.when(F.col("s_suppkey") % 2 == 0, F.unhex(F.lit("3C703EE9"))).otherwise(F.encode(F.col("s_name"), "UTF-8"))
-    return parse(s.select(F.col("s_suppkey").alias("page_id"), raw.alias("html"))).select("page_id", F.col("error.kind").alias("error"))
+    return parse_rows(s.select(F.col("s_suppkey").alias("page_id"), raw.alias("html"))).select("page_id", F.col("error.kind").alias("error"))

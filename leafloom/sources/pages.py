@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from leafloom.errors import InputError, PageError
 from leafloom.kernel.decode import decode
-from leafloom.kernel.flat import freeze
+from leafloom.kernel.flat import Tree, freeze
 from leafloom.kernel.tree import parse_tree
 from leafloom.kernel.urls import document_base
 from leafloom.limits import Limits
@@ -30,7 +31,7 @@ CONTEXT = re.compile(r"(?:(?:html|svg|math) )?[A-Za-z][A-Za-z0-9-]*")
 
 
 def page(data: str | bytes | None, encoding: str | None = None, base_url: str | None = None, context: str | None = None, comments: bool = True, limits: Limits | None = None) -> dict:
-    """The columns of PAGE for one page."""
+    """The columns of PAGE for one page; `nodes` is its tree."""
     limits = limits or Limits()
     out: dict = {"type": "document" if context is None else "fragment", "context": context, "root_id": None, "base_url": base_url, "error": None, "nodes": None}
     try:
@@ -46,7 +47,7 @@ def page(data: str | bytes | None, encoding: str | None = None, base_url: str |
     places = _places(text, b.problems)
     return out | {
         "resolved_base": document_base(t, base_url), "quirks_mode": b.quirks, "n_nodes": len(t.type), "n_attrs": sum(map(len, t.attrs)), "input_bytes": len(text.encode("utf-8", "surrogatepass")),
-        "n_problems": len(b.problems), "problems_truncated": b.truncated, "problems": [{"stage": s, "code": c, "line": line, "column": col, "byte_offset": at} for (s, c, _), (line, col, at) in zip(b.problems, places, strict=True)], "nodes": t.rows(),
+        "n_problems": len(b.problems), "problems_truncated": b.truncated, "problems": [{"stage": s, "code": c, "line": line, "column": col, "byte_offset": at} for (s, c, _), (line, col, at) in zip(b.problems, places, strict=True)], "nodes": t,
     }
 
 
@@ -67,6 +68,22 @@ def _places(text: str, problems: list[tuple[str, str, int]]) -> list[tuple[int,
     return [out[p] for _, _, p in problems]
 
 
+def _nodes(trees: list[Tree | None], kind: pa.ListType) -> pa.Array:
+    """The pages' nodes as one Arrow array, made column by column."""
+    columns = [t.columns() if t else None for t in trees]
+    flat = {f.name: [v for c in columns if c for v in c[f.name]] for f in kind.value_type if f.name != "attrs"}
+    attrs = [x for c in columns if c for x in c["attrs"]]
+    held = [a for x in attrs for a in x]
+    field = kind.value_type.field("attrs").type
+    parts = pa.StructArray.from_arrays([pa.array([a[i] for a in held], pa.string()) for i in range(3)], fields=list(field.value_type))
+    offsets = pa.array([0, *accumulate(map(len, attrs))], pa.int32())
+    arrays = [pa.array(flat[f.name], f.type) if f.name != "attrs" else pa.ListArray.from_arrays(offsets, parts, type=field) for f in kind.value_type]
+    sizes = [len(c["id"]) if c else 0 for c in columns]
+    starts = [0, *accumulate(sizes)]
+    mask = pa.array([c is None for c in columns])
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(kind.value_type)), type=kind, mask=mask)
+
+
 def parse(df: DataFrame, content: str = "html", key: str = "page_id", keep: tuple[str, ...] = (), base_url: str | None = None, encoding: str | None = None, context: str | None = None, comments: bool = True, limits: Limits | None = None, mode: str = "PERMISSIVE") -> DataFrame:
     """`key`, `keep` and the columns of PAGE for each row of `df`; `content` holds strings or bytes, base_url names a column of URLs.
 
@@ -90,13 +107,19 @@ def parse(df: DataFrame, content: str = "html", key: str = "page_id", keep: tupl
                 pages = [page(x, encoding, u, context, comments, limits) for x, u in zip(part.column(content).to_pylist(), bases, strict=True)]
                 if mode == "FAILFAST" and (bad := next((p["error"] for p in pages if p["error"]), None)):
                     raise ValueError(f"{bad['kind']}: {bad['message']}")
-                held = [pa.array([p.get(f.name) for p in pages], f.type) for f in list(arrow)[len(names) :]]
+                held = [_nodes([p["nodes"] for p in pages], f.type) if f.name == "nodes" else pa.array([p.get(f.name) for p in pages], f.type) for f in list(arrow)[len(names) :]]
                 out = pa.RecordBatch.from_arrays([*(part.column(c).cast(arrow.field(c).type) for c in names), *held], schema=arrow)
                 yield out.filter(out.column("error").is_null()) if mode == "DROPMALFORMED" else out
 
     return df.select(*dict.fromkeys([*names, content, *extra])).mapInArrow(run, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt to all of them: parsing takes far longer than moving pages. Others stay."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def fragment(df: DataFrame, content: str = "html", context: str = "div", **options) -> DataFrame:
     """As `parse`, of markup inside an element."""
     return parse(df, content, context=context, **options)

@@ -85,9 +85,8 @@ def test_files(spark, tmp_path):
 
 
 def test_plans_push_columns_down_and_parse_once(spark, sf):
-    from leafloom.plans.catalog import docs_of
-
-    plan = N.elements(N.nodes(docs_of(spark, sf)), "a[href]")._jdf.queryExecution().executedPlan().toString()
+    docs = parse(spark.read.parquet(f"{sf}/pages.parquet"), keep=("url",), base_url="url")
+    plan = N.elements(N.nodes(docs), "a[href]")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<page_id:bigint,url:string,html:string>" in plan and plan.count("MapInArrow") == 1 and "Exchange" not in plan
 
 
