@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from leafloom.errors import LimitError, TableError
+from leafloom.errors import InputError, LimitError, TableError
 from leafloom.kernel.flat import Tree
 from leafloom.kernel.text import clean
 from leafloom.kernel.urls import document_base, resolve
@@ -45,12 +45,12 @@ def grid(t: Tree, table: int, max_cells: int = 1_000_000) -> Grid:
     run: list[int] | None = None
     for k in t.kids[table]:
         if t.is_html(k, "thead", "tbody", "tfoot"):
-            groups[t.name[k]].append((t.name[k][1:], [r for r in t.kids[k] if t.is_html(r, "tr")]))
+            groups[t.name[k]].append((t.name[k], [r for r in t.kids[k] if t.is_html(r, "tr")]))
             run = None
         elif t.is_html(k, "tr"):
             if run is None:
                 run = []
-                groups["tbody"].append(("body", run))
+                groups["tbody"].append(("tbody", run))
             run.append(k)
     cells: list[Cell] = []
     rows: list[tuple[int, str]] = []
@@ -99,7 +99,7 @@ def header_rows(t: Tree, g: Grid, header="auto") -> list[int]:
         return [0] if n else []
     if header != "auto":
         return [h - 1 for h in header if 1 <= h <= n]
-    head = [i for i, (_, s) in enumerate(g.rows) if s == "head"]
+    head = [i for i, (_, s) in enumerate(g.rows) if s == "thead"]
     if head:
         return head
     out = []
@@ -171,10 +171,16 @@ def convert(column: list[str | None], decimal: str = ".", thousands: str | None
     Numbers that would not come back as they are written, such as 007 or ones of over 15 significant digits, keep a column as text."""
     there = [v for v in column if v is not None]
     if not there:
-        return "logical", list(column)
+        return "character", list(column)
     truth = {"TRUE": True, "True": True, "true": True, "T": True, "FALSE": False, "False": False, "false": False, "F": False}
     if all(v in truth for v in there):
         return "logical", [v if v is None else truth[v] for v in column]
+    for mark, name in ((decimal, "decimal"), (thousands, "thousands")):
+        if mark is not None and (not isinstance(mark, str) or len(mark) != 1 or mark in "+-eE0123456789"):
+            raise InputError(f"{name} must be one character that is no part of a number", name)
+    if decimal == thousands:
+        raise InputError("decimal and thousands must differ", "thousands")
+    thousands = " " if thousands == "\xa0" else thousands  # cleaned text has plain spaces
     d = re.escape(decimal)
     plain = []
     for v in there:
@@ -189,9 +195,7 @@ def convert(column: list[str | None], decimal: str = ".", thousands: str | None
         digits = re.sub(r"[eE].*", "", v.lstrip("+-"))
         if re.match(r"0\d", digits):
             return "character", list(column)
-        significant = digits.replace(".", "").lstrip("0")
-        if "." in digits:
-            significant = significant.rstrip("0")
+        significant = digits.replace(".", "").strip("0")
         x = float(v)
         if len(significant) > 15 or x in (float("inf"), float("-inf")) or (significant and abs(x) < 2.2250738585072014e-308):
             return "character", list(column)

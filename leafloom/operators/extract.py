@@ -110,7 +110,12 @@ def tables(docs: DataFrame, css: str = "table", match: str | None = None, header
     table's text. A table whose cells overlap, or that has too many, gives one row with `error`."""
     import re
 
-    selector, want, most, missing = parse_selector(css), re.compile(match) if match else None, (limits or Limits()).max_table_cells, frozenset(na)
+    try:
+        want = re.compile(match) if match is not None else None
+    except (re.error, TypeError):
+        raise InputError("match must be a regular expression", "match") from None
+    convert(["1"], decimal, thousands)  # checks the marks
+    selector, most, missing = parse_selector(css), (limits or Limits()).max_table_cells, frozenset(na)
 
     def run(t: Tree) -> Iterable[dict]:
         no = 0

@@ -47,7 +47,7 @@ def test_tables():
     with pytest.raises(LimitError):
         grid(*one("<table><tr>" + "<td>x" * 20 + "</table>"), 10)
     g = grid(*one("<table><tfoot><tr><td>f</tfoot><tr><td rowspan=0>a<td colspan=x>b<tr><td>c</table>"))
-    assert [s for _, s in g.rows] == ["body", "body", "foot"] and g.cells[0].rowspan == 2
+    assert [s for _, s in g.rows] == ["tbody", "tbody", "tfoot"] and g.cells[0].rowspan == 2
 
 
 def test_cells_have_links():
@@ -59,7 +59,7 @@ def test_cells_have_links():
     ("column", "kind"),
     [
         (["1", "+3", None], "integer"), (["1", "2.5"], "double"), ([".25", "1e3"], "double"), (["007"], "character"), (["1", "x"], "character"), (["TRUE", "F"], "logical"), (["1.0000000000000000"], "double"), (["1.2345678901234567"], "character"),
-        (["3000000000"], "double"), (["1e999"], "character"), (["1e-999"], "character"), (["0e-999"], "double"), (["12", "0"], "integer"),
+        (["3000000000"], "double"), ([None], "character"), (["100000000000000000000"], "double"), (["1234567890123456"], "character"), (["1e999"], "character"), (["1e-999"], "character"), (["0e-999"], "double"), (["12", "0"], "integer"),
     ],
 )
 def test_conversion(column, kind):
@@ -70,6 +70,10 @@ def test_conversion_of_grouped_numbers():
     assert convert(["1,234", "5"], thousands=",") == ("integer", [1234, 5])
     assert convert(["1.234,5"], decimal=",", thousands=".") == ("double", [1234.5])
     assert convert(["12,34"], thousands=",")[0] == "character"
+    assert convert(["1 234"], thousands="\xa0") == ("integer", [1234])
+    for bad in ({"decimal": ""}, {"decimal": "1"}, {"thousands": "."}, {"thousands": "e"}):
+        with pytest.raises(ValueError):
+            convert(["1"], **bad)
 
 
 def test_lists():
