@@ -255,4 +255,4 @@ def _value(t: Tree, k: int, base: str | None) -> str:
         return t.attr(k, "value") or ""
     if name == "time" and (v := t.attr(k, "datetime")) is not None:
         return v
-    return text(t, k) or ""
+    return clean(t, k) or ""

@@ -110,7 +110,8 @@ def test_metadata():
 
 
 def test_microdata():
-    html = """<div itemscope itemtype="T U" itemref=r><b itemprop="n m">x</b><p itemprop=c itemscope><a itemprop=u href=v>w</a><time itemprop=t datetime=d>e</time></p></div>
+    html = """<div itemscope itemtype="T U" itemref=r><b itemprop="n m"> x
+ </b><p itemprop=c itemscope><a itemprop=u href=v>w</a><time itemprop=t datetime=d>e</time></p></div>
 <i id=r itemprop=n>y</i><div itemscope id=k><p itemprop=self itemscope itemref=k></p></div>"""
     rows = S.microdata(parse_html(html, base_url="https://h/"))
     got = [(r["item"], r["property"], r["ord"], r["value"], r["child"]) for r in rows if r["item"].startswith("1")]
