@@ -1,6 +1,6 @@
 """Suffix-array dedup: strings of 50 bytes that a smaller document holds too, found by a distributed merge sort of suffixes.
 
-Texts are dealt to groups of about GROUP_BYTES by hash of their rows; that one exchange of texts serves all steps.
+Texts are dealt to groups of about GROUP_BYTES by hash of their rows, in which each row has a number; that one exchange of texts serves all steps.
 
 1. ask: each group sends the hashes of its anchors (see suffixes.py) to buckets of hashes, once each, and learns which of them
    other groups hold too. Anchors that no other text holds are dropped: a window that two texts share has an anchor in both.
@@ -53,12 +53,12 @@ def _arrays(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def _ordered(group: pa.Table, key: str, text: str) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """The rows' order by row key, and in that order texts, documents and row keys."""
+    """The rows' order by hash, and in that order texts, documents and row keys: the group's number and the row's in it."""
     keys = group.column("_k").to_numpy()
     order = np.argsort(keys, kind="stable")
     docs = group.column(key).cast(pa.int64()).fill_null(LAST).to_numpy()
     raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in group.column(text)]
-    return order, [raw[i] for i in order.tolist()], docs[order], keys[order]
+    return order, [raw[i] for i in order.tolist()], docs[order], (group.column("_g")[0].as_py() << 32) + np.arange(len(order))
 
 
 def _several(of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,12 +85,12 @@ def _split(part: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(part[a]), int(a), int(b)) for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True)]
 
 
-def _spans(key: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> list[tuple[int, bytes]]:
-    """Blobs of spans by group of n."""
-    g = key % n
-    order = np.argsort(g, kind="stable")
+def _spans(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
+    """Blobs of spans by group."""
+    g = key >> 32
+    order = np.lexsort((start, key))
     g = g[order]
-    return [(p, _blob(*(x[order[a:b]].astype(k) for x, k in ((key, "<i8"), (doc, "<i8"), (start, "<i4"), (end, "<i4"))))) for p, a, b in _split(g)]
+    return [(p, _blob(*(x[order[a:b]].astype(k) for x, k in ((key, "<i8"), (start, "<i4"), (end, "<i4"))))) for p, a, b in _split(g)]
 
 
 def asking(key: str, text: str, n: int) -> Callable[[pa.Table], pa.Table]:
@@ -155,36 +155,34 @@ def _sorted_runs(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, of: np.
     first = np.flatnonzero(shared < WIDTH)
     smallest = np.repeat(run.doc[first], np.diff(np.append(first, len(shared))))
     gone = (run.doc > smallest) & (run.low <= run.high)
-    spans = _spans(run.key[gone], run.doc[gone], run.place[gone] - run.high[gone], run.place[gone] - run.low[gone] + LENGTH, n) if gone.any() else []
+    spans = _spans(run.key[gone], run.place[gone] - run.high[gone], run.place[gone] - run.low[gone] + LENGTH) if gone.any() else []
     out = [(g, g, data) for g, data in spans]
     run = run.take(np.flatnonzero(run.doc == smallest))
     lead = (run.rows[:, :5].astype(np.uint64) << np.arange(32, -1, -8, dtype=np.uint64)[None, :]).sum(axis=1, dtype=np.uint64)
     return out + [(p, None, front_code(run.take(np.arange(a, b)))) for p, a, b in _split(_part(lead, n))]
 
 
-def merging(n: int) -> Callable[[pa.Table], pa.Table]:
-    def run(part: pa.Table) -> pa.Table:
-        give_back()
-        rows = list(zip(part.column("g").to_pylist(), part.column("data").to_pylist(), strict=True))
-        out = [(g, d) for g, d in rows if g is not None]
-        runs = [unpack(d) for g, d in rows if g is None]
-        if runs:
-            which, shared, texts = merge([decoded(s, t) for s, t, _ in runs])
-            which = np.array(which)
-            first = np.cumsum([0] + [len(s) for s, _, _ in runs])
-            # the suffixes of a run come out in its order
-            order = np.argsort(which, kind="stable")
-            at = np.empty(len(which), dtype=np.int64)
-            at[order] = np.arange(len(which)) - np.searchsorted(which[order], which[order]) + first[which[order]]
-            doc, key, place, low, high = (np.concatenate([r[2][i] for r in runs])[at] for i in range(5))
-            width = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, WIDTH)
-            least, greatest = covered(width, np.array(shared), doc.astype(np.int64), low, high)
-            gone = np.flatnonzero(greatest >= 0)
-            place = place.astype(np.int64)
-            out += _spans(key[gone], doc[gone], place[gone] - greatest[gone], place[gone] - least[gone] + LENGTH, n) if len(gone) else []
-        return pa.table({"g": pa.array([g for g, _ in out], pa.int64()), "data": pa.array([d for _, d in out], pa.binary())})
+def merging(part: pa.Table) -> pa.Table:
+    give_back()
+    rows = list(zip(part.column("g").to_pylist(), part.column("data").to_pylist(), strict=True))
+    out = [(g, d) for g, d in rows if g is not None]
+    runs = [unpack(d) for g, d in rows if g is None]
+    if runs:
+        which, shared, texts = merge([decoded(s, t) for s, t, _ in runs])
+        which = np.array(which)
+        first = np.cumsum([0] + [len(s) for s, _, _ in runs])
+        # the suffixes of a run come out in its order
+        order = np.argsort(which, kind="stable")
+        at = np.empty(len(which), dtype=np.int64)
+        at[order] = np.arange(len(which)) - np.searchsorted(which[order], which[order]) + first[which[order]]
+        doc, key, place, low, high = (np.concatenate([r[2][i] for r in runs])[at] for i in range(5))
+        width = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, WIDTH)
+        least, greatest = covered(width, np.array(shared), doc.astype(np.int64), low, high)
+        gone = np.flatnonzero(greatest >= 0)
+        place = place.astype(np.int64)
+        out += _spans(key[gone], place[gone] - greatest[gone], place[gone] - least[gone] + LENGTH) if len(gone) else []
+    return pa.table({"g": pa.array([g for g, _ in out], pa.int64()), "data": pa.array([d for _, d in out], pa.binary())})
 
-    return run
 
 
 def joined(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -226,20 +224,19 @@ def repeated(docs: DataFrame, make: Callable, schema: T.StructType, key: str = "
     asked = dealt.groupBy("_g").applyInArrow(asking(key, text, n), "part int, g long, data binary")
     told = asked.groupBy("part").applyInArrow(answering, "g long, data binary")
     runs = dealt.groupBy("_g").cogroup(told.groupBy("g")).applyInArrow(sorting(key, text, n), "part int, g long, data binary")
-    found = runs.groupBy("part").applyInArrow(merging(n), "g long, data binary")
+    found = runs.groupBy("part").applyInArrow(merging, "g long, data binary")
 
     def finish(group: pa.Table, spans: pa.Table) -> pa.Table:
         give_back()
-        order, texts, docs_, keys = _ordered(group, key, text)
-        got = [_arrays(d, "<i8", "<i8", "<i4", "<i4") for d in spans.column("data").to_pylist()]
-        k, doc, start, end = (np.concatenate([x[i] for x in got]) for i in range(4)) if got else (np.empty(0, np.int64),) * 4
+        order, texts, _, keys = _ordered(group, key, text)
+        got = [_arrays(d, "<i8", "<i4", "<i4") for d in spans.column("data").to_pylist()]
+        k, start, end = (np.concatenate([x[i] for x in got]) for i in range(3)) if got else (np.empty(0, np.int64),) * 3
         by = np.argsort(k, kind="stable")
-        k, doc, start, end = k[by], doc[by], start[by], end[by]
+        k, start, end = k[by], start[by], end[by]
         out: list = [[] for _ in texts]
         a, b = np.searchsorted(k, keys), np.searchsorted(k, keys, side="right")
         for i in np.flatnonzero(b > a).tolist():
-            mine = np.flatnonzero(doc[a[i] : b[i]] == docs_[i]) + a[i]
-            out[int(order[i])] = joined(start[mine], end[mine])
+            out[int(order[i])] = joined(start[a[i] : b[i]], end[a[i] : b[i]])
         raw: list = [b""] * len(texts)
         for i, t in zip(order.tolist(), texts, strict=True):
             raw[i] = t

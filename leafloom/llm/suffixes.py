@@ -151,7 +151,7 @@ def front_code(run: Run) -> bytes:
     shared = common(run.rows)
     tails = run.rows[np.arange(WIDTH)[None, :] >= shared[:, None]]
     body = b"".join(x.tobytes() for x in (shared, tails, run.doc.astype("<i8"), run.key.astype("<i8"), run.place.astype("<i4"), run.low.astype("u1"), run.high.astype("u1")))
-    return struct.pack("<II", len(run.doc), len(tails)) + zlib.compress(body, 1)
+    return struct.pack("<II", len(run.doc), len(tails)) + zlib.compress(body, 3)
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, bytes, tuple[np.ndarray, ...]]:
