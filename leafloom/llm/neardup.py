@@ -8,8 +8,9 @@ of BANDS * ROWS darts and a number for each band; a pair at the threshold misses
 (1 - THRESHOLD^ROWS)^BANDS, 7e-5. 3. In each bucket, every text is compared with one leader, never with all others, and
 the comparison is exact, on whole texts. The leader is the text that meets most others over all its buckets. 4. Links become classes. In buckets that still hold several classes,
 texts are compared with MORE_LEADERS random ones of other classes, turn by turn, until a turn
-adds under LEAST_GAIN of the links. The number of candidates grows
-with the rows in buckets, whatever the size of a bucket.
+adds under LEAST_GAIN of the links; these turns only save work. 5. The rest is exact: of every two texts of different classes
+in a bucket, the comparison follows unless their sizes or sketches (bounds, not estimates) rule it out. Where many remain, each
+text is compared with FEW others in a turn and pairs that links have joined meanwhile are left out, until none remains.
 
 Links, classes and signatures stay distributed. Buckets and hot texts are joined, so that Spark may split them.
 
@@ -36,12 +37,18 @@ from leafloom.llm.dartminhash import Darts, bands, jaccard, shingles
 SHINGLE, THRESHOLD, ROWS, BANDS = 5, 0.8, 7, 40
 #: Texts of a bucket with which every other one is compared in each turn after the first.
 MORE_LEADERS = 2
-#: Turns go on while one adds this share of the links that there are: what chance still hides is then as rare as what bands miss.
+#: Turns of leaders go on while one adds this share of the links that there are. All pairs that are left then are settled one by one.
 LEAST_GAIN = 0.001
 #: Texts whose darts are thrown together, at most, and their bytes.
 TOGETHER, TOGETHER_BYTES = 64, 1 << 19
 #: Shingle sets that a worker keeps while it compares.
 KEPT_SETS = 256
+#: Sketches: longs of SLOTS bits for runs that occur, and as many for those that occur twice.
+SLOTS, WIDTH = 512, 16
+#: Rows of a bucket that meet each other in one group; larger buckets are cut into squares of this side.
+BLOCK = 2048
+#: Pairs of a text that are compared in a turn of the rest, if there are more than that for each text; else all are.
+FEW = 4
 
 
 def signed(texts: DataFrame, threshold_rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
@@ -102,6 +109,51 @@ def compared(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def sketched(texts: DataFrame) -> DataFrame:
+    """(node, text) to (node, size, over, sketch): the number of runs, how many of them the sketch does not show, and the sketch.
+
+    Runs fall into SLOTS by hash; the first half of the bits tells which slots hold a run, the second which hold two. Two texts
+    share no more runs than their sketches share bits, plus the lesser `over`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, over, bits = [], [], []
+            for text in b.column("text"):
+                ids, counts, _ = shingles([text.as_buffer().to_pybytes()], SHINGLE)
+                held = np.bincount((ids % np.uint64(SLOTS)).astype(np.int64), counts, SLOTS)
+                size.append(int(counts.sum()))
+                over.append(int(np.maximum(held - 2, 0).sum()))
+                bits.append(np.packbits(np.concatenate([held >= 1, held >= 2])).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(size, pa.int64()), pa.array(over, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["node", "size", "over", "sketch"])
+
+    flat = texts.mapInArrow(run, "node long, size long, over long, sketch array<long>")
+    return flat.select("node", "size", "over", *(F.col("sketch")[i].alias(f"s{i}") for i in range(WIDTH)))
+
+
+def remaining(shared: DataFrame, at: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """All (a, b), a < b, that meet in a bucket, are of different classes and may be near copies by their sizes and sketches.
+
+    shared: (bucket, node). at: classes (v, class). held: texts (node, text). A bucket's rows meet in squares of BLOCK x BLOCK, so
+    that no task gets a large bucket whole."""
+    rows = shared.join(at, shared["node"] == at["v"], "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
+    mixed = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low < high")
+    rows = cut(rows.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "bucket"))
+    met = rows.join(sketched(held.join(rows.select("node").distinct(), "node", "left_semi")), "node")
+    met = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    l, r = met.withColumn("other", every).alias("l"), met.withColumnRenamed("part", "other").withColumn("part", every).alias("r")
+    c = lambda side, name: F.col(f"{side}.{name}")
+    total = c("l", "size") + c("r", "size")
+    common = F.least(c("l", "over"), c("r", "over"))
+    for i in range(WIDTH):
+        common = common + F.bit_count(c("l", f"s{i}").bitwiseAND(c("r", f"s{i}")))
+    least = total * F.lit(threshold / (1 + threshold) - 1e-9)  # of common runs
+    cell = (c("l", "bucket") == c("r", "bucket")) & (c("l", "part") == c("r", "part")) & (c("l", "other") == c("r", "other"))
+    pair = (c("l", "node") < c("r", "node")) & (c("l", "class") != c("r", "class"))
+    both = l.join(r, cell & pair & (F.least(c("l", "size"), c("r", "size")) >= least) & (common >= least))
+    return both.select(c("l", "node").alias("a"), c("r", "node").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, class) for each end of `links` (a, b): the smallest end of its component.
 
@@ -184,8 +236,25 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         else:
             at = components(found)
         turn += 1
-    if n_new or turn > 1:  # the classes so far are stars, which the links of later turns join
-        at = components(at.where("v <> class").select(F.col("v").alias("a"), F.col("class").alias("b")).union(more))
+    joined = lambda links: components(at.where("v <> class").select(F.col("v").alias("a"), F.col("class").alias("b")).union(links))
+    # the classes so far are stars, which the links of later turns join
+    at = joined(more)
+    left = cut(remaining(shared, at, held, threshold).join(tested, ["a", "b"], "left_anti"))
+    released(spark)
+    few = FEW * held.count()
+    while n_left := left.count():
+        pairs = left
+        if n_left > few:  # by chance, the same for all turns
+            pairs = left.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))).where(F.col("n") <= FEW).select("a", "b")
+        whole = pairs.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        found = cut(compared(whole, threshold))
+        at = joined(found)
+        if n_left <= few:
+            break
+        ends = [at.toDF(end, f"class_{end}") for end in "ab"]
+        rest = left.join(pairs, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        left = cut(rest.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b"))
+        released(spark)
     named = nodes.join(at, nodes["node"] == at["v"], "left").select("digest", "first", F.coalesce("class", "node").alias("class"))
     # the smallest key of the class, and the digest that has it
     heads = named.groupBy("class").agg(F.min(F.struct(F.col("first").isNull(), "first", "digest")).alias("h")).select("class", F.col("h.first").alias("class_id"), F.col("h.digest").alias("head"))

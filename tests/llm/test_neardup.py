@@ -4,7 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from leafloom.llm import neardup
 from leafloom.llm.dartminhash import Darts, jaccard, shingles
 from leafloom.llm.neardup import THRESHOLD, classes, deduplicate
 
@@ -69,6 +71,24 @@ def test_odd_rows(odd_docs):
     assert len({r["doc_id"] for r in kept}) == len(kept)
 
 
+@pytest.mark.parametrize("block, few", [(2048, 4), (64, 1)])
+def test_pairs_of_outsiders_in_a_hot_bucket(spark, prose, monkeypatch, block, few):
+    """All texts in one bucket: a third near copies of a base, the others at 0.5 to 0.8 to it, in pairs or threes of near copies."""
+    r, base, rows = random.Random(8), prose(501, 200).split(" "), []
+    for i in range(60):
+        rows.append((len(rows), " ".join([*base[:-1], f"n{i}"])))
+    for i in range(50):
+        words = list(base)
+        for at in r.sample(range(5, len(words) - 5), r.choice([6, 8, 10])):
+            words[at] = f"o{i}x{at}"
+        rows += [(len(rows) + j, " ".join([*words, *[f"t{i}y{j}"] * (2 * j)])) for j in range(2 + i % 2)]
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "signed", lambda docs: docs.select("key", "digest", F.array(F.lit(1).cast("long")).alias("bands")))
+    got = classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id").collect()
+    assert sorted((str(a), str(b)) for a, b in got) == brute(rows)
+
+
 def test_empty_table(no_docs):
     assert classes(no_docs).count() == 0 and deduplicate(no_docs).count() == 0
 
