@@ -4,7 +4,8 @@ The index holds, for each rare word of each license template, the word's places
 those words are counted over all documents. For each file and template the RARE words of highest IDF that the file holds
 are looked up; a posting at place p of the template and at word w of the file proposes that the template starts at w - p,
 and proposals are intersected: at least AGREE of those words must agree on one start. A start counts only if the template's
-mandatory key phrases stand there, word for word. The score is the share of the template's IDF mass that stands at the best
+mandatory key phrases stand there, word for word. It may lie before the file's first word: files often open with the
+license's name, and the words of the template before its key phrases are not mandatory. The score is the share of the template's IDF mass that stands at the best
 start. The base phrases are templates too, all of whose words must stand.
 
 One pass over the texts finds the hits; everything after it works on hits. All of it is DataFrame expressions. The postings
@@ -96,7 +97,7 @@ def scan(found: DataFrame) -> DataFrame:
     has = lambda bits, p: bits.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p)) != 0
     looked_up = F.slice(F.filter("rare", lambda p: has(F.col("file"), p)), 1, RARE)
     agree = F.size(F.filter(looked_up, lambda p: has(F.col("bits"), p)))
-    sure = starts.where((F.col("start") >= 0) & (agree >= AGREE) & (F.col("bits").bitwiseAND(F.col("key")) == F.col("key")))
+    sure = starts.where((agree >= AGREE) & (F.col("bits").bitwiseAND(F.col("key")) == F.col("key")))
     base = F.col("base") == 1
     mine = sure.groupBy("row").agg(
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),

@@ -40,5 +40,20 @@ def test_labels_need_their_key_phrases(spark):
     assert got[6][0] == ""
 
 
+def test_files_that_open_with_the_name_of_their_license(spark):
+    names = {
+        "GNU General Public License Version 3": "gpl,gpl-3.0", "Apache License Version 2.0": "apache,apache-2.0", "MIT License": "mit", "CC BY 4.0": "cc-by-4.0", "CC BY-NC 4.0": "cc-by-nc-4.0",
+        "CC BY-SA 4.0": "cc-by-sa-4.0", "Lesser General Public License version 3": "gpl,lgpl-3.0", "Mozilla Public License v. 2.0": "mpl-2.0",
+    }
+    rows = [(f"{before}{name} some words of the file", label) for name, label in names.items() for before in ("", "here now come many words which are not any part of it then ")]
+    got = {r["doc_id"]: r for r in run(spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows)], "doc_id long, text string"))}
+    for i, (text, label) in enumerate(rows):
+        assert (text, got[i]["labels"]) == (text, label)
+        assert 0 < got[i]["score"] <= 1
+    for i in range(0, len(rows), 2):
+        assert got[i]["score"] == got[i + 1]["score"]
+        assert got[i]["first_word"] in (None, got[i + 1]["first_word"] - 13 if got[i]["first_word"] is not None else None)
+
+
 def test_empty_table(no_docs):
     assert run(no_docs) == []
