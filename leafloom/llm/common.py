@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from contextlib import suppress
@@ -19,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. It is set here only where no one has set it."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where no one has set it, a folder of this machine is taken
+    in local mode, where there is one machine; elsewhere that is an error."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     set_by = spark.conf.get("spark.checkpoint.dir", None)
     if held.isEmpty():
+        if not set_by and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(set_by or tempfile.mkdtemp(prefix="leafloom-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return set_by or held.get()
@@ -39,6 +43,24 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a work table. Nothing that is still to be computed may read it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that `df` does not have, in any case of letters."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in held:
+            n = f"{n}_"
+        held.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+from collections import Counter
 
 import pytest
 
@@ -41,15 +42,38 @@ def test_small_payloads_are_not_revisits(spark):
     assert got[3] == "response" and got[4] == "revisit"
 
 
-def test_repeated_rows_and_empty_table(spark):
-    df = pages(spark).where("page_id = 1")
-    kinds = sorted(r["record_type"] for r in trip(spark, df.union(df)).collect())
-    assert kinds == ["response", "revisit"]
-    assert trip(spark, df.limit(0)).count() == 0
+@pytest.mark.parametrize("broadcast", ["-1", "100m"])
+def test_repeated_rows_over_many_partitions(spark, broadcast):
+    """Three times the rows in 12 partitions: one response for each payload, whatever joins Spark chooses and splits."""
+    one = pages(spark)
+    df = one.union(one).union(one).repartition(12)
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "1k")
+        got = trip(spark, df).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(got) == 24
+    by = Counter((r["payload_digest"], r["record_type"]) for r in got)
+    assert {n for (_, kind), n in by.items() if kind == "response"} == {1}
+    assert len([1 for _, kind in by if kind == "response"]) == len({r["html"] or "" for r in one.collect()})
+
+
+def test_empty_table(spark):
+    assert trip(spark, pages(spark).limit(0)).count() == 0
+
+
+def test_a_damaged_record_is_an_error():
+    data = warc.record(1, "http://x/1", warc.digest32(hashlib.sha1(b"abc" * 9000).hexdigest()), bytes(range(256)) * 90, None, 23040)
+    for bad in (data[:-40], data[:300] + b"\x00" * 60 + data[360:]):
+        with pytest.raises(ValueError):
+            list(warc.members(lambda at, n, bad=bad: bad[at : at + n], len(bad), 0, len(bad)))
 
 
 def test_members_are_ordinary_gzip_and_ranges_own_each_once():
-    parts = [warc.record(i, f"http://x/{i}", warc.digest32(hashlib.sha1(b).hexdigest()), b, None, False) for i, b in enumerate([b"a" * 50, b"\x1f\x8b\x08" * 40, b""])]
+    parts = [warc.record(i, f"http://x/{i}", warc.digest32(hashlib.sha1(b).hexdigest()), b, None, len(b)) for i, b in enumerate([b"a" * 50, b"\x1f\x8b\x08" * 40, b""])]
     junk = b"\x1f\x8b\x08junk"
     data = junk.join([b"", *parts])
     assert gzip.GzipFile(fileobj=io.BytesIO(parts[0])).read().startswith(b"WARC/1.1\r\n")
@@ -60,6 +84,6 @@ def test_members_are_ordinary_gzip_and_ranges_own_each_once():
 
 
 def test_a_wrong_payload_is_an_error():
-    bad = warc.record(1, "u", "A" * 32, b"x", None, False)
+    bad = warc.record(1, "u", "A" * 32, b"x", None, 1)
     with pytest.raises(ValueError):
         warc.parse(gzip.decompress(bad))
