@@ -3,9 +3,11 @@ empirical beta prior, and the host's verdict decides how much a document may fai
 
 Base rules: fewer than 10 words, or over a fifth of the words in repeated 5-word windows. Further rules: symbols exceed a
 tenth of the words, capitals exceed half of the characters in words, the mean word length leaves 2 to 14, over 60 % of the
-lines with words are repeats. A host (the column `source`) has the rate (failed + a) / (documents + a + b), where a and b
-fit the hosts' rates by their moments. Documents of a host whose rate is at most TRUSTED may fail one further rule; those
-of other hosts none. A document that fails nothing is kept whatever its host.
+lines with words are repeats. A document that breaks none of these may still be marginal: half of a limit is passed (for word
+lengths: 3 to 10). A host (the column `source`) has the rate (failed + a) / (documents + a + b), where a and b fit the hosts'
+rates by their moments; with it goes the posterior's deviation. A host whose rate lies more than DEVIATIONS of these below the
+rate of all documents is trusted: a document of it may break one further rule. A host that lies as far above is poor: its
+marginal documents go, too. Documents of the other hosts are kept if they break no rule.
 
 Everything is a DataFrame expression. Windows of words are compared by 64-bit hashes within one text.
 
@@ -19,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import cut, table, text_of
+from leafloom.llm.common import cut, free_names, table, text_of
 
-#: A host's shrunk rate of failed documents up to which one failure of a further rule is forgiven.
-TRUSTED = 0.1
+#: How many posterior deviations a host's rate must lie from that of all documents for a verdict of its own.
+DEVIATIONS = 1.0
 #: Bounds of the prior's strength, in documents.
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 10_000.0
 SPACE = r"[\x20\x09-\x0D]+"
@@ -57,19 +59,26 @@ def measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
 
 def judge(measured: DataFrame, host: str = "source") -> DataFrame:
-    """`measured` with base_failed, n_failed (further rules), host_rate and kept. It is written once and read twice."""
+    """`measured` with base_failed, n_failed (further rules), n_marginal (rules of which half a limit is passed), host_rate,
+    host_verdict and kept. It is written once and read twice."""
     c = F.col
+    count = lambda rules: sum((r.cast("long") for r in rules), F.lit(0).cast("long"))
     base = (c("n_words") < 10) | (100 * c("n_repeat_words") > 20 * c("n_words"))
     rules = [10 * c("n_symbols") > c("n_words"), 2 * c("n_upper") > c("word_chars"), (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words")), 10 * c("n_dup_lines") > 6 * c("n_lines")]
-    judged = cut(measured.withColumn("base_failed", base).withColumn("n_failed", sum((r.cast("long") for r in rules), F.lit(0).cast("long"))))
+    near = [20 * c("n_symbols") > c("n_words"), 4 * c("n_upper") > c("word_chars"), (c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 10 * c("n_words")), 10 * c("n_dup_lines") > 3 * c("n_lines"), 10 * c("n_repeat_words") > c("n_words")]
+    judged = cut(measured.withColumn("base_failed", base).withColumn("n_failed", count(rules)).withColumn("n_marginal", count(near)))
     failed = (c("base_failed") | (c("n_failed") > 0)).cast("long")
     hosts = judged.groupBy(host).agg(F.count("*").alias("n"), F.sum(failed).alias("f"))
     p = c("f") / c("n")
     s = hosts.agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum("f").alias("f"), F.sum(p).alias("p"), F.sum(p * p).alias("pp")).first()
     a, b = prior(s["hosts"], s["n"] or 0, s["f"] or 0, s["p"] or 0.0, s["pp"] or 0.0)
-    rated = hosts.select(c(host).alias("_host"), ((c("f") + F.lit(a)) / (c("n") + F.lit(a + b))).alias("host_rate"))
-    kept = ~c("base_failed") & (c("n_failed") <= F.when(c("host_rate") <= TRUSTED, 1).otherwise(0))
-    return judged.join(rated, judged[host].eqNullSafe(rated["_host"]), "left").drop("_host").withColumn("kept", kept)
+    mean = (s["f"] or 0) / (s["n"] or 1)
+    rated = hosts.select(c(host).alias("of_host"), ((c("f") + F.lit(a)) / (c("n") + F.lit(a + b))).alias("host_rate"), "n")
+    far = F.lit(DEVIATIONS) * F.sqrt(c("host_rate") * (1 - c("host_rate")) / (c("n") + F.lit(a + b + 1)))
+    verdict = F.when(c("host_rate") + far < mean, "trusted").when(c("host_rate") - far > mean, "poor").otherwise("plain")
+    rated = rated.select("of_host", "host_rate", verdict.alias("host_verdict"))
+    allowed = F.when(c("host_verdict") == "trusted", c("n_failed") <= 1).when(c("host_verdict") == "poor", (c("n_failed") == 0) & (c("n_marginal") == 0)).otherwise(c("n_failed") == 0)
+    return judged.join(rated, judged[host].eqNullSafe(rated["of_host"]), "left").drop("of_host").withColumn("kept", ~c("base_failed") & allowed)
 
 
 def prior(hosts: int, n: int, f: int, p: float, pp: float) -> tuple[float, float]:
@@ -86,15 +95,17 @@ def prior(hosts: int, n: int, f: int, p: float, pp: float) -> tuple[float, float
 def filtered(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The rows of `docs` that are kept. Rows alike in key, text and host share a verdict."""
     tie = F.xxhash64(text_of(text))
-    seen = docs.select(F.col(key).alias("_key"), F.col(host).alias("_from"), F.col(text).alias("_text"), tie.alias("_tie"))
-    kept = judge(measures(seen, "_text", ("_key", "_from", "_tie")), "_from").where("kept").select("_key", "_from", "_tie").distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_key")) & F.col(host).eqNullSafe(F.col("_from")) & (tie == F.col("_tie")), "left_semi")
+    names = free_names(docs, "the_key", "the_host", "the_text", "the_tie")  # so that the join is not ambiguous
+    k, h, t, x = names
+    seen = docs.select(F.col(key).alias(k), F.col(host).alias(h), F.col(text).alias(t), tie.alias(x))
+    kept = judge(measures(seen, t, (k, h, x)), h).where("kept").select(k, h, x).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col(k)) & F.col(host).eqNullSafe(F.col(h)) & (tie == F.col(x)), "left_semi")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its counts, the base verdict and the host-level verdict."""
     out = judge(measures(table(spark, sf_dir, "documents")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed", F.round("host_rate", 6).alias("host_rate"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed", "n_marginal", F.round("host_rate", 6).alias("host_rate"), "host_verdict")
 
 
 OP7_SQL = rf"""
@@ -114,13 +125,18 @@ u AS (SELECT r, sum(least(5, i - coalesce(p, -5)))::BIGINT AS n FROM (SELECT r,
 j AS (
   SELECT m.*, coalesce(u.n, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(u.n, 0) > 20 * n_words AS base_failed,
          (10 * n_symbols > n_words)::BIGINT + (2 * n_upper > word_chars)::BIGINT + (word_chars < 2 * n_words OR word_chars > 14 * n_words)::BIGINT
-           + (10 * n_dup_lines > 6 * n_lines)::BIGINT AS n_failed
+           + (10 * n_dup_lines > 6 * n_lines)::BIGINT AS n_failed,
+         (20 * n_symbols > n_words)::BIGINT + (4 * n_upper > word_chars)::BIGINT + (word_chars < 3 * n_words OR word_chars > 10 * n_words)::BIGINT
+           + (10 * n_dup_lines > 3 * n_lines)::BIGINT + (10 * coalesce(u.n, 0) > n_words)::BIGINT AS n_marginal
   FROM m LEFT JOIN u USING (r)),
 h AS (SELECT source, count(*) AS n, sum((base_failed OR n_failed > 0)::INT) AS f FROM j GROUP BY source),
 s AS (SELECT sum(f) / sum(n)::DOUBLE AS mean, greatest(avg((f / n::DOUBLE) * (f / n::DOUBLE)) - avg(f / n::DOUBLE) ** 2, 0) AS var FROM h),
 b AS (SELECT mean, CASE WHEN var > 1e-12 THEN least({MAX_STRENGTH}, greatest({MIN_STRENGTH}, mean * (1 - mean) / var - 1)) ELSE {MAX_STRENGTH} END AS k FROM s),
-q AS (SELECT source, (f + mean * k) / (n + k) AS host_rate FROM h, b)
+r AS (SELECT source, mean, (f + mean * k) / (n + k) AS host_rate, n + k + 1 AS weight FROM h, b),
+v AS (SELECT *, {DEVIATIONS} * sqrt(host_rate * (1 - host_rate) / weight) AS far FROM r),
+q AS (SELECT *, CASE WHEN host_rate + far < mean THEN 'trusted' WHEN host_rate - far > mean THEN 'poor' ELSE 'plain' END AS host_verdict FROM v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_failed <= CASE WHEN host_rate <= {TRUSTED} THEN 1 ELSE 0 END AS kept, n_failed, round(host_rate, 6) AS host_rate
+       NOT base_failed AND CASE host_verdict WHEN 'trusted' THEN n_failed <= 1 WHEN 'poor' THEN n_failed + n_marginal = 0 ELSE n_failed = 0 END AS kept,
+       n_failed, n_marginal, round(host_rate, 6) AS host_rate, host_verdict
 FROM j JOIN q ON j.source IS NOT DISTINCT FROM q.source
 """

@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from leafloom.llm.quality import filtered, judge, measures, prior
+from leafloom.llm.quality import filtered, judge, measures, op7_quality, prior
 
 
 def brute(text):
@@ -22,13 +22,26 @@ def test_counts_as_by_brute_force(spark, odd_docs, prose):
     assert got == sorted((str(r["doc_id"]), *brute(r["text"])) for r in docs.collect())
 
 
-def test_hosts_forgive_by_their_rate(spark, prose):
-    noisy = "# $ % & " + prose(5, 30)
-    rows = [(i, prose(i, 40), "good") for i in range(300)] + [(900, noisy, "good")]
-    rows += [(1000 + i, noisy if i % 2 else prose(i, 40), "bad") for i in range(60)]
+def test_host_verdicts_forgive_and_reject(spark, prose):
+    noisy, marginal = "# $ % & " + prose(5, 30), "# $ % & " + prose(6, 60)
+    rows = [(i, prose(i, 40), "good") for i in range(300)] + [(900, noisy, "good"), (901, marginal, "good")]
+    rows += [(1000 + i, noisy if i % 2 else prose(i, 40), "bad") for i in range(60)] + [(1900, marginal, "bad")]
     out = {r["doc_id"]: r for r in judge(measures(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
-    assert out[900]["kept"] and out[900]["host_rate"] < 0.1
-    assert not out[1001]["kept"] and out[1000]["kept"] and out[1001]["host_rate"] > 0.3
+    assert out[900]["host_verdict"] == "trusted" and out[900]["kept"] and out[900]["host_rate"] < 0.1 and out[901]["kept"]
+    assert out[1001]["host_verdict"] == "poor" and not out[1001]["kept"] and out[1000]["kept"] and not out[1900]["kept"]
+
+
+def test_hosts_move_verdicts_both_ways_on_the_test_table(spark):
+    out = op7_quality(spark, "/root/testdata/sf0.01").collect()
+    alone = lambda r: not r["base_failed"] and r["n_failed"] == 0  # noqa: E731  the verdict without hosts
+    assert any(r["kept"] and not alone(r) for r in out) and any(alone(r) and not r["kept"] for r in out)
+    assert {r["host_verdict"] for r in out} == {"trusted", "plain", "poor"}
+
+
+def test_names_that_operators_use_inside(spark, prose):
+    docs = spark.createDataFrame([(1, prose(1, 40), "a", 7, 8, 9), (2, "x", "a", 7, 8, 9)], "doc_id long, text string, source string, the_key int, _host int, kept int")
+    out = filtered(docs)
+    assert out.columns == docs.columns and [tuple(r)[3:] for r in out.collect()] == [(7, 8, 9)]
 
 
 def test_prior():
