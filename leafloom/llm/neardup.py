@@ -5,46 +5,45 @@ the weighted Jaccard similarity is THRESHOLD or more. Classes are the connected
 
 1. Texts are told apart by digest, so that copies cost one row each and no comparison. 2. Each different text gets a signature
 of BANDS * ROWS darts and a number for each band; a pair at the threshold misses every band with a probability of
-(1 - THRESHOLD^ROWS)^BANDS, 7e-5. 3. In each bucket, every text is compared with one leader, never with all others, and
-the comparison is exact, on whole texts. The leader is the text that meets most others over all its buckets. 4. Links become classes. In buckets that still hold several classes,
-texts are compared with MORE_LEADERS random ones of other classes, turn by turn, until a turn
-adds under LEAST_GAIN of the links; these turns only save work. 5. The rest is exact: of every two texts of different classes
-in a bucket, the comparison follows unless their sizes or sketches (bounds, not estimates) rule it out. Where many remain, each
-text is compared with FEW others in a turn and pairs that links have joined meanwhile are left out, until none remains.
+(1 - THRESHOLD^ROWS)^BANDS, 7e-5. Buckets that hold the same texts are one bucket. 3. In each bucket, every text is compared
+with one leader, never with all others, and the comparison is exact, on whole texts. The leader is the text that meets most
+others over all its buckets. Links become classes. Among the texts outside a bucket's largest class this is repeated with
+other leaders, as long as WORTH of a turn's comparisons are links; these turns only save work. 4. The rest is exact: every two
+texts of different classes in a bucket are compared, unless their sizes or sketches (bounds, not estimates) rule it out. The
+bounds are tested between the texts outside a bucket's largest class and the bucket, in squares of BLOCK rows a side, and few
+pairs that are no links pass them. Where many remain, each text is compared with FEW others in a turn and pairs that links
+have joined meanwhile are left out, until none remains.
 
 Links, classes and signatures stay distributed. Buckets and hot texts are joined, so that Spark may split them.
 
 Edge cases: a null text is an empty one; texts without words form one class per distinct text. Fewer than SHINGLE words are one
 run. Repeated rows and repeated or null doc_ids get the class of their text; a class is named by its smallest doc_id (null if
-all are null). An empty table gives an empty result. Only the named columns are read; `deduplicate` keeps all columns of its
-input, whose names must not begin with an underscore.
+all are null). An empty table gives an empty result. Only the named columns are read, so others cannot clash; `deduplicate`
+keeps all columns of its input, whatever their names. Of rows with equal key and text it keeps one.
 """
 
 from __future__ import annotations
 
-import gc
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import cut, table, text_of, work_path
+from leafloom.llm.common import cut, discard, free_names, table, text_of, work_path
 from leafloom.llm.dartminhash import Darts, bands, jaccard, shingles
 
 SHINGLE, THRESHOLD, ROWS, BANDS = 5, 0.8, 7, 40
-#: Texts of a bucket with which every other one is compared in each turn after the first.
-MORE_LEADERS = 2
-#: Turns of leaders go on while one adds this share of the links that there are. All pairs that are left then are settled one by one.
-LEAST_GAIN = 0.001
-#: Texts whose darts are thrown together, at most, and their bytes.
-TOGETHER, TOGETHER_BYTES = 64, 1 << 19
+#: Turns of leaders go on while this share of a turn's comparisons are links. The rest is settled pair by pair.
+WORTH = 0.05
+#: Texts whose darts are thrown together, at most, and their bytes; digests that a worker remembers as signed.
+TOGETHER, TOGETHER_BYTES, REMEMBERED = 64, 1 << 19, 1 << 16
 #: Shingle sets that a worker keeps while it compares.
 KEPT_SETS = 256
-#: Sketches: longs of SLOTS bits for runs that occur, and as many for those that occur twice.
-SLOTS, WIDTH = 512, 16
+#: Sketches of texts of up to 2^LEVEL - 1 runs have 2^(LEVEL + 1) slots, which fill WIDTH longs; those of longer ones grow with the text.
+LEVEL, WIDTH = 8, 16
 #: Rows of a bucket that meet each other in one group; larger buckets are cut into squares of this side.
 BLOCK = 2048
 #: Pairs of a text that are compared in a turn of the rest, if there are more than that for each text; else all are.
@@ -54,10 +53,10 @@ FEW = 4
 def signed(texts: DataFrame, threshold_rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
     """(key, digest, text) to (key, digest, bands): the bands' numbers, null for texts without words.
 
-    A text that a task has met before gets null."""
+    A text that a worker remembers gets null: copies are signed once for each task, or seldom more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        darts, met = Darts(threshold_rows * n_bands), set()
+        darts, met = Darts(threshold_rows * n_bands), OrderedDict()
 
         def flush(group: list[tuple[int, bytes]], out: list) -> None:
             ids, weights, of = shingles([t for _, t in group], SHINGLE)
@@ -72,8 +71,11 @@ def signed(texts: DataFrame, threshold_rows: int = ROWS, n_bands: int = BANDS) -
             group, size = [], 0
             for i, (digest, text) in enumerate(zip(b.column("digest").to_pylist(), b.column("text"), strict=True)):
                 if digest in met:
+                    met.move_to_end(digest)
                     continue
-                met.add(digest)
+                met[digest] = None
+                if len(met) > REMEMBERED:
+                    met.popitem(last=False)
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 group.append((i, raw))
                 size += len(raw)
@@ -109,49 +111,65 @@ def compared(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def sketched(texts: DataFrame) -> DataFrame:
-    """(node, text) to (node, size, over, sketch): the number of runs, how many of them the sketch does not show, and the sketch.
+def sketched(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, text) to (node, level, own, size, over, sketch): the number of runs, how many of them the sketch does not show, and the sketch.
 
-    Runs fall into SLOTS by hash; the first half of the bits tells which slots hold a run, the second which hold two. Two texts
-    share no more runs than their sketches share bits, plus the lesser `over`."""
+    Runs fall into 2^(level + 1) slots by hash; the first half of the sketch's bits tells which slots hold a run, the second which
+    hold two. Two texts share no more runs than their sketches of one level share bits, plus the lesser `over`. A text has a row
+    for its own level and, where its near copies may have the next one, a row for that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, over, bits = [], [], []
-            for text in b.column("text"):
+            rows: list[tuple] = []
+            for node, text in zip(b.column("node").to_pylist(), b.column("text"), strict=True):
                 ids, counts, _ = shingles([text.as_buffer().to_pybytes()], SHINGLE)
-                held = np.bincount((ids % np.uint64(SLOTS)).astype(np.int64), counts, SLOTS)
-                size.append(int(counts.sum()))
-                over.append(int(np.maximum(held - 2, 0).sum()))
-                bits.append(np.packbits(np.concatenate([held >= 1, held >= 2])).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(size, pa.int64()), pa.array(over, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["node", "size", "over", "sketch"])
+                size = int(counts.sum())
+                own = max(LEVEL, size.bit_length())
+                for level in (own, own + 1) if size >= threshold * (1 << own) else (own,):
+                    slots = 2 << level
+                    held = np.bincount((ids % np.uint64(slots)).astype(np.int64), counts, slots)
+                    rows.append((node, level, level == own, size, int(np.maximum(held - 2, 0).sum()), np.packbits(np.concatenate([held >= 1, held >= 2])).view(np.int64)))
+            kinds = pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["node", "level", "own", "size", "over", "sketch"])
 
-    flat = texts.mapInArrow(run, "node long, size long, over long, sketch array<long>")
-    return flat.select("node", "size", "over", *(F.col("sketch")[i].alias(f"s{i}") for i in range(WIDTH)))
+    return texts.mapInArrow(run, "node long, level int, own boolean, size long, over long, sketch array<long>")
 
 
-def remaining(shared: DataFrame, at: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+def classed(shared: DataFrame, at: DataFrame) -> DataFrame:
+    """Rows of buckets (bucket, node, weight) that hold several classes, with class, main (the bucket's largest class), n and others
+    (the bucket's rows, and those outside main). at: classes (v, class)."""
+    rows = shared.join(at, shared["node"] == at["v"], "left").select("bucket", "node", "weight", F.coalesce("class", "node").alias("class"))
+    counts = rows.groupBy("bucket", "class").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "class")).alias("m"))
+    mixed = counts.select("bucket", "n", (F.col("n") - F.col("m.c")).alias("others"), F.col("m.class").alias("main")).where("others > 0")
+    return rows.join(mixed, "bucket")
+
+
+def remaining(rows: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     """All (a, b), a < b, that meet in a bucket, are of different classes and may be near copies by their sizes and sketches.
 
-    shared: (bucket, node). at: classes (v, class). held: texts (node, text). A bucket's rows meet in squares of BLOCK x BLOCK, so
-    that no task gets a large bucket whole."""
-    rows = shared.join(at, shared["node"] == at["v"], "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
-    mixed = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low < high")
-    rows = cut(rows.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "bucket"))
-    met = rows.join(sketched(held.join(rows.select("node").distinct(), "node", "left_semi")), "node")
-    met = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    l, r = met.withColumn("other", every).alias("l"), met.withColumnRenamed("part", "other").withColumn("part", every).alias("r")
+    rows: see `classed`. held: texts (node, text). The rows outside the largest class meet the bucket's rows in squares of
+    BLOCK x BLOCK, so that no task gets a large bucket whole."""
+    met = rows.join(sketched(held.join(rows.select("node").distinct(), "node", "left_semi"), threshold), "node")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK) - 1).cast("int")))
     c = lambda side, name: F.col(f"{side}.{name}")
-    total = c("l", "size") + c("r", "size")
-    common = F.least(c("l", "over"), c("r", "over"))
-    for i in range(WIDTH):
-        common = common + F.bit_count(c("l", f"s{i}").bitwiseAND(c("r", f"s{i}")))
-    least = total * F.lit(threshold / (1 + threshold) - 1e-9)  # of common runs
-    cell = (c("l", "bucket") == c("r", "bucket")) & (c("l", "part") == c("r", "part")) & (c("l", "other") == c("r", "other"))
-    pair = (c("l", "node") < c("r", "node")) & (c("l", "class") != c("r", "class"))
-    both = l.join(r, cell & pair & (F.least(c("l", "size"), c("r", "size")) >= least) & (common >= least))
-    return both.select(c("l", "node").alias("a"), c("r", "node").alias("b")).distinct()
+    least = (c("l", "size") + c("r", "size")) * F.lit(threshold / (1 + threshold) - 1e-9)  # of common runs
+    sizes = F.least(c("l", "size"), c("r", "size")) >= least
+    # the largest class is on the right alone; of two rows outside it, each stands on both sides
+    pair = (c("l", "class") != c("r", "class")) & (c("l", "own") | c("r", "own")) & ((c("r", "class") == c("r", "main")) | (c("l", "node") < c("r", "node")))
+    cell = [c("l", k) == c("r", k) for k in ("bucket", "level", "part", "other")]
+
+    def joined(some: DataFrame, common: Column) -> DataFrame:
+        l = some.where("class <> main").withColumn("part", deal("others")).withColumn("other", every("n")).alias("l")
+        r = some.withColumn("other", deal("n")).withColumn("part", every("others")).alias("r")
+        both = l.join(r, cell[0] & cell[1] & cell[2] & cell[3] & pair & sizes & (F.least(c("l", "over"), c("r", "over")) + common >= least))
+        return both.select(F.least(c("l", "node"), c("r", "node")).alias("a"), F.greatest(c("l", "node"), c("r", "node")).alias("b"))
+
+    short = met.where(F.col("level") == LEVEL).select("*", *(F.col("sketch")[i].alias(f"s{i}") for i in range(WIDTH))).drop("sketch")
+    columns = sum((F.bit_count(c("l", f"s{i}").bitwiseAND(c("r", f"s{i}"))) for i in range(WIDTH)), F.lit(0))
+    shared = F.zip_with(c("l", "sketch"), c("r", "sketch"), lambda x, y: F.bit_count(x.bitwiseAND(y)))
+    long = F.aggregate(shared, F.lit(0), lambda total, n: total + n)
+    return joined(short, columns).union(joined(met.where(F.col("level") > LEVEL), long)).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -172,26 +190,12 @@ def components(links: DataFrame) -> DataFrame:
             return at
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what has been cut off; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def candidates(shared: DataFrame, at: DataFrame | None, turn: int, leaders: int) -> DataFrame:
-    """From rows of buckets (bucket, node, weight): each node of another class with each of its bucket's leaders of this turn, as
-    (a, b) with a < b. First the heaviest node leads, in later turns chance does.
-
-    at: classes found so far (v, class)."""
-    if at is not None:
-        shared = shared.join(at, shared["node"] == at["v"], "left").select("bucket", "node", "weight", F.coalesce("class", "node").alias("class"))
-    else:
-        shared = shared.select("bucket", "node", "weight", F.col("node").alias("class"))
-    order = [F.xxhash64("node", F.lit(turn * MORE_LEADERS + i)) for i in range(leaders)] if turn else [-F.col("weight")]
-    least = [F.min(F.struct(o.alias("order"), F.col("node").alias("node"), F.col("class").alias("class"))).alias(f"l{i}") for i, o in enumerate(order)]
-    heads = shared.groupBy("bucket").agg(*least, F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    lead = heads.select("bucket", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"l{i}.node").alias("head"), F.col(f"l{i}.class").alias("head_class")) for i in range(len(order)))))).alias("l"))
-    met = shared.join(lead.select("bucket", "l.*"), "bucket").where("class <> head_class")
+def candidates(rows: DataFrame, turn: int) -> DataFrame:
+    """From rows of buckets (bucket, node, weight, and class from the second turn on): each node with its bucket's leader, where they
+    are of different classes, as (a, b) with a < b. In the first two turns the heaviest node leads, later chance decides."""
+    order = F.struct((-F.col("weight") if turn < 2 else F.xxhash64("node", "bucket", F.lit(turn))).alias("order"), "node", *(["class"] if turn else []))
+    lead = rows.groupBy("bucket").agg(F.min(order).alias("l")).select("bucket", F.col("l.node").alias("head"), *([F.col("l.class").alias("head_class")] if turn else []))
+    met = rows.join(lead, "bucket").where("class <> head_class" if turn else "node <> head")
     return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
@@ -202,59 +206,56 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     docs = docs.withColumn("digest", F.unhex(F.md5(F.encode("text", "UTF-8"))))
     texts = docs.select("key", "digest").groupBy("digest").agg(F.min("key").alias("first"))
     nodes = cut(texts.select("digest", "first", F.monotonically_increasing_id().alias("node")))
-    # a task skips texts that it has met, so that of a text's rows some have bands; equal ones meet in the same buckets
-    numbers = signed(docs).where(F.col("bands").isNotNull()).select(F.col("digest").alias("d"), "bands")
+    numbers = signed(docs).where(F.col("bands").isNotNull()).groupBy(F.col("digest").alias("d")).agg(F.first("bands").alias("bands"))
     rows = numbers.join(nodes, F.col("d") == F.col("digest")).select("node", F.explode("bands").alias("bucket"))
-    several = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
-    shared = cut(rows.join(several, "bucket").select("bucket", "node", "n"))
+    alike = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in range(2)]  # equal for buckets of the same texts
+    several = rows.groupBy("bucket").agg(F.count("*").alias("n"), *alike).where("n > 1").groupBy("n", "x0", "x1").agg(F.min("bucket").alias("bucket"))
+    shared = cut(rows.join(several.select("bucket", "n"), "bucket").select("bucket", "node", "n"))
     # what a text was copied from meets more of the copies than they meet each other
     weights = shared.groupBy(F.col("node").alias("v")).agg(F.sum("n").alias("weight"))
     shared = shared.join(weights, shared["node"] == weights["v"]).select("bucket", "node", "weight")
-    released(spark)
     path = work_path(spark, "texts")
     need = shared.select("node").distinct().join(nodes, "node")
-    of = need.join(docs.withColumnsRenamed({"digest": "d"}), (F.col("d") == F.col("digest")) & F.col("key").eqNullSafe(F.col("first")))
-    of.select("node", "text").write.option("compression", "zstd").parquet(path)
+    # one row a digest: the limit of one also holds before the exchange
+    one = docs.select(F.col("digest").alias("d"), "text").withColumn("turn", F.row_number().over(Window.partitionBy("d").orderBy("d"))).where("turn = 1")
+    need.join(one, F.col("d") == F.col("digest")).select("node", "text").write.option("compression", "zstd").parquet(path)
     held = spark.read.parquet(path)
-    released(spark)
-    at, tested, more, turn, n_links = None, None, None, 0, 0
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return cut(compared(pairs.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b").select("a", "b", "ta", "tb"), threshold))
+
+    def joined(found: DataFrame) -> DataFrame:
+        # the classes so far are stars, which new links join
+        return components(at.where("v <> class").select(F.col("v").alias("a"), F.col("class").alias("b")).union(found))
+
+    tested = cut(candidates(shared, 0))
+    at = components(links(tested))
+    turn = 1
     while True:
-        pairs = candidates(shared, at, turn, MORE_LEADERS)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        whole = pairs.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        found = cut(compared(whole, threshold))
-        released(spark)
-        tested = pairs if tested is None else tested.union(pairs)
-        n_new = found.count()
-        n_links += n_new
-        if turn:
-            more = found if more is None else more.union(found)
-            if n_new <= LEAST_GAIN * n_links:
-                break
-        else:
-            at = components(found)
+        rows = cut(classed(shared, at))
+        pairs = cut(candidates(rows.where("class <> main"), turn).join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(pairs)
+        found = links(pairs)
+        if n_new := found.count():
+            at = joined(found)
+        if n_new <= WORTH * pairs.count():
+            break
         turn += 1
-    joined = lambda links: components(at.where("v <> class").select(F.col("v").alias("a"), F.col("class").alias("b")).union(links))
-    # the classes so far are stars, which the links of later turns join
-    at = joined(more)
-    left = cut(remaining(shared, at, held, threshold).join(tested, ["a", "b"], "left_anti"))
-    released(spark)
+    if n_new:
+        rows = cut(classed(shared, at))
+    left = cut(remaining(rows, held, threshold).join(tested, ["a", "b"], "left_anti"))
     few = FEW * held.count()
     while n_left := left.count():
         pairs = left
         if n_left > few:  # by chance, the same for all turns
             pairs = left.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))).where(F.col("n") <= FEW).select("a", "b")
-        whole = pairs.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        found = cut(compared(whole, threshold))
-        at = joined(found)
+        at = joined(links(pairs))
         if n_left <= few:
             break
         ends = [at.toDF(end, f"class_{end}") for end in "ab"]
         rest = left.join(pairs, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
         left = cut(rest.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b"))
-        released(spark)
+    discard(spark, path)
     named = nodes.join(at, nodes["node"] == at["v"], "left").select("digest", "first", F.coalesce("class", "node").alias("class"))
     # the smallest key of the class, and the digest that has it
     heads = named.groupBy("class").agg(F.min(F.struct(F.col("first").isNull(), "first", "digest")).alias("h")).select("class", F.col("h.first").alias("class_id"), F.col("h.digest").alias("head"))
@@ -265,11 +266,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, one of each class of near copies: that with the smallest key."""
-    kept = classes(docs, key, text, threshold).where("keep").select(F.col(key).cast("long").alias("_key"), F.col("digest").alias("_digest")).distinct()
-    mine = docs.withColumn("_d", F.unhex(F.md5(F.encode(text_of(text), "UTF-8"))))
-    joined = mine.join(kept, F.col(key).cast("long").eqNullSafe(F.col("_key")) & (F.col("_d") == F.col("_digest")))
-    first = F.row_number().over(Window.partitionBy("_key", "_digest").orderBy("_digest"))  # rows that are repeated in full
-    return joined.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    mine, kept_id, turn = free_names(docs, "mine", "kept", "turn")
+    name = lambda k, digest: F.unhex(F.md5(F.concat_ws(":", F.coalesce(k.cast("long").cast("string"), F.lit("null")), F.hex(digest))))
+    kept = classes(docs, key, text, threshold).where("keep").select(name(F.col(key), F.col("digest")).alias(kept_id)).distinct()
+    rows = docs.withColumn(mine, name(F.col(key), F.unhex(F.md5(F.encode(text_of(text), "UTF-8")))))
+    # rows of equal key and text: the limit of one also holds before the exchange
+    one = rows.withColumn(turn, F.row_number().over(Window.partitionBy(mine).orderBy(mine))).where(F.col(turn) == 1)
+    return one.join(kept, F.col(mine) == F.col(kept_id), "left_semi").select(*docs.columns)
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
