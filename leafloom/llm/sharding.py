@@ -1,43 +1,61 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced together.
 
-Equal texts form a group. Groups are gathered by hash into PARCELS parcels a shard, so that what the driver packs has a
-fixed size; a group that alone outweighs a parcel in any dimension (there are at most three times as many of those as
-parcels) stands by itself, and one that outweighs half a shard is split by doc_id into pieces of a sixteenth of a shard.
-The units are packed in falling order of their largest share: each goes to the shard where the dot product of its demand
-with the shard's residual capacity is highest. Slots come from counts: rows are dealt to small blocks, offsets of blocks
-are summed, and rows are numbered only within a block.
+Equal texts form a group. Groups are packed in falling order of their largest share: each goes to the shard where the dot
+product of its demand with the shard's residual capacity is highest. Groups that hold over 1 / PARCELS of a shard in any
+dimension (there are at most three times SHARDS * PARCELS of them) are packed first, by the driver; one that outweighs half a
+shard is split by doc_id into pieces of a sixteenth of a shard. All other groups are dealt by hash to parcels of PARCEL_GROUPS, and each
+parcel is packed by a task of its own, group by group, into its part of the capacity that is left. Every parcel is balanced,
+therefore their sum is. Slots come from counts: rows are dealt to small blocks, offsets of blocks are summed, and rows are
+numbered only within a block.
 
 Edge cases: a null text has the size 1, the checksum of the empty text, and belongs to the group of empty texts. Rows with
-null or repeated doc_ids are placed like others, each with a slot of its own. An empty table gives an empty result. Other
-columns of the input are not read and cannot clash.
+null or repeated doc_ids are placed like others, each with a slot of its own; rows alike in doc_id and text are numbered
+in one block. An empty table gives an empty result. Other columns of the input are not read and cannot clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafloom.llm.common import cut, table, text_of
 
 SHARDS = 16
-PARCELS = 256
+#: Groups of over a shard's PARCELS-th part are packed by the driver; the others in parcels of about this many groups.
+PARCELS, PARCEL_GROUPS = 256, 8192
+#: Rows of a block in which slots are numbered.
+BLOCK_ROWS = 4096
 DIMENSIONS = ("size", "tokens", "rows")
 #: What each dimension counts for in the dot product: bytes come first, as the law `bytes` promises near equal sizes.
 WEIGHTS = (8.0, 1.0, 1.0)
 
 
-def pack(demands: np.ndarray, shards: int) -> np.ndarray:
+def pack(demands: np.ndarray, shards: int, fair: np.ndarray | None = None, capacity: np.ndarray | None = None, first: int = 0) -> np.ndarray:
     """The shard of each row of `demands` (units x dimensions), by the highest dot product with residual capacity.
 
-    Both are measured in shares of a shard's fair part, and weighted by WEIGHTS. Ties go to the lowest shard."""
-    total = np.maximum(demands.sum(axis=0), 1)
-    share = demands / (total / shards)
-    residual, out = np.ones((shards, demands.shape[1])), np.zeros(len(demands), dtype=int)
-    for i in np.lexsort((np.arange(len(share)), -share.max(axis=1, initial=0))):
-        out[i] = int(np.argmax(residual @ (share[i] * WEIGHTS[: share.shape[1]])))
-        residual[out[i]] -= share[i]
-    return out
+    fair: a shard's fair part in each dimension, by default of the units; demands are measured in shares of it and weighted by
+    WEIGHTS. capacity: of each shard and dimension in such shares, by default 1. Ties go to the lowest shard from `first` on."""
+    share = demands / (np.maximum(demands.sum(axis=0), 1) / shards if fair is None else fair)
+    residual = np.roll(np.ones((shards, demands.shape[1])) if capacity is None else capacity, -first, axis=0)
+    out, weighted = np.zeros(len(demands), dtype=int), share * np.array(WEIGHTS[: demands.shape[1]])
+    for i in np.lexsort((np.arange(len(share)), -share.max(axis=1, initial=0))).tolist():
+        out[i] = at = int((residual @ weighted[i]).argmax())
+        residual[at] -= share[i]
+    return (out + first) % shards
+
+
+def packing(shards: int, capacity: np.ndarray):
+    """Of a parcel's groups (group, size, tokens, rows) the shard of each."""
+
+    def run(parcel: pa.Table) -> pa.Table:
+        ordered = parcel.sort_by("group")  # ties do not depend on how rows arrive
+        demands = np.column_stack([ordered.column(d).to_numpy().astype(float) for d in DIMENSIONS])
+        found = pack(demands, shards, None, capacity, int(parcel.column("parcel")[0].as_py() * 7 % shards))
+        return pa.table({"group": ordered.column("group"), "shard": pa.array(found, pa.int32())})
+
+    return run
 
 
 def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -49,30 +67,35 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
             F.lit(1).cast("long").alias("rows"), F.crc32(F.encode(t, "UTF-8")).alias("crc"), F.unhex(F.md5(F.encode(t, "UTF-8"))).alias("group"),
         )
     )
-    total = rows.agg(*(F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DIMENSIONS)).first()
-    parcels = shards * PARCELS
-    parcel = F.pmod(F.xxhash64("group"), F.lit(parcels)).cast("int")
-    fair = {d: max(total[d], 1) / shards for d in DIMENSIONS}
-    weight = F.greatest(*(F.col(d) / F.lit(fair[d]) for d in DIMENSIONS))  # in shares of a shard
-    sums = rows.groupBy("group").agg(*(F.sum(d).alias(d) for d in DIMENSIONS))
-    # at most 3 * parcels rows: each holds over 1/parcels of the bytes, the tokens or the rows
-    alone = sums.where(weight > 1 / PARCELS).select("group", F.when(weight > 0.5, F.ceil(weight * 16)).otherwise(1).cast("int").alias("pieces"))
-    unit = F.when(F.col("pieces").isNull(), F.struct(parcel.alias("parcel"), F.lit(None).cast("binary").alias("group"), F.lit(0).alias("piece"))).otherwise(
-        F.struct(F.lit(-1).alias("parcel"), F.col("group"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("pieces")).cast("int").alias("piece"))
-    )
-    placed = cut(rows.join(F.broadcast(alone), "group", "left").select("key", *DIMENSIONS, "crc", F.xxhash64("key", F.lit(2)).alias("deal"), unit.alias("unit")))
-    units = placed.groupBy("unit").agg(*(F.sum(d).alias(d) for d in DIMENSIONS)).orderBy("unit.parcel", "unit.group", "unit.piece").collect()  # a fixed number of units
-    where = pack(np.array([[u[d] for d in DIMENSIONS] for u in units], dtype=float).reshape(-1, len(DIMENSIONS)), shards)
-    a_block = min(4096, max(16, total["rows"] // parcels))
-    plan = spark.createDataFrame([(u["unit"]["parcel"], u["unit"]["group"], u["unit"]["piece"], int(s), -(-u["rows"] // a_block)) for u, s in zip(units, where, strict=True)], "parcel int, group binary, piece int, shard int, blocks long")
-    plan = plan.select(F.struct("parcel", "group", "piece").alias("unit"), "shard", "blocks", F.monotonically_increasing_id().alias("n"))
-    dealt = placed.join(F.broadcast(plan), placed["unit"].eqNullSafe(plan["unit"])).select("key", "size", "tokens", "crc", "shard", "n", F.pmod("deal", "blocks").alias("block"))
-    counts = dealt.groupBy("shard", "n", "block").agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.partitionBy("shard").orderBy("n", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")
-    offsets = counts.select("n", "block", before.alias("before"))
-    at = F.row_number().over(Window.partitionBy("n", "block").orderBy("key", "crc")) - 1
-    numbered = dealt.withColumn("at", at).join(offsets, ["n", "block"])
-    return numbered.select(F.col("key").alias(key), "size", "tokens", F.col("crc").alias("text_crc32"), F.col("shard"), (F.col("before") + F.col("at")).cast("long").alias("slot"))
+    groups = cut(rows.groupBy("group").agg(*(F.sum(d).alias(d) for d in DIMENSIONS)))
+    total = groups.agg(*(F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DIMENSIONS), F.count("*").alias("groups")).first()
+    fair = np.array([max(total[d], 1) / shards for d in DIMENSIONS])
+    weight = F.greatest(*(F.col(d) / F.lit(float(f)) for d, f in zip(DIMENSIONS, fair, strict=True)))  # in shares of a shard
+    # at most 3 * shards * PARCELS groups: each holds over 1 / (shards * PARCELS) of the bytes, the tokens or the rows
+    heavy = groups.where(weight > 1 / PARCELS).select("group", F.when(weight > 0.5, F.ceil(weight * 16)).otherwise(1).cast("int").alias("pieces"))
+    piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("key", F.lit(1)), F.col("pieces")).cast("int"))
+    marked = rows.join(F.broadcast(heavy), "group", "left").withColumn("piece", piece).drop("pieces")
+    units = marked.where("piece IS NOT NULL").groupBy("group", "piece").agg(*(F.sum(d).alias(d) for d in DIMENSIONS)).orderBy("group", "piece").collect()
+    demands = np.array([[u[d] for d in DIMENSIONS] for u in units], dtype=float).reshape(-1, len(DIMENSIONS))
+    where = pack(demands, shards, fair)
+    load = np.zeros((shards, len(DIMENSIONS)))
+    np.add.at(load, where, demands)
+    left = np.maximum(fair - load, 1e-6)  # where the parcels' groups go, shard by shard
+    capacity = left / left.mean(axis=0)
+    placed = spark.createDataFrame([(u["group"], u["piece"], int(s)) for u, s in zip(units, where, strict=True)], "group binary, piece int, shard int")
+    n_parcels = max(1, -(-total["groups"] // PARCEL_GROUPS))
+    light = groups.where(weight <= 1 / PARCELS).withColumn("parcel", F.pmod(F.xxhash64("group"), F.lit(n_parcels)))
+    packed = light.groupBy("parcel").applyInArrow(packing(shards, capacity), "group binary, shard int")
+    known = marked.where("piece IS NOT NULL").join(F.broadcast(placed), ["group", "piece"])
+    others = marked.where("piece IS NULL").join(packed, "group")
+    blocks = max(1, total["rows"] // (shards * BLOCK_ROWS))
+    both = known.select(*(columns := ["key", "size", "tokens", "crc", "shard"])).union(others.select(*columns))
+    dealt = cut(both.withColumn("block", F.pmod(F.xxhash64("key", "crc", F.lit(2)), F.lit(blocks))))
+    counts = dealt.groupBy("shard", "block").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")
+    at = F.row_number().over(Window.partitionBy("shard", "block").orderBy("key", "crc")) - 1
+    numbered = dealt.withColumn("at", at).join(counts.select("shard", "block", before.alias("before")), ["shard", "block"])
+    return numbered.select(F.col("key").alias(key), "size", "tokens", F.col("crc").alias("text_crc32"), "shard", (F.col("before") + F.col("at")).cast("long").alias("slot"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

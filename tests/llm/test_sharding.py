@@ -1,7 +1,9 @@
 import zlib
 
 import numpy as np
+import pytest
 
+from leafloom.llm import sharding
 from leafloom.llm.sharding import SHARDS, WEIGHTS, assign, op10_sharding, pack
 
 
@@ -30,6 +32,22 @@ def test_a_hot_group_is_split(spark, prose):
     assert sizes.max() / sizes.min() < 1.5
 
 
+@pytest.mark.parametrize("groups", [40, 8192])
+def test_groups_in_parcels(spark, prose, monkeypatch, groups):
+    """Groups of two to nine copies, in many parcels or in one: none is split, and all dimensions are balanced."""
+    monkeypatch.setattr(sharding, "PARCEL_GROUPS", groups)
+    texts = [(i * 10 + j, prose(i, 20 + i % 60)) for i in range(900) for j in range(2 + i % 8)]
+    rows = assign(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    check(rows, texts)
+    of = {}
+    for r in rows:
+        of.setdefault((r["doc_id"] // 10), set()).add(r["shard"])
+    assert all(len(v) == 1 for v in of.values())
+    for what in ("size", "tokens"):
+        sums = np.bincount([r["shard"] for r in rows], [r[what] for r in rows], SHARDS)
+        assert sums.max() / sums.min() < (1.05 if groups > 100 else 1.25)
+
+
 def test_odd_rows_and_empty_table(odd_docs, no_docs, spark, sf):
     check(assign(odd_docs).collect(), [(r["doc_id"], r["text"]) for r in odd_docs.collect()])
     assert assign(no_docs).count() == 0
