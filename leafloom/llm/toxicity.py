@@ -26,13 +26,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafloom.llm.common import table, text_of
 
 #: Labelled rows of each class that are used for training at most.
 TRAIN_ROWS = 4_000
+#: Bytes of texts of a class that training reads, at most. A text of over a 64th of that is no training text.
+TRAIN_BYTES = 16 << 20
 #: Folds by crc32 of the id as text; fold 0 is held out.
 FOLDS = 5
 WINDOW, QUOTED, AIMED = 5, 0.3, 1.5
@@ -237,17 +239,21 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -
     return c
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model from at most `rows` labelled rows of each class; docs (doc_id, text), labels (doc_id, toxic)."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Model:
+    """A model from at most `rows` labelled rows and `max_bytes` bytes of texts of each class; docs (doc_id, text), labels (doc_id, toxic)."""
     use = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     share = {r["toxic"]: r["n"] for r in use.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not share.get(0) or not share.get(1):
         p = min(1 - 1e-6, max(1e-6, share.get(1, 0) / max(1, sum(share.values()))))
         return Model(Lexicon(), [math.log(p / (1 - p)), 0.0, 0.0, 0.0, 0.0, 0.0])
     order = F.md5(F.col("doc_id").cast("string"))
-    sample = use.where("toxic = 1").orderBy(order, "doc_id").limit(rows).union(use.where("toxic = 0").orderBy(order, "doc_id").limit(rows))
-    got = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").collect()  # 2 * rows rows
-    got.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
+    sample = use.where("toxic = 1").orderBy(order, "doc_id").limit(rows).union(use.where("toxic = 0").orderBy(order, "doc_id").limit(rows)).distinct()
+    # a text for each label, up to the bound of bytes in the order of the sample; 2 * rows rows, so that a window may order them
+    fit = docs.select("doc_id", text_of().alias("text")).where(F.octet_length("text") <= max_bytes // 64)
+    one = fit.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    got = one.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).select("doc_id", "toxic", "text").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["toxic"]))
     toxic, other = ([r["text"] for r in got if r["toxic"] == k] for k in (1, 0))
     if not toxic or not other:
         return Model(Lexicon(), [math.log((share[1] + 0.5) / (share[0] + 0.5)), 0.0, 0.0, 0.0, 0.0, 0.0])
