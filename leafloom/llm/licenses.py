@@ -129,7 +129,7 @@ t AS (SELECT r, template, place FROM (
   SELECT r, template, place, row_number() OVER (PARTITION BY r, template ORDER BY idf DESC, place) AS k FROM (SELECT DISTINCT r, template, place, idf FROM a)) WHERE k <= {RARE}),
 s AS (
   SELECT a.r, a.template, any_value(label) AS label, any_value(base) AS base, start, sum(idf) AS got, any_value(mass) AS mass
-  FROM a LEFT JOIN t ON a.r = t.r AND a.template = t.template AND a.place = t.place WHERE start >= 0
+  FROM a LEFT JOIN t ON a.r = t.r AND a.template = t.template AND a.place = t.place
   GROUP BY a.r, a.template, start
   HAVING count(t.place) >= {AGREE} AND sum(key) = (SELECT sum(x.key) FROM x WHERE x.template = a.template)),
 m AS (SELECT r, count(*) FILTER (base = 1) AS n_base, min(start) FILTER (base = 1) AS first_word, max(start) FILTER (base = 1) AS last_word,
