@@ -75,7 +75,7 @@ class PageMicrodata:
             t = parse_html(html, base_url=base)
         except PageError:
             return
-        for r in microdata(t):
+        for r in microdata(t, [0]):
             yield r["item"], r["property"], r["value"], r["child"]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from leafloom.kernel.tree import Builder, Node, parse_tree
+from leafloom.kernel.urls import document_base
 from leafloom.limits import Limits
 
 URI = {"html": "http://www.w3.org/1999/xhtml", "svg": "http://www.w3.org/2000/svg", "math": "http://www.w3.org/1998/Math/MathML"}
@@ -11,15 +12,60 @@ URI = {"html": "http://www.w3.org/1999/xhtml", "svg": "http://www.w3.org/2000/sv
 class Tree:
     """Columns over nodes: type, ns, name, value, parent, end, attrs (list of (ns, name, value)); kids are found once."""
 
-    __slots__ = ("attrs", "base_url", "end", "is_fragment", "kids", "name", "ns", "parent", "type", "value")
+    __slots__ = ("_base", "_columns", "_ids", "attrs", "base_url", "doctype", "end", "is_fragment", "kids", "name", "ns", "parent", "type", "value")
 
     def __init__(self, types, ns, name, value, parent, end, attrs, is_fragment: bool = False, base_url: str | None = None):
         self.type, self.ns, self.name, self.value, self.parent, self.end, self.attrs = types, ns, name, value, parent, end, attrs
         self.is_fragment, self.base_url = is_fragment, base_url
+        self.doctype: tuple[str | None, str | None] = (None, None)
+        self._base: list | None = None
+        self._columns: dict | None = None
+        self._ids: dict[str, int] | None = None
         self.kids: list[list[int]] = [[] for _ in types]
         for i in range(1, len(types)):
             self.kids[parent[i]].append(i)
 
+    @property
+    def base(self) -> str | None:
+        """What references resolve against: the first HTML <base href>, resolved against the page's own URL; else that URL."""
+        if self._base is None:
+            self._base = [document_base(self, self.base_url)]
+        return self._base[0]
+
+    @property
+    def root(self) -> int | None:
+        """The html element; none in a fragment."""
+        return None if self.is_fragment else next((k for k in self.kids[0] if self.type[k] == "element"), None)
+
+    def by_id(self, name: str) -> int | None:
+        """The first element outside templates with exactly that id."""
+        if self._ids is None:
+            self._ids = {}
+            for k in self.visible(0):
+                if self.type[k] == "element" and (v := self.attr(k, "id")) is not None:
+                    self._ids.setdefault(v, k)
+        return self._ids.get(name) if name else None
+
+    def visible(self, i: int):
+        """Nodes below i that are in no template below it; of a template itself, none."""
+        if i and self.is_html(i, "template"):
+            return
+        k = i + 1
+        while k <= self.end[i]:
+            yield k
+            k = self.end[k] + 1 if self.is_html(k, "template") else k + 1
+
+    def reach(self, at: list[int | None]) -> list[int]:
+        """The nodes of `at` and what is visible below them, in document order."""
+        if at == [0]:
+            return [0, *self.visible(0)]
+        out: set[int] = set()
+        for i in at:
+            if i is not None and i not in out:
+                out.add(i)
+                out.update(self.visible(i))
+        return sorted(out)
+
     def is_html(self, i: int, *names: str) -> bool:
         return self.type[i] == "element" and self.ns[i] == "html" and (not names or self.name[i] in names)
 
@@ -43,6 +89,11 @@ class Tree:
 
     def columns(self) -> dict[str, list]:
         """The fields of NODE (see leafloom.schema), a list over nodes each."""
+        if self._columns is None:
+            self._columns = self._filled()
+        return self._columns
+
+    def _filled(self) -> dict[str, list]:
         n, inside = len(self.type), self.templates()
         none = lambda: [None] * n
         depth, first, next_sib, prev_sib, next_elem, prev_elem, pos, count, elems, texts = [0] * n, none(), none(), none(), none(), none(), none(), none(), [0] * n, [0] * n
@@ -78,7 +129,7 @@ class Tree:
 
     def rows(self) -> list[dict]:
         """The nodes as structs of NODE."""
-        c = self.columns()
+        c = dict(self.columns())
         c["attrs"] = [[{"ns": a, "name": b, "value": v} for a, b, v in x] for x in self.attrs]
         return [dict(zip(c, r, strict=True)) for r in zip(*c.values(), strict=True)]
 
@@ -108,7 +159,9 @@ def freeze(b: Builder) -> Tree:
         if node.children:
             todo.append((None, i))
             todo.extend((c, i) for c in reversed(node.children) if c.kind != "gap")
-    return Tree(types, ns, name, value, parent, end, attrs, b.context is not None)
+    t = Tree(types, ns, name, value, parent, end, attrs, b.context is not None)
+    t.doctype = b.public, b.system
+    return t
 
 
 def parse_html(text: str, limits: Limits | None = None, context: str | None = None, comments: bool = True, base_url: str | None = None) -> Tree:

@@ -563,7 +563,7 @@ def markdown(t: Tree, i: int, base_url: str | None = None) -> str | None:
     """Markdown of a document, fragment, element or text; None of other nodes."""
     if t.type[i] not in ("document", "fragment", "element", "text"):
         return None
-    w = Writer(t, document_base(t, base_url or t.base_url))
+    w = Writer(t, document_base(t, base_url) if base_url else t.base)
     w.node(i)
     w.flush()
     return "\n".join(render(w.blocks))

@@ -107,3 +107,33 @@ def _pretty(t: Tree, i: int, outer: bool) -> str:
         else:
             fresh = inline(k, depth, fresh)
     return "\n".join("  " * d + s.rstrip(" ") for d, s in lines if s.strip(" "))
+
+
+def dump(t: Tree, i: int = 0) -> str:
+    """The nodes below `i` (and `i` itself, unless it is the document), one a line, in the notation of the public tree-construction tests:
+    two spaces a level, attributes in order of their names below their element, a template's contents below `content`. The identifiers of a doctype are told where the page
+    has just been parsed."""
+    out: list[str] = []
+    todo = [(k, 0) for k in reversed(t.kids[0] if i == 0 else [i])]
+    while todo:
+        k, depth = todo.pop()
+        pad, kind = "| " + "  " * depth, t.type[k]
+        if kind == "element":
+            space = "" if t.ns[k] == "html" else f"{t.ns[k]} "
+            out.append(f"{pad}<{space}{t.name[k]}>")
+            out += sorted(f"{pad}  {ns + ' ' if ns else ''}{n}=\"{v}\"" for ns, n, v in t.attrs[k])
+            inner = depth + 1
+            if t.is_html(k, "template"):
+                out.append(f"{pad}  content")
+                inner += 1
+            todo.extend((c, inner) for c in reversed(t.kids[k]))
+        elif kind == "text":
+            out.append(f'{pad}"{t.value[k]}"')
+        elif kind == "comment":
+            out.append(f"{pad}<!-- {t.value[k]} -->")
+        elif kind == "processing_instruction":
+            out.append(f"{pad}<?{t.value[k]}?>")
+        else:
+            ids = f' "{t.doctype[0] or ""}" "{t.doctype[1] or ""}"' if any(x is not None for x in t.doctype) else ""
+            out.append(f"{pad}<!DOCTYPE {t.name[k]}{ids}>")
+    return "\n".join(out)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 
 from leafloom.kernel.flat import Tree
 from leafloom.kernel.text import clean, text
-from leafloom.kernel.urls import document_base, resolve
+from leafloom.kernel.urls import resolve
 
 WS = " \t\n\r\f"
 
@@ -20,14 +21,6 @@ def tokens(s: str | None) -> list[str]:
     return [x for x in re.split(r"[ \t\n\r\f]+", s or "") if x]
 
 
-def visible(t: Tree, i: int):
-    """Nodes below i that are not in a template."""
-    k = i + 1
-    while k <= t.end[i]:
-        yield k
-        k = t.end[k] + 1 if t.is_html(k, "template") else k + 1
-
-
 # -- lists ---------------------------------------------------------------------------------------------------------------
 
 
@@ -64,44 +57,46 @@ def list_rows(t: Tree, node: int) -> list[dict]:
 INPUTS = frozenset("hidden text search tel url email password date month week time datetime-local number range color checkbox radio file submit image reset button".split())
 
 
-def forms(t: Tree) -> list[dict]:
-    """The page's forms with their fields: owner by form=, else the form around, else one that stands empty in a table before."""
-    mine = [k for k in visible(t, 0) if t.is_html(k, "form")]
-    controls = [k for k in visible(t, 0) if t.is_html(k, "input", "select", "textarea", "button")]
-    ids: dict[str, int] = {}
-    for k in visible(t, 0):
-        if t.type[k] == "element" and (v := t.attr(k, "id")) is not None:
-            ids.setdefault(v, k)
-    owner = {c: _owner(t, c, ids, mine) for c in controls}
-    base = document_base(t, t.base_url)
+def forms(t: Tree, at: list[int | None]) -> list[dict]:
+    """The forms among `at` and below, with their fields: owner by form=, else the form around, else one that stands empty in a
+    table before. Controls may stand anywhere in the page."""
+    page = [k for k in t.visible(0) if t.is_html(k, "form", "input", "select", "textarea", "button")]
+    mine: dict[int, list[int]] = {k: [] for k in page if t.name[k] == "form"}
+    last = None
+    for k in page:
+        if t.name[k] == "form":
+            last = k
+        elif (owner := _owner(t, k, last)) is not None:
+            mine[owner].append(k)
     out = []
-    for no, f in enumerate(mine, 1):
+    for f in (k for k in t.reach(at) if t.is_html(k, "form")):
         method = (t.attr(f, "method") or "get").lower()
         enctype = (t.attr(f, "enctype") or "").lower()
         out.append(
             {
-                "form": no, "node": f, "action": resolve(t.attr(f, "action") or "", base), "method": method if method in ("get", "post", "dialog") else "get",
+                "form": len(out) + 1, "node": f, "action": resolve(t.attr(f, "action") or "", t.base), "method": method if method in ("get", "post", "dialog") else "get",
                 "enctype": enctype if enctype in ("multipart/form-data", "text/plain") else "application/x-www-form-urlencoded", "id": t.attr(f, "id"), "name": t.attr(f, "name"),
-                "fields": [_field(t, c) for c in controls if owner[c] == f],
+                "fields": [_field(t, c) for c in mine.get(f, ())],
             }
         )
     return out
 
 
-def _owner(t: Tree, c: int, ids: dict[str, int], mine: list[int]) -> int | None:
+def _owner(t: Tree, c: int, f: int | None) -> int | None:
+    """The form that control `c` belongs to; `f` is the last form before it."""
     ref = t.attr(c, "form")
     if ref is not None:
-        k = ids.get(ref) if ref else None
+        k = t.by_id(ref)
         return k if k is not None and t.is_html(k, "form") else None
+    if f is None:
+        return None
     for a in t.ancestors(c):
         if t.is_html(a, "form"):
             return a
     # the parser leaves a form in a table empty; what follows in the table belongs to it, up to the next form
     table = next((a for a in t.ancestors(c) if t.is_html(a, "table")), None)
-    before = [f for f in mine if f < c]
-    if table is None or not before:
+    if table is None:
         return None
-    f = before[-1]
     inside = t.parent[f] >= 0 and t.is_html(t.parent[f], "table", "tbody", "thead", "tfoot", "tr") and t.end[f] == f
     own = next((a for a in t.ancestors(f) if t.is_html(a, "table")), None)
     return f if inside and own == table else None
@@ -140,7 +135,7 @@ def _display_size(size: str | None, multiple: bool) -> int:
 
 def _options(t: Tree, select: int, size: int, multiple: bool) -> list[dict]:
     out = []
-    for o in (k for k in visible(t, select) if t.is_html(k, "option")):
+    for o in (k for k in t.visible(select) if t.is_html(k, "option")):
         body = squeeze(text(t, o) or "")
         label, value = t.attr(o, "label"), t.attr(o, "value")
         group = next((a for a in t.ancestors(o) if t.is_html(a, "optgroup", "select")), None)
@@ -172,11 +167,11 @@ def _disabled(t: Tree, c: int) -> bool:
 
 
 def title(t: Tree) -> str | None:
-    return next((squeeze(text(t, k) or "") for k in visible(t, 0) if t.is_html(k, "title")), None)
+    return next((squeeze(text(t, k) or "") for k in t.visible(0) if t.is_html(k, "title")), None)
 
 
-def json_ld(t: Tree) -> list[str]:
-    return [text(t, k) or "" for k in visible(t, 0) if t.is_html(k, "script") and (t.attr(k, "type") or "").split(";")[0].strip(WS).lower() == "application/ld+json"]
+def json_ld(t: Tree, at: list[int | None]) -> list[str]:
+    return [text(t, k) or "" for k in t.reach(at) if t.is_html(k, "script") and (t.attr(k, "type") or "").split(";")[0].strip(WS).lower() == "application/ld+json"]
 
 
 def unwrap_json(s: str) -> str:
@@ -194,24 +189,34 @@ def parsed_json(s: str):
         return None
 
 
-_URL_ATTR = {"a": "href", "area": "href", "link": "href", "audio": "src", "embed": "src", "iframe": "src", "img": "src", "source": "src", "track": "src", "video": "src", "object": "data"}
-
-
-def microdata(t: Tree) -> list[dict]:
-    """A row for each property value: item (path), type tokens, item id, property, number, value, child item (path). Items without
-    properties give a row without one; a value that would lead back to its own item is null."""
-    base = document_base(t, t.base_url)
-    ids: dict[str, int] = {}
-    for k in visible(t, 0):
-        if t.type[k] == "element" and (v := t.attr(k, "id")) is not None:
-            ids.setdefault(v, k)
-    tops = [k for k in visible(t, 0) if t.type[k] == "element" and t.attr(k, "itemscope") is not None and t.attr(k, "itemprop") is None]
+# Fixed values of the HTML standard: elements whose property value is a URL, and the attribute that holds it.
+_URL_ATTR = {
+    "a": "href",
+    "area": "href",
+    "audio": "src",
+    "embed": "src",
+    "iframe": "src",
+    "img": "src",
+    "link": "href",
+    "object": "data",
+    "source": "src",
+    "track": "src",
+    "video": "src",
+}
+
+
+def microdata(t: Tree, at: list[int | None]) -> list[dict]:
+    """A row for each property value of the top-level items among `at` and below: item (path), type tokens, item id, property, number,
+    value, child item (path). Items without properties give a row without one; a value that would lead back to its own item is
+    null. An item has an id only if it has a type."""
+    tops = [k for k in t.reach(at) if t.type[k] == "element" and t.attr(k, "itemscope") is not None and t.attr(k, "itemprop") is None]
     out: list[dict] = []
-    todo = [(k, str(n), (k,)) for n, k in enumerate(tops, 1)]
+    todo = deque((k, str(n), (k,)) for n, k in enumerate(tops, 1))
     while todo:
-        item, path, above = todo.pop(0)
-        row = {"item": path, "type": tokens(t.attr(item, "itemtype")), "id": resolve(t.attr(item, "itemid"), base) if t.attr(item, "itemid") is not None else None}
-        props, count = _properties(t, item, ids), {}
+        item, path, above = todo.popleft()
+        kinds, own_id = list(dict.fromkeys(tokens(t.attr(item, "itemtype")))), t.attr(item, "itemid")
+        row = {"item": path, "type": kinds, "id": resolve(own_id, t.base) if kinds and own_id is not None else None}
+        props, count = _properties(t, item), {}
         if not props:
             out.append(row | {"property": None, "ord": None, "value": None, "child": None})
         for p in props:
@@ -223,15 +228,15 @@ def microdata(t: Tree) -> list[dict]:
                         child = f"{path}/{name}.{n}"
                         todo.append((p, child, (*above, p)))
                 else:
-                    value = _value(t, p, base)
+                    value = _value(t, p)
                 out.append(row | {"property": name, "ord": n, "value": value, "child": child})
     return out
 
 
-def _properties(t: Tree, item: int, ids: dict[str, int]) -> list[int]:
+def _properties(t: Tree, item: int) -> list[int]:
     """The HTML standard's algorithm: the item's children and what itemref names, not entering other items."""
     found, met = [], {item}
-    todo = [k for k in t.kids[item] if t.type[k] == "element"] + [ids[r] for r in tokens(t.attr(item, "itemref")) if r in ids]
+    todo = [k for k in t.kids[item] if t.type[k] == "element"] + [k for r in tokens(t.attr(item, "itemref")) if (k := t.by_id(r)) is not None]
     while todo:
         k = todo.pop()
         if k in met:
@@ -244,13 +249,13 @@ def _properties(t: Tree, item: int, ids: dict[str, int]) -> list[int]:
     return sorted(found)
 
 
-def _value(t: Tree, k: int, base: str | None) -> str:
-    name = t.name[k] if t.ns[k] == "html" else ""
+def _value(t: Tree, k: int) -> str:
+    name = t.name[k]
     if name == "meta":
         return t.attr(k, "content") or ""
     if name in _URL_ATTR:
         v = t.attr(k, _URL_ATTR[name])
-        return "" if v is None else resolve(v, base) or v
+        return "" if v is None else resolve(v, t.base) or ""
     if name in ("data", "meter"):
         return t.attr(k, "value") or ""
     if name == "time" and (v := t.attr(k, "datetime")) is not None:

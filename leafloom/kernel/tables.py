@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from leafloom.errors import InputError, LimitError, TableError
 from leafloom.kernel.flat import Tree
 from leafloom.kernel.text import clean
-from leafloom.kernel.urls import document_base, resolve
+from leafloom.kernel.urls import resolve
 
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 _NUMBER = re.compile(r"[ \t\n\r\f]*\+?(\d+)")
@@ -147,7 +147,7 @@ def table(t: Tree, node: int, header="auto", trim: bool = True, max_cells: int =
 def cells(t: Tree, node: int, trim: bool = True, absolute: bool = False, max_cells: int = 1_000_000) -> list[dict]:
     """A row for each cell: row and column from 1, spans, section, header, text, links outside nested tables."""
     g = grid(t, node, max_cells)
-    base = document_base(t, t.base_url) if absolute else None
+    base = t.base if absolute else None
     out = []
     for c in g.cells:
         links, k = [], c.node + 1

@@ -1,4 +1,7 @@
-"""Extraction: what pages hold, as rows. Rules that walk a page's tree run in Arrow batches over parsed pages; the rest is native."""
+"""Extraction: what pages hold, as rows. Rules that walk a page's tree run in Arrow batches; the rest is native.
+
+Every operator takes pages that are still to be parsed, or a set of their nodes, and then parses and reads each page in one pass; it
+takes parsed pages too. Extraction starts from nodes: links, tables and so on among the given nodes and below them."""
 
 from __future__ import annotations
 
@@ -11,21 +14,26 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from leafloom.errors import InputError
-from leafloom.functions.columns import raw_attr, resolve, squeeze
+from leafloom.functions.columns import raw_attr, resolve
 from leafloom.kernel import structure
 from leafloom.kernel.flat import Tree
 from leafloom.kernel.markdown import markdown as _markdown
 from leafloom.kernel.selectors import Matcher, parse_selector
+from leafloom.kernel.serialize import dump
 from leafloom.kernel.serialize import serialize as _serialize
 from leafloom.kernel.tables import cells, convert, outermost, table
-from leafloom.kernel.text import clean, strings as _strings
+from leafloom.kernel.text import clean
+from leafloom.kernel.text import strings as _strings
+from leafloom.kernel.text import text as _text
 from leafloom.limits import Limits
 from leafloom.operators import nodes as N
+from leafloom.operators.sets import Nodes, walk
+from leafloom.sources.pages import Gather, Pages
 
 KEY = N.KEY
-#: Rows that a worker gathers before it hands them on.
-BATCH_ROWS = 2_000
 _NEEDED = ("parent", "subtree_end", "type", "ns", "name", "value", "attrs")
+#: What operators take: parsed pages (a DataFrame), pages still to be parsed, or a set of nodes of these.
+Source = DataFrame | Pages | Nodes
 
 
 def trees(pages: pa.ListArray, fragments: list[bool], bases: list[str | None]) -> Iterator[Tree]:
@@ -44,68 +52,92 @@ def trees(pages: pa.ListArray, fragments: list[bool], bases: list[str | None]) -
         yield Tree(get("type"), get("ns"), get("name"), get("value"), [-1 if p is None else p for p in get("parent")], get("subtree_end"), [parts[ends[i] : ends[i + 1]] for i in range(a, b)], f, base)
 
 
-def over_pages(docs: DataFrame, fn: Callable[[Tree], Iterable[dict]], schema: str, key: str = KEY) -> DataFrame:
-    """The rows that `fn` yields for each page's tree, with the page's key. Pages with an error yield none."""
+def over_pages(docs: Source, fn: Callable[[Tree, list[int | None]], Iterable[tuple]], schema: str, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
+    """The page's key and the rows that `fn` yields for its tree and nodes: those of a set, else the document node. Pages with an error
+    yield none. schema: of the rows.
+
+    Pages that are to be parsed, and sets of their nodes, are parsed and read in one pass. at: of parsed pages, nodes (key, id) to
+    start from, which are gathered by page and joined to it; pages without any are left out."""
+    kinds = T._parse_datatype_string(schema)
+    if isinstance(docs, Nodes):
+        steps = docs.steps
+        return docs.pages.each(lambda t: fn(t, walk(steps, Matcher(t))), kinds)
+    if isinstance(docs, Pages):
+        return docs.each(lambda t: fn(t, [0]), kinds)
     kept = F.transform("nodes", lambda n: F.struct(*(n[c].alias(c) for c in _NEEDED)))
-    slim = docs.where("nodes IS NOT NULL").select(key, (F.col("type") == "fragment").alias("f"), F.coalesce("resolved_base", "base_url").alias("b"), kept.alias("n"))
-    out = T.StructType([docs.schema[key], *T._parse_datatype_string(schema).fields])
-    arrow = to_arrow_schema(out)
+    slim = docs.where("nodes IS NOT NULL").select(key, (F.col("type") == "fragment").alias("f"), F.col("base_url").alias("b"), kept.alias("n"))
+    if at is not None:
+        ids = at.where(F.col("id").isNotNull()).groupBy(F.col(key).alias("at_key")).agg(F.array_sort(F.collect_set("id")).alias("at"))
+        slim = slim.join(ids, F.col(key) == F.col("at_key")).drop("at_key")
+    out = T.StructType([docs.schema[key], *kinds.fields])
+    given = at is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
+        gather = Gather(out)
         for b in batches:
-            for k, t in zip(b.column(key).to_pylist(), trees(b.column("n"), b.column("f").to_pylist(), b.column("b").to_pylist()), strict=True):
-                rows += [{key: k} | r for r in fn(t)]
-                if len(rows) >= BATCH_ROWS:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            starts = b.column("at").to_pylist() if given else [[0]] * b.num_rows
+            for k, t, ids in zip(b.column(key).to_pylist(), trees(b.column("n"), b.column("f").to_pylist(), b.column("b").to_pylist()), starts, strict=True):
+                yield from gather.add((k,), fn(t, ids))
+        yield from gather.rest()
 
     return slim.mapInArrow(run, out)
 
 
-def values(docs: DataFrame, fn: Callable[[Tree, int], object], kind: str, css: str | None = None, key: str = KEY, into: str = "value") -> DataFrame:
-    """key, id and fn(tree, node) of the nodes that match `css`; of the document node without one."""
+def values(docs: Source, fn: Callable[[Tree, int], object], kind: str, css: str | None = None, key: str = KEY, into: str = "value", at: DataFrame | None = None) -> DataFrame:
+    """key, id and fn(tree, node) of the nodes that match `css` below the given ones; of the given ones without a selector, in their order, null
+    for a missing one."""
     selector = parse_selector(css) if css else None
 
-    def run(t: Tree) -> Iterable[dict]:
-        for i in Matcher(t).select(selector) if selector else [0]:
-            yield {"id": i, into: fn(t, i)}
+    def run(t: Tree, ids: list[int | None]) -> Iterable[tuple]:
+        if selector:
+            m = Matcher(t)
+            ids = m.select(selector) if ids == [0] else sorted({x for i in ids if i is not None for x in m.select(selector, i)})
+        for i in ids:
+            yield i, None if i is None else fn(t, i)
+
+    return over_pages(docs, run, f"id int, {into} {kind}", key, at)
+
 
-    return over_pages(docs, run, f"id int, {into} {kind}", key)
+def text(docs: Source, css: str | None = None, recursive: bool = True, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
+    """All text in each node, without separators."""
+    return values(docs, lambda t, i: _text(t, i, recursive), "string", css, key, "text", at)
 
 
-def text_clean(docs: DataFrame, css: str | None = None, trim: bool = True, nbsp: bool = True, key: str = KEY) -> DataFrame:
+def text_clean(docs: Source, css: str | None = None, trim: bool = True, nbsp: bool = True, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
     """Text as readers see it."""
     if not isinstance(trim, bool) or not isinstance(nbsp, bool):
         raise InputError("trim and nbsp must be true or false", "trim")
-    return values(docs, lambda t, i: clean(t, i, trim, nbsp), "string", css, key, "text")
+    return values(docs, lambda t, i: clean(t, i, trim, nbsp), "string", css, key, "text", at)
 
 
-def strings(docs: DataFrame, css: str | None = None, trim: bool = True, drop_empty: bool = True, key: str = KEY) -> DataFrame:
+def strings(docs: Source, css: str | None = None, trim: bool = True, drop_empty: bool = True, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
     """The pieces of text in each node."""
-    return values(docs, lambda t, i: _strings(t, i, trim, drop_empty), "array<string>", css, key, "strings")
+    return values(docs, lambda t, i: _strings(t, i, trim, drop_empty), "array<string>", css, key, "strings", at)
 
 
-def markdown(docs: DataFrame, css: str | None = None, key: str = KEY) -> DataFrame:
+def markdown(docs: Source, css: str | None = None, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
     """Markdown of each page or of the nodes that match."""
-    return values(docs, lambda t, i: _markdown(t, i), "string", css, key, "markdown")
+    return values(docs, lambda t, i: _markdown(t, i), "string", css, key, "markdown", at)
 
 
-def serialize(docs: DataFrame, css: str | None = None, outer: bool = True, pretty: bool = False, key: str = KEY) -> DataFrame:
+def serialize(docs: Source, css: str | None = None, outer: bool = True, pretty: bool = False, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
     """Markup of each page or of the nodes that match."""
-    return values(docs, lambda t, i: _serialize(t, i, outer, pretty), "string", css, key, "markup")
+    return values(docs, lambda t, i: _serialize(t, i, outer, pretty), "string", css, key, "markup", at)
+
+
+def tree_dump(docs: Source, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
+    """The tree below each page or node, a line a node, in the notation of the public tree-construction tests."""
+    return values(docs, dump, "string", None, key, "tree", at)
 
 
 # -- tables ----------------------------------------------------------------------------------------------------------------------
 
 
-def _tables(t: Tree, selector) -> list[int]:
-    return outermost(t, [i for i in Matcher(t).select(selector) if t.is_html(i, "table")])
+def _tables(t: Tree, selector, ids: list[int | None]) -> list[int]:
+    return outermost(t, [i for i in Matcher(t).including(selector, ids) if t.is_html(i, "table")])
 
 
-def tables(docs: DataFrame, css: str = "table", match: str | None = None, header="auto", trim: bool = True, na: tuple[str, ...] = (), convert_types: bool = False, decimal: str = ".", thousands: str | None = None, limits: Limits | None = None, key: str = KEY) -> DataFrame:
+def tables(docs: Source, css: str = "table", match: str | None = None, header="auto", trim: bool = True, na: tuple[str, ...] = (), convert_types: bool = False, decimal: str = ".", thousands: str | None = None, limits: Limits | None = None, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
     """Outermost tables in long form: table_no and row_no from 1, col_no, name, value, col_type. match: a regular expression on the
     table's text. A table whose cells overlap, or that has too many, gives one row with `error`."""
     import re
@@ -117,118 +149,151 @@ def tables(docs: DataFrame, css: str = "table", match: str | None = None, header
     convert(["1"], decimal, thousands)  # checks the marks
     selector, most, missing = parse_selector(css), (limits or Limits()).max_table_cells, frozenset(na)
 
-    def run(t: Tree) -> Iterable[dict]:
+    def run(t: Tree, ids: list[int | None]) -> Iterable[tuple]:
         no = 0
-        for i in _tables(t, selector):
+        for i in _tables(t, selector, ids):
             if want and not want.search(clean(t, i) or ""):
                 continue
             no += 1
             try:
                 names, body = table(t, i, header, trim, most)
             except ValueError as e:
-                yield {"table_no": no, "id": i, "error": str(e)}
+                yield (no, i, None, None, None, None, None, None, None, str(e))
                 continue
-            body = [[None if v in missing else v for v in row] for row in body]
-            columns = [convert([row[x] for row in body], decimal, thousands) if convert_types else ("character", [row[x] for row in body]) for x in range(len(names))]
+            if missing:
+                body = [[None if v in missing else v for v in row] for row in body]
+            columns = []
+            for x in range(len(names)):
+                column = [row[x] for row in body]
+                kind, v = convert(column, decimal, thousands) if convert_types else ("character", column)
+                numbers = [None if n is None else float(n) for n in v] if kind in ("integer", "double") else [None] * len(v)
+                columns.append((kind, column, numbers, v if kind == "logical" else [None] * len(v)))
             for r in range(len(body)):
-                for x, name in enumerate(names):
-                    kind, column = columns[x]
-                    v = column[r]
-                    yield {"table_no": no, "id": i, "row_no": r + 1, "col_no": x + 1, "name": name, "value": body[r][x], "col_type": kind, "number": float(v) if kind in ("integer", "double") and v is not None else None, "flag": v if kind == "logical" else None}
+                for x, (name, (kind, column, numbers, flags)) in enumerate(zip(names, columns, strict=True), 1):
+                    yield (no, i, r + 1, x, name, column[r], kind, numbers[r], flags[r], None)
 
-    return over_pages(docs, run, "table_no int, id int, row_no int, col_no int, name string, value string, col_type string, number double, flag boolean, error string", key)
+    return over_pages(docs, run, "table_no int, id int, row_no int, col_no int, name string, value string, col_type string, number double, flag boolean, error string", key, at)
 
 
-def table_cells(docs: DataFrame, css: str = "table", trim: bool = True, absolute: bool = False, limits: Limits | None = None, key: str = KEY) -> DataFrame:
+def table_cells(docs: Source, css: str = "table", trim: bool = True, absolute: bool = False, limits: Limits | None = None, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
     """A row for each cell of the outermost tables, with spans, section, header, text and links."""
     selector, most = parse_selector(css), (limits or Limits()).max_table_cells
+    names = ("row", "column", "rowspan", "colspan", "section", "header", "text", "links")
 
-    def run(t: Tree) -> Iterable[dict]:
-        for no, i in enumerate(_tables(t, selector), 1):
+    def run(t: Tree, ids: list[int | None]) -> Iterable[tuple]:
+        for no, i in enumerate(_tables(t, selector, ids), 1):
             try:
-                yield from ({"table_no": no} | c for c in cells(t, i, trim, absolute, most))
+                for c in cells(t, i, trim, absolute, most):
+                    yield (no, *(c[n] for n in names), None)
             except ValueError as e:
-                yield {"table_no": no, "error": str(e)}
+                yield (no, *[None] * len(names), str(e))
 
-    return over_pages(docs, run, "table_no int, row int, `column` int, rowspan int, colspan int, section string, header boolean, text string, links array<string>, error string", key)
+    return over_pages(docs, run, "table_no int, row int, `column` int, rowspan int, colspan int, section string, header boolean, text string, links array<string>, error string", key, at)
 
 
 # -- lists, forms, metadata ----------------------------------------------------------------------------------------------------------
 
 
-def lists(docs: DataFrame, css: str = "ul, ol", mode: str = "text", key: str = KEY) -> DataFrame:
+def lists(docs: Source, css: str = "ul, ol", mode: str = "text", key: str = KEY, at: DataFrame | None = None) -> DataFrame:
     """Items of outermost lists. mode text: direct items without nested lists; tree: items of nested lists too, by path."""
     if mode not in ("text", "tree"):
         raise InputError("mode must be text or tree", "mode")
     selector = parse_selector(css)
+    names = ("path", "depth", "item_no", "type", "text")
 
-    def run(t: Tree) -> Iterable[dict]:
-        for no, i in enumerate(outermost(t, [i for i in Matcher(t).select(selector) if t.is_html(i, "ul", "ol")]), 1):
+    def run(t: Tree, ids: list[int | None]) -> Iterable[tuple]:
+        for no, i in enumerate(outermost(t, [i for i in Matcher(t).including(selector, ids) if t.is_html(i, "ul", "ol")]), 1):
             for r in structure.list_rows(t, i):
                 if mode == "tree" or not r["depth"]:
-                    yield {"list_no": no, "id": i} | r
+                    yield (no, i, *(r[n] for n in names))
 
-    return over_pages(docs, run, "list_no int, id int, path string, depth int, item_no int, type string, text string", key)
+    return over_pages(docs, run, "list_no int, id int, path string, depth int, item_no int, type string, text string", key, at)
 
 
-_FIELDS = "array<struct<name: string, type: string, value: string, checked: boolean, disabled: boolean, options: array<struct<value: string, label: string, selected: boolean, disabled: boolean>>>>"
+_OPTIONS = "array<struct<value: string, label: string, selected: boolean, disabled: boolean>>"
+_FIELD = ("name", "type", "value", "checked", "disabled", "options")
+_FIELD_TYPES = f"name: string, type: string, value: string, checked: boolean, disabled: boolean, options: {_OPTIONS}"
 
 
-def forms(docs: DataFrame, key: str = KEY) -> DataFrame:
+def forms(docs: Source, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
     """A row for each form, with its fields."""
-    return over_pages(docs, structure.forms, f"form int, node int, action string, method string, enctype string, id string, name string, fields {_FIELDS}", key)
+    names = ("form", "node", "action", "method", "enctype", "id", "name", "fields")
+
+    def run(t: Tree, ids: list[int | None]) -> Iterable[tuple]:
+        for f in structure.forms(t, ids):
+            yield tuple(f[n] for n in names)
+
+    return over_pages(docs, run, f"form int, node int, action string, method string, enctype string, id string, name string, fields array<struct<{_FIELD_TYPES}>>", key, at)
 
 
-def form_fields(docs: DataFrame, key: str = KEY) -> DataFrame:
+def form_fields(docs: Source, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
     """A row for each field of each form."""
-    f = forms(docs, key)
-    return f.select(key, "form", F.posexplode("fields").alias("pos", "f")).select(key, "form", (F.col("pos") + 1).alias("field"), "f.*")
 
+    def run(t: Tree, ids: list[int | None]) -> Iterable[tuple]:
+        for f in structure.forms(t, ids):
+            for n, x in enumerate(f["fields"], 1):
+                yield (f["form"], n, *(x[c] for c in _FIELD))
 
-def microdata(docs: DataFrame, key: str = KEY) -> DataFrame:
+    return over_pages(docs, run, f"form int, field int, {_FIELD_TYPES.replace(': string', ' string').replace(': boolean', ' boolean').replace('options: ', 'options ')}", key, at)
+
+
+def microdata(docs: Source, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
     """A row for each value of each property of each item."""
-    return over_pages(docs, structure.microdata, "item string, type array<string>, id string, property string, ord int, value string, child string", key)
+    names = ("item", "type", "id", "property", "ord", "value", "child")
+
+    def run(t: Tree, ids: list[int | None]) -> Iterable[tuple]:
+        for r in structure.microdata(t, ids):
+            yield tuple(r[n] for n in names)
+
+    return over_pages(docs, run, "item string, type array<string>, id string, property string, ord int, value string, child string", key, at)
 
 
-def json_ld(docs: DataFrame, key: str = KEY) -> DataFrame:
+def json_ld(docs: Source, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
     """The text of each JSON-LD script, and what it parses to as VARIANT (null where it is no JSON)."""
 
-    def run(t: Tree) -> Iterable[dict]:
-        for n, s in enumerate(structure.json_ld(t), 1):
-            yield {"n": n, "text": s, "inner": structure.unwrap_json(s)}
+    def run(t: Tree, ids: list[int | None]) -> Iterable[tuple]:
+        for n, s in enumerate(structure.json_ld(t, ids), 1):
+            yield n, s, structure.unwrap_json(s)
 
-    return over_pages(docs, run, "n int, text string, inner string", key).withColumn("json", F.try_parse_json("inner")).drop("inner")
+    return over_pages(docs, run, "n int, text string, inner string", key, at).withColumn("json", F.try_parse_json("inner")).drop("inner")
 
 
-def title(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """Aligned: the first HTML title of each page, squeezed; null without one. Native: a title holds text alone."""
-    found = N.nodes(docs, key).where("type = 'element' AND ns = 'html' AND name = 'title' AND in_template_of IS NULL")
-    first = found.groupBy(key).agg(F.min_by(F.struct("id"), "id").alias("t")).select(F.col(key).alias("t_key"), F.col("t.id").alias("t_id"))
-    kids = N.nodes(docs, key).where("type = 'text'").select(F.col(key).alias("k_key"), "parent", "id", "value")
-    text = first.join(kids, (F.col("t_key") == F.col("k_key")) & (F.col("parent") == F.col("t_id")), "left").groupBy("t_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda p: p["value"]), "").alias("t"))
-    return docs.select(key).join(text, F.col(key) == F.col("t_key"), "left").select(key, squeeze(F.col("t")).alias("title"))
+def title(docs: Source, key: str = KEY) -> DataFrame:
+    """The first HTML title of each page, squeezed; null without one."""
+    return over_pages(docs, lambda t, ids: [(structure.title(t),)], "title string", key)
 
 
-def meta(docs: DataFrame, key: str = KEY) -> DataFrame:
+def meta(docs: Source, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
     """A row for each <meta>: name, property, http_equiv, charset, content. Elements of that name count in any namespace."""
-    m = N.nodes(docs, key).where("type = 'element' AND name = 'meta' AND in_template_of IS NULL")
-    return m.select(key, "id", raw_attr("name").alias("name"), raw_attr("property").alias("property"), raw_attr("http-equiv").alias("http_equiv"), raw_attr("charset").alias("charset"), raw_attr("content").alias("content"))
+    selector, names = parse_selector("meta"), ("name", "property", "http-equiv", "charset", "content")
 
+    def run(t: Tree, ids: list[int | None]) -> Iterable[tuple]:
+        for i in Matcher(t).including(selector, ids):
+            yield (i, *(t.attr(i, n) for n in names))
 
-def links(docs: DataFrame, absolute: bool = False, key: str = KEY) -> DataFrame:
-    """Every a[href] and area[href] with its text, href and resolved URL."""
+    return over_pages(docs, run, "id int, name string, property string, http_equiv string, charset string, content string", key, at)
+
+
+def links(docs: Source, absolute: bool = False, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
+    """Every a[href] and area[href] among the nodes and below, with its text, href and resolved URL."""
     selector = parse_selector("a[href], area[href]")
 
-    def run(t: Tree) -> Iterable[dict]:
-        for i in Matcher(t).select(selector):
-            yield {"id": i, "text": clean(t, i), "href": t.attr(i, "href"), "b": t.base_url}
+    def run(t: Tree, ids: list[int | None]) -> Iterable[tuple]:
+        for i in Matcher(t).including(selector, ids):
+            yield i, clean(t, i), t.attr(i, "href"), t.base
 
-    found = over_pages(docs, run, "id int, text string, href string, b string", key)
+    found = over_pages(docs, run, "id int, text string, href string, b string", key, at)
     url = resolve(F.col("href"), F.col("b"))
-    out = found.select(key, "id", "text", "href", url.alias("url"))
+    out = found.withColumn("url", url).drop("b")
     return out.withColumn("href", F.coalesce("url", "href")) if absolute else out
 
 
+def urls(docs: Nodes, name: str = "href", base_url: str | None = None) -> DataFrame:
+    """Aligned: id and the URL that an attribute of each node resolves to."""
+    found = over_pages(docs, lambda t, ids: [(i, None if i is None else t.attr(i, name), base_url or t.base) for i in ids], "id int, value string, b string")
+    return found.withColumn("url", resolve(F.col("value"), F.col("b"))).drop("value", "b")
+
+
 def url(some: DataFrame, docs: DataFrame, name: str = "href", base_url: str | None = None, key: str = KEY) -> DataFrame:
     """Aligned: nodes with the URL that their attribute resolves to."""
     bases = docs.select(F.col(key).alias("b_key"), F.col("resolved_base").alias("_b"))

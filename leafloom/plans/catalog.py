@@ -12,10 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.functions.columns import attr, classes, node_name
+from leafloom.functions.columns import attr, attrs, classes, namespace, node_name
+from leafloom.functions.udf import register
+from leafloom.limits import Limits
 from leafloom.operators import extract as E
 from leafloom.operators import nodes as N
-from leafloom.sources.pages import fragment, parse, spread
+from leafloom.operators.sets import find
+from leafloom.sources.pages import Pages, spread
+from leafloom.sources.work import hold
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,13 +50,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(spread(read(spark, sf_dir, "pages")), "html", "page_id", ("url",), base_url="url")
+def docs_of(spark: SparkSession, sf_dir: str) -> Pages:
+    return Pages(spread(read(spark, sf_dir, "pages")), base_url="url")
 
 
-def parse_rows(df: DataFrame, **options) -> DataFrame:
+def rows_of(df: DataFrame, **options) -> Pages:
     """Pages that a scan makes, dealt to all cores."""
-    return parse(spread(df), **options)
+    return Pages(spread(df), **options)
+
+
+def node_table(pages: Pages) -> DataFrame:
+    """All nodes, written once: a search by joins reads them several times, and no page is parsed again."""
+    return hold(N.nodes(pages.parsed(), pages.key))
 
 
 def esc(c: Column) -> Column:
@@ -101,12 +110,12 @@ def meta_charset(spark, sf_dir):
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS items FROM pages WHERE contains(html, '<li>')")
 def child_combinator(spark, sf_dir):
-    return N.elements(N.nodes(docs_of(spark, sf_dir)), "nav > ul > li").groupBy("page_id").agg(F.count("*").alias("items"))
+    return find(docs_of(spark, sf_dir), "nav > ul > li").rows("id").groupBy("page_id").agg(F.count("*").alias("items"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs FROM pages WHERE contains(html, '<p>')")
 def descendant_combinator(spark, sf_dir):
-    return N.elements(N.nodes(docs_of(spark, sf_dir)), "article p").groupBy("page_id").agg(F.count("*").alias("paragraphs"))
+    return find(docs_of(spark, sf_dir), "article p").rows("id").groupBy("page_id").agg(F.count("*").alias("paragraphs"))
 
 
 _H1 = _UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")
@@ -114,8 +123,7 @@ _H1 = _UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")
 
 @query(f"SELECT page_id, {_H1} AS text FROM pages WHERE contains(html, '<h1>')")
 def text_by_join(spark, sf_dir):
-    all_nodes = N.nodes(docs_of(spark, sf_dir))
-    return N.text(all_nodes, N.elements(all_nodes, "h1")).select("page_id", "text")
+    return E.text(find(docs_of(spark, sf_dir), "h1")).select("page_id", "text")
 
 
 @query(f"SELECT page_id, trim(regexp_replace({_H1}, '\\s+', ' ', 'g')) AS text FROM pages WHERE contains(html, '<h1>')")
@@ -140,10 +148,8 @@ def serialize(spark, sf_dir):
 
 @query("SELECT page_id, regexp_extract(html, 'href=\"([^\"]*)\"', 1) AS first FROM pages WHERE contains(html, '<nav>')")
 def element_aligned(spark, sf_dir):
-    all_nodes = N.nodes(docs_of(spark, sf_dir))
-    navs = N.elements(all_nodes, "nav").select("page_id", "id")
-    found = N.element(all_nodes, "a[href]", navs).select("page_id", F.col("match_id").alias("id"))
-    return N.fetch(all_nodes, found).select("page_id", attr("href").alias("first"))
+    navs = find(docs_of(spark, sf_dir), "nav")
+    return navs.rows("id", "type", "ns", "attrs", a=navs.element("a[href]")).select("page_id", "a.*").select("page_id", attr("href").alias("first"))
 
 
 @query(
@@ -151,47 +157,39 @@ def element_aligned(spark, sf_dir):
 FROM (SELECT page_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS m FROM (SELECT page_id, regexp_extract_all(html, '<li><a [^>]*>') AS l FROM pages)) WHERE n % 2 = 1"""
 )
 def nth_child(spark, sf_dir):
-    all_nodes = N.nodes(docs_of(spark, sf_dir))
-    a = N.elements(all_nodes, "li:nth-child(odd) > a").select("page_id", F.col("parent").alias("p"), attr("href").alias("href"))
-    li = all_nodes.where("name = 'li'").select(F.col("page_id").alias("k"), F.col("id").alias("i"), F.col("elem_pos").cast("long").alias("n"))
-    return a.join(li, (F.col("page_id") == F.col("k")) & (F.col("p") == F.col("i"))).select("page_id", "n", "href")
+    a = find(docs_of(spark, sf_dir), "li:nth-child(odd) > a")
+    found = a.rows("id", "type", "ns", "attrs", "elem_pos", li=a.parent())
+    return found.select("page_id", F.col("li.elem_pos").cast("long").alias("n"), attr("href").alias("href"))
 
 
 @query("SELECT page_id, (len(l) > 1)::BOOLEAN AS several FROM (SELECT page_id, regexp_extract_all(html, '<li>') AS l FROM pages) WHERE len(l) > 0")
 def matches(spark, sf_dir):
-    all_nodes = N.nodes(docs_of(spark, sf_dir))
-    first = N.elements(all_nodes, "nav li:first-child")
-    return N.matches(all_nodes, "li:not(:only-child)", first.select("page_id", "id")).select("page_id", F.col("matches").alias("several"))
+    return find(docs_of(spark, sf_dir), "nav li:first-child").rows("id", matches={"several": "li:not(:only-child)"}).select("page_id", "several")
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<a '))::BIGINT AS links, 'nav' AS around FROM pages WHERE contains(html, '<a ')")
 def closest(spark, sf_dir):
-    all_nodes = N.nodes(docs_of(spark, sf_dir))
-    a = N.elements(all_nodes, "a").select("page_id", "id")
-    up = N.closest(all_nodes, "nav, body", a).select("page_id", F.col("match_id").alias("id"))
-    return N.fetch(all_nodes, up).groupBy("page_id", F.col("name").alias("around")).agg(F.count("*").alias("links"))
+    return find(docs_of(spark, sf_dir), "a").closest("nav, body").rows("name").groupBy("page_id", F.col("name").alias("around")).agg(F.count("*").alias("links"))
 
 
 @query("SELECT page_id, unnest(['html', 'body', 'nav', 'ul', 'li']) AS name FROM pages WHERE contains(html, '<a ')")
 def ancestors(spark, sf_dir):
-    all_nodes = N.nodes(docs_of(spark, sf_dir))
-    first = N.elements(all_nodes, "nav li:first-child > a")
-    return N.ancestors(all_nodes, first).select("page_id", node_name().alias("name"))
+    return find(docs_of(spark, sf_dir), "nav li:first-child > a").ancestors().rows("type", "name").select("page_id", node_name().alias("name"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT - 1 AS later FROM pages WHERE len(regexp_extract_all(html, '<li>')) > 1")
 def sibling_combinator(spark, sf_dir):
-    return N.elements(N.nodes(docs_of(spark, sf_dir)), "li:first-child ~ li").groupBy("page_id").agg(F.count("*").alias("later"))
+    return find(docs_of(spark, sf_dir), "li:first-child ~ li").rows("id").groupBy("page_id").agg(F.count("*").alias("later"))
 
 
 @query("SELECT page_id, 'no-quirks' AS quirks_mode, 'UTF-8' AS encoding, 'string' AS encoding_source, octet_length(encode(html))::BIGINT AS input_bytes, url AS base_url FROM pages")
 def page_info(spark, sf_dir):
-    return E.info(docs_of(spark, sf_dir)).select("page_id", "quirks_mode", "encoding", "encoding_source", "input_bytes", "base_url")
+    return E.info(docs_of(spark, sf_dir).parsed()).select("page_id", "quirks_mode", "encoding", "encoding_source", "input_bytes", "base_url")
 
 
 @query()
 def page_problems(spark, sf_dir):
-    return E.problems(docs_of(spark, sf_dir))
+    return E.problems(docs_of(spark, sf_dir).parsed())
 
 
 @query()
@@ -216,7 +214,65 @@ def page_text(spark, sf_dir):
 
 @query()
 def all_nodes(spark, sf_dir):
-    return N.nodes(docs_of(spark, sf_dir)).select("page_id", "id", "parent", "subtree_end", "type", "name", "value")
+    return find(docs_of(spark, sf_dir)).then(lambda m, ids: list(range(len(m.t.type)))).rows("id", "parent", "subtree_end", "type", "name", "value").drop("n")
+
+
+# -- nodes as a table: the same searches by joins --------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs, len(regexp_extract_all(html, '<li>'))::BIGINT AS items FROM pages WHERE contains(html, '<p>') AND contains(html, '<li>')")
+def combinators_by_join(spark, sf_dir):
+    t = node_table(docs_of(spark, sf_dir))
+    p = N.elements(t, "article p").groupBy("page_id").agg(F.count("*").alias("paragraphs"))
+    li = N.elements(t, "nav > ul > li, li:first-child ~ li").groupBy("page_id").agg(F.count("*").alias("items"))
+    return p.join(li, "page_id")
+
+
+@query("""SELECT page_id, len(l) > 1 AS several, regexp_extract(html, 'href="([^"]*)"', 1) AS first, 'nav' AS around, 5::BIGINT AS up
+FROM (SELECT page_id, html, regexp_extract_all(html, '<li>') AS l FROM pages) WHERE len(l) > 0""")
+def aligned_searches_by_join(spark, sf_dir):
+    t = node_table(docs_of(spark, sf_dir))
+    navs = N.elements(t, "nav").select("page_id", "id")
+    first = N.element(t, "a[href]", navs).select("page_id", F.col("match_id").alias("id"))
+    links = N.fetch(t, first).select("page_id", attr("href").alias("first"))
+    li = N.matches(t, "li:not(:only-child)", N.elements(t, "nav li:first-child").select("page_id", "id")).select("page_id", F.col("matches").alias("several"))
+    around = N.fetch(t, N.closest(t, "nav, body", first).select("page_id", F.col("match_id").alias("id"))).select("page_id", F.col("name").alias("around"))
+    up = N.ancestors(t, first.select("page_id", "id")).groupBy("page_id").agg(F.count("*").alias("up"))
+    return li.join(links, "page_id").join(around, "page_id").join(up, "page_id")
+
+
+@query(f"SELECT page_id, {_H1} AS text FROM pages WHERE contains(html, '<h1>')")
+def text_of_joined_nodes(spark, sf_dir):
+    t = node_table(docs_of(spark, sf_dir))
+    return N.text(t, N.elements(t, "h1")).select("page_id", "text")
+
+
+# -- extraction from nodes -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    r"""SELECT page_id, trim(regexp_replace(regexp_extract(m, '>([^<]*)</a>', 1), '\s+', ' ', 'g')) AS text, regexp_extract(url, '^(https?://[^/]+)', 1) || regexp_extract(m, 'href="([^"]*)"', 1) AS url
+FROM (SELECT page_id, url, unnest(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>'), '<a href="[^"]*">[^<]*</a>')) AS m FROM pages)"""
+)
+def links_below(spark, sf_dir):
+    return E.links(find(docs_of(spark, sf_dir), "nav")).select("page_id", "text", "url")
+
+
+@query(
+    r"""SELECT page_id, regexp_extract(m, 'href="([^"]*)"', 1) AS href
+FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>'), '<a href="[^"]*">')) AS m FROM pages)"""
+)
+def links_themselves(spark, sf_dir):
+    """Nodes count themselves: the links of links. From parsed pages and a table of nodes."""
+    docs = docs_of(spark, sf_dir)
+    table = node_table(docs)
+    return E.links(docs.parsed(), at=N.elements(table, "nav a")).select("page_id", "href")
+
+
+@query(f"SELECT page_id, '# ' || trim(regexp_replace({_H1}, '([*#`<>~\\[\\]])', '\\\\\\1', 'g')) AS markdown, trim(regexp_replace({_H1}, '\\s+', ' ', 'g')) AS text FROM pages WHERE contains(html, '<h1>')")
+def markdown_below(spark, sf_dir):
+    h1 = find(docs_of(spark, sf_dir), "article").element("h1")
+    return E.markdown(h1).select("page_id", "id", "markdown").join(E.text_clean(h1).select("page_id", "id", "text"), ["page_id", "id"]).drop("id")
 
 
 # -- markup built from tables ------------------------------------------------------------------------------------------------------
@@ -226,7 +282,7 @@ def _order_tables(spark, sf_dir) -> DataFrame:
     l = read(spark, sf_dir, "lineitem")
     row = markup("<tr><td>", F.col("l_linenumber"), "<td>", F.col("l_quantity").cast("long"), "<td>", F.col("l_returnflag"), "<td>", esc(F.col("l_linestatus")), "</tr>")
     pages = gathered(l, "l_orderkey", "l_linenumber", row, "<table><thead><tr><th>line<th>quantity<th colspan=2>state</thead><tbody>", "</table>")
-    return parse(pages)
+    return Pages(pages)
 
 
 @query(
@@ -255,7 +311,7 @@ def table_cells(spark, sf_dir):
     rows = n.join(many, F.col("n_regionkey") == F.col("k"))
     first = F.col("n_nationkey") == F.min("n_nationkey").over(_by("n_regionkey"))
     rows = rows.withColumn("piece", markup("<tr>", F.when(first, markup("<td rowspan=", F.col("count"), ">", esc(F.col("r_name")))).otherwise(""), "<td>", esc(F.col("n_name")), "</tr>")).withColumn("n_regionkey", F.col("n_regionkey").cast("long"))
-    return E.table_cells(parse(gathered(rows, "n_regionkey", "n_nationkey", F.col("piece"), "<table>", "</table>"))).select("page_id", "row", "column", "rowspan", "text")
+    return E.table_cells(Pages(gathered(rows, "n_regionkey", "n_nationkey", F.col("piece"), "<table>", "</table>"))).select("page_id", "row", "column", "rowspan", "text")
 
 
 def _by(column: str):
@@ -277,14 +333,14 @@ def form_fields(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     options = F.array_join(F.transform(F.array(*map(F.lit, "FOP")), lambda s: F.concat(F.lit("<option value="), s, F.when(s == F.col("o_orderstatus"), " selected").otherwise(""), F.lit(">"), s)), "")
     html = markup('<form action=/save method=post><input name=order value="', esc(F.col("o_orderpriority")), '"><select name=state>', options, "</select><input type=checkbox name=big", F.when(F.col("o_totalprice") > 1e5, " checked").otherwise(""), "><textarea name=note>\nof ", F.col("o_custkey"), "</textarea></form>")
-    return E.form_fields(parse_rows(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))).select("page_id", "name", "type", "value")
+    return E.form_fields(rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))).select("page_id", "name", "type", "value")
 
 
 @query("SELECT o_orderkey AS page_id, 'https://shop.test/save' AS action, 'post' AS method, 4::BIGINT AS fields, o_totalprice > 100000 AS big FROM orders")
 def forms(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     html = markup("<form id=f action=/save method=POST><p><input name=a><input type=checkbox name=big", F.when(F.col("o_totalprice") > 100000, " checked").otherwise(""), "><button>Go</button></form><input form=f name=late><input name=none>")
-    docs = parse_rows(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html"), F.lit("https://shop.test/orders/1").alias("url")), base_url="url")
+    docs = rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html"), F.lit("https://shop.test/orders/1").alias("url")), base_url="url")
     return E.forms(docs).select("page_id", "action", "method", F.size("fields").cast("long").alias("fields"), F.exists("fields", lambda f: F.coalesce(f["checked"], F.lit(False))).alias("big"))
 
 
@@ -298,7 +354,7 @@ def nested_lists(spark, sf_dir):
     n = read(spark, sf_dir, "nation")
     inner = gathered(n.withColumn("n_regionkey", F.col("n_regionkey").cast("long")), "n_regionkey", "n_nationkey", markup("<li>", esc(F.col("n_name"))), "<ul>", "</ul>")
     r = read(spark, sf_dir, "region").join(inner, F.col("r_regionkey") == F.col("page_id")).select(F.lit(0).cast("long").alias("k"), "r_regionkey", markup("<li>", esc(F.col("r_name")), F.col("html"), "</li>").alias("piece"))
-    return E.lists(parse(gathered(r, "k", "r_regionkey", F.col("piece"), "<ol>", "</ol>")), mode="tree").select("path", "depth", "type", "text")
+    return E.lists(Pages(gathered(r, "k", "r_regionkey", F.col("piece"), "<ol>", "</ol>")), mode="tree").select("path", "depth", "type", "text")
 
 
 @query(
@@ -309,7 +365,7 @@ UNION ALL SELECT p_partkey, 'https://schema.test/Product', 'url', 'https://shop.
 def microdata(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     html = markup("<div itemscope itemtype='https://schema.test/Product' itemref=more><h1 itemprop=name>", esc(F.col("p_name")), "</h1><a itemprop=url href='p/", F.col("p_partkey"), "'>see</a></div><meta id=more itemprop=brand content=\"", esc(F.col("p_brand")), '">')
-    docs = parse_rows(p.select(F.col("p_partkey").alias("page_id"), html.alias("html"), F.lit("https://shop.test/").alias("url")), base_url="url")
+    docs = rows_of(p.select(F.col("p_partkey").alias("page_id"), html.alias("html"), F.lit("https://shop.test/").alias("url")), base_url="url")
     return E.microdata(docs).select("page_id", F.array_join("type", " ").alias("type"), "property", "value")
 
 
@@ -317,7 +373,7 @@ def microdata(spark, sf_dir):
 def json_ld(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     html = markup("<script type='Application/LD+JSON; charset=utf-8'><!--", F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"))), "--></script><script type=application/ld+json>{no json</script>")
-    found = E.json_ld(parse_rows(p.select(F.col("p_partkey").alias("page_id"), html.alias("html")))).where("json IS NOT NULL")
+    found = E.json_ld(rows_of(p.select(F.col("p_partkey").alias("page_id"), html.alias("html")))).where("json IS NOT NULL")
     return found.select("page_id", F.expr("variant_get(json, '$.name', 'string')").alias("name"), F.expr("variant_get(json, '$.size', 'bigint')").alias("size"))
 
 
@@ -328,27 +384,26 @@ UNION ALL SELECT c_custkey, NULL, 'og:segment', c_mktsegment FROM customer"""
 def meta(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
     html = markup("<META Name=author content='", esc(F.col("c_name")), "'><meta property=og:segment content=\"", esc(F.col("c_mktsegment")), '"><p>x')
-    return E.meta(parse_rows(c.select(F.col("c_custkey").alias("page_id"), html.alias("html")))).select("page_id", "name", "property", "content")
+    return E.meta(rows_of(c.select(F.col("c_custkey").alias("page_id"), html.alias("html")))).select("page_id", "name", "property", "content")
 
 
 @query("SELECT c_custkey AS page_id, 'https://site.test/a/c/' || c_nationkey || '?n=' || c_custkey AS url FROM customer")
 def base_and_url(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
     html = markup("<base href='../c/./x/'><a href='../", F.col("c_nationkey"), "?n=", F.col("c_custkey"), "'>go</a>")
-    docs = parse_rows(c.select(F.col("c_custkey").alias("page_id"), html.alias("html"), F.lit("https://site.test/a/b/page.html").alias("u")), base_url="u")
-    a = N.elements(N.nodes(docs), "a")
-    return E.url(a, docs).select("page_id", "url")
+    docs = rows_of(c.select(F.col("c_custkey").alias("page_id"), html.alias("html"), F.lit("https://site.test/a/b/page.html").alias("u")), base_url="u")
+    return E.urls(find(docs, "a")).select("page_id", "url")
 
 
-def _event_pages(spark, sf_dir) -> DataFrame:
+def _event_pages(spark, sf_dir) -> Pages:
     e = read(spark, sf_dir, "events")
     piece = markup("<i class='event ", F.col("event_type"), "' data-id=", F.col("event_id"), "></i>")
-    return fragment(gathered(e, "user_id", "event_id", piece, "", ""), context="div")
+    return Pages(gathered(e, "user_id", "event_id", piece, "", ""), context="div")
 
 
 @query("SELECT user_id AS page_id, event_id::VARCHAR AS event, event_type AS kind FROM events")
 def attributes_and_classes(spark, sf_dir):
-    i = N.elements(N.nodes(_event_pages(spark, sf_dir)), "i.event[data-id]")
+    i = find(_event_pages(spark, sf_dir), "i.event[data-id]").rows()
     return i.select("page_id", attr("DATA-ID").alias("event"), F.element_at(classes(), -1).alias("kind"))
 
 
@@ -358,16 +413,16 @@ def attributes_and_classes(spark, sf_dir):
 WHERE n % 3 = 1 OR p = event_type"""
 )
 def selector_list(spark, sf_dir):
-    nodes = N.nodes(_event_pages(spark, sf_dir))
     kinds = [r[0] for r in read(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]  # a few kinds of events
     same = ", ".join(f"i.{k} + i.{k}" for k in kinds)
-    return N.elements(nodes, f"i:nth-of-type(3n+1), {same}").select("page_id", attr("data-id").alias("event"))
+    return find(_event_pages(spark, sf_dir), f"i:nth-of-type(3n+1), {same}").rows().select("page_id", attr("data-id").alias("event"))
 
 
-@query("SELECT doc_id AS page_id, text AS text FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT contains(text, chr(0)) AND NOT contains(text, chr(160))")
+@query("SELECT doc_id AS page_id, replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' ') AS text FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(0))")
 def preformatted(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("text IS NOT NULL AND NOT contains(text, char(13)) AND NOT contains(text, char(0)) AND NOT contains(text, char(160))")
-    docs = parse_rows(d.select(F.col("doc_id").alias("page_id"), markup("<pre>\n", esc(F.col("text")), "</pre>").alias("html")))
+    """Line ends become LF, no-break spaces plain ones. A text with NUL is no page: it has an error, and no row."""
+    d = read(spark, sf_dir, "documents").where("text IS NOT NULL")
+    docs = rows_of(d.select(F.col("doc_id").alias("page_id"), markup("<pre>\n", esc(F.col("text")), "</pre>").alias("html")))
     return E.text_clean(docs, "pre", trim=False).select("page_id", "text")
 
 
@@ -375,13 +430,191 @@ def preformatted(spark, sf_dir):
 def decoded_bytes(spark, sf_dir):
     s = read(spark, sf_dir, "supplier")
     raw = F.encode(markup("<meta charset=latin1><p title=\"", esc(F.col("s_name")), '">caf', "\xe9"), "ISO-8859-1")
-    docs = parse_rows(s.select(F.col("s_suppkey").alias("page_id"), raw.alias("html")))
-    p = N.elements(N.nodes(docs), "p").select("page_id", attr("title").alias("name"))
-    return p.join(docs.select("page_id", "encoding", "encoding_source"), "page_id")
+    docs = rows_of(s.select(F.col("s_suppkey").alias("page_id"), raw.alias("html")))
+    flat = docs.parsed().select("page_id", "encoding", "encoding_source", F.get(F.filter("nodes", lambda n: n["name"] == "p"), F.lit(0)).alias("p"))
+    return flat.select("page_id", "encoding", "encoding_source", "p.*").select("page_id", attr("title").alias("name"), "encoding", "encoding_source")
 
 
 @query("SELECT s_suppkey AS page_id, CASE WHEN s_suppkey % 2 = 0 THEN 'encoding' END AS error FROM supplier")
 def permissive_errors(spark, sf_dir):
     s = read(spark, sf_dir, "supplier")
     raw = F.when(F.col("s_suppkey") % 2 == 0, F.unhex(F.lit("3C703EE9"))).otherwise(F.encode(F.col("s_name"), "UTF-8"))
-    return parse_rows(s.select(F.col("s_suppkey").alias("page_id"), raw.alias("html"))).select("page_id", F.col("error.kind").alias("error"))
+    return rows_of(s.select(F.col("s_suppkey").alias("page_id"), raw.alias("html"))).parsed().select("page_id", F.col("error.kind").alias("error"))
+
+
+# -- more of the language, over markup from tables -------------------------------------------------------------------------------
+
+
+def _customers(spark, sf_dir) -> Pages:
+    """A paragraph a customer: id, classes, lang, title and data, with an element before and text after."""
+    c = read(spark, sf_dir, "customer")
+    html = markup(
+        "<section><p id=i", F.col("c_custkey"), " class='a seg-", F.lower(F.substring("c_mktsegment", 1, 4)), "' lang=", F.when(F.col("c_nationkey") % 2 == 0, "en-GB").otherwise("En"), " title=\"", esc(F.col("c_name")),
+        '" data-seg="', esc(F.col("c_mktsegment")), " n", F.col("c_nationkey"), '"></p><svg><a xlink:href="u', F.col("c_nationkey"), '" viewbox=x /></svg><b>t</b>', F.when(F.col("c_nationkey") < 10, " ").otherwise("<!--x-->"), "<i></i></section>",
+    )
+    return rows_of(c.select(F.col("c_custkey").alias("page_id"), html.alias("html")))
+
+
+@query(
+    """SELECT c_custkey AS page_id, true AS any, c_custkey % 10 = 1 AS tail, c_mktsegment = 'BUILDING' AS token, c_nationkey % 2 = 0 AS dash, c_nationkey % 2 <> 0 AS same, starts_with(c_mktsegment, 'AUTO') AS head,
+  contains(c_mktsegment, 'HO') AS inside, c_mktsegment = 'BUILDING' AS folded, false AS strict, c_custkey = 7 AS own, false AS empty_value, c_mktsegment = 'MACHINERY' AS class FROM customer"""
+)
+def attribute_operators(spark, sf_dir):
+    tests = {
+        "any": "*[data-seg]", "tail": "[id$='1']", "token": "[data-seg~=BUILDING]", "dash": "[lang|=EN]:not([lang=en])", "same": "[lang=eN]", "head": "[data-seg^=AUTO]", "inside": "[data-seg*=HO]", "folded": "[data-seg*='building ' i]", "strict": "[lang=EN s]",
+        "own": "#i7", "empty_value": "[title*='']", "class": "p.a.seg-mach",
+    }
+    return find(_customers(spark, sf_dir), "p").rows("id", matches=tests).drop("n", "id")
+
+
+@query(
+    """SELECT c_custkey AS page_id, 'section' AS up, 'svg' AS next, true AS no_previous, 4 AS kids, 'u' || c_nationkey AS link, c_nationkey >= 10 AS last_is_empty, 'http://www.w3.org/2000/svg' AS ns,
+  5 AS attrs, 'element' AS type FROM customer"""
+)
+def navigation(spark, sf_dir):
+    p = find(_customers(spark, sf_dir), "p")
+    columns = ("id", "type", "ns", "name", "attrs", "elem_count", "next_sib")
+    r = p.rows(*columns, up=p.parent(), next=p.sibling(), back=p.sibling(False), after=p.sibling().sibling().sibling(elements_only=False))
+    kids = find(_customers(spark, sf_dir), "section").children().rows(*columns)
+    links = find(_customers(spark, sf_dir), "svg > a[viewBox]").rows().select(F.col("page_id"), attr("xlink:href").alias("link"), namespace().alias("ns"))
+    blank = r.select("page_id", F.col("up.name").alias("up"), F.col("next.name").alias("next"), F.col("back").isNull().alias("no_previous"), (F.col("after.type") == "comment").alias("last_is_empty"), F.size(attrs()).alias("attrs"), "type")
+    return blank.join(kids.groupBy("page_id").agg(F.count("*").cast("int").alias("kids")), "page_id").join(links, "page_id")
+
+
+@query("SELECT c_custkey AS page_id, true AS root, true AS is_scope, true AS is_empty, false AS not_empty, true AS last, true AS escaped FROM customer")
+def structural_classes(spark, sf_dir):
+    pages = _customers(spark, sf_dir)
+    p = find(pages, "p").rows("id", matches={"is_scope": ":scope", "is_empty": ":empty", "not_empty": "section:empty", "escaped": "#\\69 " + "\\31, [id^='\\69']"})
+    r = find(pages).root().rows("id", matches={"root": ":root:not(:empty)"})
+    last = find(pages, "section").elements(":scope > :last-child").rows("id", matches={"last": "i:empty:last-child:nth-of-type(1)"})
+    return p.drop("n", "id").join(r.drop("n", "id"), "page_id").join(last.drop("n", "id"), "page_id")
+
+
+@query("SELECT c_custkey AS page_id, 'p b' AS both, 'b' AS one, 'p' AS other, 'i b svg p' AS back, 'p p' AS twice, 'b' AS second, true AS beyond, 3 AS filled, 'section' AS outer, 'svg i' AS kept, 'section section' AS with_self, 'b' AS put FROM customer")
+def sets_of_nodes(spark, sf_dir):
+    pages = _customers(spark, sf_dir)
+    p, b, kids = find(pages, "p"), find(pages, "b"), find(pages, "section > *")
+    both = p.concat(b)
+    sets = {
+        "both": b.union(p).sort(), "one": both.difference(p), "other": both.intersect(p), "back": kids.rev(), "twice": p.rep(2), "second": both.at(2), "outer": find(pages, "section").concat(kids).outermost(), "kept": kids.where("svg, i"),
+        "with_self": find(pages, "section").concat(find(pages, "section").including("section")), "put": p.put(1, b),
+    }
+    out = None
+    for name, nodes in sets.items():
+        r = nodes.rows("name").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]), " ").alias(name))
+        out = r if out is None else out.join(r, "page_id")
+    beyond = both.at(3).rows("id").select("page_id", F.col("id").isNull().alias("beyond"))
+    filled = p.length(3).rows("id").groupBy("page_id").agg(F.count("*").cast("int").alias("filled"))
+    return out.join(beyond, "page_id").join(filled, "page_id")
+
+
+@query("SELECT n_nationkey::BIGINT AS page_id, n_name AS held, 0::BIGINT AS seen, '' AS text, 1::BIGINT AS inner FROM nation")
+def template_contents(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    pages = rows_of(n.select(F.col("n_nationkey").cast("long").alias("page_id"), markup("<template id=t><p>", esc(F.col("n_name")), "</p></template>").alias("html")))
+    t = find(pages, "#t")
+    held = E.text(t.template_content()).select("page_id", F.col("text").alias("held"))
+    text = E.text(t).select("page_id", "text")
+    counts = t.rows("id", inner=t.template_content().at(1)).groupBy("page_id").agg(F.count("inner").alias("inner"))
+    seen = find(pages, "p").concat(t.children()).rows("id").groupBy("page_id").agg(F.count("*").alias("seen"))
+    return held.join(text, "page_id").join(counts, "page_id").join(seen, "page_id", "left").select("page_id", "held", F.coalesce("seen", F.lit(0)).alias("seen"), "text", "inner")
+
+
+@query(
+    """SELECT o_orderkey AS page_id, name, type, value, off FROM orders, (VALUES ('a', 'text', 1), ('b', 'email', 2), ('c', 'submit', 3), ('d', 'text', 4)) AS f(name, type, n),
+  LATERAL (SELECT CASE n WHEN 1 THEN o_orderpriority WHEN 3 THEN 'go' ELSE '' END AS value, CASE n WHEN 1 THEN o_orderstatus = 'F' WHEN 2 THEN false WHEN 3 THEN true ELSE o_orderstatus <> 'O' END AS off)"""
+)
+def disabled_fields(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    off = lambda c: F.when(c, " disabled").otherwise("")
+    status = F.col("o_orderstatus")
+    html = markup("<form><input name=a value=\"", esc(F.col("o_orderpriority")), '"', off(status == "F"), "><fieldset disabled><legend><input type=EMAIL name=b></legend><button name=c value=go>x</button></fieldset><fieldset", off(status != "O"), "><input name=d type=odd></fieldset></form>")
+    return E.form_fields(rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))).select("page_id", "name", "type", "value", F.col("disabled").alias("off"))
+
+
+@query(
+    """SELECT l_orderkey AS page_id, name, CASE name WHEN 'price' THEN 'double' WHEN 'open' THEN 'logical' ELSE 'character' END AS col_type,
+  sum(CASE name WHEN 'price' THEN l_extendedprice WHEN 'open' THEN (l_linestatus = 'O')::INT ELSE 0 END) AS total FROM lineitem, (VALUES ('price'), ('open'), ('code')) AS c(name) GROUP BY l_orderkey, name"""
+)
+def column_types(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem")
+    row = markup("<tr><td>", F.format_string("%.2f", F.col("l_extendedprice")), "<td>", F.when(F.col("l_linestatus") == "O", "TRUE").otherwise("F"), "<td>00", F.col("l_linenumber"))
+    pages = gathered(l, "l_orderkey", "l_linenumber", row, "<table><tr><th>price<th>open<th>code", "</table><table><tr><td>other</table>")
+    t = E.tables(Pages(pages), "table:first-child", match="price", convert_types=True)
+    total = F.when(F.col("name") == "price", F.col("number")).when(F.col("name") == "open", F.col("flag").cast("double")).otherwise(0.0)
+    return t.groupBy("page_id", "name", "col_type").agg(F.sum(total).alias("total"))
+
+
+@query("SELECT n_regionkey::BIGINT AS page_id, n_name AS value FROM nation")
+def tables_below(spark, sf_dir):
+    """Tables of nodes, a table being its own; one that lies in another one is left to that."""
+    n = read(spark, sf_dir, "nation").withColumn("n_regionkey", F.col("n_regionkey").cast("long"))
+    pages = gathered(n, "n_regionkey", "n_nationkey", markup("<tr><td>", esc(F.col("n_name"))), "<div><table id=in>", "</table></div><table><tr><td>out</table>")
+    return E.tables(find(Pages(pages), "#in")).select("page_id", "value")
+
+
+@query("SELECT p_partkey AS page_id, 'https://schema.test/Brand' AS type, p_brand AS value FROM part")
+def microdata_below(spark, sf_dir):
+    """Items of nodes: only the second one; an id without a type is none, and a reference that does not resolve is empty."""
+    p = read(spark, sf_dir, "part")
+    html = markup("<div itemscope itemid=x><a itemprop=u href='rel'>r</a></div><div id=two itemscope itemtype='https://schema.test/Brand  https://schema.test/Brand'><b itemprop=name>", esc(F.col("p_brand")), "</b></div>")
+    found = E.microdata(find(rows_of(p.select(F.col("p_partkey").alias("page_id"), html.alias("html"))), "#two"))
+    return found.select("page_id", F.array_join("type", " ").alias("type"), "value")
+
+
+@query(
+    """SELECT s_suppkey AS page_id, CASE s_suppkey % 4 WHEN 0 THEN 'UTF-16LE' WHEN 1 THEN 'UTF-16BE' WHEN 2 THEN 'UTF-8' ELSE 'windows-1251' END AS encoding,
+  CASE WHEN s_suppkey % 4 < 3 THEN 'bom' ELSE 'meta' END AS encoding_source, s_name || ' ж' AS text FROM supplier"""
+)
+def byte_order_marks(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    body = markup("<p>", esc(F.col("s_name")), " ж")
+    mark = lambda bom, c: F.concat(F.unhex(F.lit(bom)), c)
+    raw = (
+        F.when(F.col("s_suppkey") % 4 == 0, mark("FFFE", F.encode(body, "UTF-16LE"))).when(F.col("s_suppkey") % 4 == 1, mark("FEFF", F.encode(body, "UTF-16BE"))).when(F.col("s_suppkey") % 4 == 2, mark("EFBBBF", F.encode(body, "UTF-8")))
+        .otherwise(F.concat(F.encode(markup("<meta charset=cp1251><p>", esc(F.col("s_name")), " "), "US-ASCII"), F.unhex(F.lit("E6"))))
+    )
+    docs = rows_of(s.select(F.col("s_suppkey").alias("page_id"), raw.alias("html")))
+    text = E.text_clean(find(docs, "p")).select("page_id", "text")
+    return docs.parsed().select("page_id", "encoding", "encoding_source").join(text, "page_id")
+
+
+@query("SELECT s_suppkey AS page_id, CASE s_suppkey % 3 WHEN 0 THEN 'max_depth' WHEN 1 THEN 'max_nodes' ELSE 'max_input' END AS \"limit\", CASE s_suppkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 30 ELSE 400 END::BIGINT AS maximum, CASE s_suppkey % 3 WHEN 0 THEN 11 WHEN 1 THEN 31 ELSE 500 END::BIGINT AS observed FROM supplier")
+def limits(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    html = F.when(F.col("s_suppkey") % 3 == 0, F.repeat(F.lit("<div>"), 20)).when(F.col("s_suppkey") % 3 == 1, F.repeat(F.lit("<b></b>"), 50)).otherwise(F.repeat(F.lit("x"), 500))
+    docs = rows_of(s.select(F.col("s_suppkey").alias("page_id"), html.alias("html")), limits=Limits(max_depth=10, max_nodes=30, max_input=400)).parsed()
+    return docs.select("page_id", "error.limit", "error.maximum", F.least("error.observed", F.when(F.col("error.limit") == "max_nodes", 31).otherwise(1000)).alias("observed"))
+
+
+@query("SELECT s_suppkey AS page_id, 'duplicate-attr' AS code, 'tokenizer' AS stage, 2 AS line, 15 + length(s_suppkey::VARCHAR) AS \"column\" FROM supplier")
+def problem_places(spark, sf_dir):
+    """A second attribute of the same name, on the second line."""
+    s = read(spark, sf_dir, "supplier")
+    html = markup("<!DOCTYPE html>\n<p id=a", F.col("s_suppkey"), " title id=b>x")
+    docs = rows_of(s.select(F.col("s_suppkey").alias("page_id"), html.alias("html"))).parsed()
+    return E.problems(docs).select("page_id", "code", "stage", "line", "column")
+
+
+@query("SELECT s_suppkey AS page_id, '| <html>' || chr(10) || '|   <head>' || chr(10) || '|   <body>' || chr(10) || '|     <p>' || chr(10) || '|       title=\"' || s_name || '\"' || chr(10) || '|       \"' || s_suppkey || '\"' AS tree FROM supplier")
+def tree_dumps(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    html = markup('<p title="', esc(F.col("s_name")), '">', F.col("s_suppkey"))
+    return E.tree_dump(rows_of(s.select(F.col("s_suppkey").alias("page_id"), html.alias("html")))).select("page_id", "tree")
+
+
+@query("SELECT s_suppkey AS page_id, s_name AS title, '# ' || replace(s_name, '#', '\\#') || chr(10) || chr(10) || 'see [here](u)' AS markdown, s_name || chr(10) || 'see here' AS text FROM supplier")
+def functions_in_sql(spark, sf_dir):
+    """The registered functions and table functions, from SQL."""
+    register(spark)
+    s = read(spark, sf_dir, "supplier")
+    s.select(F.col("s_suppkey").alias("page_id"), markup("<title>", esc(F.col("s_name")), "</title>").alias("head"), markup("<h1>", esc(F.col("s_name")), "</h1><p>see <a href=u>here</a>").alias("html")).createOrReplaceTempView("leafloom_suppliers")
+    return spark.sql("SELECT page_id, page_title(head) AS title, page_markdown(html) AS markdown, page_text(html) AS text FROM leafloom_suppliers")
+
+
+@query("SELECT s_suppkey AS page_id, 'https://h.test/u' AS url, 'here' AS text FROM supplier")
+def table_functions_in_sql(spark, sf_dir):
+    register(spark)
+    s = read(spark, sf_dir, "supplier")
+    s.select(F.col("s_suppkey").alias("page_id"), markup("<p>see <a href=u>here</a>").alias("html")).createOrReplaceTempView("leafloom_pages")
+    return spark.sql("SELECT page_id, l.url, l.text FROM leafloom_pages, LATERAL page_links(html, 'https://h.test/x') AS l")

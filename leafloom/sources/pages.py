@@ -7,7 +7,8 @@ PERMISSIVE keeps the row with `error` set and no nodes, DROPMALFORMED drops it,
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import pyarrow as pa
@@ -19,34 +20,41 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from leafloom.errors import InputError, PageError
 from leafloom.kernel.decode import decode
 from leafloom.kernel.flat import Tree, freeze
-from leafloom.kernel.tree import parse_tree
-from leafloom.kernel.urls import document_base
+from leafloom.kernel.tree import Builder, parse_tree
 from leafloom.limits import Limits
 from leafloom.schema import PAGE
 
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 #: Pages that a worker turns into one Arrow batch: nodes take many times the room of their markup.
 BATCH_PAGES = 64
+#: Pages that are read at once where no nodes are handed on, and rows that a worker gathers before it hands them on.
+PLAIN_PAGES, BATCH_ROWS = 512, 4_000
 CONTEXT = re.compile(r"(?:(?:html|svg|math) )?[A-Za-z][A-Za-z0-9-]*")
 
 
+def tree(data: str | bytes | None, encoding: str | None = None, base_url: str | None = None, context: str | None = None, comments: bool = True, limits: Limits | None = None) -> tuple[Tree, Builder, tuple[str, str, str]]:
+    """The tree of one page, what the parser noted, and the page's text, encoding and where that was told."""
+    limits = limits or Limits()
+    decoded = decode(data, encoding, limits.max_input)
+    where = None if context is None else (tuple(context.split()) if " " in context else ("html", context))
+    b = parse_tree(decoded[0], limits, where, comments)
+    t = freeze(b)
+    t.base_url = base_url
+    return t, b, decoded
+
+
 def page(data: str | bytes | None, encoding: str | None = None, base_url: str | None = None, context: str | None = None, comments: bool = True, limits: Limits | None = None) -> dict:
     """The columns of PAGE for one page; `nodes` is its tree."""
-    limits = limits or Limits()
     out: dict = {"type": "document" if context is None else "fragment", "context": context, "root_id": None, "base_url": base_url, "error": None, "nodes": None}
     try:
-        text, out["encoding"], out["encoding_source"] = decode(data, encoding, limits.max_input)
-        where = None if context is None else (tuple(context.split()) if " " in context else ("html", context))
-        b = parse_tree(text, limits, where, comments)
-        t = freeze(b)
+        t, b, (text, out["encoding"], out["encoding_source"]) = tree(data, encoding, base_url, context, comments, limits)
     except PageError as e:
         f = e.fields()
         return out | {"error": {k: f.get(k) for k in ("kind", "message", "arg", "encoding", "limit", "maximum", "observed")}}
-    if not t.is_fragment:
-        out["root_id"] = next((k for k in t.kids[0] if t.type[k] == "element"), None)
+    out["root_id"] = t.root
     places = _places(text, b.problems)
     return out | {
-        "resolved_base": document_base(t, base_url), "quirks_mode": b.quirks, "n_nodes": len(t.type), "n_attrs": sum(map(len, t.attrs)), "input_bytes": len(text.encode("utf-8", "surrogatepass")),
+        "resolved_base": t.base, "quirks_mode": b.quirks, "n_nodes": len(t.type), "n_attrs": sum(map(len, t.attrs)), "input_bytes": len(text.encode("utf-8", "surrogatepass")),
         "n_problems": len(b.problems), "problems_truncated": b.truncated, "problems": [{"stage": s, "code": c, "line": line, "column": col, "byte_offset": at} for (s, c, _), (line, col, at) in zip(b.problems, places, strict=True)], "nodes": t,
     }
 
@@ -84,34 +92,113 @@ def _nodes(trees: list[Tree | None], kind: pa.ListType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(kind.value_type)), type=kind, mask=mask)
 
 
-def parse(df: DataFrame, content: str = "html", key: str = "page_id", keep: tuple[str, ...] = (), base_url: str | None = None, encoding: str | None = None, context: str | None = None, comments: bool = True, limits: Limits | None = None, mode: str = "PERMISSIVE") -> DataFrame:
-    """`key`, `keep` and the columns of PAGE for each row of `df`; `content` holds strings or bytes, base_url names a column of URLs.
-
-    One pass in Arrow batches, without a shuffle. Write the result, or persist it, to query it more than once."""
-    if mode not in MODES:
-        raise InputError(f"mode must be one of {', '.join(MODES)}", "mode")
-    if context is not None and not CONTEXT.fullmatch(context):
-        raise InputError("context must name an element, such as 'div' or 'svg path'", "context")
-    if not isinstance(comments, bool):
-        raise InputError("comments must be true or false", "comments")
-    names = [key, *keep]
-    schema = T.StructType([df.schema[c] for c in names] + T._parse_datatype_string(PAGE).fields)
-    arrow = to_arrow_schema(schema)
-    extra = [base_url] if base_url and base_url not in names else []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, BATCH_PAGES):
-                part = b.slice(at, BATCH_PAGES)
-                bases = part.column(base_url).to_pylist() if base_url else [None] * part.num_rows
-                pages = [page(x, encoding, u, context, comments, limits) for x, u in zip(part.column(content).to_pylist(), bases, strict=True)]
-                if mode == "FAILFAST" and (bad := next((p["error"] for p in pages if p["error"]), None)):
+@dataclass(frozen=True)
+class Pages:
+    """Markup that is to be parsed, and how. Operators that get it parse and extract in one pass over each page."""
+
+    df: DataFrame
+    content: str = "html"
+    key: str = "page_id"
+    keep: tuple[str, ...] = ()
+    base_url: str | None = None
+    encoding: str | None = None
+    context: str | None = None
+    comments: bool = True
+    limits: Limits | None = None
+    mode: str = "PERMISSIVE"
+
+    def __post_init__(self):
+        if self.mode not in MODES:
+            raise InputError(f"mode must be one of {', '.join(MODES)}", "mode")
+        if self.context is not None and not CONTEXT.fullmatch(self.context):
+            raise InputError("context must name an element, such as 'div' or 'svg path'", "context")
+        if not isinstance(self.comments, bool):
+            raise InputError("comments must be true or false", "comments")
+
+    def _source(self) -> DataFrame:
+        return self.df.select(*dict.fromkeys([self.key, *self.keep, self.content, *([self.base_url] if self.base_url else [])]))
+
+    def parsed(self) -> DataFrame:
+        """key, keep and the columns of PAGE. Write the result, or persist it, to query it more than once."""
+        p = self
+        names = [p.key, *p.keep]
+        schema = T.StructType([p.df.schema[c] for c in names] + T._parse_datatype_string(PAGE).fields)
+        arrow = to_arrow_schema(schema)
+        options, content, base, mode = p.options(), p.content, p.base_url, p.mode
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _slices(batches):
+                pages = [page(x, base_url=u, **options) for x, u in _inputs(part, content, base)]
+                if mode == "FAILFAST" and (bad := next((x["error"] for x in pages if x["error"]), None)):
                     raise ValueError(f"{bad['kind']}: {bad['message']}")
-                held = [_nodes([p["nodes"] for p in pages], f.type) if f.name == "nodes" else pa.array([p.get(f.name) for p in pages], f.type) for f in list(arrow)[len(names) :]]
+                held = [_nodes([x["nodes"] for x in pages], f.type) if f.name == "nodes" else pa.array([x.get(f.name) for x in pages], f.type) for f in list(arrow)[len(names) :]]
                 out = pa.RecordBatch.from_arrays([*(part.column(c).cast(arrow.field(c).type) for c in names), *held], schema=arrow)
                 yield out.filter(out.column("error").is_null()) if mode == "DROPMALFORMED" else out
 
-    return df.select(*dict.fromkeys([*names, content, *extra])).mapInArrow(run, schema)
+        return p._source().mapInArrow(run, schema)
+
+    def options(self) -> dict:
+        return {"encoding": self.encoding, "context": self.context, "comments": self.comments, "limits": self.limits}
+
+    def each(self, fn: Callable[[Tree], Iterable[tuple]], schema: T.StructType) -> DataFrame:
+        """The key, `keep` and the rows that `fn` yields for each page's tree; schema: of what `fn` yields. Pages with an error yield
+        none, or raise in FAILFAST."""
+        p = self
+        names = [p.key, *p.keep]
+        out = T.StructType([p.df.schema[c] for c in names] + schema.fields)
+        options, content, base, key, strict = p.options(), p.content, p.base_url, names, p.mode == "FAILFAST"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gather = Gather(out)
+            for part in _slices(batches, PLAIN_PAGES):
+                for k, (x, u) in zip(zip(*(part.column(c).to_pylist() for c in key), strict=True), _inputs(part, content, base), strict=True):
+                    try:
+                        t, _, _ = tree(x, base_url=u, **options)
+                    except PageError as e:
+                        if strict:
+                            raise ValueError(f"{e.kind}: {e}") from None
+                        continue
+                    yield from gather.add(k, fn(t))
+            yield from gather.rest()
+
+        return p._source().mapInArrow(run, out)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], size: int = BATCH_PAGES) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, size):
+            yield b.slice(at, size)
+
+
+def _inputs(part: pa.RecordBatch, content: str, base_url: str | None) -> list[tuple]:
+    bases = part.column(base_url).to_pylist() if base_url else [None] * part.num_rows
+    return list(zip(part.column(content).to_pylist(), bases, strict=True))
+
+
+class Gather:
+    """Rows of tuples into Arrow batches, column by column."""
+
+    def __init__(self, schema: T.StructType):
+        self.schema, self.rows = to_arrow_schema(schema), []
+
+    def add(self, head: tuple, rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+        self.rows += [(*head, *r) for r in rows]
+        if len(self.rows) >= BATCH_ROWS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            columns = zip(*self.rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
+            self.rows = []
+
+
+def parse(df: DataFrame, content: str = "html", key: str = "page_id", keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """`key`, `keep` and the columns of PAGE for each row of `df`; `content` holds strings or bytes, base_url names a column of URLs.
+    Options: see `Pages`.
+
+    One pass in Arrow batches, without a shuffle. Write the result, or persist it, to query it more than once."""
+    return Pages(df, content, key, tuple(keep), **options).parsed()
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -126,17 +213,29 @@ def fragment(df: DataFrame, content: str = "html", context: str = "div", **optio
 
 
 def read(spark: SparkSession, path: str, limits: Limits | None = None, **options) -> DataFrame:
-    """Files of HTML below `path`, parsed: key is the file's path, which is also its base URL where it is one.
+    """Files of HTML below `path`, parsed: the key is the file's path, in a column `page_id`. Where `path` is an http, https, ftp, ftps
+    or file URL, each file's URL is also its base URL, with the scheme in lower case; other paths give none.
 
-    Files of over four times max_input bytes are not read: they become limit errors by their length alone."""
+    Files of over four times max_input bytes are not read: their length alone makes them limit errors, handled as `mode` says."""
     limits = limits or Limits()
+    most = 4 * limits.max_input
     files = spark.read.format("binaryFile").load(path)
-    size = F.col("length")
-    small = files.where(size <= 4 * limits.max_input).select(F.col("path").alias("page_id"), "content")
-    return parse(small, "content", "page_id", limits=limits, **options)
+    is_url = re.match(r"(?i)(https?|ftps?|file):", path)
+    base = F.concat(F.lower(F.substring_index("path", ":", 1)), F.expr("substring(path, instr(path, ':'))")) if is_url else F.lit(None).cast("string")
+    small = files.where(F.col("length") <= most).select(F.col("path").alias("page_id"), "content", base.alias("of_url"))
+    docs = parse(small, "content", "page_id", base_url="of_url", limits=limits, **options)
+    mode = options.get("mode", "PERMISSIVE")
+    if mode == "DROPMALFORMED":
+        return docs
+    error = F.struct(F.lit("limit").alias("kind"), F.concat(F.lit(f"max_input is {limits.max_input}, and a file has "), F.col("length").cast("string"), F.lit(" bytes")).alias("message"), F.lit(None).cast("string").alias("arg"), F.lit(None).cast("string").alias("encoding"), F.lit("max_input").alias("limit"), F.lit(limits.max_input).cast("long").alias("maximum"), F.col("length").alias("observed"))
+    known = {"page_id": F.col("path"), "type": F.lit("document"), "error": error, "base_url": base}
+    large = files.where(F.col("length") > most)
+    if mode == "FAILFAST":
+        known["page_id"] = F.coalesce(F.raise_error(error["message"]).cast("string"), F.col("path"))
+    return docs.unionByName(large.select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in docs.schema)))
 
 
 def too_large(spark: SparkSession, path: str, limits: Limits | None = None) -> DataFrame:
-    """page_id and length of the files that `read` leaves out."""
+    """page_id and length of the files that `read` does not open."""
     limits = limits or Limits()
     return spark.read.format("binaryFile").load(path).where(F.col("length") > 4 * limits.max_input).select(F.col("path").alias("page_id"), "length")

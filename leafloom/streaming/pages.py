@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leafloom.operators import extract as E
-from leafloom.sources.pages import parse
+from leafloom.sources.pages import Pages, parse
 
 
 def read_stream(spark: SparkSession, path: str, schema: str = "page_id long, url string, html string", files_per_trigger: int = 1) -> DataFrame:
@@ -18,7 +18,7 @@ def read_stream(spark: SparkSession, path: str, schema: str = "page_id long, url
 
 def link_stream(pages: DataFrame) -> DataFrame:
     """The links of each page as it arrives."""
-    return E.links(parse(pages, "html", "page_id", base_url="url")).select("page_id", "text", "href", "url")
+    return E.links(Pages(pages, base_url="url")).select("page_id", "text", "href", "url")
 
 
 def link_counts(pages: DataFrame, time: str = "seen", delay: str = "10 minutes", window: str = "5 minutes") -> DataFrame:

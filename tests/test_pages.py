@@ -77,11 +77,34 @@ def test_info_and_fragments(spark):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "a.html").write_bytes(b"<meta charset=latin1><p>caf\xe9")
+    (tmp_path / "a.html").write_bytes(b"<meta charset=latin1><p>caf\xe9 <a href=b>x</a>")
     (tmp_path / "big.html").write_bytes(b"x" * 500)
     docs = read(spark, str(tmp_path / "*.html"), limits=Limits(max_input=100))
-    assert N.text(N.nodes(docs), N.elements(N.nodes(docs), "p")).first()["text"] == "café"
+    assert N.text(N.nodes(docs), N.elements(N.nodes(docs), "p")).first()["text"] == "café x"
+    rows = {r["page_id"].rsplit("/", 1)[1]: r for r in docs.collect()}
+    assert rows["a.html"]["error"] is None and rows["a.html"]["base_url"] is None
+    e = rows["big.html"]["error"]
+    assert (e["kind"], e["limit"], e["maximum"], e["observed"]) == ("limit", "max_input", 100, 500) and rows["big.html"]["nodes"] is None
     assert too_large(spark, str(tmp_path / "*.html"), Limits(max_input=100)).count() == 1
+    assert read(spark, str(tmp_path / "*.html"), limits=Limits(max_input=100), mode="DROPMALFORMED").count() == 1
+    with pytest.raises(Exception, match="max_input"):
+        read(spark, str(tmp_path / "*.html"), limits=Limits(max_input=100), mode="FAILFAST").collect()
+    assert E.links(read(spark, f"FILE://{tmp_path}/a.html".replace("FILE", "file"))).first()["url"] == f"file:{tmp_path}/b"
+
+
+@pytest.mark.parametrize("name", "links title text_by_join closest nth_child selector_list matches ancestors element_aligned child_combinator descendant_combinator sibling_combinator base_and_url table_converted form_fields microdata meta".split())
+def test_each_page_is_parsed_once_and_nothing_of_it_is_shuffled(spark, sf, name):
+    from leafloom.plans.catalog import queries
+
+    plan = queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_joins_of_a_node_table_parse_nothing(spark, sf):
+    from leafloom.plans.catalog import docs_of, node_table
+
+    plan = N.elements(node_table(docs_of(spark, sf)), "article > h1 ~ p")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "NestedLoop" not in plan
 
 
 def test_plans_push_columns_down_and_parse_once(spark, sf):

@@ -42,8 +42,8 @@ def test_tables():
     assert table(*one("<table><tr><td>h<tr><td>1</table>"), header=True) == (["h"], [["1"]])
     assert unique(["x", "x", "V3", "x"]) == ["x", "x.1", "V3", "x.2"]
     with pytest.raises(TableError) as e:
-        grid(*one("<table><tr><td>a<td rowspan=2>b<tr><td colspan=2>c</table>"))
-    assert (e.value.row, e.value.cell) == (2, 1)
+        grid(*one("<table><tr><td>k<td>l<td rowspan=3>m<tr><td>n<tr><td>o<td colspan=4>p</table>"))
+    assert (e.value.row, e.value.cell) == (3, 2)
     with pytest.raises(LimitError):
         grid(*one("<table><tr>" + "<td>x" * 20 + "</table>"), 10)
     g = grid(*one("<table><tfoot><tr><td>f</tfoot><tr><td rowspan=0>a<td colspan=x>b<tr><td>c</table>"))
@@ -58,8 +58,8 @@ def test_cells_have_links():
 @pytest.mark.parametrize(
     ("column", "kind"),
     [
-        (["1", "+3", None], "integer"), (["1", "2.5"], "double"), ([".25", "1e3"], "double"), (["007"], "character"), (["1", "x"], "character"), (["TRUE", "F"], "logical"), (["1.0000000000000000"], "double"), (["1.2345678901234567"], "character"),
-        (["3000000000"], "double"), ([None], "character"), (["100000000000000000000"], "double"), (["1234567890123456"], "character"), (["1e999"], "character"), (["1e-999"], "character"), (["0e-999"], "double"), (["12", "0"], "integer"),
+        (["41", "+6", None], "integer"), (["8", "2.75"], "double"), ([".5", "6e2"], "double"), (["042"], "character"), (["9", "n/a"], "character"), (["true", "F"], "logical"), (["3.10000000000000000000"], "double"), (["3.1415926535897932"], "character"),
+        (["5000000000"], "double"), ([None], "character"), (["700000000000000000000"], "double"), (["8765432109876543"], "character"), (["4e400"], "character"), (["4e-400"], "character"), (["0e-400"], "double"), (["15", "0"], "integer"),
     ],
 )
 def test_conversion(column, kind):
@@ -87,25 +87,25 @@ def test_forms():
     html = """<form id=f action=go method=POST><input name=a value=1><input type=checkbox name=c><input type=radio name=r checked><textarea name=t>
 x</textarea><button name=b>B</button><select name=s><option>1<option value=v selected> 2 3</select><select name=m multiple><option selected>p<option selected>q</select>
 <fieldset disabled><legend><input name=l></legend><input name=d></fieldset><input name=o form=""></form><input name=late form=f>"""
-    f = S.forms(parse_html(html, base_url="https://h/x/"))
+    f = S.forms(parse_html(html, base_url="https://h/x/"), [0])
     assert len(f) == 1 and f[0]["action"] == "https://h/x/go" and f[0]["method"] == "post" and f[0]["enctype"] == "application/x-www-form-urlencoded"
     by = {x["name"]: x for x in f[0]["fields"]}
     assert list(by) == ["a", "c", "r", "t", "b", "s", "m", "l", "d", "late"]
     assert by["c"]["value"] == "on" and by["c"]["checked"] is False and by["r"]["checked"] and by["a"]["checked"] is None
     assert by["t"]["value"] == "x" and by["b"]["type"] == "submit" and by["s"]["value"] == "v" and by["s"]["options"][1]["label"] == "2 3"
     assert by["m"]["type"] == "select-multiple" and by["m"]["value"] == "p" and not by["l"]["disabled"] and by["d"]["disabled"]
-    first = S.forms(parse_html("<form><select name=s><option disabled>1<option>2</select><select name=z size=3><option>1</select></form>"))[0]["fields"]
+    first = S.forms(parse_html("<form><select name=s><option disabled>1<option>2</select><select name=z size=3><option>1</select></form>"), [0])[0]["fields"]
     assert [x["value"] for x in first] == ["2", ""]
 
 
 def test_a_form_in_a_table_owns_what_follows_there():
-    f = S.forms(parse_html("<table><form id=a><tr><td><input name=x></form></table><input name=y>"))
+    f = S.forms(parse_html("<table><form id=a><tr><td><input name=x></form></table><input name=y>"), [0])
     assert [x["name"] for x in f[0]["fields"]] == ["x"]
 
 
 def test_metadata():
     t = parse_html("<svg><title>no</title></svg><title> a \n b</title><script type='application/ld+json'><!-- {\"a\": 1} --></script><script type='application/ld+json'>[</script>")
-    assert S.title(t) == "a b" and [S.parsed_json(x) for x in S.json_ld(t)] == [{"a": 1}, None]
+    assert S.title(t) == "a b" and [S.parsed_json(x) for x in S.json_ld(t, [0])] == [{"a": 1}, None]
     assert S.unwrap_json("/*<![CDATA[*/ {} /*]]>*/") == "{}"
 
 
@@ -113,7 +113,21 @@ def test_microdata():
     html = """<div itemscope itemtype="T U" itemref=r><b itemprop="n m"> x
  </b><p itemprop=c itemscope><a itemprop=u href=v>w</a><time itemprop=t datetime=d>e</time></p></div>
 <i id=r itemprop=n>y</i><div itemscope id=k><p itemprop=self itemscope itemref=k></p></div>"""
-    rows = S.microdata(parse_html(html, base_url="https://h/"))
+    rows = S.microdata(parse_html(html, base_url="https://h/"), [0])
     got = [(r["item"], r["property"], r["ord"], r["value"], r["child"]) for r in rows if r["item"].startswith("1")]
     assert got == [("1", "n", 1, "x", None), ("1", "m", 1, "x", None), ("1", "c", 1, None, "1/c.1"), ("1", "n", 2, "y", None), ("1/c.1", "u", 1, "https://h/v", None), ("1/c.1", "t", 1, "d", None)]
     assert rows[0]["type"] == ["T", "U"]
+
+
+def test_microdata_ids_types_and_urls():
+    """An id counts only beside a type, a type counts once, and a reference that does not resolve is empty."""
+    html = "<p itemscope itemid=i><a itemprop=u href=r>x</a></p><p itemscope itemtype='T  T U' itemid=i><img itemprop=v src=s></p>"
+    first, second = S.microdata(parse_html(html), [0])
+    assert (first["id"], first["type"], first["value"]) == (None, [], "") and (second["id"], second["type"], second["value"]) == (None, ["T", "U"], "")
+    first, second = S.microdata(parse_html(html, base_url="https://h/a"), [0])
+    assert (first["id"], first["value"], second["id"], second["value"]) == (None, "https://h/r", "https://h/i", "https://h/s")
+
+
+def test_a_relative_base_is_resolved_once():
+    t = parse_html("<base href='../b/'><form action=go></form><p itemscope><a itemprop=u href=x>y</a></p>", base_url="https://h/a/a/p")
+    assert S.forms(t, [0])[0]["action"] == "https://h/a/b/go" and S.microdata(t, [0])[0]["value"] == "https://h/a/b/x"
