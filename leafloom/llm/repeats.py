@@ -15,7 +15,7 @@ each group one suffix, not one for each text.
 
 Edge cases: null and empty texts, and texts of under 50 bytes, lose nothing. Rows with a null key count as larger than all
 others. Rows with equal keys never shadow each other, so repeated rows keep what only they hold. An empty table gives an empty
-result. Other columns are kept; their names must not begin with an underscore.
+result. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafloom.llm.common import bounded_parts, give_back, table, text_of
+from leafloom.llm.common import bounded_parts, free_names, give_back, table, text_of
 from leafloom.llm.suffixes import LENGTH, REACH, WIDTH, Run, anchors, common, covered, decoded, front_code, merge, sort, suffixes, unpack
 
-GROUP_BYTES = 4 << 20
+#: Texts of a group, and texts whose hashes or suffixes meet in a part: parts are fewer than groups, so that what a group sends to each
+#: of them is not a handful of hashes in a row of its own.
+GROUP_BYTES, PART_BYTES = 8 << 20, 16 << 20
 #: In place of a document of the group: several hold the hash, and none of them has to be told.
 SEVERAL = 0xFFFFFFFF
 LAST = (1 << 63) - 1
@@ -52,13 +54,15 @@ def _arrays(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _ordered(group: pa.Table, key: str, text: str) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """The rows' order by hash, and in that order texts, documents and row keys: the group's number and the row's in it."""
-    keys = group.column("_k").to_numpy()
+def _ordered(group: pa.Table, key: str, text: str, row: str, number: str) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """The rows' order by hash, and in that order texts, documents and row keys: the group's number and the row's in it.
+
+    row, number: columns of the rows' hashes and of the group's number."""
+    keys = group.column(row).to_numpy()
     order = np.argsort(keys, kind="stable")
     docs = group.column(key).cast(pa.int64()).fill_null(LAST).to_numpy()
     raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in group.column(text)]
-    return order, [raw[i] for i in order.tolist()], docs[order], (group.column("_g")[0].as_py() << 32) + np.arange(len(order))
+    return order, [raw[i] for i in order.tolist()], docs[order], (group.column(number)[0].as_py() << 32) + np.arange(len(order))
 
 
 def _several(of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,15 +97,15 @@ def _spans(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[in
     return [(p, _blob(*(x[order[a:b]].astype(k) for x, k in ((key, "<i8"), (start, "<i4"), (end, "<i4"))))) for p, a, b in _split(g)]
 
 
-def asking(key: str, text: str, n: int) -> Callable[[pa.Table], pa.Table]:
+def asking(key: str, text: str, row: str, number: str, n: int) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
         give_back()
-        _, texts, _, _ = _ordered(group, key, text)
+        _, texts, _, _ = _ordered(group, key, text, row, number)
         of, _, h = anchors(texts)
         h, of, several = _several(of, h)
         who = np.where(several, SEVERAL, of).astype("<u4")
         rows = [(p, _blob(np.diff(h[a:b], prepend=np.uint64(0)).astype("<u8"), who[a:b])) for p, a, b in _split(_part(h, n))]
-        g = group.column("_g")[0].as_py()
+        g = group.column(number)[0].as_py()
         return pa.table({"part": pa.array([p for p, _ in rows], pa.int32()), "g": pa.array([g] * len(rows), pa.int64()), "data": pa.array([d for _, d in rows], pa.binary())})
 
     return run
@@ -126,12 +130,12 @@ def answering(asked: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array([p for p, _ in rows], pa.int64()), "data": pa.array([d for _, d in rows], pa.binary())})
 
 
-def sorting(key: str, text: str, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def sorting(key: str, text: str, row: str, number: str, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(group: pa.Table, told: pa.Table) -> pa.Table:
         give_back()
         out: list[tuple[int, int | None, bytes]] = []
         if group.num_rows:
-            _, texts, docs, keys = _ordered(group, key, text)
+            _, texts, docs, keys = _ordered(group, key, text, row, number)
             of, place, h = anchors(texts)
             here, _, several = _several(of, h)
             answers = [_arrays(d, "<u8", "<u4") for d in told.column("data").to_pylist()]
@@ -217,18 +221,20 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 def repeated(docs: DataFrame, make: Callable, schema: T.StructType, key: str = "doc_id", text: str = "text") -> DataFrame:
     """make(rows, texts, spans) of each group of rows: an Arrow table of `schema`. rows: `docs`' columns; spans: what repeats in each text."""
-    size, n = bounded_parts(docs, F.octet_length(text), GROUP_BYTES)
-    n = max(8, n)
+    _, groups = bounded_parts(docs, F.octet_length(text), GROUP_BYTES)
+    groups = max(8, groups)
+    n = max(8, -(-groups * GROUP_BYTES // PART_BYTES))
     names = docs.columns
-    dealt = docs.withColumn("_k", F.xxhash64(F.col(key), text_of(text))).withColumn("_g", F.pmod("_k", F.lit(n)))
-    asked = dealt.groupBy("_g").applyInArrow(asking(key, text, n), "part int, g long, data binary")
+    row, number = free_names(docs, "row_hash", "group_number")
+    dealt = docs.withColumn(row, F.xxhash64(F.col(key), text_of(text))).withColumn(number, F.pmod(F.col(row), F.lit(groups)))
+    asked = dealt.groupBy(number).applyInArrow(asking(key, text, row, number, n), "part int, g long, data binary")
     told = asked.groupBy("part").applyInArrow(answering, "g long, data binary")
-    runs = dealt.groupBy("_g").cogroup(told.groupBy("g")).applyInArrow(sorting(key, text, n), "part int, g long, data binary")
+    runs = dealt.groupBy(number).cogroup(told.groupBy("g")).applyInArrow(sorting(key, text, row, number, n), "part int, g long, data binary")
     found = runs.groupBy("part").applyInArrow(merging, "g long, data binary")
 
     def finish(group: pa.Table, spans: pa.Table) -> pa.Table:
         give_back()
-        order, texts, _, keys = _ordered(group, key, text)
+        order, texts, _, keys = _ordered(group, key, text, row, number)
         got = [_arrays(d, "<i8", "<i4", "<i4") for d in spans.column("data").to_pylist()]
         k, start, end = (np.concatenate([x[i] for x in got]) for i in range(3)) if got else (np.empty(0, np.int64),) * 3
         by = np.argsort(k, kind="stable")
@@ -242,7 +248,7 @@ def repeated(docs: DataFrame, make: Callable, schema: T.StructType, key: str = "
             raw[i] = t
         return make(group.select(names), raw, out)
 
-    return dealt.groupBy("_g").cogroup(found.groupBy("g")).applyInArrow(finish, schema)
+    return dealt.groupBy(number).cogroup(found.groupBy("g")).applyInArrow(finish, schema)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

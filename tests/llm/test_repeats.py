@@ -41,6 +41,7 @@ def corpus(prose):
 @pytest.mark.parametrize("size", [4 << 20, 700])
 def test_as_by_brute_force(spark, prose, size, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP_BYTES", size)
+    monkeypatch.setattr(repeats, "PART_BYTES", 3 * size)
     rows = corpus(prose)
     got = repeats.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r[0]), *r[1:]) for r in got) == brute(rows)
@@ -85,3 +86,10 @@ def test_prefix():
         b[n] = 1
         assert prefix(a, bytes(b), 0) == n and prefix(a, bytes(b), min(n, 3)) == n
     assert prefix(a, a, 7) == WIDTH
+
+
+def test_names_that_operators_use_inside(spark, prose):
+    rows = [(k, t, 7, 8, 9) for k, t in corpus(prose)[:12]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k int, row_hash int, group_number int")
+    out = repeats.remove(docs)
+    assert out.columns == docs.columns and {tuple(r)[2:] for r in out.collect()} == {(7, 8, 9)} and out.count() == 12
