@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm import bpe, mixing, neardup, quality, repeats
-from leafloom.llm.common import table, text_of, work_path
+from leafloom.llm.common import discard, table, text_of, work_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Passes over the rarest source, at most, where sources are evened out.
@@ -21,7 +21,7 @@ MAX_REPEATS = 2.0
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their host's allowance."""
+    """Documents that pass the base rules and what their host's verdict allows."""
     return quality.filtered(docs.select(COLUMNS))
 
 
@@ -51,12 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result but the last is written to the shared folder and read again, and deleted when the next
+    one is written. The last of these is what the result reads; it stays."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = work_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            discard(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
