@@ -50,12 +50,11 @@ def paragraphs(text: Column) -> Column:
     return F.filter(words, lambda w: F.size(w) > 0)
 
 
-def exact(paras: Column) -> Column:
-    """The EXACT lanes of paragraphs, an array of numbers."""
-    low = F.lit(EXACT_MOD - 1)
-    hashes = lambda w: F.array(*(F.xxhash64(F.lit(i), F.array_join(w, " ")) for i in range(EXACT // 2)))
-    lanes = lambda w: F.flatten(F.transform(hashes(w), lambda h: F.array(h.bitwiseAND(low), F.shiftrightunsigned(h, 32))))
-    return F.aggregate(paras, F.array_repeat(F.lit(0).cast("long"), EXACT), lambda acc, w: F.zip_with(acc, lanes(w), lambda a, b: (a + b) % EXACT_MOD))
+def exact(joined: Column) -> Column:
+    """The EXACT lanes of paragraphs, whose words are joined by a space: an array of numbers."""
+    total = lambda i, part: F.aggregate(F.transform(joined, lambda p: part(F.xxhash64(F.lit(i), p))), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    halves = (lambda h: h.bitwiseAND(F.lit(EXACT_MOD - 1)), lambda h: F.shiftrightunsigned(h, 32))
+    return F.array(*(total(i, part) % EXACT_MOD for i in range(EXACT // 2) for part in halves))
 
 
 def _hex(lanes: Column, digits: int) -> Column:
@@ -63,9 +62,10 @@ def _hex(lanes: Column, digits: int) -> Column:
 
 
 def runs(words: Column) -> Column:
-    """Hashes of a paragraph's runs of SHINGLE words; a shorter paragraph is one run."""
-    at = lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(SHINGLE)))
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - SHINGLE)), at)
+    """The runs of SHINGLE words of a paragraph as structs; a shorter paragraph is one run."""
+    n = F.size(words)
+    short = F.array(F.struct(*(F.get(words, F.lit(k)).alias(str(k)) for k in range(SHINGLE))))
+    return F.when(n < SHINGLE, short).otherwise(F.arrays_zip(*(F.slice(words, k + 1, n - SHINGLE + 1).alias(str(k)) for k in range(SHINGLE))))
 
 
 def _signed(c: Column) -> Column:
@@ -74,29 +74,32 @@ def _signed(c: Column) -> Column:
 
 
 def sketches(rows: DataFrame, keys: list[str], parts: dict[str, str]) -> DataFrame:
-    """`keys` and an array of (lane, a sum for each name in `parts`, which names columns of paragraphs) of rows that hold words.
+    """`keys` and an array of all SKETCH lanes in order, as structs of a sum for each name in `parts`, which names columns of paragraphs.
 
     Where `keys` hold the columns by which `rows` is partitioned, nothing is shuffled."""
-    each = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(i).alias("of"), F.col(c).alias("p")) for i, c in enumerate(parts.values())))).alias("x"))
-    hashed = each.select(*keys, "x.of", F.explode(F.flatten(F.transform("x.p", runs))).alias("h"))
+    # one paragraph more, of the lanes' numbers, which weighs nothing: so that every lane of every row is there
+    every = F.struct(F.lit(-1).alias("of"), F.array(F.array(*(F.lit(str(i)) for i in range(SKETCH)))).alias("p"))
+    each = rows.select(*keys, F.explode(F.array(every, *(F.struct(F.lit(i).alias("of"), F.col(c).alias("p")) for i, c in enumerate(parts.values())))).alias("x"))
+    lines = each.select(*keys, "x.of", F.explode("x.p").alias("w"))
+    alone = F.arrays_zip(F.col("w").alias("0"), *(F.array().cast("array<string>").alias(str(k)) for k in range(1, SHINGLE)))
+    found = lines.select(*keys, "of", F.explode(F.when(F.col("of") < 0, alone).otherwise(runs(F.col("w")))).alias("s"))
+    hashed = found.select(*keys, "of", F.when(F.col("of") < 0, F.col("s.0").cast("long")).otherwise(F.xxhash64(*(f"s.{k}" for k in range(SHINGLE)))).alias("h"))
     sign = F.when(F.shiftright("h", 32).bitwiseAND(F.lit(1)) == 0, 1).otherwise(-1)
     sums = hashed.groupBy(*keys, F.pmod("h", F.lit(SKETCH)).cast("int").alias("lane")).agg(*(F.sum(F.when(F.col("of") == i, sign).otherwise(0)).alias(name) for i, name in enumerate(parts)))
     return sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lane", *parts))).alias("lanes"))
 
 
 def sketch_text(lanes: Column) -> Column:
-    """The lanes (lane, n) that are not 0: two hex digits of the lane, four of the sum."""
-    there = F.filter(lanes, lambda x: x["n"] != 0)
-    return F.array_join(F.transform(there, lambda x: F.concat(F.lpad(F.lower(F.hex(x["lane"])), 2, "0"), F.lpad(F.lower(F.hex(F.pmod(x["n"], F.lit(SKETCH_MOD)))), 4, "0"))), "")
+    """An array of lanes, those that are not 0: two hex digits of the lane, four of the sum."""
+    digits = F.transform(lanes, lambda n, i: F.when(n != 0, F.concat(F.lpad(F.lower(F.hex(i)), 2, "0"), F.lpad(F.lower(F.hex(F.pmod(n, F.lit(SKETCH_MOD)))), 4, "0"))))
+    return F.array_join(digits, "")  # nulls are left out
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The cosine of two sketches (arrays of lane, n), from 0 to 1; two empty ones are alike."""
-    square = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda acc, y: acc + y["n"] * y["n"])
-    held = F.map_from_entries(F.transform(b, lambda y: F.struct(y["lane"], y["n"])))
-    dot = F.aggregate(a, F.lit(0).cast("long"), lambda acc, y: acc + y["n"] * F.coalesce(F.try_element_at(held, y["lane"]), F.lit(0)))
-    aa, bb = square(a), square(b)
-    both = F.when((aa == 0) & (bb == 0), 1.0).when((aa == 0) | (bb == 0), 0.0).otherwise(dot / F.sqrt(aa.cast("double") * bb))
+    """The cosine of two sketches (arrays of lanes), from 0 to 1; two empty ones are alike."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0).cast("long"), lambda acc, v: acc + v)
+    aa, bb = dot(a, a), dot(b, b)
+    both = F.when((aa == 0) & (bb == 0), 1.0).when((aa == 0) | (bb == 0), 0.0).otherwise(dot(a, b) / F.sqrt(aa.cast("double") * bb))
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), both))
 
 
@@ -117,13 +120,13 @@ def combine(a: Column, b: Column, take_away: bool = False) -> Column:
     first = F.zip_with(numbers(a), numbers(b), lambda x, y: F.pmod(x + sign * y, F.lit(EXACT_MOD)))
     of = lambda m, i: F.coalesce(F.try_element_at(m, i), F.lit(0))
     p, q = lanes(a), lanes(b)
-    second = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SKETCH - 1).cast("long")), lambda i: F.struct(i.alias("lane"), _signed(of(p, i) + sign * of(q, i)).alias("n")))
+    second = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SKETCH - 1).cast("long")), lambda i: _signed(of(p, i) + sign * of(q, i)))
     return F.concat(_hex(first, 8), F.lit(":"), sketch_text(second))
 
 
 def successors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """bucket, at (from 1 in the bucket), key, text, and of the row with the next key its next_bucket, next_at and next_text; the last
-    row's next one is the first.
+    """bucket, at (from 1 in the bucket), key, text, next_text, the text of the row with the next key (the last row's next one is the first),
+    and last, whether that is a row of another bucket.
 
     The result is partitioned by bucket."""
     rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
@@ -133,10 +136,8 @@ def successors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     dealt = rows.repartition("bucket")
     held = dealt.select("bucket", F.row_number().over(inside).alias("at"), "key", "text", F.lead("text").over(inside).alias("inner"))
     first = held.where("at = 1").select(F.col("bucket").alias("of"), F.col("text").alias("outer"))
-    outer = _following(rows.groupBy("bucket").agg(F.count("*").alias("n"))).join(first, F.col("to") == F.col("of")).select("bucket", "to", "outer")
-    last = F.col("inner").isNull()
-    both = held.join(outer, "bucket", "left")
-    return both.select("bucket", "at", "key", "text", F.when(last, F.col("to")).otherwise(F.col("bucket")).alias("next_bucket"), F.when(last, 1).otherwise(F.col("at") + 1).alias("next_at"), F.coalesce("inner", "outer").alias("next_text"))
+    outer = _following(rows.groupBy("bucket").agg(F.count("*").alias("n"))).join(first, F.col("to") == F.col("of")).select("bucket", "outer")
+    return held.join(outer, "bucket", "left").select("bucket", "at", "key", "text", F.coalesce("inner", "outer").alias("next_text"), F.col("inner").isNull().alias("last"))
 
 
 def _following(buckets: DataFrame) -> DataFrame:
@@ -178,24 +179,24 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     cut = F.substring_index(F.left("text", n - k), "\n", -1)  # what stands before the cut in its paragraph
     pairs = successors(docs, key, text)
     at = ["bucket", "at"]
+    nothing = F.array().cast("array<array<string>>")
     split = pairs.select(
-        *at, "key", "next_bucket", "next_at", n.cast("long").alias("n_chars"), F.sha2(F.concat(F.left("text", n - k), F.left("next_text", k)), 256).alias("edited_sha256"),
-        paragraphs(F.col("text")).alias("own"), paragraphs(F.concat(cut, F.right("text", k))).alias("gone"), paragraphs(F.concat(cut, F.left("next_text", k))).alias("come"),
+        *at, "key", n.cast("long").alias("n_chars"), F.sha2(F.concat(F.left("text", n - k), F.left("next_text", k)), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.concat(cut, F.right("text", k))).alias("gone"),
+        paragraphs(F.concat(cut, F.left("next_text", k))).alias("come"), F.when(F.col("last"), paragraphs(F.col("next_text"))).otherwise(nothing).alias("after"),
     )
-    three = [exact(F.col(c)) for c in ("own", "gone", "come")]
-    lanes = split.select(*at, "key", "next_bucket", "next_at", "n_chars", "edited_sha256", *(x.alias(f"e{i}") for i, x in enumerate(three)))
+    joined = split.select(*at, "key", "n_chars", "edited_sha256", *(F.transform(c, lambda w: F.array_join(w, " ")).alias(c) for c in ("own", "gone", "come")))
+    lanes = joined.select(*at, "key", "n_chars", "edited_sha256", *(exact(F.col(c)).alias(f"e{i}") for i, c in enumerate(("own", "gone", "come"))))
     edited = F.zip_with("e0", F.zip_with("e2", "e1", lambda x, y: x - y), lambda x, y: F.pmod(x + y, F.lit(EXACT_MOD)))
-    plain = lanes.select(*at, "key", "next_bucket", "next_at", "n_chars", "edited_sha256", _hex(F.col("e0"), 8).alias("f0"), _hex(edited, 8).alias("f1"))
-    sums = sketches(split, at, {"own": "own", "gone": "gone", "come": "come"})
-    one = lambda n: F.transform("lanes", lambda x: F.struct(x["lane"].alias("lane"), _signed(n(x)).alias("n")))
-    sketch = sums.select(*at, one(lambda x: x["own"]).alias("s0"), one(lambda x: x["own"] - x["gone"] + x["come"]).alias("s1"))
-    both = plain.join(sketch, at, "left")
-    after = sketch.select(F.col("bucket").alias("next_bucket"), F.col("at").alias("next_at"), F.col("s0").alias("s2"))
-    none = F.array().cast("array<struct<lane: int, n: bigint>>")
-    s0, s1, s2 = (F.coalesce(c, none) for c in ("s0", "s1", "s2"))
-    short = both.select("next_bucket", "next_at", "key", "n_chars", "edited_sha256", F.concat("f0", F.lit(":"), sketch_text(s0)).alias("fingerprint"), F.concat("f1", F.lit(":"), sketch_text(s1)).alias("edited_fingerprint"), likeness(s0, s1).alias("near_edited"), F.filter(s0, lambda x: x["n"] != 0).alias("s0"))
-    out = short.join(after, ["next_bucket", "next_at"], "left")
-    return out.select(F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness(F.coalesce("s0", none), s2).alias("near_next"))
+    plain = lanes.select(*at, "key", "n_chars", "edited_sha256", _hex(F.col("e0"), 8).alias("f0"), _hex(edited, 8).alias("f1"))
+    sums = sketches(split, at, {"own": "own", "gone": "gone", "come": "come", "after": "after"})
+    one = lambda n: F.transform("lanes", lambda x: _signed(n(x)))
+    sketch = sums.select(*at, one(lambda x: x["own"]).alias("s0"), one(lambda x: x["own"] - x["gone"] + x["come"]).alias("s1"), one(lambda x: x["after"]).alias("s2"))
+    order = Window.partitionBy("bucket").orderBy("at")
+    both = plain.join(sketch, at).withColumn("s2", F.coalesce(F.lead("s0").over(order), "s2"))
+    return both.select(
+        F.col("key").alias(key), "n_chars", "edited_sha256", F.concat("f0", F.lit(":"), sketch_text(F.col("s0"))).alias("fingerprint"), F.concat("f1", F.lit(":"), sketch_text(F.col("s1"))).alias("edited_fingerprint"),
+        likeness(F.col("s0"), F.col("s1")).alias("near_edited"), likeness(F.col("s0"), F.col("s2")).alias("near_next"),
+    )
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
