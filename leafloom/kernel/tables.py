@@ -182,14 +182,14 @@ def convert(column: list[str | None], decimal: str = ".", thousands: str | None
         raise InputError("decimal and thousands must differ", "thousands")
     thousands = " " if thousands == "\xa0" else thousands  # cleaned text has plain spaces
     d = re.escape(decimal)
-    plain = []
+    plain, number = [], re.compile(_NUM.format(d=d))
     for v in there:
         v = v.strip(" \t\n\r\f")
         if thousands and thousands in v:
             if not re.fullmatch(rf"[+-]?\d{{1,3}}(?:{re.escape(thousands)}\d{{3}})+(?:{d}\d*)?", v):
                 return "character", list(column)
             v = v.replace(thousands, "")
-        if not re.fullmatch(_NUM.format(d=d), v):
+        if not number.fullmatch(v):
             return "character", list(column)
         v = v.replace(decimal, ".")
         digits = re.sub(r"[eE].*", "", v.lstrip("+-"))

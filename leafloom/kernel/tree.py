@@ -151,6 +151,7 @@ class Builder:
         self.public = self.system = None
         self.quirks = "no-quirks"
         self.stack: list[Node] = []
+        self.paragraphs = 0  # open ones, at most: where there are none, no scope has to be searched for one
         self.formatting: list[Node | None] = []
         self.head = self.form = None
         self.mode, self.original = "initial", None
@@ -204,11 +205,13 @@ class Builder:
 
     def push(self, node: Node) -> None:
         self.stack.append(node)
+        self.paragraphs += node.name == "p"
         if len(self.stack) > self.limits.max_depth:
             raise LimitError("max_depth", self.limits.max_depth, len(self.stack))
 
     def pop(self) -> Node:
         node = self.stack.pop()
+        self.paragraphs -= node.name == "p"
         if node.name == "option" and node.ns == HTML:
             self.option_done(node)
         return node
@@ -234,7 +237,7 @@ class Builder:
         return False
 
     def in_button_scope(self, names) -> bool:
-        return self.in_scope(names, _BUTTON)
+        return (self.paragraphs > 0 or names != ("p",)) and self.in_scope(names, _BUTTON)
 
     def in_list_scope(self, names) -> bool:
         return self.in_scope(names, _LISTS)
