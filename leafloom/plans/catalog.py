@@ -534,14 +534,14 @@ def disabled_fields(spark, sf_dir):
 
 @query(
     """SELECT l_orderkey AS page_id, name, CASE name WHEN 'price' THEN 'double' WHEN 'open' THEN 'logical' ELSE 'character' END AS col_type,
-  sum(CASE name WHEN 'price' THEN l_extendedprice WHEN 'open' THEN (l_linestatus = 'O')::INT ELSE 0 END) AS total FROM lineitem, (VALUES ('price'), ('open'), ('code')) AS c(name) GROUP BY l_orderkey, name"""
+  sum(CASE name WHEN 'price' THEN round(l_extendedprice * 100)::BIGINT WHEN 'open' THEN (l_linestatus = 'O')::BIGINT ELSE 0 END)::BIGINT AS total FROM lineitem, (VALUES ('price'), ('open'), ('code')) AS c(name) GROUP BY l_orderkey, name"""
 )
 def column_types(spark, sf_dir):
     l = read(spark, sf_dir, "lineitem")
     row = markup("<tr><td>", F.format_string("%.2f", F.col("l_extendedprice")), "<td>", F.when(F.col("l_linestatus") == "O", "TRUE").otherwise("F"), "<td>00", F.col("l_linenumber"))
     pages = gathered(l, "l_orderkey", "l_linenumber", row, "<table><tr><th>price<th>open<th>code", "</table><table><tr><td>other</table>")
     t = E.tables(Pages(pages), "table:first-child", match="price", convert_types=True)
-    total = F.when(F.col("name") == "price", F.col("number")).when(F.col("name") == "open", F.col("flag").cast("double")).otherwise(0.0)
+    total = F.when(F.col("name") == "price", F.round(F.col("number") * 100).cast("long")).when(F.col("name") == "open", F.col("flag").cast("long")).otherwise(0)
     return t.groupBy("page_id", "name", "col_type").agg(F.sum(total).alias("total"))
 
 
@@ -587,7 +587,7 @@ def limits(spark, sf_dir):
     return docs.select("page_id", "error.limit", "error.maximum", F.least("error.observed", F.when(F.col("error.limit") == "max_nodes", 31).otherwise(1000)).alias("observed"))
 
 
-@query("SELECT s_suppkey AS page_id, 'duplicate-attr' AS code, 'tokenizer' AS stage, 2 AS line, 15 + length(s_suppkey::VARCHAR) AS \"column\" FROM supplier")
+@query("SELECT s_suppkey AS page_id, 'duplicate-attr' AS code, 'tokenizer' AS stage, 2 AS line, (15 + length(s_suppkey::VARCHAR))::INT AS \"column\" FROM supplier")
 def problem_places(spark, sf_dir):
     """A second attribute of the same name, on the second line."""
     s = read(spark, sf_dir, "supplier")
