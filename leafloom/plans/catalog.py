@@ -207,7 +207,22 @@ def page_markup_pretty(spark, sf_dir):
     return E.serialize(docs_of(spark, sf_dir), pretty=True).select("page_id", "markup")
 
 
-@query()
+# By marks: 1 for a line break, 2 for the edge of a block. Breaks swallow what is around them, edges swallow white space.
+_BLOCK_TAGS = "html|head|title|body|nav|ul|li|div|article|h1|h2|h3|p|footer"
+_STEPS = [r"(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>", r"<br>", rf"</?(?:{_BLOCK_TAGS})(?:\s[^>]*)?>", r"<[^>]*>"]
+
+
+def _page_text_sql() -> str:
+    c = "html"
+    for pattern, by in zip(_STEPS, ("''", "chr(1)", "chr(2)", "''"), strict=True):
+        c = f"regexp_replace({c}, '{pattern}', {by}, 'g')"
+    c = _UNESCAPE.format(f"replace({c}, '&gt;', '>')")
+    for pattern, by in ((r"[\s\x02]*\x01[\s\x02]*", "chr(1)"), (r"\s*\x02[\s\x02]*", "chr(2)"), (r"[ \t\n\r\f]+", "' '"), (r"^[\x01\x02 ]+|[\x01\x02 ]+$", "''"), (r"[\x01\x02]", "chr(10)")):
+        c = f"regexp_replace({c}, '{pattern}', {by}, 'g')"
+    return f"SELECT page_id, {c} AS text FROM pages"
+
+
+@query(_page_text_sql())
 def page_text(spark, sf_dir):
     return E.text_clean(docs_of(spark, sf_dir)).select("page_id", "text")
 
