@@ -89,6 +89,31 @@ def test_pairs_of_outsiders_in_a_hot_bucket(spark, prose, monkeypatch, block, fe
     assert sorted((str(a), str(b)) for a, b in got) == brute(rows)
 
 
+def test_a_hot_cluster_as_by_brute_force(spark, prose):
+    """500 texts at 0.3 to 1 to one base, with real bands: most pairs meet in a bucket, and few of those outside the core are links."""
+    r, base = random.Random(11), prose(900, 150).split()
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for at in r.sample(range(len(words)), r.choice([0, 1, 2, 3, 4, 6, 9, 14])):
+            words[at] = f"e{r.randint(0, 40)}"
+        rows.append((i, " ".join(words)))
+    ids, counts, of = shingles([t.encode() for _, t in rows])
+    kinds, place = np.unique(ids, return_inverse=True)
+    held = np.zeros((len(rows), len(kinds)), dtype=np.float32)
+    held[of, place] = counts
+    common = sum((held >= n).astype(np.float32) @ (held >= n).astype(np.float32).T for n in range(1, int(held.max()) + 1))
+    size = held.sum(axis=1)
+    near = np.argwhere(np.triu(common / (size[:, None] + size[None, :] - common) >= THRESHOLD - 1e-6, 1)).tolist()
+    class_of = {a: c for a, c in classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id").collect()}
+    assert len(near) > 5000 and all(class_of[a] == class_of[b] for a, b in near)
+    up = list(range(len(rows)))
+    top = lambda i: i if up[i] == i else top(up[i])
+    for a, b in near:
+        up[max(top(a), top(b))] = min(top(a), top(b))
+    assert len(set(class_of.values())) == len({top(i) for i in range(len(rows))}) > 20
+
+
 def test_empty_table(no_docs):
     assert classes(no_docs).count() == 0 and deduplicate(no_docs).count() == 0
 
