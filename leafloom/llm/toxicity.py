@@ -111,6 +111,11 @@ def intersect(word: str, root: dict, edits: int = 1) -> list[tuple[str, int]]:
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
+def shorter(word: str) -> Iterator[str]:
+    """The word without one of its letters."""
+    return (word[:i] + word[i + 1 :] for i in range(len(word)))
+
+
 @dataclass
 class Lexicon:
     """Terms with weights; stems match words that begin with them."""
@@ -121,10 +126,8 @@ class Lexicon:
     def __post_init__(self):
         fuzzy = [w for w in self.words if len(w) >= FUZZY_LEN]
         self.trie = trie(fuzzy)
-        # one edit leaves the first or the second half of a term as it is: what shares neither need not be walked
-        self.halves = {(w[: len(w) // 2], n) for w in fuzzy for n in (len(w) - 1, len(w), len(w) + 1)} | {(w[len(w) // 2 :], -n) for w in fuzzy for n in (len(w) - 1, len(w), len(w) + 1)}
-        self.first = sorted({len(h) for h, n in self.halves if n > 0})
-        self.second = sorted({len(h) for h, n in self.halves if n < 0})
+        # words within one edit of each other are equal, or become so by taking a letter from one or from both: no others need be walked
+        self.near = {v for w in fuzzy for v in (w, *shorter(w))}
         self.lengths = sorted({len(s) for s in self.stems})
 
     def kind(self, word: str) -> tuple[float, bool] | None:
@@ -134,8 +137,7 @@ class Lexicon:
         for n in self.lengths:
             if len(word) >= n and (w := self.stems.get(word[:n])) is not None:
                 return w, False
-        n = len(word)
-        if any((word[:k], n) in self.halves for k in self.first) or any((word[-k:], -n) in self.halves for k in self.second):
+        if word in self.near or any(v in self.near for v in shorter(word)):
             if found := intersect(word, self.trie):
                 return self.words[found[0][0]], True
         return None
@@ -211,18 +213,25 @@ def learn_lexicon(toxic: list[str], other: list[str]) -> Lexicon:
     for i, ws in enumerate(sets):
         for t in terms(ws) & open_:
             where[t].add(i)
-    chosen, covered = Lexicon(), set()
-    while where:
-        rank = {t: g2(sum(i < m for i in s), sum(i >= m for i in s), m, n) if sum(i < m for i in s) * n > sum(i >= m for i in s) * m else 0.0 for t, s in where.items()}
-        best = max(where, key=lambda t: (rank[t], not t[1], t[0]))
+    chosen = Lexicon()
+    texts = {t: (sum(i < m for i in s), sum(i >= m for i in s)) for t, s in where.items()}
+    strength = lambda a, b: g2(a, b, m, n) if a * n > b * m else 0.0
+    rank = {t: strength(*texts[t]) for t in where}
+    while rank:
+        best = max(rank, key=lambda t: (rank[t], not t[1], t[0]))
         if rank[best] < LEAST_G2:
             break
-        a, b = (sum(i < m for i in where[best]), sum(i >= m for i in where[best]))
-        (chosen.stems if best[1] else chosen.words)[best[0]] = max(0.1, weight(a, b))
+        (chosen.stems if best[1] else chosen.words)[best[0]] = max(0.1, weight(*texts[best]))
+        del rank[best]
         covered = {i for i in where.pop(best) if i < m}
         # texts that this term explains count no more for terms that contain it; others keep them
-        where = {t: (s - covered if t[0].startswith(best[0]) or best[0].startswith(t[0]) else s) for t, s in where.items()}
-        where = {t: s for t, s in where.items() if sum(i < m for i in s) >= LEAST_TEXTS}
+        for t in [t for t in rank if t[0].startswith(best[0]) or best[0].startswith(t[0])]:
+            where[t] -= covered
+            texts[t] = sum(i < m for i in where[t]), texts[t][1]
+            if texts[t][0] < LEAST_TEXTS:
+                del rank[t]
+            else:
+                rank[t] = strength(*texts[t])
     return Lexicon(chosen.words, chosen.stems)
 
 
