@@ -12,6 +12,7 @@ from leafloom.llm.fingerprints import op9_fingerprints
 from leafloom.llm.licenses import OP1_SQL, op1_licenses
 from leafloom.llm.mixing import OP5_SQL, op5_mixing
 from leafloom.llm.neardup import op2_neardup
+from leafloom.llm.packing import op13_packing
 from leafloom.llm.quality import OP7_SQL, op7_quality
 from leafloom.llm.repeats import op3_repeats
 from leafloom.llm.sharding import op10_sharding
@@ -21,7 +22,7 @@ from leafloom.llm.warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_licenses": op1_licenses, "op2_neardup": op2_neardup, "op3_repeats": op3_repeats, "op4_bpe": op4_bpe, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_sharding": op10_sharding, "op11_audit": op11_audit, "op12_spelling": op12_spelling}
+    return {"op1_licenses": op1_licenses, "op2_neardup": op2_neardup, "op3_repeats": op3_repeats, "op4_bpe": op4_bpe, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_sharding": op10_sharding, "op11_audit": op11_audit, "op12_spelling": op12_spelling, "op13_packing": op13_packing}
 
 
 def oracle_sql() -> dict[str, str]:
