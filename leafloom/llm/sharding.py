@@ -3,9 +3,11 @@
 Equal texts form a group. Groups are packed in falling order of their largest share: each goes to the shard where the dot
 product of its demand with the shard's residual capacity is highest. Groups that hold over 1 / PARCELS of a shard in any
 dimension (there are at most three times SHARDS * PARCELS of them) are packed first, by the driver; one that outweighs half a
-shard is split by doc_id into pieces of a sixteenth of a shard. All other groups are dealt by hash to parcels of PARCEL_GROUPS, and each
-parcel is packed by a task of its own, group by group, into its part of the capacity that is left. Every parcel is balanced,
-therefore their sum is. Slots come from counts: rows are dealt to small blocks, offsets of blocks are summed, and rows are
+shard is split by doc_id into pieces of a sixteenth of a shard. All other groups fall into tiers by weight, each a TIER-th of the one
+before, and a tier's groups are dealt by hash to parcels of PARCEL_GROUPS. A parcel is packed by a task of its own, group by group, into its
+part of the capacity that is left. As its heaviest group weighs TIER times its lightest at most, no group outweighs what a shard gets
+of it, and the last groups even out what the first have left; a tier of few groups is packed in one parcel, and its groups are
+small against a shard. So every parcel is balanced, and their sum is. Slots come from counts: rows are dealt to small blocks, offsets of blocks are summed, and rows are
 numbered only within a block.
 
 Edge cases: a null text has the size 1, the checksum of the empty text, and belongs to the group of empty texts. Rows with
@@ -25,6 +27,8 @@ from leafloom.llm.common import cut, table, text_of
 SHARDS = 16
 #: Groups of over a shard's PARCELS-th part are packed by the driver; the others in parcels of about this many groups.
 PARCELS, PARCEL_GROUPS = 256, 8192
+#: Groups of a parcel differ by this factor in weight at most, but for those of the last of TIERS, of which each is next to nothing.
+TIER, TIERS = 8, 16
 #: Rows of a block in which slots are numbered.
 BLOCK_ROWS = 4096
 DIMENSIONS = ("size", "tokens", "rows")
@@ -52,12 +56,24 @@ def packing(shards: int, capacity: np.ndarray):
     def run(parcel: pa.Table) -> pa.Table:
         ordered = parcel.sort_by("group")  # ties do not depend on how rows arrive
         demands = np.column_stack([ordered.column(d).to_numpy().astype(float) for d in DIMENSIONS])
-        found = pack(demands, shards, None, capacity, int(parcel.column("parcel")[0].as_py() * 7 % shards))
+        found = pack(demands, shards, None, capacity, int((parcel.column("parcel")[0].as_py() * 7 + parcel.column("tier")[0].as_py() * 5) % shards))
         return pa.table({"group": ordered.column("group"), "shard": pa.array(found, pa.int32())})
 
     return run
 
 
+def by_parcels(groups: DataFrame, shards: int, capacity: np.ndarray) -> DataFrame:
+    """group and shard of the groups (group, size, tokens, rows, and weight: the largest share of a shard, 1 / PARCELS at most). It is read twice."""
+    tier = F.least(F.lit(TIERS - 1), F.floor(-F.log(float(TIER), F.col("weight") * PARCELS))).cast("int")
+    tiered = groups.withColumn("tier", tier)
+    counts = {r["tier"]: r["count"] for r in tiered.groupBy("tier").count().collect()}  # TIERS at most
+    parcels = F.lit(1)
+    for t, n in counts.items():
+        parcels = F.when(F.col("tier") == t, -(-n // PARCEL_GROUPS)).otherwise(parcels)
+    dealt = tiered.withColumn("parcel", F.pmod(F.xxhash64("group"), parcels))
+    return dealt.groupBy("tier", "parcel").applyInArrow(packing(shards, capacity), "group binary, shard int")
+
+
 def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """A row for each row of `docs`: key, size, tokens, text_crc32, shard, slot. Equal texts share a shard unless their group is split."""
     spark, t = docs.sparkSession, text_of(text)
@@ -83,9 +99,7 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     left = np.maximum(fair - load, 1e-6)  # where the parcels' groups go, shard by shard
     capacity = left / left.mean(axis=0)
     placed = spark.createDataFrame([(u["group"], u["piece"], int(s)) for u, s in zip(units, where, strict=True)], "group binary, piece int, shard int")
-    n_parcels = max(1, -(-total["groups"] // PARCEL_GROUPS))
-    light = groups.where(weight <= 1 / PARCELS).withColumn("parcel", F.pmod(F.xxhash64("group"), F.lit(n_parcels)))
-    packed = light.groupBy("parcel").applyInArrow(packing(shards, capacity), "group binary, shard int")
+    packed = by_parcels(groups.where(weight <= 1 / PARCELS).withColumn("weight", weight), shards, capacity)
     known = marked.where("piece IS NOT NULL").join(F.broadcast(placed), ["group", "piece"])
     others = marked.where("piece IS NULL").join(packed, "group")
     blocks = max(1, total["rows"] // (shards * BLOCK_ROWS))

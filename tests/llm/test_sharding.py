@@ -1,10 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafloom.llm import sharding
-from leafloom.llm.sharding import SHARDS, WEIGHTS, assign, op10_sharding, pack
+from leafloom.llm.sharding import DIMENSIONS, SHARDS, WEIGHTS, assign, op10_sharding, pack
 
 
 def check(rows, texts):
@@ -48,6 +49,27 @@ def test_groups_in_parcels(spark, prose, monkeypatch, groups):
         assert sums.max() / sums.min() < (1.05 if groups > 100 else 1.25)
 
 
+@pytest.mark.parametrize("uneven", [0.0, 0.001, 0.03])
+def test_long_tails_over_many_parcels(spark, monkeypatch, uneven):
+    """Some 500 parcels, sizes with a long tail and a heavy group for each parcel, capacities alike or not: each shard gets its part."""
+    monkeypatch.setattr(sharding, "PARCEL_GROUPS", 512)
+    rng, n = np.random.default_rng(7), 256_000
+    sizes = np.minimum(rng.pareto(1.1, n) * 400 + 30, 5e4)
+    sizes[:: n // 500] = 50_000
+    data = pa.table({"group": pa.array([i.to_bytes(16, "big") for i in range(n)], pa.binary()), "size": sizes.astype(np.int64), "tokens": (sizes / rng.uniform(3, 9, n)).astype(np.int64) + 1, "rows": rng.integers(1, 9, n)})
+    demands = np.column_stack([data.column(d).to_numpy().astype(float) for d in DIMENSIONS])
+    fair = demands.sum(axis=0) / SHARDS
+    weight = (demands / fair).max(axis=1)
+    assert weight.max() < 1 / sharding.PARCELS and (weight > 1 / 4096).sum() > 300
+    capacity = 1 + uneven * np.linspace(-1, 1, SHARDS)[:, None] * np.ones((1, 3))
+    groups = spark.createDataFrame(data.append_column("weight", pa.array(weight)))
+    out = sharding.by_parcels(groups, SHARDS, capacity).toArrow().sort_by("group")
+    assert out.column("group").to_pylist() == data.column("group").to_pylist()
+    loads = np.array([demands[out.column("shard").to_numpy() == s].sum(axis=0) for s in range(SHARDS)])
+    off = np.abs(loads / (fair * capacity) - 1).max(axis=0)
+    assert off[0] < 0.01 and off.max() < 0.02, off
+
+
 def test_odd_rows_and_empty_table(odd_docs, no_docs, spark, sf):
     check(assign(odd_docs).collect(), [(r["doc_id"], r["text"]) for r in odd_docs.collect()])
     assert assign(no_docs).count() == 0
