@@ -6,12 +6,13 @@ there is no answer) or return sets (no duplicates; order by key and id is docume
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafloom.errors import InputError
 from leafloom.kernel.selectors import Simple, parse_selector
 from leafloom.plans import selectors as S
+from leafloom.plans.intervals import holding, nearest, pairs
 
 KEY = "page_id"
 #: Columns of nodes, beside the key.
@@ -23,35 +24,33 @@ def nodes(docs: DataFrame, key: str = KEY) -> DataFrame:
     return docs.select(key, "root_id", F.explode("nodes").alias("n")).select(key, "root_id", "n.*")
 
 
-def elements(all_nodes: DataFrame, css: str, contexts: DataFrame | None = None, key: str = KEY) -> DataFrame:
-    """Set: matches in each page, or below any of `contexts`; a context itself where the subject has :scope."""
+def elements(all_nodes: DataFrame, css: str, contexts: DataFrame | None = None, key: str = KEY, stored: bool = False) -> DataFrame:
+    """Set: matches in each page, or below any of `contexts`; a context itself where the subject has :scope. stored: the rows of a page lie
+    in one partition, as in a table of `sources.stored`; then a search of whole pages exchanges nothing."""
     if contexts is None:
-        return S.select(all_nodes, css, key)
+        return S.select(all_nodes, css, key, stored=stored)
     return _below(all_nodes, css, contexts, key).select(*all_nodes.columns).dropDuplicates([key, "id"])
 
 
 def _below(all_nodes: DataFrame, css: str, contexts: DataFrame, key: str) -> DataFrame:
     """Matches with the column `context` (the context's id): one row for each pair."""
     selector = parse_selector(css)
-    ready = S.prepared(all_nodes, key, selector)
     mine = contexts.where(F.col("id").isNotNull()).select(F.col(key).alias("c_key"), F.col("id").alias("context")).distinct()
-    ends = ready.select(F.col(key).alias("e_key"), F.col("id").alias("e_id"), F.col("subtree_end").alias("c_end"), F.col("is_template").alias("c_template"), F.col("type").alias("c_type"), F.col("root_id").alias("c_root"))
-    mine = mine.join(ends, (F.col("c_key") == F.col("e_key")) & (F.col("context") == F.col("e_id"))).drop("e_key", "e_id")
-    scoped = "scope" in S.kinds(selector)
+    ends = all_nodes.select(key, "id", "subtree_end", F.col("is_template").alias("template"), F.col("type").alias("c_type"), F.col("root_id").alias("c_root"))
+    mine = ends.join(mine, (F.col("c_key") == F.col(key)) & (F.col("context") == F.col("id"))).drop("c_key", "context")
+    seen = F.col("in_template_of").isNull() | (F.col("in_template_of") < F.col("context"))
+    if "scope" not in S.kinds(selector):
+        found = pairs(mine.where(~F.col("template")).select(key, "id", "subtree_end"), S.flagged(all_nodes, {"_hit": selector}, [key]).drop("_hit"), [key])
+        return found.withColumnRenamed("o_id", "context").where(seen).select(*all_nodes.columns, "context")
+    # :scope differs from context to context: rows carry theirs along
     scope = F.when(F.col("c_type").isin("document", "fragment"), F.col("c_root")).otherwise(F.col("context"))
-    out = None
-    for c in selector:
-        subject = Simple("pseudo", "scope") in c.compounds[-1]
-        if scoped:
-            # :scope differs from context to context: rows carry theirs along
-            carried = ready.join(mine, F.col(key) == F.col("c_key"))
-            found = S.chain(carried, key, c, scope, ("context",))
-        else:
-            found = S.chain(ready, key, c).join(mine, (F.col(key) == F.col("c_key")) & (F.col("id") > F.col("context")) & (F.col("id") <= F.col("c_end")))
-        inside = (F.col("id") > F.col("context")) & (F.col("id") <= F.col("c_end")) & ~F.col("c_template") & (F.col("in_template_of").isNull() | (F.col("in_template_of") < F.col("context")))
-        found = found.where(inside | (F.col("id") == F.col("context")) if subject else inside).select(*all_nodes.columns, "context")
-        out = found if out is None else out.unionByName(found)
-    return out
+    asked = mine.select(F.col(key).alias("c_key"), F.col("id").alias("context"), F.col("subtree_end").alias("c_end"), F.col("template").alias("c_template"), "c_type", "c_root")
+    found = S.flagged(all_nodes.join(asked, F.col(key) == F.col("c_key")), {f"_hit{i}": (c,) for i, c in enumerate(selector)}, [key, "context"], scope)
+    inside = (F.col("id") > F.col("context")) & (F.col("id") <= F.col("c_end")) & ~F.col("c_template") & seen
+    good = F.lit(False)
+    for i, c in enumerate(selector):
+        good = good | (F.col(f"_hit{i}") & (inside | (F.col("id") == F.col("context")) if Simple("pseudo", "scope") in c.compounds[-1] else inside))
+    return found.where(good).select(*all_nodes.columns, "context")
 
 
 def element(all_nodes: DataFrame, css: str, contexts: DataFrame, key: str = KEY, into: str = "match_id") -> DataFrame:
@@ -62,20 +61,23 @@ def element(all_nodes: DataFrame, css: str, contexts: DataFrame, key: str = KEY,
 
 def matches(all_nodes: DataFrame, css: str, some: DataFrame, key: str = KEY, into: str = "matches") -> DataFrame:
     """Aligned: whether each node of `some` matches, itself being :scope; null for a missing node, false for what is no element."""
-    selector = parse_selector(css)
-    ready = S.prepared(all_nodes, key, selector)
-    if "scope" in S.kinds(selector):
+    return matches_all(all_nodes, {into: css}, some, key)
+
+
+def matches_all(all_nodes: DataFrame, tests: dict[str, str], some: DataFrame, key: str = KEY) -> DataFrame:
+    """As `matches`, a column for each of `tests`; those without :scope share one pass."""
+    parsed = {n: parse_selector(css) for n, css in tests.items()}
+    scoped = {n: s for n, s in parsed.items() if "scope" in S.kinds(s)}
+    plain = {n: s for n, s in parsed.items() if n not in scoped}
+    founds = [S.flagged(all_nodes, plain, [key]).select(F.col(key).alias("m_key"), F.col("id").alias("m_id"), *(F.col(n).alias(f"m_{n}") for n in plain))] if plain else []
+    if scoped:
         asked = some.where(F.col("id").isNotNull()).select(F.col(key).alias("c_key"), F.col("id").alias("context")).distinct()
-        carried = ready.join(asked, F.col(key) == F.col("c_key"))
-        hit = [S.chain(carried, key, c, F.col("context"), ("context",)).where("id = context") for c in selector]
-    else:
-        hit = [S.chain(ready, key, c) for c in selector]
-    found = hit[0].select(key, "id")
-    for h in hit[1:]:
-        found = found.unionByName(h.select(key, "id"))
-    found = found.distinct().select(F.col(key).alias("m_key"), F.col("id").alias("m_id"))
-    joined = some.join(found, (F.col(key) == F.col("m_key")) & (F.col("id") == F.col("m_id")), "left")
-    return joined.withColumn(into, F.when(F.col("id").isNotNull(), F.col("m_id").isNotNull())).drop("m_key", "m_id")
+        carried = S.flagged(all_nodes.join(asked, F.col(key) == F.col("c_key")), scoped, [key, "context"], F.col("context")).where("id = context")
+        founds.append(carried.select(F.col(key).alias("m_key"), F.col("id").alias("m_id"), *(F.col(n).alias(f"m_{n}") for n in scoped)))
+    out = some
+    for found in founds:
+        out = out.join(found, (F.col(key) == F.col("m_key")) & (F.col("id") == F.col("m_id")), "left").drop("m_key", "m_id")
+    return out.select(*some.columns, *(F.when(F.col("id").isNotNull(), F.coalesce(f"m_{n}", F.lit(False))).alias(n) for n in tests))
 
 
 def where(all_nodes: DataFrame, css: str, some: DataFrame, key: str = KEY) -> DataFrame:
@@ -86,25 +88,24 @@ def where(all_nodes: DataFrame, css: str, some: DataFrame, key: str = KEY) -> Da
 def closest(all_nodes: DataFrame, css: str, some: DataFrame, key: str = KEY, into: str = "match_id") -> DataFrame:
     """Aligned: the nearest match among each node and its ancestors; null for the document node. :scope is the node itself."""
     selector = parse_selector(css)
-    ready = S.prepared(all_nodes, key, selector)
-    asked = some.where("id > 0").select(F.col(key).alias("c_key"), F.col("id").alias("context")).distinct()
+    asked = some.where("id > 0").select(key, "id").distinct()
     if "scope" in S.kinds(selector):
-        carried = ready.join(asked, F.col(key) == F.col("c_key"))
-        hit = [S.chain(carried, key, c, F.col("context"), ("context",)).select(F.col(key).alias("m_key"), "context", F.col("id").alias("m_id"), "subtree_end") for c in selector]
-        over = (F.col("context") >= F.col("m_id")) & (F.col("context") <= F.col("subtree_end"))
-        found = _union(hit).where(over)
+        carried = all_nodes.join(asked.select(F.col(key).alias("c_key"), F.col("id").alias("context")), F.col(key) == F.col("c_key"))
+        hit = S.flagged(carried, {"_hit": selector}, [key, "context"], F.col("context"))
+        over = (F.col("context") >= F.col("id")) & (F.col("context") <= F.col("subtree_end"))
+        best = hit.where(over).groupBy(F.col(key).alias("m_key"), "context").agg(F.max("id").alias(into))  # ancestors nest: the largest id is the nearest
     else:
-        found = _union([S.chain(ready, key, c).select(F.col(key).alias("m_key"), F.col("id").alias("m_id"), "subtree_end") for c in selector])
-        found = asked.join(found, (F.col("c_key") == F.col("m_key")) & (F.col("context") >= F.col("m_id")) & (F.col("context") <= F.col("subtree_end")))
-    best = found.groupBy("m_key", "context").agg(F.max("m_id").alias(into))  # ancestors nest: the largest id is the nearest
+        hit = S.flagged(all_nodes, {"_hit": selector}, [key]).select(key, "id", "subtree_end")
+        best = nearest(hit, asked, [key], into, itself=True).select(F.col(key).alias("m_key"), F.col("id").alias("context"), into)
     return some.join(best, (F.col(key) == F.col("m_key")) & (F.col("id") == F.col("context")), "left").drop("m_key", "context")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def including(all_nodes: DataFrame, css: str, some: DataFrame, key: str = KEY) -> DataFrame:
+    """Set: matches among `some` and below them, as rows of nodes."""
+    below = _below(all_nodes, css, some, key).drop("context")
+    ids = some.where(F.col("id").isNotNull()).select(F.col(key).alias("s_key"), F.col("id").alias("s_id"))
+    own = S.flagged(all_nodes, {"_hit": parse_selector(css)}, [key]).drop("_hit").join(ids, (F.col(key) == F.col("s_key")) & (F.col("id") == F.col("s_id")), "left_semi")
+    return below.unionByName(own).dropDuplicates([key, "id"])
 
 
 # -- navigation --------------------------------------------------------------------------------------------------------------
@@ -142,8 +143,9 @@ def template_content(all_nodes: DataFrame, some: DataFrame, elements_only: bool
 
 def ancestors(all_nodes: DataFrame, some: DataFrame, key: str = KEY) -> DataFrame:
     """Set: all elements around `some`, without the document node."""
-    low = some.select(F.col(key).alias("d_key"), F.col("id").alias("d_id"))
-    return all_nodes.where("id > 0").join(low, (F.col(key) == F.col("d_key")) & (F.col("id") < F.col("d_id")) & (F.col("subtree_end") >= F.col("d_id")), "left_semi")
+    low = some.where(F.col("id").isNotNull()).select(F.col(key).alias("d_key"), F.col("id").alias("d_id")).distinct()
+    marked = all_nodes.where("id > 0").join(low, (F.col(key) == F.col("d_key")) & (F.col("id") == F.col("d_id")), "left")
+    return holding(marked, {"_around": F.col("d_id").isNotNull()}, [key]).where("_around").select(*all_nodes.columns)
 
 
 def root(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -153,8 +155,6 @@ def root(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def outermost(some: DataFrame, key: str = KEY) -> DataFrame:
     """Set: nodes that lie in no other node of `some` (with subtree_end)."""
-    from pyspark.sql import Window
-
     before = F.max("subtree_end").over(Window.partitionBy(key).orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
     return some.dropDuplicates([key, "id"]).withColumn("_b", before).where(F.col("_b").isNull() | (F.col("id") > F.col("_b"))).drop("_b")
 
@@ -188,7 +188,11 @@ def text(all_nodes: DataFrame, some: DataFrame, key: str = KEY, recursive: bool
     own = F.col("type").isin("text", "comment", "processing_instruction")
     wide = some.where(F.col("type").isin("element", "document", "fragment") & ~F.col("is_template")).select(F.col(key).alias("x_key"), F.col("id").alias("x_id"), F.col("subtree_end").alias("x_end")).distinct()
     pieces = all_nodes.where("type = 'text'")
-    inside = F.col("parent") == F.col("x_id") if not recursive else (F.col("id") > F.col("x_id")) & (F.col("id") <= F.col("x_end")) & (F.col("in_template_of").isNull() | (F.col("in_template_of") < F.col("x_id")))
-    found = pieces.join(wide, (F.col(key) == F.col("x_key")) & inside).groupBy("x_key", "x_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda p: p["value"]), "").alias("_t"))
+    if recursive:
+        seen = F.col("in_template_of").isNull() | (F.col("in_template_of") < F.col("o_id"))
+        met = pairs(wide.select(F.col("x_key").alias(key), F.col("x_id").alias("id"), F.col("x_end").alias("subtree_end")), pieces.select(key, "id", "value", "in_template_of"), [key]).where(seen).select(F.col(key).alias("x_key"), F.col("o_id").alias("x_id"), "id", "value")
+    else:
+        met = pieces.join(wide, (F.col(key) == F.col("x_key")) & (F.col("parent") == F.col("x_id")))
+    found = met.groupBy("x_key", "x_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda p: p["value"]), "").alias("_t"))
     joined = some.join(found, (F.col(key) == F.col("x_key")) & (F.col("id") == F.col("x_id")), "left")
     return joined.withColumn(into, F.when(own, F.col("value")).when(F.col("type") != "doctype", F.coalesce("_t", F.lit("")))).drop("x_key", "x_id", "_t")

@@ -1,8 +1,9 @@
-"""The selector compiler: a selector becomes filters and semi-joins over nodes, which Catalyst plans.
+"""The selector compiler: selectors become filters and windows over nodes, which Catalyst plans. Any number of them takes one scan.
 
-A compound is a predicate on one row. Combinators are semi-joins from the left: a child's parent, the next sibling's previous
-one and a later sibling's parent are equalities, a descendant is an interval inside its page. Every join is on the page's key
-first, so that it is a hash or merge join, and intermediate compounds never multiply rows.
+A compound is a predicate on one row, and only rows that match some compound go on. A state is a beginning of a selector that a row
+has matched. Combinators lead from state to state by running values, without a join: over a page in document order for descendants, and over
+the children of a parent, with the parent before them, for children and siblings. All selectors take a step together, so that there
+are at most two windows a step, and beginnings that selectors share are matched once. Rows are never multiplied.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leafloom.functions.columns import attr, fold, raw_attr, tokens
 from leafloom.kernel.selectors import ANY_CASE, SPACE, Complex, Simple, parse_selector
+from leafloom.plans.intervals import within
 
 
 def _nth(a: int, b: int, n: Column) -> Column:
@@ -101,22 +103,80 @@ def prepared(nodes: DataFrame, key: str, selector: tuple[Complex, ...]) -> DataF
     return nodes.withColumn("typed_pos", F.when(F.col("type") == "element", F.row_number().over(w)))
 
 
-def chain(nodes: DataFrame, key: str, c: Complex, scope: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The rows of `nodes` that match. carry: columns (the context's) that every compound's rows have and must agree in."""
-    by = [key, *carry]
-    found = nodes.where(compound(c.compounds[0], scope))
+Chain = tuple  # a beginning of a selector: compounds with the joints between them
+
+
+def _beginnings(c: Complex) -> list[Chain]:
+    out: list[Chain] = [(c.compounds[0],)]
     for joint, parts in zip(c.joints, c.compounds[1:], strict=True):
-        right = nodes.where(compound(parts, scope))
-        if joint == "~":
-            left = found.groupBy(*by, "parent").agg(F.min("elem_pos").alias("l_pos")).select(*(F.col(b).alias("l_" + b) for b in by), F.col("parent").alias("l_parent"), "l_pos")
-            on = (F.col("parent") == F.col("l_parent")) & (F.col("elem_pos") > F.col("l_pos"))
-        else:
-            left = found.select(*(F.col(b).alias("l_" + b) for b in by), F.col("id").alias("l_id"), F.col("subtree_end").alias("l_end"))
-            on = {">": F.col("parent") == F.col("l_id"), "+": F.col("prev_elem") == F.col("l_id"), " ": (F.col("id") > F.col("l_id")) & (F.col("id") <= F.col("l_end"))}[joint]
-        for b in by:
-            on = (F.col(b) == F.col("l_" + b)) & on
-        found = right.join(left, on, "left_semi")
-    return found
+        out.append((*out[-1], joint, parts))
+    return out
+
+
+def flagged(nodes: DataFrame, selectors: dict[str, tuple[Complex, ...]], by: list[str], scope: Column | None = None, stored: bool = False) -> DataFrame:
+    """The rows of `nodes` that match any of `selectors`, with a boolean column for each of their names. by: the page's key, and further columns
+    (the context's) in which rows that meet must agree. stored: the rows of a page lie in one partition (see `within`)."""
+    ends = {n: [_beginnings(c)[-1] for c in s] for n, s in selectors.items()}
+    chains = list(dict.fromkeys(b for s in selectors.values() for c in s for b in _beginnings(c)))
+    name = {b: f"_s{i}" for i, b in enumerate(chains)}
+    compounds = list(dict.fromkeys(b[-1] for b in chains))
+    ready = prepared(nodes, by[0], tuple(c for s in selectors.values() for c in s))
+    tests = [compound(p, scope) for p in compounds]
+    words = [tests[i : i + 62] for i in range(0, len(tests), 62)]  # bits of numbers, so that rows stay narrow
+    bits = {f"_c{k}": sum((t.cast("long") * (1 << i) for i, t in enumerate(some)), F.lit(0).cast("long")) for k, some in enumerate(words)}
+    hit = lambda b: F.col(f"_c{compounds.index(b[-1]) // 62}").bitwiseAND(1 << compounds.index(b[-1]) % 62) != 0
+    any_test = tests[0]
+    for t in tests[1:]:
+        any_test = any_test | t
+    rows = ready.where(any_test)
+    if any(len(b) > 1 for b in chains):
+        rows = rows.select("*", *(v.alias(c) for c, v in bits.items()))
+        rows = rows.select("*", *(hit(b).alias(name[b]) for b in chains if len(b) == 1))
+    else:
+        rows = rows.select("*", *(tests[compounds.index(b[0])].alias(name[b]) for b in chains))
+    for step in range(1, max(len(b) for b in chains) // 2 + 1):
+        now = [b for b in chains if len(b) == 2 * step + 1]
+        rows = _step(rows, now, name, hit, by, stored)
+    told = []
+    for n, s in ends.items():
+        flag = F.col(name[s[0]])
+        for b in s[1:]:
+            flag = flag | F.col(name[b])
+        told.append(flag.alias(n))
+    out = rows.select(*nodes.columns, *told)
+    some = F.col(next(iter(ends)))
+    for n in list(ends)[1:]:
+        some = some | F.col(n)
+    return out.where(some)
+
+
+def _step(rows: DataFrame, now: list[Chain], name: dict[Chain, str], hit, by: list[str], stored: bool) -> DataFrame:
+    """The states `now`, each from the one without its last compound."""
+    below = {f"_w{name[b]}": F.col(name[b[:-2]]) for b in now if b[-2] == " "}
+    if below:
+        rows = within(rows, below, by, stored)
+        rows = rows.select(*(c for c in rows.columns if c not in below), *((hit(b) & F.col(f"_w{name[b]}")).alias(name[b]) for b in now if b[-2] == " "))
+    others = [b for b in now if b[-2] != " "]
+    if not others:
+        return rows
+    kept = rows.columns
+    as_child = F.struct(F.col("parent").alias("group"), F.col("elem_pos").alias("pos"))
+    grouped = rows.withColumn("_g", as_child)
+    if any(b[-2] == ">" for b in others):
+        is_parent = F.lit(False)
+        for b in others:
+            is_parent = is_parent | F.col(name[b[:-2]]) if b[-2] == ">" else is_parent
+        as_parent = F.struct(F.col("id").alias("group"), F.lit(0).alias("pos"))
+        grouped = rows.withColumn("_g", F.explode(F.when(is_parent, F.array(as_child, as_parent)).otherwise(F.array(as_child))))
+    grouped = grouped.select(*kept, F.col("_g.group").alias("_group"), F.col("_g.pos").alias("_pos"))
+    before = Window.partitionBy(*by, "_group").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    reached = {}
+    for b in others:
+        held, mine = F.col(name[b[:-2]]), F.col("_pos") > 0
+        last = F.max(F.when(held & (~mine if b[-2] == ">" else mine), F.col("_pos"))).over(before)
+        reached[name[b]] = {">": last == 0, "~": last > 0, "+": last == F.col("_pos") - 1}[b[-2]]
+    out = grouped.select(*kept, "_pos", *(F.coalesce(c, F.lit(False)).alias(f"_r{n}") for n, c in reached.items())).where("_pos > 0")
+    return out.select(*kept, *((hit(b) & F.col(f"_r{name[b]}")).alias(name[b]) for b in others))
 
 
 def visible(nodes: DataFrame) -> DataFrame:
@@ -124,17 +184,11 @@ def visible(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("in_template_of").isNull())
 
 
-def select(nodes: DataFrame, css: str, key: str = "page_id", max_length: int = 16 << 10) -> DataFrame:
+def select(nodes: DataFrame, css: str, key: str = "page_id", max_length: int = 16 << 10, stored: bool = False) -> DataFrame:
     """The elements of each page that match, as rows of `nodes`. An ancestor part may match anywhere in the page."""
-    selector = parse_selector(css, max_length)
-    ready = prepared(nodes, key, selector)
-    if all(not c.joints for c in selector):
-        hit = compound(selector[0].compounds[0])
-        for c in selector[1:]:
-            hit = hit | compound(c.compounds[0])
-        return visible(ready.where(hit)).select(*nodes.columns)
-    parts = [visible(chain(ready, key, c)).select(*nodes.columns) for c in selector]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.dropDuplicates([key, "id"]) if len(parts) > 1 else out
+    return visible(flagged(nodes, {"_hit": parse_selector(css, max_length)}, [key], stored=stored)).select(*nodes.columns)
+
+
+def select_many(nodes: DataFrame, selectors: dict[str, str], key: str = "page_id", max_length: int = 16 << 10, stored: bool = False) -> DataFrame:
+    """The elements that match any of `selectors`, with a boolean column for each: one scan of `nodes`, however many there are."""
+    return visible(flagged(nodes, {n: parse_selector(c, max_length) for n, c in selectors.items()}, [key], stored=stored))
