@@ -19,7 +19,6 @@ is cut as above. An empty table gives an empty result. Other columns of the inpu
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -46,7 +45,6 @@ TOGETHER = 256
 #: Where a word is letters or digits and then only these, up to its end, the pre-tokenizer cuts between the two as well.
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_GAP = re.compile(r"[ \n]+")
 
 
 # -- tokens --------------------------------------------------------------------------------------------------------------
@@ -69,6 +67,15 @@ def stem_and_marks(w: str) -> tuple[str, ...]:
     return (stem, w[len(stem) :]) if len(stem) < len(w) and stem.isalnum() else (w,)
 
 
+def lowered(t: str) -> str:
+    """In lower case where that is what the normalizer does later on, in any order of its steps: in texts of Latin-1."""
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return t
+    return t.lower()
+
+
 class Encoder:
     """Texts to ids (16 bits each, in bytes), word by word."""
 
@@ -76,34 +83,52 @@ class Encoder:
         self.tok, self.known = _tokenizer(path), {"": b""}
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
+        ends = np.zeros(1 << 16, dtype=bool)  # ids that end a piece of the pre-tokenizer
+        ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.ends = ends
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes words, many as one text: where a token begins tells its word."""
-        for at in range(0, len(words), TOGETHER):
-            some = words[at : at + TOGETHER]
-            e = self.tok.encode(" ".join(some), add_special_tokens=False)
-            found, end, ids = [], -1, None
-            rest = iter(some)
-            for i, (begin, _) in zip(e.ids, e.offsets, strict=True):
-                while begin > end:  # the space behind a word ends it
-                    end += 1 + len(next(rest))
-                    found.append(ids := [])
-                ids.append(i)
-            found.extend([] for _ in rest)  # words that leave no token
-            self.known.update((w, array("H", x).tobytes()) for w, x in zip(some, found, strict=True))
+        """Encodes words, many as one text. Words of letters are a piece each, and their last ids tell them apart; for others the
+        places of tokens do."""
+        plain = [w for w in words if w.isalpha()]
+        groups = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
+        others = [w for w in words if not w.isalpha()]
+        for some, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u2")
+            last = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
+            if len(last) != len(some):  # a letter that the pre-tokenizer takes for none
+                others += some
+                continue
+            held = ids.tobytes()
+            self.known.update(zip(some, map(held.__getitem__, map(slice, [0, *last], last)), strict=False))
+        for at in range(0, len(others), TOGETHER):
+            self._learn_by_place(others[at : at + TOGETHER])
+
+    def _learn_by_place(self, some: list[str]) -> None:
+        e = self.tok.encode(" ".join(some), add_special_tokens=False)
+        found, end, ids = [], -1, None
+        rest = iter(some)
+        for i, (begin, _) in zip(e.ids, e.offsets, strict=True):
+            while begin > end:  # the space behind a word ends it
+                end += 1 + len(next(rest))
+                found.append(ids := [])
+            ids.append(i)
+        found.extend([] for _ in rest)  # words that leave no token
+        self.known.update((w, array("H", x).tobytes()) for w, x in zip(some, found, strict=True))
 
     def _long(self, w: str) -> bytes:
         return array("H", self.tok.encode(w, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        parts = [_GAP.split(t.lower() if t.isascii() else t) for t in (t or "" for t in texts)]
+        parts = [lowered(t or "").replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        new = {w for p in parts for w in p if w not in known and len(w) <= LONGEST_WORD}
+        new = {w for w in set().union(*(set(p).difference(known) for p in parts)) if len(w) <= LONGEST_WORD}
         if len(known) + len(new) > MOST_WORDS:
             self.known = known = {"": b""}
-            new = {w for p in parts for w in p if w and len(w) <= LONGEST_WORD}
-        cut_up = {w: stem_and_marks(w) for w in new}
-        self._learn(list({x for y in cut_up.values() for x in y if x not in known}))
+            new = {w for w in set().union(*map(set, parts)) if w and len(w) <= LONGEST_WORD}
+        cut_up = {w: stem_and_marks(w) for w in new if not w.isalpha()}
+        whole = {x for y in cut_up.values() for x in y if x not in known}
+        self._learn(list(whole.union(new.difference(cut_up))))
         known.update((w, known[y[0]] + known[y[1]]) for w, y in cut_up.items() if len(y) == 2)
         for p in parts:
             try:
@@ -125,28 +150,33 @@ class Packer:
 
     def __init__(self, length: int = LENGTH, slack: int = SLACK):
         self.length, self.full = length, length - slack
-        self.counts = np.zeros(length + 1, dtype=np.int64)  # by level; 0 and closed levels stay 0
-        self.at: list[list[int]] = [[] for _ in range(length + 1)]  # the open sequences of a level
+        self.at: list[list[int]] = [[] for _ in range(length + 1)]  # the open sequences of a level; N[h] is their number
+        # what the sum of squares gains where a sequence leaves a level, (N[h] - 1)^2 - N[h]^2, or comes to one, (N[h] + 1)^2 - N[h]^2;
+        # a new sequence leaves none, and levels from `full` on are not counted
+        self.leave = np.full(length + 1, np.iinfo(np.int64).max // 4)
+        self.come = np.ones(length + 1, dtype=np.int64)
+        self.leave[0], self.come[self.full :] = 0, 0
         self.made = 0
 
+    def _count(self, level: int) -> None:
+        n = len(self.at[level])
+        self.leave[level] = 1 - 2 * n if n else np.iinfo(np.int64).max // 4
+        self.come[level] = 2 * n + 1
+
     def place(self, size: int) -> tuple[int, int]:
-        n, room = self.counts, self.length - size
-        grown = n[size : self.length + 1]  # of level h + size, for each h from 0 to room
-        # (N[h] - 1)^2 - N[h]^2 + (N[h + size] + 1)^2 - N[h + size]^2, halved and without what is the same for all
-        change = np.where(np.arange(size, self.length + 1) < self.full, 2 * grown + 1, 0)
-        change = change + np.where(n[: room + 1] > 0, 1 - 2 * n[: room + 1], np.iinfo(np.int64).max // 4)
-        change[0] = 2 * int(n[size]) + 1 if size < self.full else 0
-        level = int(room - change[::-1].argmin())
+        room = self.length - size
+        change = self.leave[: room + 1] + self.come[size:]
+        level = room - int(change[::-1].argmin())
         if level:
-            n[level] -= 1
             sequence = self.at[level].pop()
+            self._count(level)
         else:
             sequence = self.made
             self.made += 1
         after = level + size
         if after < self.full:
-            n[after] += 1
             self.at[after].append(sequence)
+            self._count(after)
         return sequence, level
 
     def open(self) -> Iterator[int]:
