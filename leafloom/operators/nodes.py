@@ -16,12 +16,12 @@ from leafloom.plans.intervals import holding, nearest, pairs
 
 KEY = "page_id"
 #: Columns of nodes, beside the key.
-COLUMNS = "root_id id parent subtree_end depth first_child next_sib prev_sib next_elem prev_elem elem_pos elem_count n_elem_children n_text_children type ns name value is_template in_template_of attrs".split()
+COLUMNS = "root_id base id parent subtree_end depth first_child next_sib prev_sib next_elem prev_elem elem_pos elem_count n_elem_children n_text_children type ns name value is_template in_template_of attrs".split()
 
 
 def nodes(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """All nodes of parsed pages, a row each."""
-    return docs.select(key, "root_id", F.explode("nodes").alias("n")).select(key, "root_id", "n.*")
+    """All nodes of parsed pages, a row each, with `base`: what references of the page resolve against."""
+    return docs.select(key, "root_id", F.col("resolved_base").alias("base"), F.explode("nodes").alias("n")).select(key, "root_id", "base", "n.*")
 
 
 def elements(all_nodes: DataFrame, css: str, contexts: DataFrame | None = None, key: str = KEY, stored: bool = False) -> DataFrame:

@@ -17,8 +17,14 @@ from leafloom.functions.udf import register
 from leafloom.limits import Limits
 from leafloom.operators import extract as E
 from leafloom.operators import nodes as N
+from leafloom.operators import ordered as O
+from leafloom.operators.forms import form_fields as form_fields_of
+from leafloom.operators.forms import form_nodes
+from leafloom.operators.forms import forms as forms_of
 from leafloom.operators.sets import find
+from leafloom.plans import selectors as S
 from leafloom.sources.pages import Pages, spread
+from leafloom.sources.stored import Stored, store
 from leafloom.sources.work import hold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +70,11 @@ def node_table(pages: Pages) -> DataFrame:
     return hold(N.nodes(pages.parsed(), pages.key))
 
 
+def stored_nodes(pages: Pages, *columns: str) -> Stored:
+    """All nodes (or some columns of them), parsed once and stored by page."""
+    return store(pages.node_rows(*columns), pages.key)
+
+
 def esc(c: Column) -> Column:
     """Text as markup."""
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -232,15 +243,30 @@ def all_nodes(spark, sf_dir):
     return find(docs_of(spark, sf_dir)).then(lambda m, ids: list(range(len(m.t.type)))).rows("id", "parent", "subtree_end", "type", "name", "value").drop("n")
 
 
-# -- nodes as a table: the same searches by joins --------------------------------------------------------------------------------
+# Oracles of two queries each: one walks the trees, the other searches a table of nodes.
+_ATTRIBUTES = """SELECT c_custkey AS page_id, true AS any, c_custkey % 10 = 1 AS tail, c_mktsegment = 'BUILDING' AS token, c_nationkey % 2 = 0 AS dash, c_nationkey % 2 <> 0 AS same, starts_with(c_mktsegment, 'AUTO') AS head,
+  contains(c_mktsegment, 'HO') AS inside, c_mktsegment = 'BUILDING' AS folded, false AS strict, c_custkey = 7 AS own, false AS empty_value, c_mktsegment = 'MACHINERY' AS class FROM customer"""
+_NAVIGATION = """SELECT c_custkey AS page_id, 'section' AS up, 'svg' AS next, true AS no_previous, 4 AS kids, 'u' || c_nationkey AS link, c_nationkey >= 10 AS last_is_empty, 'http://www.w3.org/2000/svg' AS ns,
+  5 AS attrs, 'element' AS type FROM customer"""
+_STRUCTURE = "SELECT c_custkey AS page_id, true AS root, true AS is_scope, true AS is_empty, false AS not_empty, true AS last, true AS escaped FROM customer"
+_SETS = "SELECT c_custkey AS page_id, 'p b' AS both, 'b' AS one, 'p' AS other, 'i b svg p' AS back, 'p p' AS twice, 'b' AS second, true AS beyond, 3 AS filled, 'section' AS outer, 'svg i' AS kept, 'section section' AS with_self, 'b' AS put FROM customer"
+_TEMPLATES = "SELECT n_nationkey::BIGINT AS page_id, n_name AS held, 0::BIGINT AS seen, '' AS text, 1::BIGINT AS inner FROM nation"
+_TESTS = {
+    "any": "*[data-seg]", "tail": "[id$='1']", "token": "[data-seg~=BUILDING]", "dash": "[lang|=EN]:not([lang=en])", "same": "[lang=eN]", "head": "[data-seg^=AUTO]", "inside": "[data-seg*=HO]", "folded": "[data-seg*='building ' i]", "strict": "[lang=EN s]",
+    "own": "#i7", "empty_value": "[title*='']", "class": "p.a.seg-mach",
+}
+
+
+# -- nodes as a table: the same searches by windows and joins ----------------------------------------------------------------------
+
+#: What selectors look at.
+SEARCHED = ("id", "parent", "subtree_end", "elem_pos", "elem_count", "n_elem_children", "n_text_children", "type", "ns", "name", "in_template_of", "attrs")
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs, len(regexp_extract_all(html, '<li>'))::BIGINT AS items FROM pages WHERE contains(html, '<p>') AND contains(html, '<li>')")
 def combinators_by_join(spark, sf_dir):
-    t = node_table(docs_of(spark, sf_dir))
-    p = N.elements(t, "article p").groupBy("page_id").agg(F.count("*").alias("paragraphs"))
-    li = N.elements(t, "nav > ul > li, li:first-child ~ li").groupBy("page_id").agg(F.count("*").alias("items"))
-    return p.join(li, "page_id")
+    t = stored_nodes(docs_of(spark, sf_dir), *SEARCHED).select_many({"p": "article p", "li": "nav > ul > li, li:first-child ~ li"})
+    return t.groupBy("page_id").agg(F.count_if("p").alias("paragraphs"), F.count_if("li").alias("items")).where("paragraphs > 0 AND items > 0")
 
 
 @query("""SELECT page_id, len(l) > 1 AS several, regexp_extract(html, 'href="([^"]*)"', 1) AS first, 'nav' AS around, 5::BIGINT AS up
@@ -262,6 +288,99 @@ def text_of_joined_nodes(spark, sf_dir):
     return N.text(t, N.elements(t, "h1")).select("page_id", "text")
 
 
+
+@query(
+    """SELECT l_returnflag || l_linestatus AS flags, count(*) FILTER (l_linenumber % 2 = 1) AS below_odd, count(*) FILTER (l_linenumber = 2) AS below_two, count(*) AS direct
+FROM lineitem GROUP BY ALL"""
+)
+def descendant_of_large_pages(spark, sf_dir):
+    """A page for each kind of line items: pages of many blocks of nodes, which searches split over tasks."""
+    l = read(spark, sf_dir, "lineitem").withColumn("flags", F.concat("l_returnflag", "l_linestatus")).withColumn("o", F.struct("l_orderkey", "l_linenumber"))
+    pages = gathered(l, "flags", "o", markup("<b class=n", F.col("l_linenumber"), "><i><u></u></i></b>"), "<main>", "</main>")
+    t = hold(Pages(pages, limits=Limits(max_input=1 << 28, max_nodes=1 << 30)).node_rows(*SEARCHED))
+    odd = ", ".join(f"b.n{i} u" for i in (1, 3, 5, 7))
+    found = S.select_many(t, {"odd": odd, "two": "main b.n2 u", "direct": "main > b > i > u"})
+    return found.groupBy(F.col("page_id").alias("flags")).agg(F.count_if("odd").alias("below_odd"), F.count_if("two").alias("below_two"), F.count_if("direct").alias("direct"))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS events, count(*) FILTER (n % 3 = 1) AS third, count(*) FILTER (p = event_type) AS again FROM (SELECT event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) GROUP BY event_type")
+def many_selectors(spark, sf_dir):
+    """Three selectors for each kind of event, all in one scan of the stored nodes."""
+    kinds = [r[0] for r in read(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]  # a few kinds of events
+    asked = {f"{a}{n}": css.format(k) for n, k in enumerate(kinds) for a, css in (("e", "i.{0}"), ("t", "i.{0}:nth-child(3n+1)"), ("s", "i.{0} + i.{0}"))}
+    t = stored_nodes(_event_pages(spark, sf_dir), *SEARCHED).select_many(asked)
+    kind = F.element_at(classes(), -1)
+    either = lambda a: F.count_if(F.expr(" OR ".join(f"{a}{n}" for n in range(len(kinds)))))
+    return t.groupBy(kind.alias("event_type")).agg(either("e").alias("events"), either("t").alias("third"), either("s").alias("again"))
+
+
+def _customer_nodes(spark, sf_dir) -> DataFrame:
+    return stored_nodes(_customers(spark, sf_dir)).df
+
+
+@query(_ATTRIBUTES)
+def attribute_operators_by_join(spark, sf_dir):
+    t = _customer_nodes(spark, sf_dir)
+    return N.matches_all(t, _TESTS, N.elements(t, "p", stored=True).select("page_id", "id")).drop("id")
+
+
+@query(_NAVIGATION)
+def navigation_by_join(spark, sf_dir):
+    t = _customer_nodes(spark, sf_dir)
+    p = N.elements(t, "p", stored=True)
+    to = lambda some, name: N.fetch(t, some).select(F.col("page_id"), name)
+    up, after = to(N.parent(p), F.col("name").alias("up")), N.fetch(t, N.sibling(p))
+    back = N.sibling(p, False).select("page_id", F.col("id").isNull().alias("no_previous"))
+    last = N.sibling(N.fetch(t, N.sibling(after)), elements_only=False)
+    kids = N.children(t, N.elements(t, "section", stored=True)).groupBy("page_id").agg(F.count("*").cast("int").alias("kids"))
+    links = N.elements(t, "svg > a[viewBox]", stored=True).select("page_id", attr("xlink:href").alias("link"), namespace().alias("ns"))
+    out = p.select("page_id", F.size(attrs()).alias("attrs"), "type")
+    for part in (up, after.select("page_id", F.col("name").alias("next")), back, to(last, (F.col("type") == "comment").alias("last_is_empty")), kids, links):
+        out = out.join(part, "page_id")
+    return out
+
+
+@query(_STRUCTURE)
+def structural_classes_by_join(spark, sf_dir):
+    t = _customer_nodes(spark, sf_dir)
+    p = N.matches_all(t, {"is_scope": ":scope", "is_empty": ":empty", "not_empty": "section:empty", "escaped": "#\\69 " + "\\31, [id^='\\69']"}, N.elements(t, "p", stored=True).select("page_id", "id"))
+    r = N.matches_all(t, {"root": ":root:not(:empty)"}, t.where("id = 0").select("page_id", F.col("root_id").alias("id")))
+    last = N.matches_all(t, {"last": "i:empty:last-child:nth-of-type(1)"}, N.elements(t, ":scope > :last-child", N.elements(t, "section", stored=True)).select("page_id", "id"))
+    return p.drop("id").join(r.drop("id"), "page_id").join(last.drop("id"), "page_id")
+
+
+@query(_SETS)
+def sets_of_nodes_by_join(spark, sf_dir):
+    t = _customer_nodes(spark, sf_dir)
+    pages, plain = t.where("id = 0").select("page_id"), ("page_id", "id", "subtree_end", "is_template", "name")
+    get = lambda css: O.numbered(N.elements(t, css, stored=True).select(*plain))
+    p, b, kids, section = get("p"), get("b"), get("section > *"), get("section")
+    both = O.concat(p, b)
+    sets = {
+        "both": O.sort(O.union(b, p)), "one": O.difference(both, p), "other": O.intersect(both, p), "back": O.rev(kids), "twice": O.rep(p, 2), "second": O.at(both, [2], pages), "outer": O.numbered(N.outermost(O.concat(section, kids).drop("n"))),
+        "kept": N.where(t, "svg, i", kids), "with_self": O.concat(section, O.numbered(N.including(t, "section", section).select(*plain))), "put": O.put(p, 1, b, pages),
+    }
+    out = O.at(both, [3], pages).select("page_id", F.col("id").isNull().alias("beyond"))
+    out = out.join(O.length(p, 3, pages).groupBy("page_id").agg(F.count("*").cast("int").alias("filled")), "page_id")
+    for name, rows in sets.items():
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"])
+        out = out.join(rows.groupBy("page_id").agg(F.array_join(ordered, " ").alias(name)), "page_id")
+    return out
+
+
+@query(_TEMPLATES)
+def template_contents_by_join(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    t = stored_nodes(rows_of(n.select(F.col("n_nationkey").cast("long").alias("page_id"), markup("<template id=t><p>", esc(F.col("n_name")), "</p></template>").alias("html")))).df
+    own = N.elements(t, "#t", stored=True)
+    inside = N.template_content(t, own)
+    held = N.text(t, inside).select("page_id", F.col("text").alias("held"))
+    counts = inside.groupBy("page_id").agg(F.count("*").alias("inner"))
+    seen = N.combine(N.elements(t, "p", stored=True), N.children(t, own)).groupBy("page_id").agg(F.count("*").alias("seen"))
+    text = N.text(t, own).select("page_id", "text")
+    return held.join(text, "page_id").join(counts, "page_id").join(seen, "page_id", "left").select("page_id", "held", F.coalesce("seen", F.lit(0)).alias("seen"), "text", "inner")
+
+
 # -- extraction from nodes -----------------------------------------------------------------------------------------------------
 
 
@@ -348,7 +467,7 @@ def form_fields(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     options = F.array_join(F.transform(F.array(*map(F.lit, "FOP")), lambda s: F.concat(F.lit("<option value="), s, F.when(s == F.col("o_orderstatus"), " selected").otherwise(""), F.lit(">"), s)), "")
     html = markup('<form action=/save method=post><input name=order value="', esc(F.col("o_orderpriority")), '"><select name=state>', options, "</select><input type=checkbox name=big", F.when(F.col("o_totalprice") > 1e5, " checked").otherwise(""), "><textarea name=note>\nof ", F.col("o_custkey"), "</textarea></form>")
-    return E.form_fields(rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))).select("page_id", "name", "type", "value")
+    return form_fields_of(form_nodes(rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))).df).select("page_id", "name", "type", "value")
 
 
 @query("SELECT o_orderkey AS page_id, 'https://shop.test/save' AS action, 'post' AS method, 4::BIGINT AS fields, o_totalprice > 100000 AS big FROM orders")
@@ -356,7 +475,7 @@ def forms(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     html = markup("<form id=f action=/save method=POST><p><input name=a><input type=checkbox name=big", F.when(F.col("o_totalprice") > 100000, " checked").otherwise(""), "><button>Go</button></form><input form=f name=late><input name=none>")
     docs = rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html"), F.lit("https://shop.test/orders/1").alias("url")), base_url="url")
-    return E.forms(docs).select("page_id", "action", "method", F.size("fields").cast("long").alias("fields"), F.exists("fields", lambda f: F.coalesce(f["checked"], F.lit(False))).alias("big"))
+    return forms_of(form_nodes(docs).df).select("page_id", "action", "method", F.size("fields").cast("long").alias("fields"), F.exists("fields", lambda f: F.coalesce(f["checked"], F.lit(False))).alias("big"))
 
 
 @query(
@@ -470,22 +589,12 @@ def _customers(spark, sf_dir) -> Pages:
     return rows_of(c.select(F.col("c_custkey").alias("page_id"), html.alias("html")))
 
 
-@query(
-    """SELECT c_custkey AS page_id, true AS any, c_custkey % 10 = 1 AS tail, c_mktsegment = 'BUILDING' AS token, c_nationkey % 2 = 0 AS dash, c_nationkey % 2 <> 0 AS same, starts_with(c_mktsegment, 'AUTO') AS head,
-  contains(c_mktsegment, 'HO') AS inside, c_mktsegment = 'BUILDING' AS folded, false AS strict, c_custkey = 7 AS own, false AS empty_value, c_mktsegment = 'MACHINERY' AS class FROM customer"""
-)
+@query(_ATTRIBUTES)
 def attribute_operators(spark, sf_dir):
-    tests = {
-        "any": "*[data-seg]", "tail": "[id$='1']", "token": "[data-seg~=BUILDING]", "dash": "[lang|=EN]:not([lang=en])", "same": "[lang=eN]", "head": "[data-seg^=AUTO]", "inside": "[data-seg*=HO]", "folded": "[data-seg*='building ' i]", "strict": "[lang=EN s]",
-        "own": "#i7", "empty_value": "[title*='']", "class": "p.a.seg-mach",
-    }
-    return find(_customers(spark, sf_dir), "p").rows("id", matches=tests).drop("n", "id")
+    return find(_customers(spark, sf_dir), "p").rows("id", matches=_TESTS).drop("n", "id")
 
 
-@query(
-    """SELECT c_custkey AS page_id, 'section' AS up, 'svg' AS next, true AS no_previous, 4 AS kids, 'u' || c_nationkey AS link, c_nationkey >= 10 AS last_is_empty, 'http://www.w3.org/2000/svg' AS ns,
-  5 AS attrs, 'element' AS type FROM customer"""
-)
+@query(_NAVIGATION)
 def navigation(spark, sf_dir):
     p = find(_customers(spark, sf_dir), "p")
     columns = ("id", "type", "ns", "name", "attrs", "elem_count", "next_sib")
@@ -496,7 +605,7 @@ def navigation(spark, sf_dir):
     return blank.join(kids.groupBy("page_id").agg(F.count("*").cast("int").alias("kids")), "page_id").join(links, "page_id")
 
 
-@query("SELECT c_custkey AS page_id, true AS root, true AS is_scope, true AS is_empty, false AS not_empty, true AS last, true AS escaped FROM customer")
+@query(_STRUCTURE)
 def structural_classes(spark, sf_dir):
     pages = _customers(spark, sf_dir)
     p = find(pages, "p").rows("id", matches={"is_scope": ":scope", "is_empty": ":empty", "not_empty": "section:empty", "escaped": "#\\69 " + "\\31, [id^='\\69']"})
@@ -505,7 +614,7 @@ def structural_classes(spark, sf_dir):
     return p.drop("n", "id").join(r.drop("n", "id"), "page_id").join(last.drop("n", "id"), "page_id")
 
 
-@query("SELECT c_custkey AS page_id, 'p b' AS both, 'b' AS one, 'p' AS other, 'i b svg p' AS back, 'p p' AS twice, 'b' AS second, true AS beyond, 3 AS filled, 'section' AS outer, 'svg i' AS kept, 'section section' AS with_self, 'b' AS put FROM customer")
+@query(_SETS)
 def sets_of_nodes(spark, sf_dir):
     pages = _customers(spark, sf_dir)
     p, b, kids = find(pages, "p"), find(pages, "b"), find(pages, "section > *")
@@ -523,7 +632,7 @@ def sets_of_nodes(spark, sf_dir):
     return out.join(beyond, "page_id").join(filled, "page_id")
 
 
-@query("SELECT n_nationkey::BIGINT AS page_id, n_name AS held, 0::BIGINT AS seen, '' AS text, 1::BIGINT AS inner FROM nation")
+@query(_TEMPLATES)
 def template_contents(spark, sf_dir):
     n = read(spark, sf_dir, "nation")
     pages = rows_of(n.select(F.col("n_nationkey").cast("long").alias("page_id"), markup("<template id=t><p>", esc(F.col("n_name")), "</p></template>").alias("html")))
@@ -544,7 +653,7 @@ def disabled_fields(spark, sf_dir):
     off = lambda c: F.when(c, " disabled").otherwise("")
     status = F.col("o_orderstatus")
     html = markup("<form><input name=a value=\"", esc(F.col("o_orderpriority")), '"', off(status == "F"), "><fieldset disabled><legend><input type=EMAIL name=b></legend><button name=c value=go>x</button></fieldset><fieldset", off(status != "O"), "><input name=d type=odd></fieldset></form>")
-    return E.form_fields(rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))).select("page_id", "name", "type", "value", F.col("disabled").alias("off"))
+    return form_fields_of(form_nodes(rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))).df).select("page_id", "name", "type", "value", F.col("disabled").alias("off"))
 
 
 @query(

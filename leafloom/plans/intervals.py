@@ -6,7 +6,7 @@ a row a block; so a large page is spread over tasks. Where the rows of a page li
 nothing is exchanged.
 
 Pairs come from an equality join: an interval is laid out in blocks of 64, 4,096 and 262,144 numbers, at most 126 of each size, and a node looks
-itself up once a size. Only blocks at an interval's edges hold nodes that are no answer, fewer than 64 each.
+itself up once a size. Only blocks at an interval's edges hold nodes that are no answer, fewer than 64 each. Keys of pages are not null.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def _running(rows: DataFrame, values: dict[str, Column], best, frame: tuple[int,
     blocks = blocks.select(*(F.col(b).alias(f"_k_{b}") for b in by), F.col("_block").alias("_k"), *(best(f"_b_{n}").over(far).alias(f"_f_{n}") for n in values))
     on = F.col("_block") == F.col("_k")
     for b in by:
-        on = on & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
+        on = on & (F.col(b) == F.col(f"_k_{b}"))
     pick = F.greatest if best is F.max else F.least
     return near.join(blocks, on).select(*kept, *(told[n](pick(F.col(f"_n_{n}"), F.col(f"_f_{n}"))).alias(n) for n in values))
 
@@ -89,7 +89,7 @@ def pairs(outer: DataFrame, inner: DataFrame, by: list[str], itself: bool = Fals
     right = inner.select("*", F.explode(blocks_of_node(F.col("id"))).alias("_i"))
     on = (F.col("_o") == F.col("_i")) & (F.col("id") >= F.col("_low")) & (F.col("id") <= F.col("o_subtree_end"))
     for b in by:
-        on = F.col(b).eqNullSafe(F.col(f"_o_{b}")) & on
+        on = (F.col(b) == F.col(f"_o_{b}")) & on
     return right.join(left, on).select(*by, *(f"o_{c}" for c in mine), *(c for c in inner.columns if c not in by))
 
 
@@ -98,5 +98,5 @@ def nearest(outer: DataFrame, inner: DataFrame, by: list[str], into: str, itself
     found = pairs(outer.select(*by, "id", "subtree_end"), inner.select(*by, "id"), by, itself).groupBy(*(F.col(b).alias(f"_k_{b}") for b in by), F.col("id").alias("_k")).agg(F.max("o_id").alias(into))
     on = F.col("id") == F.col("_k")
     for b in by:
-        on = F.col(b).eqNullSafe(F.col(f"_k_{b}")) & on
+        on = (F.col(b) == F.col(f"_k_{b}")) & on
     return inner.join(found, on, "left").drop("_k", *(f"_k_{b}" for b in by))

@@ -22,7 +22,7 @@ from leafloom.kernel.decode import decode
 from leafloom.kernel.flat import Tree, freeze
 from leafloom.kernel.tree import Builder, parse_tree
 from leafloom.limits import Limits
-from leafloom.schema import PAGE
+from leafloom.schema import NODE, PAGE
 
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 #: Pages that a worker turns into one Arrow batch: nodes take many times the room of their markup.
@@ -92,6 +92,27 @@ def _nodes(trees: list[Tree | None], kind: pa.ListType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(kind.value_type)), type=kind, mask=mask)
 
 
+@dataclass(frozen=True)
+class Wanted:
+    """Which nodes a question needs: elements of these names or with one of these attributes, and text below elements of `text_in`."""
+
+    names: frozenset[str] = frozenset()
+    attrs: frozenset[str] = frozenset()
+    text_in: frozenset[str] = frozenset()
+
+    def of(self, t: Tree) -> list[int]:
+        out, reach = [], -1
+        for i, kind in enumerate(t.type):
+            if kind == "element":
+                if t.name[i] in self.names or (self.attrs and any(a[1] in self.attrs for a in t.attrs[i])):
+                    out.append(i)
+                if t.name[i] in self.text_in and t.end[i] > reach:
+                    reach = t.end[i]
+            elif kind == "text" and i <= reach:
+                out.append(i)
+        return out
+
+
 @dataclass(frozen=True)
 class Pages:
     """Markup that is to be parsed, and how. Operators that get it parse and extract in one pass over each page."""
@@ -137,6 +158,30 @@ class Pages:
 
         return p._source().mapInArrow(run, schema)
 
+    def node_rows(self, *columns: str, wanted: Wanted | None = None) -> DataFrame:
+        """The nodes of all pages as rows, one pass: key, keep, root_id, base (what references resolve against), and `columns` of NODE, by default
+        all. wanted: which nodes; the others never leave the parser. Pages with an error have none, or raise in FAILFAST."""
+        known = {f.name: f for f in T._parse_datatype_string(f"n {NODE}")["n"].dataType.fields}
+        names = columns or tuple(known)
+        if unknown := [c for c in names if c not in known]:
+            raise InputError(f"nodes have no column {unknown[0]}", "columns")
+        derived = not set(names) <= {"id", "parent", "subtree_end", "type", "ns", "name", "value", "attrs", "is_template", "in_template_of"}
+
+        def run(t: Tree) -> Iterable[tuple]:
+            n = len(t.type)
+            if derived:
+                held = t.columns()
+            else:
+                inside = t.templates() if "in_template_of" in names else ()
+                held = {"id": range(n), "parent": [None, *t.parent[1:]], "subtree_end": t.end, "type": t.type, "ns": t.ns, "name": t.name, "value": t.value, "attrs": t.attrs, "in_template_of": [i if i >= 0 else None for i in inside]}
+                held["is_template"] = [t.is_html(i, "template") for i in range(n)] if "is_template" in names else ()
+            root, base = t.root, t.base
+            some = range(n) if wanted is None else wanted.of(t)
+            rows = [held[c] for c in names]
+            return ((root, base, *(c[i] for c in rows)) for i in some)
+
+        return self.each(run, T.StructType([T.StructField("root_id", T.IntegerType()), T.StructField("base", T.StringType()), *(known[c] for c in names)]))
+
     def options(self) -> dict:
         return {"encoding": self.encoding, "context": self.context, "comments": self.comments, "limits": self.limits}
 
