@@ -1,6 +1,6 @@
 """Forms and their fields as joins over nodes; nothing here walks a page.
 
-One interval join tells each control what is around it: its form, table, disabled fieldsets, the select and group of an option. A reference
+Interval joins tell each control what is around it (its form, table, disabled fieldsets) and each option its select and group. A reference
 by form= is an equality with the first element of that id. A form that the parser had to leave empty in a table owns what follows in
 that table up to the next form: the last form before a control, by a running maximum. A fieldset's first legend takes its controls out
 again: they are disabled where more disabled fieldsets than such legends are around them. Of several selected options of a single
@@ -22,7 +22,7 @@ from leafloom.operators.nodes import KEY
 from leafloom.plans import selectors as S
 from leafloom.plans.intervals import pairs
 from leafloom.sources.pages import Pages, Wanted
-from leafloom.sources.stored import Stored, store
+from leafloom.sources.stored import Stored, store_nodes
 
 CONTROLS = ("input", "select", "textarea", "button")
 TABLE_PARTS = ("table", "tbody", "thead", "tfoot", "tr")
@@ -32,7 +32,7 @@ WANTED = Wanted(frozenset({*CONTROLS, *TABLE_PARTS, "form", "fieldset", "legend"
 
 def form_nodes(pages: Pages) -> Stored:
     """The nodes that forms are made of, parsed and stored."""
-    return store(pages.node_rows(*COLUMNS, wanted=WANTED), pages.key)
+    return store_nodes(pages, *COLUMNS, wanted=WANTED)
 
 
 def _elements(nodes: DataFrame, *names: str) -> DataFrame:
@@ -44,30 +44,19 @@ def _has(name: str) -> Column:
 
 
 def _around(nodes: DataFrame, key: str) -> DataFrame:
-    """Of each control, form and option: form, table (the innermost around), off (whether a fieldset disables it), group (the innermost select
-    or group of options: whether it is a disabled group) and selects (those around: id, multiple, whether one option shows)."""
-    size = raw_attr("size")
-    sign, digits = F.regexp_extract(size, r"^[ \t\n\r\f]*([-+]?)([0-9]+)", 1), F.regexp_extract(size, r"^[ \t\n\r\f]*([-+]?)([0-9]+)", 2)
-    told = (digits != "") & ~((sign == "-") & digits.rlike("[1-9]"))
-    one_shows = F.when(F.coalesce(told, F.lit(False)), digits.rlike("^0*1$")).otherwise(~_has("multiple"))
-    plain = [F.col("name").alias("kind"), _has("disabled").alias("is_off"), _has("multiple").alias("multiple"), one_shows.alias("one_shows")]
+    """Of each control and form with anything around: form, table (the innermost ones) and off (whether a fieldset disables it)."""
     # of legends only the first of a disabled fieldset; siblings are told apart by their ids
-    tests = {"exempt": parse_selector("fieldset[disabled] > legend:nth-of-type(1)"), "other": parse_selector("form, table, fieldset[disabled], select, optgroup")}
-    marked = _elements(nodes, "form", "table", "fieldset", "select", "optgroup", "legend").withColumn("elem_pos", F.col("id")).withColumn("root_id", F.lit(None).cast("int"))
-    outer = S.flagged(marked, tests, [key]).select(key, "id", "subtree_end", *plain)
-    inner = _elements(nodes, *CONTROLS, "form", "option").select(key, "id", "name")
-    kind = F.col("o_kind")
-    count = lambda k: F.count(F.when(kind == k, 1))
-    last = F.max(F.when(kind.isin("select", "optgroup"), F.struct("o_id", ((kind == "optgroup") & F.col("o_is_off")).alias("off"))))
-    selects = F.collect_list(F.when((F.col("name") == "option") & (kind == "select"), F.struct(F.col("o_id").alias("id"), F.col("o_multiple").alias("multiple"), F.col("o_one_shows").alias("one_shows"))))
-    return pairs(outer, inner, [key]).groupBy(F.col(key).alias("a_key"), F.col("id").alias("a_id")).agg(
-        F.max(F.when(kind == "form", F.col("o_id"))).alias("form"), F.max(F.when(kind == "table", F.col("o_id"))).alias("table"), (count("fieldset") > count("legend")).alias("off"), last["off"].alias("group_off"), selects.alias("selects"),
-    )
+    tests = {"exempt": parse_selector("fieldset[disabled] > legend:nth-of-type(1)"), "other": parse_selector("form, table, fieldset[disabled]")}
+    marked = _elements(nodes, "form", "table", "fieldset", "legend").withColumn("elem_pos", F.col("id")).withColumn("root_id", F.lit(None).cast("int"))
+    outer = S.flagged(marked, tests, [key]).select(key, "id", "subtree_end", F.col("name").alias("kind"))
+    inner = _elements(nodes, *CONTROLS, "form").select(key, "id")
+    of = lambda k: F.when(F.col("o_kind") == k, F.col("o_id"))
+    return pairs(outer, inner, [key]).groupBy(F.col(key).alias("a_key"), F.col("id").alias("a_id")).agg(F.max(of("form")).alias("form"), F.max(of("table")).alias("table"), (F.count(of("fieldset")) > F.count(of("legend"))).alias("off"))
 
 
-def _texts(nodes: DataFrame, key: str) -> DataFrame:
-    """The text of each textarea and option."""
-    outer = _elements(nodes, "textarea", "option").select(key, "id", "subtree_end")
+def _texts(nodes: DataFrame, key: str, name: str) -> DataFrame:
+    """The text of each element of that name that has any."""
+    outer = _elements(nodes, name).select(key, "id", "subtree_end")
     inner = nodes.where((F.col("type") == "text") & F.col("in_template_of").isNull()).select(key, "id", "value")
     pieces = F.array_sort(F.collect_list(F.struct("id", "value")))
     return pairs(outer, inner, [key]).groupBy(F.col(key).alias("t_key"), F.col("o_id").alias("t_id")).agg(F.array_join(F.transform(pieces, lambda p: p["value"]), "").alias("text"))
@@ -79,7 +68,7 @@ def _on(key: str, k: str, i: str, node: str = "id") -> Column:
 
 def owners(nodes: DataFrame, key: str = KEY) -> DataFrame:
     """Aligned with the controls and forms of all pages: their columns, owner (the control's form) and off (whether a fieldset disables it)."""
-    rows = _elements(nodes, *CONTROLS, "form").join(_around(nodes, key).drop("selects", "group_off"), _on(key, "a_key", "a_id"), "left").drop("a_key", "a_id")
+    rows = _elements(nodes, *CONTROLS, "form").join(_around(nodes, key), _on(key, "a_key", "a_id"), "left").drop("a_key", "a_id")
     parts = _elements(nodes, *TABLE_PARTS).select(F.col(key).alias("p_key"), F.col("id").alias("p_id"))
     rows = rows.join(parts, _on(key, "p_key", "p_id", "parent"), "left").withColumn("left_empty", F.col("p_id").isNotNull() & (F.col("subtree_end") == F.col("id"))).drop("p_key", "p_id")
     before = Window.partitionBy(key).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,12 +82,21 @@ def owners(nodes: DataFrame, key: str = KEY) -> DataFrame:
 
 def options(nodes: DataFrame, key: str = KEY) -> DataFrame:
     """key, select (its id), and the options of each select with any: an array of (value, label, selected, disabled), in order."""
-    rows = _elements(nodes, "option").join(_around(nodes, key).select("a_key", "a_id", "group_off", "selects"), _on(key, "a_key", "a_id"))
-    rows = rows.join(_texts(nodes, key), _on(key, "t_key", "t_id"), "left").select(key, "id", "attrs", "group_off", squeeze(F.coalesce("text", F.lit(""))).alias("body"), F.explode("selects").alias("s"))
+    size = raw_attr("size")
+    sign, digits = F.regexp_extract("size", r"^[ \t\n\r\f]*([-+]?)([0-9]+)", 1), F.regexp_extract("size", r"^[ \t\n\r\f]*([-+]?)([0-9]+)", 2)
+    told = (digits != "") & ~((sign == "-") & digits.rlike("[1-9]"))
+    one_shows = F.when(F.coalesce(told, F.lit(False)), digits.rlike("^0*1$")).otherwise(~F.col("multiple"))
+    outer = _elements(nodes, "select", "optgroup").select(key, "id", "subtree_end", (F.col("name") == "select").alias("is_select"), _has("disabled").alias("is_off"), _has("multiple").alias("multiple"), size.alias("size"))
+    outer = outer.select(key, "id", "subtree_end", "is_select", "is_off", "multiple", one_shows.alias("one_shows"))
+    # the innermost select or group around decides whether its group disables an option: the largest id, with that as its last bit
+    innermost = F.max(F.col("o_id").cast("long") * 2 + (~F.col("o_is_select") & F.col("o_is_off")).cast("long")).over(Window.partitionBy(key, "id"))
+    met = pairs(outer, _elements(nodes, "option").select(key, "id", "attrs"), [key]).withColumn("group_off", innermost % 2 == 1).where("o_is_select")
+    rows = met.join(_texts(nodes, key, "option"), _on(key, "t_key", "t_id"), "left")
+    rows = rows.select(key, "id", "attrs", "group_off", squeeze(F.coalesce("text", F.lit(""))).alias("body"), F.col("o_id").alias("select"), F.col("o_multiple").alias("multiple"), F.col("o_one_shows").alias("one_shows"))
     label = raw_attr("label")
     plain = rows.select(
-        key, "id", F.col("s.id").alias("select"), "s.multiple", "s.one_shows", F.coalesce(raw_attr("value"), F.col("body")).alias("value"), F.when(label != "", label).otherwise(F.col("body")).alias("label"), _has("selected").alias("chosen"),
-        (_has("disabled") | F.coalesce("group_off", F.lit(False))).alias("disabled"),
+        key, "id", "select", "multiple", "one_shows", F.coalesce(raw_attr("value"), F.col("body")).alias("value"), F.when(label != "", label).otherwise(F.col("body")).alias("label"), _has("selected").alias("chosen"),
+        (_has("disabled") | F.col("group_off")).alias("disabled"),
     )
     w = Window.partitionBy(key, "select")
     last, first = F.max(F.when(F.col("chosen"), F.col("id"))).over(w), F.min(F.when(~F.col("disabled"), F.col("id"))).over(w)
@@ -114,7 +112,7 @@ def form_fields(nodes: DataFrame, key: str = KEY) -> DataFrame:
     rows = owners(nodes, key)
     numbers = _elements(nodes, "form").select(F.col(key).alias("f_key"), F.col("id").alias("form_id"), F.row_number().over(Window.partitionBy(key).orderBy("id")).alias("form"))
     rows = rows.where("owner IS NOT NULL").join(numbers, (F.col(key) == F.col("f_key")) & (F.col("owner") == F.col("form_id"))).drop("f_key")
-    rows = rows.join(options(nodes, key), _on(key, "s_key", "s_id"), "left").join(_texts(nodes, key), _on(key, "t_key", "t_id"), "left")
+    rows = rows.join(options(nodes, key), _on(key, "s_key", "s_id"), "left").join(_texts(nodes, key, "textarea"), _on(key, "t_key", "t_id"), "left")
     tag, told = F.col("name"), fold(raw_attr("type"))
     kind = (
         F.when(tag == "input", F.when(told.isin(*INPUTS), told).otherwise("text")).when(tag == "button", F.when(told.isin("submit", "reset", "button"), told).otherwise("submit"))

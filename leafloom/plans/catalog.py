@@ -24,7 +24,7 @@ from leafloom.operators.forms import forms as forms_of
 from leafloom.operators.sets import find
 from leafloom.plans import selectors as S
 from leafloom.sources.pages import Pages, spread
-from leafloom.sources.stored import Stored, store
+from leafloom.sources.stored import Stored, store_nodes
 from leafloom.sources.work import hold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,7 +72,7 @@ def node_table(pages: Pages) -> DataFrame:
 
 def stored_nodes(pages: Pages, *columns: str) -> Stored:
     """All nodes (or some columns of them), parsed once and stored by page."""
-    return store(pages.node_rows(*columns), pages.key)
+    return store_nodes(pages, *columns)
 
 
 def esc(c: Column) -> Column:
@@ -289,18 +289,15 @@ def text_of_joined_nodes(spark, sf_dir):
 
 
 
-@query(
-    """SELECT l_returnflag || l_linestatus AS flags, count(*) FILTER (l_linenumber % 2 = 1) AS below_odd, count(*) FILTER (l_linenumber = 2) AS below_two, count(*) AS direct
-FROM lineitem GROUP BY ALL"""
-)
+@query("SELECT o_orderstatus AS status, count(*) FILTER (o_custkey % 2 = 1) AS below_odd, count(*) FILTER (o_custkey % 10 = 2) AS below_two, count(*) AS direct FROM orders GROUP BY o_orderstatus")
 def descendant_of_large_pages(spark, sf_dir):
-    """A page for each kind of line items: pages of many blocks of nodes, which searches split over tasks."""
-    l = read(spark, sf_dir, "lineitem").withColumn("flags", F.concat("l_returnflag", "l_linestatus")).withColumn("o", F.struct("l_orderkey", "l_linenumber"))
-    pages = gathered(l, "flags", "o", markup("<b class=n", F.col("l_linenumber"), "><i><u></u></i></b>"), "<main>", "</main>")
+    """A page for each status of orders: pages of many blocks of nodes, which searches split over tasks."""
+    o = read(spark, sf_dir, "orders")
+    pages = gathered(o, "o_orderstatus", "o_orderkey", markup("<b class=n", F.col("o_custkey") % 10, "><i></i></b>"), "<main>", "</main>")
     t = hold(Pages(pages, limits=Limits(max_input=1 << 28, max_nodes=1 << 30)).node_rows(*SEARCHED))
-    odd = ", ".join(f"b.n{i} u" for i in (1, 3, 5, 7))
-    found = S.select_many(t, {"odd": odd, "two": "main b.n2 u", "direct": "main > b > i > u"})
-    return found.groupBy(F.col("page_id").alias("flags")).agg(F.count_if("odd").alias("below_odd"), F.count_if("two").alias("below_two"), F.count_if("direct").alias("direct"))
+    odd = ", ".join(f"b.n{i} i" for i in (1, 3, 5, 7, 9))
+    found = S.select_many(t, {"odd": odd, "two": "main b.n2 i", "direct": "main > b > i"})
+    return found.groupBy(F.col("page_id").alias("status")).agg(F.count_if("odd").alias("below_odd"), F.count_if("two").alias("below_two"), F.count_if("direct").alias("direct"))
 
 
 @query("SELECT event_type, count(*)::BIGINT AS events, count(*) FILTER (n % 3 = 1) AS third, count(*) FILTER (p = event_type) AS again FROM (SELECT event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) GROUP BY event_type")

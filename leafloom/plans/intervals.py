@@ -55,8 +55,12 @@ def _range(low: Column, high: Column) -> Column:
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
 
+def _codes(blocks: Column, level: int) -> Column:
+    return F.transform(blocks, lambda b: (b * len(JOIN_BITS) + level).cast("int"))
+
+
 def blocks_of_interval(low: Column, high: Column) -> Column:
-    """The (size, block) that make up the numbers from `low` (1 at least) to `high`."""
+    """The blocks that make up the numbers from `low` (1 at least) to `high`, each as block * sizes + size."""
     parts, inner = [], None
     for level, bits in reversed(list(enumerate(JOIN_BITS))):
         first = F.shiftright(low, bits) if level == 0 else F.shiftright(low + ((1 << bits) - 1), bits)
@@ -68,16 +72,20 @@ def blocks_of_interval(low: Column, high: Column) -> Column:
             held = inner[0] <= inner[1]  # else the larger size has no block in the interval
             here = F.when(held, F.concat(_range(first, F.shiftleft(inner[0], step) - 1), _range(F.shiftleft(inner[1] + 1, step), last))).otherwise(_range(first, last))
             first, last = F.when(held, F.least(first, F.shiftleft(inner[0], step))).otherwise(first), F.when(held, F.greatest(last, F.shiftleft(inner[1] + 1, step) - 1)).otherwise(last)
-        size = F.lit(level).alias("size")
-        parts.append(F.transform(here, lambda b: F.struct(size, b.cast("int").alias("block"))))  # noqa: B023  called at once
+        parts.append(_codes(here, level))
         inner = (first, last)
-    return F.filter(F.concat(*parts), lambda x: low <= high)
+    first, sizes = F.shiftright(low, JOIN_BITS[0]), len(JOIN_BITS)
+    return F.when(low > high, F.array().cast("array<int>")).when(first == F.shiftright(high, JOIN_BITS[0]), F.array((first * sizes).cast("int"))).otherwise(F.concat(*parts))
 
 
 def blocks_of_node(node: Column) -> Column:
-    """The (size, block) under which a node is looked up. The first block of a size is never inside an interval, which begins behind 0."""
-    every = F.array(*(F.struct(F.lit(level).alias("size"), F.shiftright(node, bits).cast("int").alias("block")) for level, bits in enumerate(JOIN_BITS)))
-    return F.filter(every, lambda x: (x["size"] == 0) | (x["block"] > 0))
+    """The blocks under which a node is looked up. The first block of a size is never inside an interval, which begins behind 0."""
+    sizes = len(JOIN_BITS)
+    every = [(F.shiftright(node, bits) * sizes + level).cast("int") for level, bits in enumerate(JOIN_BITS)]
+    out = F.array(*every)
+    for level in range(len(every) - 1, 0, -1):
+        out = F.when(F.shiftright(node, JOIN_BITS[level]) == 0, F.array(*every[:level])).otherwise(out)
+    return F.when(F.shiftright(node, JOIN_BITS[1]) == 0, F.array(every[0])).otherwise(out)
 
 
 def pairs(outer: DataFrame, inner: DataFrame, by: list[str], itself: bool = False) -> DataFrame:

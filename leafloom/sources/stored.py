@@ -8,12 +8,13 @@ the table with: it is like the given one, but for spark.sql.requireAllClusterKey
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from leafloom.operators import nodes as N
 from leafloom.plans import selectors as S
+from leafloom.sources.pages import Pages, Wanted
 from leafloom.sources.work import shared_dir
 
 
@@ -52,17 +53,30 @@ class Stored:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def store(rows: DataFrame, key: str = N.KEY, table: str | None = None, path: str | None = None, buckets: int | None = None) -> Stored:
+def default_buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def store_nodes(pages: Pages, *columns: str, wanted: Wanted | None = None, table: str | None = None, path: str | None = None, buckets: int | None = None) -> Stored:
+    """Parses pages and stores their nodes (see `Pages.node_rows`). Pages are dealt to buckets before they are parsed: markup takes less room
+    than nodes."""
+    buckets = buckets or default_buckets(pages.df.sparkSession)
+    dealt = replace(pages, df=pages.df.repartition(buckets, pages.key))
+    return store(dealt.node_rows(*columns, wanted=wanted), pages.key, table, path, buckets, dealt=True)
+
+
+def store(rows: DataFrame, key: str = N.KEY, table: str | None = None, path: str | None = None, buckets: int | None = None, dealt: bool = False) -> Stored:
     """Writes nodes, or other rows of pages, in `buckets` (by default as many as a shuffle has partitions) by `key`, in order of `id` if they have one.
 
-    Without a `path` the folder is a new one below spark.checkpoint.dir; without a `table` the name is a new one."""
+    Without a `path` the folder is a new one below spark.checkpoint.dir; without a `table` the name is a new one. dealt: the rows come from
+    repartition(buckets, key) and lie there still."""
     spark = rows.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or default_buckets(spark)
     table = table or f"leafloom_{uuid.uuid4().hex}"
     path = path or f"{shared_dir(spark).rstrip('/')}/{table}"
     order = [key, "id"] if "id" in rows.columns else [key]
     # rows come to a task as they belong to its bucket, so that a bucket is one file
-    rows.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(*order).option("path", path).mode("errorifexists").saveAsTable(table)
+    (rows if dealt else rows.repartition(buckets, key)).write.format("parquet").bucketBy(buckets, key).sortBy(*order).option("path", path).mode("errorifexists").saveAsTable(table)
     return Stored(page_session(spark).table(table), table, path, key)
 
 

@@ -62,10 +62,27 @@ def test_blocks_of_an_interval_are_few_and_exact(spark):
     some = [(a, a + r.choice([0, 3, 100, 5000, 70_000, 1_000_000, 3_900_000])) for a in [1, 2, 63, 64, 65, 4095, 4096, 262_143, 262_144, *(r.randrange(1, 200_000) for _ in range(40))]] + [(5, 4)]
     df = spark.createDataFrame(some, "a int, b int").select("a", "b", intervals.blocks_of_interval(F.col("a"), F.col("b")).alias("x"))
     for row in df.collect():
-        a, b, cut = row["a"], row["b"], sorted((x["block"] << intervals.JOIN_BITS[x["size"]], (x["block"] + 1 << intervals.JOIN_BITS[x["size"]]) - 1, x["size"]) for x in row["x"])
+        a, b, blocks = row["a"], row["b"], [(x // 3, x % 3) for x in row["x"]]
+        cut = sorted((n << intervals.JOIN_BITS[size], (n + 1 << intervals.JOIN_BITS[size]) - 1, size) for n, size in blocks)
         if a > b:
             assert not cut
             continue
         assert len(cut) <= 126 * 3 and cut[0][0] <= a <= cut[0][1] and cut[-1][0] <= b <= cut[-1][1]
         assert all(p[1] + 1 == q[0] for p, q in zip(cut, cut[1:], strict=False))
         assert all(p[2] == 0 or (p[0] >= a and p[1] <= b and p[0] > 0) for p in cut)
+
+
+def test_a_large_page_is_split_over_tasks(spark):
+    """A page of 400,000 nodes: windows are dealt by blocks, and what is joined grows with the answers, not with the square of the page."""
+    n = 400_000
+    page = spark.range(n).select(F.lit(1).cast("long").alias("page_id"), F.col("id").cast("int").alias("id"), F.when(F.col("id") % 100 == 0, F.least(F.col("id") + 99, F.lit(n - 1))).otherwise(F.col("id")).cast("int").alias("subtree_end"))
+    flag = F.col("id") % 1000 == 0
+    found = within(page, {"in": flag}, ["page_id"])
+    assert found.where("in").count() == 99 * n // 1000
+    held = [r["count"] for r in page.withColumn("b", F.shiftright("id", intervals.WINDOW_BITS)).groupBy("b").count().collect()]
+    assert len(held) > 20 and max(held) <= 1 << intervals.WINDOW_BITS
+    met = pairs(page.where(flag).select("page_id", "id", "subtree_end"), page.select("page_id", "id"), ["page_id"])
+    assert met.count() == 99 * n // 1000
+    left = page.where(flag).select(F.explode(intervals.blocks_of_interval(F.col("id") + 1, F.col("subtree_end"))).alias("b")).count()
+    right = page.select(F.explode(intervals.blocks_of_node(F.col("id"))).alias("b")).count()
+    assert left <= 3 * n // 1000 and right < 3 * n
