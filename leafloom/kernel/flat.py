@@ -12,12 +12,13 @@ URI = {"html": "http://www.w3.org/1999/xhtml", "svg": "http://www.w3.org/2000/sv
 class Tree:
     """Columns over nodes: type, ns, name, value, parent, end, attrs (list of (ns, name, value)); kids are found once."""
 
-    __slots__ = ("_base", "_columns", "_ids", "attrs", "base_url", "doctype", "end", "is_fragment", "kids", "name", "ns", "parent", "type", "value")
+    __slots__ = ("_base", "_columns", "_ids", "attrs", "base_url", "doctype", "end", "is_fragment", "kids", "max_selector_tests", "name", "ns", "parent", "type", "value")
 
     def __init__(self, types, ns, name, value, parent, end, attrs, is_fragment: bool = False, base_url: str | None = None):
         self.type, self.ns, self.name, self.value, self.parent, self.end, self.attrs = types, ns, name, value, parent, end, attrs
         self.is_fragment, self.base_url = is_fragment, base_url
         self.doctype: tuple[str | None, str | None] = (None, None)
+        self.max_selector_tests = Limits.max_selector_tests
         self._base: list | None = None
         self._columns: dict | None = None
         self._ids: dict[str, int] | None = None
@@ -171,5 +172,5 @@ def parse_html(text: str, limits: Limits | None = None, context: str | None = No
         parts = context.split()
         where = (parts[0], parts[1]) if len(parts) == 2 else ("html", parts[0])
     t = freeze(parse_tree(text, limits, where, comments))
-    t.base_url = base_url
+    t.base_url, t.max_selector_tests = base_url, (limits or Limits()).max_selector_tests
     return t

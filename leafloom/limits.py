@@ -6,12 +6,13 @@ from dataclasses import dataclass, fields
 
 from leafloom.errors import InputError
 
-_BOUNDS = {"max_input": (1, 1 << 31), "max_depth": (1, 100_000), "max_nodes": (1, 1 << 31), "max_errors": (0, 1_000_000), "max_table_cells": (1, 1 << 31), "max_selector_length": (1, 1 << 31)}
+_BOUNDS = {"max_input": (1, 1 << 31), "max_depth": (1, 100_000), "max_nodes": (1, 1 << 31), "max_errors": (0, 1_000_000), "max_table_cells": (1, 1 << 31), "max_selector_length": (1, 1 << 31), "max_selector_tests": (1, 1 << 62)}
 
 
 @dataclass(frozen=True)
 class Limits:
-    """max_input: bytes of decoded input. max_depth: open elements, html and body included. max_nodes: with the document node."""
+    """max_input: bytes of decoded input. max_depth: open elements, html and body included. max_nodes: with the document node.
+    max_selector_tests: tests of a node against a compound, in all searches of one page while it is parsed."""
 
     max_input: int = 16 << 20
     max_depth: int = 512
@@ -19,6 +20,7 @@ class Limits:
     max_errors: int = 100
     max_table_cells: int = 1_000_000
     max_selector_length: int = 16 << 10
+    max_selector_tests: int = 1_000_000_000
 
     def __post_init__(self):
         for f in fields(self):

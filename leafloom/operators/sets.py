@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
+from itertools import filterfalse
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -172,10 +173,10 @@ class Nodes:
         return self._with(other, lambda a, b: list(dict.fromkeys([*a, *b])))
 
     def intersect(self, other: Nodes) -> Nodes:
-        return self._with(other, lambda a, b: [i for i in dict.fromkeys(a) if i in set(b)])
+        return self._with(other, lambda a, b: list(filter(set(b).__contains__, dict.fromkeys(a))))
 
     def difference(self, other: Nodes) -> Nodes:
-        return self._with(other, lambda a, b: [i for i in dict.fromkeys(a) if i not in set(b)])
+        return self._with(other, lambda a, b: list(filterfalse(set(b).__contains__, dict.fromkeys(a))))
 
     # -- rows ------------------------------------------------------------------------------------------------------------------
 

@@ -39,7 +39,7 @@ def tree(data: str | bytes | None, encoding: str | None = None, base_url: str |
     where = None if context is None else (tuple(context.split()) if " " in context else ("html", context))
     b = parse_tree(decoded[0], limits, where, comments)
     t = freeze(b)
-    t.base_url = base_url
+    t.base_url, t.max_selector_tests = base_url, limits.max_selector_tests
     return t, b, decoded
 
 
@@ -186,8 +186,8 @@ class Pages:
         return {"encoding": self.encoding, "context": self.context, "comments": self.comments, "limits": self.limits}
 
     def each(self, fn: Callable[[Tree], Iterable[tuple]], schema: T.StructType) -> DataFrame:
-        """The key, `keep` and the rows that `fn` yields for each page's tree; schema: of what `fn` yields. Pages with an error yield
-        none, or raise in FAILFAST."""
+        """The key, `keep` and the rows that `fn` yields for each page's tree; schema: of what `fn` yields. Pages with an error, or on
+        which `fn` reaches a limit, yield none, or raise in FAILFAST."""
         p = self
         names = [p.key, *p.keep]
         out = T.StructType([p.df.schema[c] for c in names] + schema.fields)
@@ -198,12 +198,16 @@ class Pages:
             for part in _slices(batches, PLAIN_PAGES):
                 for k, (x, u) in zip(zip(*(part.column(c).to_pylist() for c in key), strict=True), _inputs(part, content, base), strict=True):
                     try:
-                        t, _, _ = tree(x, base_url=u, **options)
+                        t = tree(x, base_url=u, **options)[0]
+                        try:
+                            rows = list(fn(t))
+                        except InputError as e:  # of the question, not of the page
+                            raise ValueError(f"{e.kind}: {e}") from None
                     except PageError as e:
                         if strict:
                             raise ValueError(f"{e.kind}: {e}") from None
                         continue
-                    yield from gather.add(k, fn(t))
+                    yield from gather.add(k, rows)
             yield from gather.rest()
 
         return p._source().mapInArrow(run, out)

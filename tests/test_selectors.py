@@ -96,3 +96,28 @@ def test_bounds():
         parse_selector("a" * 50, 40)
     with pytest.raises(ValueError):
         parse_selector(["a"])
+
+
+def test_deep_pages_and_long_selectors_in_one_pass():
+    """61 compounds over 500 nested elements: each node is tested once for each compound."""
+    t = parse_html("<div>" * 500)
+    m = Matcher(t)
+    assert len(m.select(parse_selector(" ".join(["div"] * 61)))) == 500 - 60
+    assert m.tests <= 61 * 502
+    wide = Matcher(parse_html("<ul>" + "<li>" * 3000))
+    assert len(wide.select(parse_selector("li ~ li + li ~ li"))) == 2997 and wide.tests <= 4 * 3003
+
+
+def test_the_limit_of_tests(spark):
+    from leafloom.limits import Limits
+    from leafloom.operators.sets import find
+    from leafloom.sources.pages import Pages
+
+    t = parse_html("<p>" * 100, Limits(max_selector_tests=150))
+    with pytest.raises(LimitError) as e:
+        Matcher(t).select(parse_selector("p p ~ p"))
+    assert (e.value.limit, e.value.maximum, e.value.observed) == ("max_selector_tests", 150, 151)
+    df = spark.createDataFrame([(1, "<p>" * 100), (2, "<p><p>")], "page_id long, html string")
+    assert {r["page_id"] for r in find(Pages(df, limits=Limits(max_selector_tests=150)), "p ~ p").rows("id").collect()} == {2}
+    with pytest.raises(Exception, match="max_selector_tests"):
+        find(Pages(df, limits=Limits(max_selector_tests=150), mode="FAILFAST"), "p ~ p").rows("id").collect()
