@@ -16,6 +16,7 @@ from leafloom.functions.columns import attr, attrs, classes, namespace, node_nam
 from leafloom.functions.udf import register
 from leafloom.limits import Limits
 from leafloom.operators import extract as E
+from leafloom.operators import metadata as M
 from leafloom.operators import nodes as N
 from leafloom.operators import ordered as O
 from leafloom.operators.forms import form_fields as form_fields_of
@@ -573,6 +574,51 @@ def permissive_errors(spark, sf_dir):
     return rows_of(s.select(F.col("s_suppkey").alias("page_id"), raw.alias("html"))).parsed().select("page_id", F.col("error.kind").alias("error"))
 
 
+# -- metadata without Python after the parse -------------------------------------------------------------------------------------
+
+
+@query(ORACLES["title"])
+def title_natively(spark, sf_dir):
+    return M.title(docs_of(spark, sf_dir).parsed())
+
+
+@query(ORACLES["meta"])
+def meta_natively(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    html = markup("<META Name=author content='", esc(F.col("c_name")), "'><meta property=og:segment content=\"", esc(F.col("c_mktsegment")), '"><p>x')
+    return M.meta(rows_of(c.select(F.col("c_custkey").alias("page_id"), html.alias("html"))).parsed()).select("page_id", "name", "property", "content")
+
+
+@query("SELECT p_partkey AS page_id, p_name AS title, 'https://shop.test/p/' || p_partkey AS base, p_brand AS brand, 1 AS metas, p_size::BIGINT AS size FROM part")
+def page_metadata(spark, sf_dir):
+    """Title, base, meta and JSON-LD of each page from one look over its nodes."""
+    p = read(spark, sf_dir, "part")
+    html = markup("<base href='p/", F.col("p_partkey"), "'><title>\n ", esc(F.col("p_name")), " </title><meta name=brand content=\"", esc(F.col("p_brand")), '"><script type="application/ld+json">/*<![CDATA[*/', F.to_json(F.struct(F.col("p_size").alias("size"))), "/*]]>*/</script>")
+    docs = rows_of(p.select(F.col("p_partkey").alias("page_id"), html.alias("html"), F.lit("https://shop.test/x").alias("url")), base_url="url").parsed()
+    size = F.try_parse_json(M.unwrapped(F.get("scripts", F.lit(0))))
+    return M.page_metadata(docs).select("page_id", "title", "base", F.get("meta", F.lit(0))["content"].alias("brand"), F.size("meta").alias("metas"), F.try_variant_get(size, "$.size", "bigint").alias("size"))
+
+
+@query(ORACLES["microdata"])
+def microdata_by_join(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    html = markup("<div itemscope itemtype='https://schema.test/Product' itemref=more><h1 itemprop=name>", esc(F.col("p_name")), "</h1><a itemprop=url href='p/", F.col("p_partkey"), "'>see</a></div><meta id=more itemprop=brand content=\"", esc(F.col("p_brand")), '">')
+    docs = rows_of(p.select(F.col("p_partkey").alias("page_id"), html.alias("html"), F.lit("https://shop.test/").alias("url")), base_url="url")
+    return M.microdata(M.item_nodes(docs).df).select("page_id", F.array_join("type", " ").alias("type"), "property", "value")
+
+
+@query(
+    """SELECT s_suppkey AS page_id, i.item, i.property, CASE i.property WHEN 'nation' THEN s_nationkey::VARCHAR END AS value, i.child FROM supplier,
+  (VALUES ('1', 'maker', '1/maker.1'), ('1/maker.1', 'nation', NULL), ('1/maker.1', 'sells', '1/maker.1/sells.1'), ('1/maker.1/sells.1', 'maker', NULL)) AS i(item, property, child)"""
+)
+def microdata_circles(spark, sf_dir):
+    """Items that refer to each other: a value that would lead back to its own item is null."""
+    s = read(spark, sf_dir, "supplier")
+    html = markup("<div itemscope itemref=m></div><p id=m itemprop=maker itemscope itemref='s n'></p><p id=s itemprop=sells itemscope itemref=m></p><data id=n itemprop=nation value=", F.col("s_nationkey"), ">x</data>")
+    docs = rows_of(s.select(F.col("s_suppkey").alias("page_id"), html.alias("html")))
+    return M.microdata(M.item_nodes(docs).df).select("page_id", "item", "property", "value", "child")
+
+
 # -- more of the language, over markup from tables -------------------------------------------------------------------------------
 
 

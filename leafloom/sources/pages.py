@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from leafloom.errors import InputError, PageError
 from leafloom.kernel.decode import decode
 from leafloom.kernel.flat import Tree, freeze
+from leafloom.kernel.text import clean
 from leafloom.kernel.tree import Builder, parse_tree
 from leafloom.limits import Limits
 from leafloom.schema import NODE, PAGE
@@ -158,9 +159,10 @@ class Pages:
 
         return p._source().mapInArrow(run, schema)
 
-    def node_rows(self, *columns: str, wanted: Wanted | None = None) -> DataFrame:
+    def node_rows(self, *columns: str, wanted: Wanted | None = None, texts: frozenset[str] = frozenset()) -> DataFrame:
         """The nodes of all pages as rows, one pass: key, keep, root_id, base (what references resolve against), and `columns` of NODE, by default
-        all. wanted: which nodes; the others never leave the parser. Pages with an error have none, or raise in FAILFAST."""
+        all. wanted: which nodes; the others never leave the parser. texts: if given, a column `text` has the cleaned text of elements with one
+        of these attributes. Pages with an error have no rows, or raise in FAILFAST."""
         known = {f.name: f for f in T._parse_datatype_string(f"n {NODE}")["n"].dataType.fields}
         names = columns or tuple(known)
         if unknown := [c for c in names if c not in known]:
@@ -178,9 +180,13 @@ class Pages:
             root, base = t.root, t.base
             some = range(n) if wanted is None else wanted.of(t)
             rows = [held[c] for c in names]
-            return ((root, base, *(c[i] for c in rows)) for i in some)
+            if not texts:
+                return ((root, base, *(c[i] for c in rows)) for i in some)
+            asked = lambda i: t.type[i] == "element" and any(a[1] in texts and not a[0] for a in t.attrs[i])
+            return ((root, base, *(c[i] for c in rows), clean(t, i) if asked(i) else None) for i in some)
 
-        return self.each(run, T.StructType([T.StructField("root_id", T.IntegerType()), T.StructField("base", T.StringType()), *(known[c] for c in names)]))
+        more = [T.StructField("text", T.StringType())] if texts else []
+        return self.each(run, T.StructType([T.StructField("root_id", T.IntegerType()), T.StructField("base", T.StringType()), *(known[c] for c in names), *more]))
 
     def options(self) -> dict:
         return {"encoding": self.encoding, "context": self.context, "comments": self.comments, "limits": self.limits}

@@ -57,12 +57,12 @@ def default_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def store_nodes(pages: Pages, *columns: str, wanted: Wanted | None = None, table: str | None = None, path: str | None = None, buckets: int | None = None) -> Stored:
+def store_nodes(pages: Pages, *columns: str, wanted: Wanted | None = None, texts: frozenset[str] = frozenset(), table: str | None = None, path: str | None = None, buckets: int | None = None) -> Stored:
     """Parses pages and stores their nodes (see `Pages.node_rows`). Pages are dealt to buckets before they are parsed: markup takes less room
     than nodes."""
     buckets = buckets or default_buckets(pages.df.sparkSession)
     dealt = replace(pages, df=pages.df.repartition(buckets, pages.key))
-    return store(dealt.node_rows(*columns, wanted=wanted), pages.key, table, path, buckets, dealt=True)
+    return store(dealt.node_rows(*columns, wanted=wanted, texts=texts), pages.key, table, path, buckets, dealt=True)
 
 
 def store(rows: DataFrame, key: str = N.KEY, table: str | None = None, path: str | None = None, buckets: int | None = None, dealt: bool = False) -> Stored:
