@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leafloom.functions.columns import WS, fold, raw_attr, resolve, squeeze, tokens, trim
 from leafloom.operators.nodes import KEY
 from leafloom.plans.intervals import nearest, pairs
-from leafloom.sources.pages import Pages, Wanted
+from leafloom.sources.pages import Cleaned, Pages, Wanted
 from leafloom.sources.stored import Stored, store_nodes
 from leafloom.sources.work import hold
 
@@ -80,7 +80,7 @@ ITEM_NODES = Wanted(frozenset({"template"}), frozenset({"itemscope", "itemprop",
 def item_nodes(pages: Pages) -> Stored:
     """The elements that items are made of, parsed and stored: those with itemscope, itemprop or an id, and templates. Properties have their cleaned text,
     a walk that the parser's task makes while it holds the tree."""
-    return store_nodes(pages, *COLUMNS, wanted=ITEM_NODES, texts=frozenset({"itemprop"}))
+    return store_nodes(pages, *COLUMNS, wanted=ITEM_NODES, texts=Cleaned(attrs=frozenset({"itemprop"})))
 
 
 def _has(name: str) -> Column:

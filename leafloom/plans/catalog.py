@@ -16,6 +16,7 @@ from leafloom.functions.columns import attr, attrs, classes, namespace, node_nam
 from leafloom.functions.udf import register
 from leafloom.limits import Limits
 from leafloom.operators import extract as E
+from leafloom.operators import grids as G
 from leafloom.operators import metadata as M
 from leafloom.operators import nodes as N
 from leafloom.operators import ordered as O
@@ -438,12 +439,16 @@ SELECT n_regionkey::BIGINT AS page_id, r::INT AS "row", 2 AS "column", 1 AS rows
 UNION ALL SELECT n_regionkey, 1, 1, count(*)::INT, any_value(r_name) FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey"""
 )
 def table_cells(spark, sf_dir):
+    return E.table_cells(_region_tables(spark, sf_dir)).select("page_id", "row", "column", "rowspan", "text")
+
+
+def _region_tables(spark, sf_dir) -> Pages:
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     many = n.groupBy("n_regionkey").count().join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_regionkey").alias("k"), "count", "r_name")
     rows = n.join(many, F.col("n_regionkey") == F.col("k"))
     first = F.col("n_nationkey") == F.min("n_nationkey").over(_by("n_regionkey"))
     rows = rows.withColumn("piece", markup("<tr>", F.when(first, markup("<td rowspan=", F.col("count"), ">", esc(F.col("r_name")))).otherwise(""), "<td>", esc(F.col("n_name")), "</tr>")).withColumn("n_regionkey", F.col("n_regionkey").cast("long"))
-    return E.table_cells(Pages(gathered(rows, "n_regionkey", "n_nationkey", F.col("piece"), "<table>", "</table>"))).select("page_id", "row", "column", "rowspan", "text")
+    return Pages(gathered(rows, "n_regionkey", "n_nationkey", F.col("piece"), "<table>", "</table>"))
 
 
 def _by(column: str):
@@ -462,18 +467,35 @@ UNION ALL SELECT o_orderkey, 'big', 'checkbox', 'on' FROM orders
 UNION ALL SELECT o_orderkey, 'note', 'textarea', 'of ' || o_custkey FROM orders WHERE (SELECT count(*) FROM (VALUES {_STATES})) = 3"""
 )
 def form_fields(spark, sf_dir):
+    return E.form_fields(_order_forms(spark, sf_dir)).select("page_id", "name", "type", "value")
+
+
+@query(ORACLES["form_fields"])
+def form_fields_by_join(spark, sf_dir):
+    return form_fields_of(form_nodes(_order_forms(spark, sf_dir)).df).select("page_id", "name", "type", "value")
+
+
+def _order_forms(spark, sf_dir) -> Pages:
     o = read(spark, sf_dir, "orders")
     options = F.array_join(F.transform(F.array(*map(F.lit, "FOP")), lambda s: F.concat(F.lit("<option value="), s, F.when(s == F.col("o_orderstatus"), " selected").otherwise(""), F.lit(">"), s)), "")
     html = markup('<form action=/save method=post><input name=order value="', esc(F.col("o_orderpriority")), '"><select name=state>', options, "</select><input type=checkbox name=big", F.when(F.col("o_totalprice") > 1e5, " checked").otherwise(""), "><textarea name=note>\nof ", F.col("o_custkey"), "</textarea></form>")
-    return form_fields_of(form_nodes(rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))).df).select("page_id", "name", "type", "value")
+    return rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))
 
 
 @query("SELECT o_orderkey AS page_id, 'https://shop.test/save' AS action, 'post' AS method, 4::BIGINT AS fields, o_totalprice > 100000 AS big FROM orders")
 def forms(spark, sf_dir):
+    return E.forms(_post_forms(spark, sf_dir)).select("page_id", "action", "method", F.size("fields").cast("long").alias("fields"), F.exists("fields", lambda f: F.coalesce(f["checked"], F.lit(False))).alias("big"))
+
+
+@query(ORACLES["forms"])
+def forms_by_join(spark, sf_dir):
+    return forms_of(form_nodes(_post_forms(spark, sf_dir)).df).select("page_id", "action", "method", F.size("fields").cast("long").alias("fields"), F.exists("fields", lambda f: F.coalesce(f["checked"], F.lit(False))).alias("big"))
+
+
+def _post_forms(spark, sf_dir) -> Pages:
     o = read(spark, sf_dir, "orders")
     html = markup("<form id=f action=/save method=POST><p><input name=a><input type=checkbox name=big", F.when(F.col("o_totalprice") > 100000, " checked").otherwise(""), "><button>Go</button></form><input form=f name=late><input name=none>")
-    docs = rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html"), F.lit("https://shop.test/orders/1").alias("url")), base_url="url")
-    return forms_of(form_nodes(docs).df).select("page_id", "action", "method", F.size("fields").cast("long").alias("fields"), F.exists("fields", lambda f: F.coalesce(f["checked"], F.lit(False))).alias("big"))
+    return rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html"), F.lit("https://shop.test/orders/1").alias("url")), base_url="url")
 
 
 @query(
@@ -619,6 +641,26 @@ def microdata_circles(spark, sf_dir):
     return M.microdata(M.item_nodes(docs).df).select("page_id", "item", "property", "value", "child")
 
 
+# -- tables without Python after the parse ---------------------------------------------------------------------------------------
+
+
+@query(ORACLES["table_rows"])
+def table_rows_by_join(spark, sf_dir):
+    long = G.tables(G.cell_nodes(_order_tables(spark, sf_dir)).df)
+    return E.wide(long, ["line", "quantity", "state", "state.1"]).select("page_id", "line", "quantity", "state", F.col("`state.1`").alias("state_1"))
+
+
+@query(ORACLES["table_converted"])
+def table_converted_by_join(spark, sf_dir):
+    t = G.converted(G.tables(G.cell_nodes(_order_tables(spark, sf_dir)).df)).where("name = 'quantity'")
+    return t.groupBy("page_id", "col_type").agg(F.sum("number").alias("quantity"))
+
+
+@query(ORACLES["table_cells"])
+def table_cells_by_join(spark, sf_dir):
+    return G.table_cells(G.cell_nodes(_region_tables(spark, sf_dir)).df).select("page_id", "row", "column", "rowspan", "text")
+
+
 # -- more of the language, over markup from tables -------------------------------------------------------------------------------
 
 
@@ -692,11 +734,20 @@ def template_contents(spark, sf_dir):
   LATERAL (SELECT CASE n WHEN 1 THEN o_orderpriority WHEN 3 THEN 'go' ELSE '' END AS value, CASE n WHEN 1 THEN o_orderstatus = 'F' WHEN 2 THEN false WHEN 3 THEN true ELSE o_orderstatus <> 'O' END AS off)"""
 )
 def disabled_fields(spark, sf_dir):
+    return E.form_fields(_disabled_forms(spark, sf_dir)).select("page_id", "name", "type", "value", F.col("disabled").alias("off"))
+
+
+@query(ORACLES["disabled_fields"])
+def disabled_fields_by_join(spark, sf_dir):
+    return form_fields_of(form_nodes(_disabled_forms(spark, sf_dir)).df).select("page_id", "name", "type", "value", F.col("disabled").alias("off"))
+
+
+def _disabled_forms(spark, sf_dir) -> Pages:
     o = read(spark, sf_dir, "orders")
     off = lambda c: F.when(c, " disabled").otherwise("")
     status = F.col("o_orderstatus")
     html = markup("<form><input name=a value=\"", esc(F.col("o_orderpriority")), '"', off(status == "F"), "><fieldset disabled><legend><input type=EMAIL name=b></legend><button name=c value=go>x</button></fieldset><fieldset", off(status != "O"), "><input name=d type=odd></fieldset></form>")
-    return form_fields_of(form_nodes(rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))).df).select("page_id", "name", "type", "value", F.col("disabled").alias("off"))
+    return rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))
 
 
 @query(
@@ -704,11 +755,21 @@ def disabled_fields(spark, sf_dir):
   sum(CASE name WHEN 'price' THEN round(l_extendedprice * 100)::BIGINT WHEN 'open' THEN (l_linestatus = 'O')::BIGINT ELSE 0 END)::BIGINT AS total FROM lineitem, (VALUES ('price'), ('open'), ('code')) AS c(name) GROUP BY l_orderkey, name"""
 )
 def column_types(spark, sf_dir):
+    t = E.tables(_price_tables(spark, sf_dir), "table:first-child", match="price", convert_types=True)
+    total = F.when(F.col("name") == "price", F.round(F.col("number") * 100).cast("long")).when(F.col("name") == "open", F.col("flag").cast("long")).otherwise(0)
+    return t.groupBy("page_id", "name", "col_type").agg(F.sum(total).alias("total"))
+
+
+def _price_tables(spark, sf_dir) -> Pages:
     l = read(spark, sf_dir, "lineitem")
     row = markup("<tr><td>", F.format_string("%.2f", F.col("l_extendedprice")), "<td>", F.when(F.col("l_linestatus") == "O", "TRUE").otherwise("F"), "<td>00", F.col("l_linenumber"))
-    pages = gathered(l, "l_orderkey", "l_linenumber", row, "<table><tr><th>price<th>open<th>code", "</table><table><tr><td>other</table>")
-    t = E.tables(Pages(pages), "table:first-child", match="price", convert_types=True)
-    total = F.when(F.col("name") == "price", F.round(F.col("number") * 100).cast("long")).when(F.col("name") == "open", F.col("flag").cast("long")).otherwise(0)
+    return Pages(gathered(l, "l_orderkey", "l_linenumber", row, "<table><tr><th>price<th>open<th>code", "</table><table><tr><td>other</table>"))
+
+
+@query(ORACLES["column_types"])
+def column_types_by_join(spark, sf_dir):
+    t = G.converted(G.tables(G.cell_nodes(_price_tables(spark, sf_dir)).df, "table:first-child"))
+    total = F.when(F.col("name") == "price", (F.col("exact") * 100).cast("long")).when(F.col("name") == "open", F.col("flag").cast("long")).otherwise(0)
     return t.groupBy("page_id", "name", "col_type").agg(F.sum(total).alias("total"))
 
 

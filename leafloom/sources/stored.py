@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leafloom.operators import nodes as N
 from leafloom.plans import selectors as S
-from leafloom.sources.pages import Pages, Wanted
+from leafloom.sources.pages import Cleaned, Pages, Wanted
 from leafloom.sources.work import shared_dir
 
 
@@ -57,7 +57,7 @@ def default_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def store_nodes(pages: Pages, *columns: str, wanted: Wanted | None = None, texts: frozenset[str] = frozenset(), table: str | None = None, path: str | None = None, buckets: int | None = None) -> Stored:
+def store_nodes(pages: Pages, *columns: str, wanted: Wanted | None = None, texts: Cleaned | None = None, table: str | None = None, path: str | None = None, buckets: int | None = None) -> Stored:
     """Parses pages and stores their nodes (see `Pages.node_rows`). Pages are dealt to buckets before they are parsed: markup takes less room
     than nodes."""
     buckets = buckets or default_buckets(pages.df.sparkSession)
