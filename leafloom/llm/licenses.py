@@ -2,13 +2,15 @@
 
 The index holds, for each rare word of each license template, the word's places in the template. Document frequencies of
 those words are counted over all documents. For each file and template the RARE words of highest IDF that the file holds
-are looked up; a posting at place p of the template and at word w of the file proposes that the template starts at w - p,
-and proposals are intersected: at least AGREE of those words must agree on one start. A start counts only if the template's
+are chosen, and only these are looked up; a posting at place p of the template and at word w of the file proposes that the template starts
+at w - p, and proposals are intersected: at least AGREE of those words must agree on one start. The few starts that are left are verified:
+a template's other words are looked up in the file at the places where they should stand, and a start counts only if the
 mandatory key phrases stand there, word for word. It may lie before the file's first word: files often open with the
 license's name, and the words of the template before its key phrases are not mandatory. The score is the share of the template's IDF mass that stands at the best
 start. The base phrases are templates too, all of whose words must stand.
 
-One pass over the texts finds the hits; everything after it works on hits. All of it is DataFrame expressions. The postings
+One pass over the texts finds the hits; everything after it works on hits. Choosing and looking up happen within a file's row; what is
+exchanged are proposed starts, and for verification only files with a start. All of it is DataFrame expressions. The postings
 have a fixed size (the templates below), which is why they are broadcast.
 
 Edge cases: a null or empty text has no words, no labels and the score 0. Repeated rows and repeated or null doc_ids give a
@@ -20,9 +22,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from leafloom.llm.common import cut, table, text_of
 
@@ -76,28 +77,42 @@ def hits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return cut(words.select(F.monotonically_increasing_id().alias("row"), key, F.size("w").cast("long").alias("n_words"), found.alias("hits")))
 
 
+def proposed(found: DataFrame, rare: dict[int, list[tuple[str, int]]]) -> DataFrame:
+    """From `hits`: row, template, start, where AGREE of the file's rarest words of the template agree. rare: of each template its (word, place), the
+    highest IDF first."""
+    held = F.array_distinct(F.transform("hits", lambda h: h["word"]))
+    some = found.where(F.size("hits") > 0).select("row", "hits", held.alias("held"))
+
+    def choice(t: int) -> Column:
+        places = F.array(*(F.struct(F.lit(t).alias("template"), F.lit(w).alias("word"), F.lit(p).alias("place")) for w, p in rare[t]))
+        here = F.slice(F.filter(places, lambda x: F.array_contains("held", x["word"])), 1, RARE)
+        return F.filter(here, lambda x: F.size(here) >= AGREE)  # fewer cannot agree
+
+    chosen = some.select("row", "hits", F.concat(*(choice(t) for t in rare)).alias("chosen")).where(F.size("chosen") > 0)
+    starts = F.transform("chosen", lambda x: F.transform(F.filter("hits", lambda h: h["word"] == x["word"]), lambda h: F.struct(x["template"].alias("template"), (h["at"] - x["place"]).alias("start"))))
+    each = chosen.select("row", F.explode(F.flatten(starts)).alias("s"))
+    return each.groupBy("row", F.col("s.template").alias("template"), F.col("s.start").alias("start")).agg(F.count("*").alias("agree")).where(F.col("agree") >= AGREE).drop("agree")
+
+
 def scan(found: DataFrame) -> DataFrame:
     """From `hits`: row, n_base, first_word, last_word, base_labels, labels, score for rows with a verified start."""
     spark, index = found.sparkSession, postings()
     n = found.count()
-    flat = found.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.word", F.col("h.at").alias("w"))
-    df = {r["word"]: r["n"] for r in flat.select("row", "word").distinct().groupBy("word").agg(F.count("*").alias("n")).collect()}  # a row for each indexed word
+    words = found.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word"))
+    df = {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).collect()}  # a row for each indexed word
     idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) for _, _, _, w, _, _ in index}
     by = {}
     for t, label, base, w, p, key in index:
         by.setdefault((t, label, base), []).append((w, p, key))
     post = spark.createDataFrame([(t, w, p, idf[w]) for t, _, _, w, p, _ in index], "template int, word string, place int, idf double")
     mask = lambda places: sum(1 << p for p in places)
-    kinds = spark.createDataFrame(
-        [(t, label, base, mask(p for _, p, key in ws if key), [p for w, p, _ in sorted(ws, key=lambda x: (-idf[x[0]], x[1]))], sum(idf[w] for w, _, _ in ws)) for (t, label, base), ws in by.items()],
-        "template int, label string, base int, key long, rare array<int>, mass double",
-    )
-    starts = flat.join(F.broadcast(post), "word").groupBy("row", "template", (F.col("w") - F.col("place")).alias("start")).agg(F.expr("bit_or(shiftleft(1L, place))").alias("bits"), F.sum("idf").alias("got"))
-    starts = starts.withColumn("file", F.expr("bit_or(bits)").over(Window.partitionBy("row", "template"))).join(F.broadcast(kinds), "template")
-    has = lambda bits, p: bits.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p)) != 0
-    looked_up = F.slice(F.filter("rare", lambda p: has(F.col("file"), p)), 1, RARE)
-    agree = F.size(F.filter(looked_up, lambda p: has(F.col("bits"), p)))
-    sure = starts.where((agree >= AGREE) & (F.col("bits").bitwiseAND(F.col("key")) == F.col("key")))
+    kinds = spark.createDataFrame([(t, label, base, mask(p for _, p, key in ws if key), sum(idf[w] for w, _, _ in ws)) for (t, label, base), ws in by.items()], "template int, label string, base int, key long, mass double")
+    rare = {t: [(w, p) for w, p, _ in sorted(ws, key=lambda x: (-idf[x[0]], x[1]))] for (t, _, _), ws in by.items()}
+    starts = cut(proposed(found, rare))
+    asked = starts.join(F.broadcast(post), "template").select("row", "template", "start", "place", "idf", "word", (F.col("start") + F.col("place")).alias("at"))
+    flat = found.join(starts.select("row").distinct(), "row", "left_semi").select("row", F.explode("hits").alias("h")).select("row", "h.at", "h.word")
+    met = asked.join(flat, ["row", "at", "word"]).groupBy("row", "template", "start").agg(F.expr("bit_or(shiftleft(1L, place))").alias("bits"), F.sum("idf").alias("got"))
+    sure = met.join(F.broadcast(kinds), "template").where(F.col("bits").bitwiseAND(F.col("key")) == F.col("key"))
     base = F.col("base") == 1
     mine = sure.groupBy("row").agg(
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),

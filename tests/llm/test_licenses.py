@@ -1,6 +1,8 @@
+import math
+import random
 import re
 
-from leafloom.llm.licenses import BASE, hits, scan
+from leafloom.llm.licenses import AGREE, BASE, COMMON, RARE, TEMPLATES, hits, proposed, scan
 
 
 def run(docs):
@@ -55,5 +57,59 @@ def test_files_that_open_with_the_name_of_their_license(spark):
         assert got[i]["first_word"] in (None, got[i + 1]["first_word"] - 13 if got[i]["first_word"] is not None else None)
 
 
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def every_start(texts):
+    """Labels and score of each text, trying every template at every start, before the text too."""
+    kinds = [(label, text.split(), [text.split()]) for text, label in BASE.items()] + [(label, text.split(), [k.split() for k in keys]) for label, text, keys in TEMPLATES]
+    split = [words_of(t) for t in texts]
+    idf = lambda w: math.log((1 + len(texts)) / (1 + sum(w in x for x in split)))
+    weight = {w: idf(w) for _, t, _ in kinds for w in t if w not in COMMON}
+    out = []
+    for words in split:
+        labels, score = set(), 0.0
+        for no, (label, t, keys) in enumerate(kinds):
+            told = [p for p, w in enumerate(t) if w not in COMMON]
+            rare = [p for p in sorted(told, key=lambda p: (-weight[t[p]], p)) if t[p] in words][:RARE]
+            must = {i + k for key in keys for i in [next(i for i in range(len(t)) if t[i : i + len(key)] == key)] for k in range(len(key)) if t[i + k] not in COMMON}
+            for start in range(-len(t), len(words)):
+                stand = {p for p in told if 0 <= start + p < len(words) and words[start + p] == t[p]}
+                if len(stand & set(rare)) >= AGREE and must <= stand:
+                    labels.add(label)
+                    if no >= len(BASE):
+                        score = max(score, min(1.0, sum(weight[t[p]] for p in stand) / max(sum(weight[t[p]] for p in told), 1e-12)))
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
+def test_labels_of_all_templates_as_by_trying_every_start(spark, prose):
+    rng, texts = random.Random(6), []
+    for i in range(160):
+        parts = [prose(i, rng.randrange(8))]
+        for _ in range(rng.randrange(3)):
+            words = rng.choice([t for _, t, _ in TEMPLATES] + list(BASE)).split()
+            if rng.random() < 0.5:  # a word lost, another one changed, or the beginning missing
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([[], ["other"], words[at : at + 1] * 2])
+                words = words[rng.randrange(3) :]
+            parts += [" ".join(words), prose(i + 500, rng.randrange(6))]
+        texts.append(", ".join(parts))
+    texts += [" ".join(t for _, t, _ in TEMPLATES), "mit license " * 30]
+    got = {r["doc_id"]: (r["labels"] or "", r["score"] or 0.0) for r in run(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))}
+    want = every_start(texts)
+    for i, t in enumerate(texts):
+        assert got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-9, t
+    assert {x for labels, _ in want for x in labels.split(",")} >= {label for label, _, _ in TEMPLATES}
+
+
+def test_only_rare_words_are_looked_up(spark):
+    """Starts come from the rarest words alone: common words of a template propose nothing."""
+    found = hits(spark.createDataFrame([(1, "license software copy " * 200), (2, "the gnu affero license")], "doc_id long, text string"))
+    rare = {0: [("affero", 1), ("gnu", 0), ("license", 2)], 1: [("copy", 2)]}
+    assert [tuple(r)[1:] for r in proposed(found, rare).collect()] == [(0, 1)]
+
+
 def test_empty_table(no_docs):
     assert run(no_docs) == []
