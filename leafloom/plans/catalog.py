@@ -7,12 +7,13 @@ plain SQL over the table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.functions.columns import attr, attrs, classes, namespace, node_name
+from leafloom.functions.columns import attr, attrs, classes, namespace, node_name, resolve
 from leafloom.functions.udf import register
 from leafloom.limits import Limits
 from leafloom.operators import extract as E
@@ -25,9 +26,10 @@ from leafloom.operators.forms import form_nodes
 from leafloom.operators.forms import forms as forms_of
 from leafloom.operators.sets import find
 from leafloom.plans import selectors as S
-from leafloom.sources.pages import Pages, spread
+from leafloom.sources.pages import Pages, Wanted, spread
+from leafloom.sources.pages import read as read_pages
 from leafloom.sources.stored import Stored, store_nodes
-from leafloom.sources.work import hold
+from leafloom.sources.work import hold, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -641,6 +643,72 @@ def microdata_circles(spark, sf_dir):
     return M.microdata(M.item_nodes(docs).df).select("page_id", "item", "property", "value", "child")
 
 
+# -- sources and rare cases ------------------------------------------------------------------------------------------------------
+
+
+@query(ORACLES["title"])
+def title_of_files(spark, sf_dir):
+    """Pages written as files of their own and read again as files of HTML; each page's number comes from its folder."""
+    folder = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    read(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(folder)
+    titles = M.title(read_pages(spark, f"{folder}/*/*.txt"))
+    return titles.select(F.regexp_extract("page_id", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "title")
+
+
+@query("SELECT s_suppkey AS page_id, CASE WHEN s_suppkey % 3 = 0 THEN 'limit' END AS error, CASE WHEN s_suppkey % 3 = 0 THEN 401::BIGINT + length(s_name) END AS observed, CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS text FROM supplier")
+def capped_files(spark, sf_dir):
+    """Files of over four times max_input are errors and are not opened."""
+    s = read(spark, sf_dir, "supplier")
+    folder = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    s.select("s_suppkey", F.concat("s_name", F.when(F.col("s_suppkey") % 3 == 0, F.repeat(F.lit(" "), 400)).otherwise("")).alias("value")).write.partitionBy("s_suppkey").text(folder)
+    docs = read_pages(spark, f"{folder}/*/*.txt", Limits(max_input=100))
+    text = F.get(F.filter("nodes", lambda n: n["type"] == "text"), F.lit(0))["value"]
+    return docs.select(F.regexp_extract("page_id", "s_suppkey=([0-9]+)", 1).cast("long").alias("page_id"), F.col("error.kind").alias("error"), F.col("error.observed").alias("observed"), F.rtrim(F.replace(text, F.lit("\n"), F.lit(""))).alias("text"))
+
+
+@query("SELECT s_suppkey AS page_id, CASE WHEN s_suppkey % 2 = 0 THEN 'windows-1255' ELSE 'windows-1258' END AS encoding, s_name || CASE WHEN s_suppkey % 2 = 0 THEN chr(1488) || chr(1524) ELSE chr(272) || chr(8363) END AS text FROM supplier")
+def single_byte_pages(spark, sf_dir):
+    """Hebrew and Vietnamese pages, whose encodings are named by a meta element."""
+    s = read(spark, sf_dir, "supplier")
+    even = F.col("s_suppkey") % 2 == 0
+    head = F.encode(markup("<meta charset=", F.when(even, "windows-1255").otherwise("windows-1258"), "><p>", esc(F.col("s_name"))), "US-ASCII")
+    docs = rows_of(s.select(F.col("s_suppkey").alias("page_id"), F.concat(head, F.unhex(F.when(even, "E0D8").otherwise("D0FE"))).alias("html")))
+    text = F.get(F.filter("nodes", lambda n: n["type"] == "text"), F.lit(0))["value"]
+    return docs.parsed().select("page_id", "encoding", text.alias("text"))
+
+
+@query("SELECT c_custkey AS page_id, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'https://site.test/' || c_custkey ELSE 'mailto:' || c_custkey END AS url FROM customer")
+def invalid_references(spark, sf_dir):
+    """References with a space inside or a scheme that begins with a digit resolve to nothing."""
+    c = read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    href = F.when(k % 4 == 0, markup("a b", k)).when(k % 4 == 1, markup(k, ":x")).when(k % 4 == 2, markup(" /a/../", k, "\n")).otherwise(markup("mailto:", k))
+    docs = rows_of(c.select(k.alias("page_id"), markup('<a href="', href, '">x</a>').alias("html"), F.lit("https://site.test/p").alias("u")), base_url="u")
+    t = docs.node_rows("id", "type", "ns", "name", "attrs", wanted=Wanted(frozenset({"a"})))
+    return t.select("page_id", resolve(attr("href"), F.col("base")).alias("url"))
+
+
+_TABLE_FORMS = "SELECT o_orderkey AS page_id, 'x' AS name, o_orderpriority AS value FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'late', 'z' FROM orders"
+
+
+def _table_forms(spark, sf_dir) -> Pages:
+    """A form that the parser leaves empty in a table, before a control there; what stands behind the table belongs to it by name alone."""
+    o = read(spark, sf_dir, "orders")
+    form = F.when(F.col("o_orderstatus") != "F", "<form id=f></form><tr><td>").otherwise("<tr><td><form id=f></form><table></table>")
+    html = markup("<table>", form, '<input name=x value="', esc(F.col("o_orderpriority")), '"></table><input name=y><input name=late form=f value=z>')
+    return rows_of(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))
+
+
+@query(_TABLE_FORMS)
+def table_forms(spark, sf_dir):
+    return E.form_fields(_table_forms(spark, sf_dir)).select("page_id", "name", "value")
+
+
+@query(_TABLE_FORMS)
+def table_forms_by_join(spark, sf_dir):
+    return form_fields_of(form_nodes(_table_forms(spark, sf_dir)).df).select("page_id", "name", "value")
+
+
 # -- tables without Python after the parse ---------------------------------------------------------------------------------------
 
 
