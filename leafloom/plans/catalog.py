@@ -138,7 +138,10 @@ _H1 = _UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")
 
 @query(f"SELECT page_id, {_H1} AS text FROM pages WHERE contains(html, '<h1>')")
 def text_by_join(spark, sf_dir):
-    return E.text(find(docs_of(spark, sf_dir), "h1")).select("page_id", "text")
+    """Only headings and their text leave the parser; text meets its heading by intervals."""
+    wanted = Wanted(frozenset({"h1"}), text_in=frozenset({"h1"}))
+    t = hold(docs_of(spark, sf_dir).node_rows("id", "parent", "subtree_end", "type", "ns", "name", "value", "is_template", "in_template_of", wanted=wanted))
+    return N.text(t, N.elements(t, "h1")).select("page_id", "text")
 
 
 @query(f"SELECT page_id, trim(regexp_replace({_H1}, '\\s+', ' ', 'g')) AS text FROM pages WHERE contains(html, '<h1>')")
@@ -905,7 +908,9 @@ def functions_in_sql(spark, sf_dir):
     register(spark)
     s = read(spark, sf_dir, "supplier")
     s.select(F.col("s_suppkey").alias("page_id"), markup("<title>", esc(F.col("s_name")), "</title>").alias("head"), markup("<h1>", esc(F.col("s_name")), "</h1><p>see <a href=u>here</a>").alias("html")).createOrReplaceTempView("leafloom_suppliers")
-    return spark.sql("SELECT page_id, page_title(head) AS title, page_markdown(html) AS markdown, page_text(html) AS text FROM leafloom_suppliers")
+    out = spark.sql("SELECT page_id, page_title(head) AS title, page_markdown(html) AS markdown, page_text(html) AS text FROM leafloom_suppliers")
+    spark.catalog.dropTempView("leafloom_suppliers")  # the plan is resolved
+    return out
 
 
 @query("SELECT s_suppkey AS page_id, 'https://h.test/u' AS url, 'here' AS text FROM supplier")
@@ -913,4 +918,6 @@ def table_functions_in_sql(spark, sf_dir):
     register(spark)
     s = read(spark, sf_dir, "supplier")
     s.select(F.col("s_suppkey").alias("page_id"), markup("<p>see <a href=u>here</a>").alias("html")).createOrReplaceTempView("leafloom_pages")
-    return spark.sql("SELECT page_id, l.url, l.text FROM leafloom_pages, LATERAL page_links(html, 'https://h.test/x') AS l")
+    out = spark.sql("SELECT page_id, l.url, l.text FROM leafloom_pages, LATERAL page_links(html, 'https://h.test/x') AS l")
+    spark.catalog.dropTempView("leafloom_pages")
+    return out

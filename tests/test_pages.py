@@ -92,7 +92,7 @@ def test_files(spark, tmp_path):
     assert E.links(read(spark, f"FILE://{tmp_path}/a.html".replace("FILE", "file"))).first()["url"] == f"file:{tmp_path}/b"
 
 
-@pytest.mark.parametrize("name", "links title text_by_join closest nth_child selector_list matches ancestors element_aligned child_combinator descendant_combinator sibling_combinator base_and_url table_converted microdata meta".split())
+@pytest.mark.parametrize("name", "links title closest nth_child selector_list matches ancestors element_aligned child_combinator descendant_combinator sibling_combinator base_and_url table_converted microdata meta".split())
 def test_each_page_is_parsed_once_and_nothing_of_it_is_shuffled(spark, sf, name):
     from leafloom.plans.catalog import queries
 
