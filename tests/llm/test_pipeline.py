@@ -52,7 +52,7 @@ def test_each_stage_is_its_operator(stages):
 def test_run_and_the_registered_queries(spark, sf, stages):
     assert cp.run(spark, sf).count() == stages[-1][1].count()
     names = queries()
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert set(oracle_sql()) <= set(names)
 
 
