@@ -38,8 +38,8 @@ VOCABULARY, END = "word_bpe_49k.json", 1
 LENGTH, SLACK = 2048, 4
 #: Tokens that the second packing puts into a group: their ids have two bytes each.
 GROUP_TOKENS = 1 << 24
-#: Words whose ids a task remembers, and the longest of them.
-MOST_WORDS, LONGEST_WORD = 1 << 19, 64
+#: Words whose ids a worker remembers (in some 200 MB), the longest of them, and of those that stay when there are too many.
+MOST_WORDS, LONGEST_WORD, KEPT_LENGTH = 1 << 20, 64, 7
 #: Words that are encoded at once.
 TOGETHER = 256
 #: Where a word is letters or digits and then only these, up to its end, the pre-tokenizer cuts between the two as well.
@@ -124,8 +124,9 @@ class Encoder:
         known = self.known
         new = {w for w in set().union(*(set(p).difference(known) for p in parts)) if len(w) <= LONGEST_WORD}
         if len(known) + len(new) > MOST_WORDS:
-            self.known = known = {"": b""}
-            new = {w for w in set().union(*map(set, parts)) if w and len(w) <= LONGEST_WORD}
+            kept = {w: x for w, x in known.items() if len(w) <= KEPT_LENGTH}  # short words come often
+            self.known = known = kept if len(kept) + len(new) < MOST_WORDS // 2 else {"": b""}
+            new = {w for w in set().union(*(set(p).difference(known) for p in parts)) if len(w) <= LONGEST_WORD}
         cut_up = {w: stem_and_marks(w) for w in new if not w.isalpha()}
         whole = {x for y in cut_up.values() for x in y if x not in known}
         self._learn(list(whole.union(new.difference(cut_up))))
@@ -137,6 +138,12 @@ class Encoder:
                 yield b"".join([known[w] if w in known else self._long(w) for w in p])
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker: what it knows does not change what it gives."""
+    return Encoder(path)
+
+
 def crc(ids: bytes) -> int:
     """Of ids in 16 bits, the CRC-32 of them in 32 bits, least byte first."""
     return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
@@ -222,7 +229,7 @@ def first_packing(path: str, length: int, slack: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, task = _schema(("ids", pa.binary()), ("task", pa.int32()), ("place", pa.int64())), TaskContext.get().partitionId()
-        base, encoder, packer = task << 40, Encoder(path), Packer(length, slack)
+        base, words, packer = task << 40, encoder(path), Packer(length, slack)
         whole = 0  # full sequences have even numbers, those of pieces odd ones
         held: dict[int, list[tuple]] = {}
         end, place = array("H", [END]).tobytes(), 0
@@ -230,7 +237,7 @@ def first_packing(path: str, length: int, slack: int):
             rows = []
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     tokens, start = len(ids) // 2, 0
                     while tokens - start >= length:
