@@ -136,9 +136,10 @@ def _tables(t: Tree, selector, ids: list[int | None]) -> list[int]:
     return outermost(t, [i for i in Matcher(t).including(selector, ids) if t.is_html(i, "table")])
 
 
-def tables(docs: Source, css: str = "table", match: str | None = None, header="auto", trim: bool = True, na: tuple[str, ...] = (), convert_types: bool = False, decimal: str = ".", thousands: str | None = None, limits: Limits | None = None, key: str = KEY, at: DataFrame | None = None) -> DataFrame:
+def tables(docs: Source, css: str = "table", match: str | None = None, header="auto", trim: bool = True, na: tuple[str, ...] = (), convert_types: bool = False, decimal: str = ".", thousands: str | None = None, limits: Limits | None = None, key: str = KEY, at: DataFrame | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Outermost tables in long form: table_no and row_no from 1, col_no, name, value, col_type. match: a regular expression on the
-    table's text. A table whose cells overlap, or that has too many, gives one row with `error`."""
+    table's text. columns: only those of these names are converted and leave the page's task. A table whose cells overlap, or that has
+    too many, gives one row with `error`."""
     import re
 
     try:
@@ -161,14 +162,16 @@ def tables(docs: Source, css: str = "table", match: str | None = None, header="a
                 continue
             if missing:
                 body = [[None if v in missing else v for v in row] for row in body]
-            columns = []
-            for x in range(len(names)):
+            held = []
+            for x, name in enumerate(names):
+                if columns is not None and name not in columns:
+                    continue
                 column = [row[x] for row in body]
                 kind, v = convert(column, decimal, thousands) if convert_types else ("character", column)
                 numbers = [None if n is None else float(n) for n in v] if kind in ("integer", "double") else [None] * len(v)
-                columns.append((kind, column, numbers, v if kind == "logical" else [None] * len(v)))
+                held.append((x + 1, name, kind, column, numbers, v if kind == "logical" else [None] * len(v)))
             for r in range(len(body)):
-                for x, (name, (kind, column, numbers, flags)) in enumerate(zip(names, columns, strict=True), 1):
+                for x, name, kind, column, numbers, flags in held:
                     yield (no, i, r + 1, x, name, column[r], kind, numbers[r], flags[r], None)
 
     return over_pages(docs, run, "table_no int, id int, row_no int, col_no int, name string, value string, col_type string, number double, flag boolean, error string", key, at)

@@ -434,7 +434,7 @@ def table_rows(spark, sf_dir):
 
 @query("SELECT l_orderkey AS page_id, sum(l_quantity) AS quantity, 'integer' AS col_type FROM lineitem GROUP BY l_orderkey")
 def table_converted(spark, sf_dir):
-    t = E.tables(_order_tables(spark, sf_dir), convert_types=True).where("name = 'quantity'")
+    t = E.tables(_order_tables(spark, sf_dir), convert_types=True, columns=("quantity",))
     return t.groupBy("page_id", "col_type").agg(F.sum("number").alias("quantity"))
 
 

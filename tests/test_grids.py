@@ -108,3 +108,12 @@ def test_a_filter_on_the_name_goes_below_typing(kept):
     kept.df.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     typing, name = (next(i for i, line in enumerate(plan) if what in line) for what in ("min(", "= a)"))
     assert name > typing
+
+
+def test_named_columns_alone_leave_the_parser(spark, pages):
+    from leafloom.operators import extract as E
+
+    source = Pages(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"))
+    every = E.tables(source, convert_types=True)
+    some = E.tables(source, convert_types=True, columns=("a", "n.1"))
+    assert sorted(map(str, some.collect())) == sorted(map(str, every.where("name IN ('a', 'n.1') OR error IS NOT NULL").collect()))
