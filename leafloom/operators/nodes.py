@@ -6,15 +6,18 @@ there is no answer) or return sets (no duplicates; order by key and id is docume
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafloom.errors import InputError
-from leafloom.kernel.selectors import Simple, parse_selector
+from leafloom.kernel.selectors import Complex, Simple, parse_selector
 from leafloom.plans import selectors as S
 from leafloom.plans.intervals import holding, nearest, pairs
 
 KEY = "page_id"
+ANY = Simple("type", "*")
 #: Columns of nodes, beside the key.
 COLUMNS = "root_id base id parent subtree_end depth first_child next_sib prev_sib next_elem prev_elem elem_pos elem_count n_elem_children n_text_children type ns name value is_template in_template_of attrs".split()
 
@@ -65,19 +68,23 @@ def matches(all_nodes: DataFrame, css: str, some: DataFrame, key: str = KEY, int
 
 
 def matches_all(all_nodes: DataFrame, tests: dict[str, str], some: DataFrame, key: str = KEY) -> DataFrame:
-    """As `matches`, a column for each of `tests`; those without :scope share one pass."""
-    parsed = {n: parse_selector(css) for n, css in tests.items()}
-    scoped = {n: s for n, s in parsed.items() if "scope" in S.kinds(s)}
-    plain = {n: s for n, s in parsed.items() if n not in scoped}
-    founds = [S.flagged(all_nodes, plain, [key]).select(F.col(key).alias("m_key"), F.col("id").alias("m_id"), *(F.col(n).alias(f"m_{n}") for n in plain))] if plain else []
-    if scoped:
-        asked = some.where(F.col("id").isNotNull()).select(F.col(key).alias("c_key"), F.col("id").alias("context")).distinct()
-        carried = S.flagged(all_nodes.join(asked, F.col(key) == F.col("c_key")), scoped, [key, "context"], F.col("context")).where("id = context")
-        founds.append(carried.select(F.col(key).alias("m_key"), F.col("id").alias("m_id"), *(F.col(n).alias(f"m_{n}") for n in scoped)))
-    out = some
-    for found in founds:
-        out = out.join(found, (F.col(key) == F.col("m_key")) & (F.col("id") == F.col("m_id")), "left").drop("m_key", "m_id")
-    return out.select(*some.columns, *(F.when(F.col("id").isNotNull(), F.coalesce(f"m_{n}", F.lit(False))).alias(n) for n in tests))
+    """As `matches`, a column for each of `tests`, all in one pass."""
+    parsed = {n: tuple(map(_of_itself, parse_selector(css))) for n, css in tests.items()}
+    found = S.flagged(all_nodes, parsed, [key]).select(F.col(key).alias("m_key"), F.col("id").alias("m_id"), *(F.col(n).alias(f"m_{n}") for n in parsed))
+    out = some.join(found, (F.col(key) == F.col("m_key")) & (F.col("id") == F.col("m_id")), "left")
+    return out.select(*(some[c] for c in some.columns), *(F.when(some["id"].isNotNull(), F.coalesce(f"m_{n}", F.lit(False))).alias(n) for n in tests))
+
+
+def _of_itself(c: Complex) -> Complex:
+    """The selector without :scope, which is the tested node: true of the subject, and of no node before it."""
+
+    def pin(s: Simple, itself: bool) -> Simple:
+        if s == Simple("pseudo", "scope"):
+            return ANY if itself else Simple("not", inner=(ANY,))
+        return replace(s, inner=tuple(pin(x, itself) for x in s.inner))
+
+    last = len(c.compounds) - 1
+    return replace(c, compounds=tuple(tuple(pin(s, k == last) for s in parts) for k, parts in enumerate(c.compounds)))
 
 
 def where(all_nodes: DataFrame, css: str, some: DataFrame, key: str = KEY) -> DataFrame:

@@ -121,3 +121,15 @@ def test_the_limit_of_tests(spark):
     assert {r["page_id"] for r in find(Pages(df, limits=Limits(max_selector_tests=150)), "p ~ p").rows("id").collect()} == {2}
     with pytest.raises(Exception, match="max_selector_tests"):
         find(Pages(df, limits=Limits(max_selector_tests=150), mode="FAILFAST"), "p ~ p").rows("id").collect()
+
+
+def test_a_node_is_the_scope_of_its_own_test(spark):
+    a = N.nodes(parse(spark.createDataFrame([(1, PAGE)], "page_id long, html string"))).cache()
+    t, some = parse_html(PAGE), a.where("type = 'element'").select("page_id", "id")
+    tests = {f"m{n}": css for n, css in enumerate([":scope", "main > :scope", ":scope p", "p:not(:scope)", ":scope ~ p, p:scope", "li:not(:not(:scope))", ":not(:scope) > li", "section, h2 + p:scope"])}
+    for r in N.matches_all(a, tests, some).collect():
+        for n, css in tests.items():
+            assert r[n] == Matcher(t).matches(parse_selector(css), r["id"], r["id"]), css
+    plan = N.matches_all(a, tests, some)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1  # no node meets the tested ones of its page
+    a.unpersist()
