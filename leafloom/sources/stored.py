@@ -1,8 +1,9 @@
 """Tables of nodes that are stored by page: written once, in buckets of the page's key, and read without an exchange by whatever stays in a page.
 
 Windows and groups by page use the buckets as they are. Joins on the page and something else do so too in the session that `store` reads
-the table with: it is like the given one, but for spark.sql.requireAllClusterKeysForCoPartition, which is off. A page is bounded by
-`Limits.max_nodes`, and so is what a bucket's largest page brings to a task.
+the table with: it is like the given one, but for spark.sql.requireAllClusterKeysForCoPartition, which is off, and for broadcasts, which are
+left to hints: sides that lie in buckets need no exchange, and one that is taken for small would pass the driver whole. A page is
+bounded by `Limits.max_nodes`, and so is what a bucket's largest page brings to a task.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from leafloom.sources.work import shared_dir
 
 
 def page_session(spark: SparkSession) -> SparkSession:
-    """A session like `spark` in which joins may use a partitioning by page alone."""
+    """A session like `spark` in which joins may use a partitioning by page alone, and no side of a join is broadcast unasked."""
     own = spark.newSession()
     for k, v in spark.conf.getAll.items():
         if spark.conf.isModifiable(k):
             own.conf.set(k, v)
     own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    own.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     return own
 
 

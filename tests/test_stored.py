@@ -76,3 +76,10 @@ def test_searches_agree_whether_stored_or_not(spark, kept):
     for css in ("article p", "article > *", "p ~ ul, li + li", "section li p ul"):
         assert ids(S.select(held, css)) == ids(kept.elements(css))
     held.unpersist()
+
+
+def test_no_side_of_a_join_is_broadcast_unasked(kept):
+    p = N.elements(kept.df, "p", stored=True)
+    found = N.fetch(kept.df, N.parent(p)).join(N.fetch(kept.df, N.sibling(p)).select("page_id", "id"), "page_id")
+    found.collect()
+    assert "SortMergeJoin" in plan_of(found) and "Broadcast" not in plan_of(found)
