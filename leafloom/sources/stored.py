@@ -28,6 +28,7 @@ def page_session(spark: SparkSession) -> SparkSession:
     own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     own.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    own.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
     return own
 
 
