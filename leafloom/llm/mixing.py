@@ -124,17 +124,17 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return spent.select(F.col("key").alias(key), F.col("source").alias(source), F.col("t").alias("n_tokens"), "weight", "block", (F.col("whole") + more.cast("long")).alias("passes"), "tie", "order")
 
 
-def ordered(planned: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
+def ordered(planned: DataFrame, key: str = "doc_id", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each use of a row of `plan`: key, source, tie, pass_no from 1, and place from 0: how many uses of the source come before
-    it in the pass."""
-    uses = planned.select(F.col(key).alias("key"), F.col(source).alias("source"), "block", "tie", "order", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))).alias("pass_no"))
+    it in the pass. keep: further columns of `plan` to hand on."""
+    uses = planned.select(F.col(key).alias("key"), F.col(source).alias("source"), "block", "tie", "order", *(F.col(c).alias(f"keep_{c}") for c in keep), F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))).alias("pass_no"))
     n = F.col("pass_no").cast("string")
     sums = uses.groupBy("source", "pass_no", "block").agg(F.count("*").alias("uses"))
     before = _before(sums, ["source", "pass_no"], _mark(SEED + 1, n, F.col("block").cast("string")), "uses")
     before = before.select(F.col("source").alias("s"), F.col("pass_no").alias("p"), F.col("block").alias("b"), "before_uses")
     inside = F.row_number().over(Window.partitionBy("source", "pass_no", "block").orderBy(_mark(SEED + 2, n, F.col("order")), "tie")) - 1
     placed = uses.withColumn("inside", inside).join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("pass_no") == F.col("p")) & (F.col("block") == F.col("b")))
-    return placed.select(F.col("key").alias(key), F.col("source").alias(source), "tie", "pass_no", (F.col("before_uses") + F.col("inside")).alias("place"))
+    return placed.select(F.col("key").alias(key), F.col("source").alias(source), "tie", "pass_no", (F.col("before_uses") + F.col("inside")).alias("place"), *(F.col(f"keep_{c}").alias(c) for c in keep))
 
 
 def realise(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", max_repeats: float = MAX_REPEATS, entropy: float | None = None, order: tuple[str, str] | None = None) -> DataFrame:
@@ -157,13 +157,13 @@ def realise(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its source's weight, its block, how often the mix uses it, for at most MAX_REPEATS passes, and its place in
-    the first pass."""
-    planned = cut(plan(table(spark, sf_dir, "documents")))
-    first = ordered(planned.withColumn("passes", F.lit(1).cast("long"))).select(F.col("doc_id").alias("k"), F.col("source").alias("s"), F.col("tie").alias("x"), "place")
-    # rows alike in all share a place; any of it will do
-    first = first.groupBy("k", "s", "x").agg(F.min("place").alias("place"))
-    out = planned.join(first, F.col("doc_id").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("tie") == F.col("x")))
-    return out.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "block", "passes", "place")
+    the first pass. All passes are realised: `passes` counts the uses that have a place."""
+    uses = ordered(cut(plan(table(spark, sf_dir, "documents"))), keep=("n_tokens", "weight", "block"))
+    # rows alike in all share their uses: `rows` of them, each used so often or once less; any place of theirs will do
+    alike = uses.groupBy("doc_id", "source", "tie", "n_tokens", "weight", "block").agg(F.count("place").alias("uses"), F.count_if(F.col("pass_no") == 1).alias("rows"), F.min(F.when(F.col("pass_no") == 1, F.col("place"))).alias("place"))
+    out = alike.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    passes = F.floor(F.col("uses") / F.col("rows")) + (F.col("row") <= F.col("uses") % F.col("rows")).cast("long")
+    return out.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "block", passes.alias("passes"), "place")
 
 
 OP5_SQL = rf"""

@@ -83,3 +83,16 @@ def test_few_and_no_rows(spark, no_docs):
     one = spark.createDataFrame([(1, "a b", None), (2, None, None)], "doc_id long, text string, source string")
     assert [r["passes"] for r in mixing.plan(one).collect()] == [1, 1]
     assert mixing.plan(no_docs).count() == 0 and mixing.realise(no_docs).count() == 0
+
+
+def test_the_query_places_every_use_of_every_pass(spark, prose, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
+    docs = corpus(spark, prose)
+    docs.unionByName(docs.where("source <> 'big'").limit(3)).toPandas().to_parquet(tmp_path / "documents.parquet")
+    placed = []
+    real = mixing.ordered
+    monkeypatch.setattr(mixing, "ordered", lambda *a, **k: placed.append(real(*a, **k)) or placed[-1])
+    got = mixing.op5_mixing(spark, str(tmp_path)).collect()
+    want = mixing.plan(spark.read.parquet(str(tmp_path / "documents.parquet"))).select("doc_id", "passes").collect()
+    assert sorted((r["doc_id"], r["passes"]) for r in got) == sorted(map(tuple, want))
+    assert len(placed) == 1 and placed[0].count() == sum(r["passes"] for r in want) > len(want)
