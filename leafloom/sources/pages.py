@@ -30,6 +30,8 @@ MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 BATCH_PAGES = 64
 #: Pages that are read at once where no nodes are handed on, and rows that a worker gathers before it hands them on.
 PLAIN_PAGES, BATCH_ROWS = 512, 4_000
+#: Pages that one task parses, about: some seconds' work for small ones.
+PAGES_A_TASK = 8_192
 CONTEXT = re.compile(r"(?:(?:html|svg|math) )?[A-Za-z][A-Za-z0-9-]*")
 
 
@@ -286,6 +288,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
+def tasks_for(df: DataFrame, rows: int = PAGES_A_TASK) -> int:
+    """How many tasks `df` is dealt to, so that its growth makes more of them, not longer ones: of about `rows` rows, but as many as there are
+    cores. Counting a scan reads no columns."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A scan that makes markup, dealt by rows: its splits follow the bytes of the columns and lie at groups of rows, which says little about the
+    work of parsing what is made of them."""
+    return df.repartition(tasks_for(df))
+
+
 def fragment(df: DataFrame, content: str = "html", context: str = "div", **options) -> DataFrame:
     """As `parse`, of markup inside an element."""
     return parse(df, content, context=context, **options)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leafloom.operators import nodes as N
 from leafloom.plans import selectors as S
-from leafloom.sources.pages import Cleaned, Pages, Wanted
+from leafloom.sources.pages import Cleaned, Pages, Wanted, tasks_for
 from leafloom.sources.work import shared_dir
 
 
@@ -63,8 +63,8 @@ def default_buckets(spark: SparkSession) -> int:
 
 def store_nodes(pages: Pages, *columns: str, wanted: Wanted | None = None, texts: Cleaned | None = None, table: str | None = None, path: str | None = None, buckets: int | None = None) -> Stored:
     """Parses pages and stores their nodes (see `Pages.node_rows`). Pages are dealt to buckets before they are parsed: markup takes less room
-    than nodes."""
-    buckets = buckets or default_buckets(pages.df.sparkSession)
+    than nodes. By default there are as many buckets as a shuffle has partitions, and more where a bucket would have over PAGES_A_TASK pages."""
+    buckets = buckets or max(default_buckets(pages.df.sparkSession), tasks_for(pages.df))
     dealt = replace(pages, df=pages.df.repartition(buckets, pages.key))
     return store(dealt.node_rows(*columns, wanted=wanted, texts=texts), pages.key, table, path, buckets, dealt=True)
 

@@ -15,3 +15,21 @@ def test_sets_of_nodes_meet_in_one_exchange(spark, sf):
     out = catalog.queries()["sets_of_nodes_by_join"](spark, sf)
     top = out._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
     assert "Aggregate" in top and "Join" not in top
+
+
+def test_markup_from_scans_and_stored_pages_is_dealt_by_rows(spark, monkeypatch):
+    from leafloom.sources import pages, stored
+
+    monkeypatch.setattr(pages.tasks_for, "__defaults__", (100,))
+    docs = catalog.rows_of(spark.range(3000).coalesce(1).selectExpr("id AS page_id", "'<p>x' AS html"))
+    assert docs.df.rdd.getNumPartitions() == 30 and max(docs.df.rdd.glom().map(len).collect()) < 200
+    kept = stored.store_nodes(docs, "id", "name")
+    assert kept.df.count() == 3000 * 6 and len(kept.df.inputFiles()) == 30
+    kept.drop()
+
+
+def test_gathered_pages_get_more_tasks_where_there_are_more_pieces(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "PIECES_A_TASK", 100, raising=False)
+    rows = spark.range(3000).selectExpr("id div 3 AS k", "id AS o", "cast(id AS string) AS p")
+    got = catalog.gathered(rows, "k", "o", rows["p"], "<", ">")
+    assert got.rdd.getNumPartitions() == 30 and got.where("page_id = 7").first()["html"] == "<212223>"
