@@ -23,7 +23,7 @@ from leafloom.operators.nodes import KEY
 from leafloom.plans import selectors as S
 from leafloom.plans.intervals import nearest
 from leafloom.sources.pages import Cleaned, Pages, Wanted
-from leafloom.sources.stored import Stored, store_nodes
+from leafloom.sources.stored import Stored, default_buckets, store, store_nodes
 
 COLUMNS = ("id", "parent", "subtree_end", "elem_pos", "elem_count", "n_elem_children", "n_text_children", "type", "ns", "name", "attrs", "in_template_of")
 SECTIONS = ("thead", "tbody", "tfoot")
@@ -134,6 +134,8 @@ def tables(nodes: DataFrame, css: str = "table", header="auto", na: tuple[str, .
     cells = placed(nodes, css, key).withColumn("width", F.max(F.col("col") + F.col("colspan") - 1).over(Window.partitionBy(key, "table_no")))
     size = F.col("width").cast("long") * F.col("n_rows")
     cells = cells.withColumn("error", F.coalesce("error", F.when(size > most, F.format_string(f"max_table_cells is {most}, and %d was reached", size))))
+    # read three times below, and what places them is a chain of joins: stored by page, in as many buckets as the nodes
+    cells = store(cells, key, buckets=max(default_buckets(nodes.sparkSession), len(nodes.inputFiles()))).df
     failed = cells.where("error IS NOT NULL").groupBy(key, "table_no", F.col("table").alias("id")).agg(F.first("error").alias("error"))
     slots = cells.where("error IS NULL").select(key, "table_no", "table", "section", "header", "text", "width", "n_rows", "n_head", "colspan", "col", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("rowspan") - 1)).alias("row"))
     slots = slots.select(key, "table_no", "table", "section", "header", "text", "width", "n_rows", "n_head", "row", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("colspan") - 1)).alias("col"))
