@@ -20,11 +20,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from leafloom.errors import InputError, PageError
 from leafloom.kernel.decode import decode
 from leafloom.kernel.flat import Tree, freeze
+from leafloom.kernel.shapes import shapes
 from leafloom.kernel.text import clean
 from leafloom.kernel.tree import Builder, parse_tree
 from leafloom.limits import Limits
 from leafloom.schema import NODE, PAGE
 
+DEFAULT = Limits()
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 #: Pages that a worker turns into one Arrow batch: nodes take many times the room of their markup.
 BATCH_PAGES = 64
@@ -39,13 +41,24 @@ def tree(data: str | bytes | None, encoding: str | None = None, base_url: str |
     """The tree of one page, what the parser noted, and the page's text, encoding and where that was told."""
     limits = limits or Limits()
     decoded = decode(data, encoding, limits.max_input)
-    where = None if context is None else (tuple(context.split()) if " " in context else ("html", context))
-    b = parse_tree(decoded[0], limits, where, comments)
+    b = parse_tree(decoded[0], limits, _where(context), comments)
     t = freeze(b)
     t.base_url, t.max_selector_tests = base_url, limits.max_selector_tests
     return t, b, decoded
 
 
+def _where(context: str | None) -> tuple[str, str] | None:
+    return None if context is None else (tuple(context.split()) if " " in context else ("html", context))
+
+
+def nodes_of(data: str | bytes | None, encoding: str | None = None, base_url: str | None = None, context: str | None = None, comments: bool = True, limits: Limits | None = None) -> Tree:
+    """The tree of one page alone, by way of other pages of its shape."""
+    limits = limits or DEFAULT
+    t = shapes(limits, _where(context), comments).tree(decode(data, encoding, limits.max_input)[0])
+    t.base_url, t.max_selector_tests = base_url, limits.max_selector_tests
+    return t
+
+
 def page(data: str | bytes | None, encoding: str | None = None, base_url: str | None = None, context: str | None = None, comments: bool = True, limits: Limits | None = None) -> dict:
     """The columns of PAGE for one page; `nodes` is its tree."""
     out: dict = {"type": "document" if context is None else "fragment", "context": context, "root_id": None, "base_url": base_url, "error": None, "nodes": None}
@@ -220,7 +233,7 @@ class Pages:
             for part in _slices(batches, PLAIN_PAGES):
                 for k, (x, u) in zip(zip(*(part.column(c).to_pylist() for c in key), strict=True), _inputs(part, content, base), strict=True):
                     try:
-                        t = tree(x, base_url=u, **options)[0]
+                        t = nodes_of(x, base_url=u, **options)
                         try:
                             rows = list(fn(t))
                         except InputError as e:  # of the question, not of the page
