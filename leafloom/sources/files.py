@@ -6,15 +6,22 @@ content, error. Options: path (a folder or a file; its files are those with one
 (bytes of a file, by default 4 * max_input) and filesPerPartition.
 
 Paths are of a file system that driver and executors both reach; other stores go by Spark's binary files (`sources.pages.read`).
+
+`write_files` makes such files, one of each row, by Arrow's file systems: each task fills a folder and moves it into place itself, whereas Spark's
+writer makes a folder for each value of a column.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from leafloom.errors import InputError
@@ -138,3 +145,35 @@ class HtmlFiles(DataSource):
 def register_source(spark: SparkSession) -> None:
     """Makes `spark.read.format("html_files")` and `spark.readStream.format("html_files")` known."""
     spark.dataSource.register(HtmlFiles)
+
+
+def store_files(batches: Iterable[pa.RecordBatch], path: str, task: int, attempt: int) -> None:
+    """Rows (name, content) of one task as a folder below `path`, named as Spark names partitions. It has a hidden name until it is complete, so that a task which runs
+    again, whatever order its rows come in, leaves each row once."""
+    store, root = fs.FileSystem.from_uri(path)
+    done, part = f"{root}/task={task}", f"{root}/.{attempt}.part"
+    if store.get_file_info(done).type != fs.FileType.NotFound:
+        return
+    store.create_dir(part, recursive=True)
+    i = 0
+    for b in batches:
+        for name, content in zip(b.column(0), b.column(1), strict=True):
+            with store.open_output_stream(f"{part}/{i}-{name.as_py()}.html", compression=None) as f:
+                f.write(content.as_py())
+            i += 1
+    store.move(part, done)
+
+
+def write_files(df: DataFrame, path: str, name: Column, content: Column) -> None:
+    """A file of each row of `df` below `path`, a new folder that all machines see: the row's number in its task, `-`, `name` and `.html`. So
+    rows of equal names are files of their own, and no name hides its file. Null names and contents are empty."""
+    store, root = fs.FileSystem.from_uri(path)
+    store.create_dir(root, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        store_files(batches, path, task.partitionId(), task.taskAttemptId())
+        yield from ()
+
+    rows = df.select(F.coalesce(name, F.lit("")).alias("name"), F.coalesce(content, F.lit("")).cast("binary").alias("content"))
+    rows.mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()

@@ -318,24 +318,28 @@ def fragment(df: DataFrame, content: str = "html", context: str = "div", **optio
     return parse(df, content, context=context, **options)
 
 
-def read(spark: SparkSession, path: str, limits: Limits | None = None, **options) -> DataFrame:
+def read(spark: SparkSession, path: str, limits: Limits | None = None, tasks: int | None = None, **options) -> DataFrame:
     """Files of HTML below `path`, parsed: the key is the file's path, in a column `page_id`. Where `path` is an http, https, ftp, ftps
     or file URL, each file's URL is also its base URL, with the scheme in lower case; other paths give none.
 
-    Files of over four times max_input bytes are not read: their length alone makes them limit errors, handled as `mode` says."""
+    Files of over four times max_input bytes are not read: their length alone makes them limit errors, handled as `mode` says.
+
+    tasks: how many tasks at most read files within the limit, and how many list those beyond it. This is for many small files, of which Spark
+    deals some 32 to a task, as if each had 4 MB."""
     limits = limits or Limits()
     most = 4 * limits.max_input
     files = spark.read.format("binaryFile").load(path)
     is_url = re.match(r"(?i)(https?|ftps?|file):", path)
     base = F.concat(F.lower(F.substring_index("path", ":", 1)), F.expr("substring(path, instr(path, ':'))")) if is_url else F.lit(None).cast("string")
     small = files.where(F.col("length") <= most).select(F.col("path").alias("page_id"), "content", base.alias("of_url"))
-    docs = parse(small, "content", "page_id", base_url="of_url", limits=limits, **options)
+    docs = parse(small.coalesce(tasks) if tasks else small, "content", "page_id", base_url="of_url", limits=limits, **options)
     mode = options.get("mode", "PERMISSIVE")
     if mode == "DROPMALFORMED":
         return docs
     error = F.struct(F.lit("limit").alias("kind"), F.concat(F.lit(f"max_input is {limits.max_input}, and a file has "), F.col("length").cast("string"), F.lit(" bytes")).alias("message"), F.lit(None).cast("string").alias("arg"), F.lit(None).cast("string").alias("encoding"), F.lit("max_input").alias("limit"), F.lit(limits.max_input).cast("long").alias("maximum"), F.col("length").alias("observed"))
     known = {"page_id": F.col("path"), "type": F.lit("document"), "error": error, "base_url": base}
-    large = files.where(F.col("length") > most)
+    large = files.where(F.col("length") > most).select("path", "length")
+    large = large.coalesce(tasks) if tasks else large
     if mode == "FAILFAST":
         known["page_id"] = F.coalesce(F.raise_error(error["message"]).cast("string"), F.col("path"))
     return docs.unionByName(large.select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in docs.schema)))

@@ -1,9 +1,11 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from leafloom.limits import Limits
 from leafloom.operators import extract as E
 from leafloom.sources import files
-from leafloom.sources.pages import Pages
+from leafloom.sources.pages import Pages, read
 
 
 @pytest.fixture
@@ -62,3 +64,37 @@ def test_wrong_options_and_lost_files(spark, folder):
     with pytest.raises(ValueError):
         files.Options({"path": str(folder / "none")}).found()
     assert list(files.rows((str(folder / "gone.html"),), 9))[0][3:] == (None, "cannot be read: No such file or directory")
+
+
+def test_each_row_becomes_a_file(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "z"), ("b", None)], "k string, v string").coalesce(2)
+    files.write_files(rows, str(tmp_path / "new"), F.concat(F.lit("k="), "k"), F.col("v"))
+    got = spark.read.format("binaryFile").load(str(tmp_path / "new")).selectExpr("regexp_extract(path, '[0-9]+-([^/]*)[.]html$', 1) AS k", "cast(content AS string) AS v")
+    assert sorted(map(tuple, got.collect())) == [("", "z"), ("k=a", "x"), ("k=a", "y")]  # binaryFile leaves empty files out
+    assert len(list((tmp_path / "new").iterdir())) == 2 and [p.stat().st_size for p in (tmp_path / "new").glob("*/*k=b.html")] == [0]
+    files.write_files(rows.limit(0), str(tmp_path / "none"), F.col("k"), F.col("v"))
+    assert spark.read.format("binaryFile").load(str(tmp_path / "none")).count() == 0
+
+
+def test_a_task_that_runs_again_leaves_each_row_once(spark, tmp_path):
+    batch = pa.record_batch({"name": ["a", "b", "c"], "content": [b"1", b"2", b"3"]})
+
+    def lost():
+        yield batch.slice(0, 2)
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        files.store_files(lost(), str(tmp_path), 4, 10)
+    assert spark.read.format("binaryFile").load(str(tmp_path)).count() == 0
+    files.store_files(iter([batch.slice(2, 1), batch.slice(0, 2)]), str(tmp_path), 4, 11)
+    files.store_files(iter([batch]), str(tmp_path), 4, 12)
+    got = spark.read.format("binaryFile").load(str(tmp_path)).collect()
+    assert sorted(bytes(r["content"]) for r in got) == [b"1", b"2", b"3"]
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id", "if(id % 2 = 0, repeat('y', 500), '<title>t</title>') AS v").coalesce(1)
+    files.write_files(rows, str(tmp_path / "new"), F.col("id").cast("string"), F.col("v"))
+    many, few = (read(spark, str(tmp_path / "new"), Limits(max_input=100), tasks) for tasks in (None, 3))
+    assert many.rdd.getNumPartitions() > 20 and few.rdd.getNumPartitions() == 6
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect())) and few.where("error.kind = 'limit'").count() == 200

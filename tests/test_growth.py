@@ -1,5 +1,9 @@
 """What a task gets does not grow with the input."""
 
+import os
+
+import pytest
+
 from leafloom.limits import Limits
 from leafloom.plans import catalog
 
@@ -33,3 +37,17 @@ def test_gathered_pages_get_more_tasks_where_there_are_more_pieces(spark, monkey
     rows = spark.range(3000).selectExpr("id div 3 AS k", "id AS o", "cast(id AS string) AS p")
     got = catalog.gathered(rows, "k", "o", rows["p"], "<", ">")
     assert got.rdd.getNumPartitions() == 30 and got.where("page_id = 7").first()["html"] == "<212223>"
+
+
+@pytest.mark.parametrize("name", ["capped_files", "title_of_files"])
+def test_files_have_a_folder_a_task(spark, sf, duck, same, monkeypatch, name):
+    monkeypatch.setattr(catalog, "FILES_A_TASK", 25)
+    shared = catalog.shared_dir(spark)
+    before = set(os.listdir(shared))
+    out = catalog.queries()[name](spark, sf)
+    (folder,) = (x for x in set(os.listdir(shared)) - before if x.startswith("files-"))
+    rows = duck.execute(f"SELECT count(*) FROM {'supplier' if name == 'capped_files' else 'pages'}").fetchone()[0]
+    tasks = max(4, -(-rows // 25))
+    held = [len(names) for at, _, names in os.walk(os.path.join(shared, folder)) if at.count("/") > shared.count("/") + 1]
+    assert len(held) == tasks and sum(n for n in held) >= rows and out.rdd.getNumPartitions() <= 2 * tasks
+    assert same(out.toPandas()) == same(duck.execute(catalog.oracle_sql()[name]).df())
