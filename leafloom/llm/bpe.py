@@ -6,6 +6,11 @@ leave. Nothing is trained. Encoding splits by the pattern, maps bytes to stand-i
 token lies in the text; a token that holds only some bytes of a character reports the whole character's place. Decoding
 reverses the byte table: ids become bytes, and characters that tokens have cut are whole again once the bytes are joined.
 
+Where no places are asked for and the pattern is PATTERN, texts are encoded word by word, each word once a step, and a worker
+remembers the ids of words. Texts are cut only where PATTERN always cuts, whatever lies on both sides: before a space that a
+character other than white space follows; in words that are new, between a letter and a mark or line feed, and behind a line feed
+that stands alone. So ids are those of the whole text. What is remembered has a bound; longer words are encoded anew each step.
+
 Edge cases: a null or empty text has no tokens, and decodes to empty bytes. Repeated rows give repeated results. An empty
 table gives an empty result. Ids outside the vocabulary raise ValueError when decoded. Every other column is kept; a new
 column whose name exists already raises ValueError before anything runs.
@@ -15,11 +20,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -28,6 +37,14 @@ from leafloom.llm.common import table, text_of
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text that are encoded at once: the library keeps some hundred bytes a token while it works.
 STEP_BYTES = 1 << 20
+#: Bytes of text that are cut into words at once; a longer text stands alone.
+WORDS_BYTES = 1 << 22
+#: Words whose ids a worker remembers (in some 200 MB), and the longest of them.
+MOST_WORDS, LONGEST_WORD = 1 << 20, 64
+#: Words that are encoded as one text.
+TOGETHER = 256
+#: Where PATTERN cuts within a word: between a letter of Latin-1 and a mark of ASCII or line feed, and behind a line feed that stands alone.
+WITHIN = re.compile(r"(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])(?=[!-/:-@\[-`{-~\n])|(?<=\S\n)(?=\S)")
 
 
 def byte_table() -> dict[int, str]:
@@ -93,6 +110,128 @@ def encode_texts(tok, texts: list[str], offsets: bool = False) -> Iterator:
                 yield e.ids
 
 
+def _no_cut(word: str) -> bool:
+    """Whether PATTERN may not cut before the space in front of `word`: where nothing or white space follows that space."""
+    return not word or word[0].isspace()
+
+
+def joined(words: Iterable[str]) -> Iterator[str]:
+    """`words` of a text, those joined between which PATTERN may not cut."""
+    run: list[str] = []
+    for w in words:
+        if run and not _no_cut(w):
+            yield " ".join(run)
+            run = []
+        run.append(w)
+    yield " ".join(run)
+
+
+class Words:
+    """Texts to ids, word by word. `known` has the ids (an array's bytes) of words with the space in front of them, `bare` those of ends
+    of words."""
+
+    def __init__(self, tok, by_id: dict[int, bytes]):
+        self.tok, self.known, self.bare = tok, {}, {}
+        self.spaced = np.zeros(max(by_id, default=0) + 1, dtype=bool)  # ids that begin with a space
+        self.spaced[[i for i, t in by_id.items() if t.startswith(b" ")]] = True
+
+    def _ids(self, parts: list[str]) -> Iterator[bytes]:
+        return (array("i", ids).tobytes() for ids in encode_texts(self.tok, parts))
+
+    def _together(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Encodes words, many as one text: a word's first id begins with a space, and no other of its ids does."""
+        single, others = [w for w in words if " " not in w], [w for w in words if " " in w]
+        groups = [single[at : at + TOGETHER] for at in range(0, len(single), TOGETHER)]
+        for some, held in zip(groups, self._ids([f" {' '.join(g)}" for g in groups]), strict=True):
+            first = (4 * np.flatnonzero(self.spaced[np.frombuffer(held, np.int32)])).tolist()
+            if len(first) == len(some):
+                yield from zip(some, map(held.__getitem__, map(slice, first, [*first[1:], len(held)])), strict=True)
+            else:  # a vocabulary that knows no space
+                others += some
+        yield from zip(others, self._ids([f" {w}" for w in others]), strict=True)
+
+    def _found(self, words: list[str]) -> list[bytes]:
+        """The ids of different words; of those that are not too long they are remembered."""
+        found = list(map(self.known.get, words))
+        new = [w for w, x in zip(words, found, strict=True) if x is None]
+        if len(self.known) + len(self.bare) + 2 * len(new) > MOST_WORDS:  # what these texts use stays
+            self.known, self.bare = {w: x for w, x in zip(words, found, strict=True) if x is not None}, {}
+        cut = {w: c for w in new if not w.isalpha() and len(c := WITHIN.split(w)) > 1}
+        ends = set().union(*(c[1:] for c in cut.values()))
+        bare = {e: self.bare[e] for e in ends if e in self.bare}
+        ends = [e for e in ends if e not in bare]
+        bare.update(zip(ends, self._ids(ends), strict=True))
+        stems = {c[0] for c in cut.values()}
+        learned = {w: self.known[w] for w in stems if w in self.known}
+        learned.update(self._together([w for w in stems.union(w for w in new if w not in cut) if w not in learned]))
+        learned.update([(w, b"".join([learned[c[0]], *map(bare.__getitem__, c[1:])])) for w, c in cut.items()])
+        self.known.update((w, x) for w, x in learned.items() if len(w) <= LONGEST_WORD)
+        self.bare.update((e, bare[e]) for e in ends if len(e) <= LONGEST_WORD)
+        return [learned[w] if x is None else x for w, x in zip(words, found, strict=True)]
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """For each text its ids, in a list."""
+        parts = pc.split_pattern(texts, " ")
+        words, codes, heads = self._coded(parts)
+        if any(map(_no_cut, pc.utf8_slice_codeunits(words, 0, 1).unique().to_pylist())):
+            parts = pa.array([list(joined(t.split(" "))) for t in texts.to_pylist()], parts.type)
+            words, codes, heads = self._coded(parts)
+        found = [*self._found(words.to_pylist()), *self._ids(heads)]
+        ends = np.cumsum([0, *map(len, found)]) // 4
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        sizes = np.concatenate([[0], np.cumsum(np.diff(ends)[codes])])
+        return pa.ListArray.from_arrays(pa.array(sizes[parts.offsets.to_numpy() - parts.offsets[0].as_py()], pa.int32()), lists.take(pa.array(codes)).flatten())
+
+    @staticmethod
+    def _coded(parts: pa.Array) -> tuple[pa.Array, np.ndarray, list[str]]:
+        """The different words behind spaces, by number; the numbers of all words; the first words of texts, which no space precedes: they
+        are numbered behind the others."""
+        flat, first = parts.flatten(), parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        coded = flat.dictionary_encode()
+        codes, heads = coded.indices.to_numpy(), {}
+        behind = np.ones(len(codes), dtype=bool)
+        behind[first] = False
+        used = np.zeros(len(coded.dictionary), dtype=bool)
+        used[codes[behind]] = True
+        words, codes = coded.dictionary.filter(pa.array(used)), (np.cumsum(used) - 1)[codes]
+        codes[first] = [len(words) + heads.setdefault(h, len(heads)) for h in flat.take(pa.array(first)).to_pylist()]
+        return words, codes, list(heads)
+
+
+@lru_cache(maxsize=4)
+def words_of(path: str, pattern: str) -> Words:
+    """One for all tasks of a worker: what it knows does not change what it gives."""
+    return Words(*codec(path, pattern))
+
+
+def parts_of(texts: pa.Array) -> Iterator[pa.Array]:
+    """`texts`, nulls empty, in slices of about WORDS_BYTES."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    step = np.cumsum(pc.binary_length(texts).to_numpy()) // WORDS_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(texts)]
+    return (texts.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False) if a < b)
+
+
+def ids_of(path: str, pattern: str, texts: pa.Array) -> pa.Array:
+    """For each text its ids, in a list: word by word where it is known where the pattern cuts, else each text as a whole."""
+    if pattern != public_tokenizers.PATTERN:
+        return pa.array(encode_texts(codec(path, pattern)[0], texts.to_pylist()), pa.list_(pa.int32()))
+    return words_of(path, pattern).encode(texts)
+
+
+@lru_cache(maxsize=4)
+def strings_of(path: str, pattern: str) -> tuple[pa.Array, pa.Array]:
+    """By id, its decimal and its token's bytes; null where there is none."""
+    _, by_id = codec(path, pattern)
+    ids = range(max(by_id, default=0) + 1)
+    return pa.array([str(i) if i in by_id else None for i in ids], pa.large_string()), pa.array([by_id.get(i) for i in ids], pa.large_binary())
+
+
+def strung(ids: pa.Array, strings: pa.Array, separator: str | bytes) -> pa.Array:
+    """For each list of ids, their strings with a separator between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, strings.take(ids.values)), pa.scalar(separator, strings.type))
+
+
 def decode_ids(by_id: dict[int, bytes], ids: list[int]) -> bytes:
     try:
         return b"".join(map(by_id.__getitem__, ids))
@@ -122,10 +261,12 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str | N
         _quiet()
         tok, _ = codec(path, pattern)
         for b in batches:
-            found = list(encode_texts(tok, [t or "" for t in b.column(text).to_pylist()], bool(offsets)))
-            new = [pa.array([x[0] for x in found] if offsets else found, pa.list_(pa.int32()))]
             if offsets:
+                found = list(encode_texts(tok, [t or "" for t in b.column(text).to_pylist()], True))
+                new = [pa.array([x[0] for x in found], pa.list_(pa.int32()))]
                 new.append(pa.array([[{"start": s, "end": e} for s, e in x[1]] for x in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+            else:
+                new = [pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(ids_of(path, pattern, p) for p in parts_of(b.column(text)))])]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=schema.names)
 
     return df.mapInArrow(run, schema)
@@ -154,17 +295,16 @@ def round_trip(df: DataFrame, text: str = "text", path: str | None = None, patte
 
     def run(batches):
         _quiet()
-        tok, by_id = codec(path, pattern)
-        decimal = {i: str(i) for i in by_id}
+        decimals, tokens = strings_of(path, pattern)
         for b in batches:
-            texts = [t or "" for t in b.column(text).to_pylist()]
             n, of_ids, of_bytes, same = [], [], [], []
-            for t, ids in zip(texts, encode_texts(tok, texts), strict=True):
-                back = decode_ids(by_id, ids)
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(back).hexdigest())
-                same.append(back == t.encode())
+            for texts in parts_of(b.column(text)):
+                ids = ids_of(path, pattern, texts)
+                back = strung(ids, tokens, b"")
+                n += ids.value_lengths().to_pylist()
+                of_ids += [hashlib.sha256(x.as_buffer()).hexdigest() for x in strung(ids, decimals, ",")]
+                of_bytes += [hashlib.sha256(x.as_buffer()).hexdigest() for x in back]
+                same += pc.equal(back, texts.cast(pa.large_binary())).to_pylist()
             new = [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), *new], names=schema.names)
 
