@@ -5,6 +5,9 @@ minimum: linear, without a join. Pages are split into blocks of numbers, each a
 a row a block; so a large page is spread over tasks. Where the rows of a page lie together already (`stored`), the page is the window, and
 nothing is exchanged.
 
+What lies around a node is told by sums over document order too, in which an interval opens and closes: how many are around, and by that number,
+which one is the innermost. Nothing is joined.
+
 Pairs come from an equality join: an interval is laid out in blocks of 64, 4,096 and 262,144 numbers, at most 126 of each size, and a node looks
 itself up once a size. Only blocks at an interval's edges hold nodes that are no answer, fewer than 64 each. Keys of pages are not null.
 """
@@ -51,6 +54,29 @@ def _running(rows: DataFrame, values: dict[str, Column], best, frame: tuple[int,
     return near.join(blocks, on).select(*kept, *(told[n](pick(F.col(f"_n_{n}"), F.col(f"_f_{n}"))).alias(n) for n in values))
 
 
+def around(rows: DataFrame, sums: dict[str, Column], by: list[str]) -> DataFrame:
+    """`rows` (with id and subtree_end) and for each of `sums` the sum of its values (numbers, not null) over the rows around."""
+    counts = F.lit(False)
+    for v in sums.values():
+        counts = counts | (v != 0)
+    told = rows.select("*", F.explode(F.when(counts, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))).alias("_sign"))
+    opens = F.col("_sign") == 1
+    told = told.withColumn("_at", F.when(opens, F.col("id").cast("long") * 2).otherwise(F.col("subtree_end").cast("long") * 2 + 1))
+    before = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return told.select("*", *(F.coalesce(F.sum(v * F.col("_sign")).over(before), F.lit(0)).cast("int").alias(n) for n, v in sums.items())).where(opens).drop("_sign", "_at")
+
+
+def innermost(rows: DataFrame, flag: Column, depth: str, value: Column, by: list[str], into: str, every: Column | None = None) -> DataFrame:
+    """`rows` with `value` (one that grows with id) of the innermost row around each for which `flag` holds, null without one and for such rows themselves.
+    depth: the column with the number of such rows around, as `around` tells it. Rows for which `every` holds come once for each such row around."""
+    # around a node at depth d lies, of those at depth d - 1, the last one before it
+    level = F.col(depth) + flag.cast("int")
+    if every is not None:
+        level = F.explode(F.when(every & (F.col(depth) > 1), F.sequence(F.lit(1), F.col(depth))).otherwise(F.array(level)))
+    before = Window.partitionBy(*by, "_level").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_level", level).withColumn(into, F.when((F.col(depth) > 0) & ~flag, F.max(F.when(flag, value)).over(before))).drop("_level")
+
+
 def _range(low: Column, high: Column) -> Column:
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from leafloom.errors import InputError, PageError
 from leafloom.kernel.decode import decode
 from leafloom.kernel.flat import Tree, freeze
 from leafloom.kernel.shapes import shapes
-from leafloom.kernel.text import clean
+from leafloom.kernel.text import clean, text
 from leafloom.kernel.tree import Builder, parse_tree
 from leafloom.limits import Limits
 from leafloom.schema import NODE, PAGE
@@ -138,12 +139,51 @@ class Cleaned:
     trim: bool = True
     skip_tables: bool = False
 
+    def asks(self, t: Tree, i: int) -> bool:
+        return t.type[i] == "element" and (t.name[i] in self.names or any(a[1] in self.attrs and not a[0] for a in t.attrs[i]))
+
     def text(self, t: Tree, i: int) -> str | None:
-        if t.type[i] != "element" or not (t.name[i] in self.names or any(a[1] in self.attrs and not a[0] for a in t.attrs[i])):
-            return None
         return clean(t, i, self.trim, skip_tables=self.skip_tables)
 
 
+@dataclass(frozen=True)
+class Below:
+    """Which elements' text, as it stands below them, goes along with their rows: those of these names."""
+
+    names: frozenset[str]
+
+    def asks(self, t: Tree, i: int) -> bool:
+        return t.type[i] == "element" and t.name[i] in self.names
+
+    def text(self, t: Tree, i: int) -> str | None:
+        return text(t, i)
+
+
+#: Layouts of shapes that a question keeps in a process.
+LAYOUTS = 1_024
+
+
+class Layout:
+    """What the wanted nodes of a tree have in common with those of every tree of its shape: all but values, values of attributes and text."""
+
+    __slots__ = ("asked", "attrs", "held", "marked", "root", "sizes", "some", "tree")
+
+    def __init__(self, t: Tree, names: tuple[str, ...], wanted: Wanted | None, texts: Cleaned | Below | None):
+        n = len(t.type)
+        self.tree, self.root, self.some = t, t.root, list(range(n)) if wanted is None else wanted.of(t)
+        if set(names) <= {"id", "parent", "subtree_end", "type", "ns", "name", "value", "attrs", "is_template", "in_template_of"}:
+            inside = t.templates() if "in_template_of" in names else ()
+            held = {"id": range(n), "parent": [None, *t.parent[1:]], "subtree_end": t.end, "type": t.type, "ns": t.ns, "name": t.name, "in_template_of": [i if i >= 0 else None for i in inside]}
+            held["is_template"] = [t.is_html(i, "template") for i in range(n)] if "is_template" in names else ()
+        else:
+            held = t.columns()
+        self.held = {c: [held[c][i] for i in self.some] for c in names if c not in ("value", "attrs")}
+        self.sizes = [len(t.attrs[i]) for i in self.some]
+        self.marked = [i for i in self.some if t.attrs[i]]
+        self.attrs = [a[:2] for i in self.marked for a in t.attrs[i]]
+        self.asked = [texts is not None and texts.asks(t, i) for i in self.some]
+
+
 @dataclass(frozen=True)
 class Pages:
     """Markup that is to be parsed, and how. Operators that get it parse and extract in one pass over each page."""
@@ -158,6 +198,7 @@ class Pages:
     comments: bool = True
     limits: Limits | None = None
     mode: str = "PERMISSIVE"
+    dealt: int | None = None  # of how many partitions `df` is, if by repartition(dealt, key)
 
     def __post_init__(self):
         if self.mode not in MODES:
@@ -189,47 +230,44 @@ class Pages:
 
         return p._source().mapInArrow(run, schema)
 
-    def node_rows(self, *columns: str, wanted: Wanted | None = None, texts: Cleaned | None = None) -> DataFrame:
+    def node_rows(self, *columns: str, wanted: Wanted | None = None, texts: Cleaned | Below | None = None) -> DataFrame:
         """The nodes of all pages as rows, one pass: key, keep, root_id, base (what references resolve against), and `columns` of NODE, by default
-        all. wanted: which nodes; the others never leave the parser. texts: if given, a column `text` has the cleaned text of these
+        all. wanted: which nodes; the others never leave the parser. texts: if given, a column `text` has the text of these
         elements. Pages with an error have no rows, or raise in FAILFAST."""
         known = {f.name: f for f in T._parse_datatype_string(f"n {NODE}")["n"].dataType.fields}
         names = columns or tuple(known)
         if unknown := [c for c in names if c not in known]:
             raise InputError(f"nodes have no column {unknown[0]}", "columns")
-        derived = not set(names) <= {"id", "parent", "subtree_end", "type", "ns", "name", "value", "attrs", "is_template", "in_template_of"}
-
-        def run(t: Tree) -> Iterable[tuple]:
-            n = len(t.type)
-            if derived:
-                held = t.columns()
-            else:
-                inside = t.templates() if "in_template_of" in names else ()
-                held = {"id": range(n), "parent": [None, *t.parent[1:]], "subtree_end": t.end, "type": t.type, "ns": t.ns, "name": t.name, "value": t.value, "attrs": t.attrs, "in_template_of": [i if i >= 0 else None for i in inside]}
-                held["is_template"] = [t.is_html(i, "template") for i in range(n)] if "is_template" in names else ()
-            root, base = t.root, t.base
-            some = range(n) if wanted is None else wanted.of(t)
-            rows = [held[c] for c in names]
-            if not texts:
-                return ((root, base, *(c[i] for c in rows)) for i in some)
-            return ((root, base, *(c[i] for c in rows), texts.text(t, i)) for i in some)
+        kept: dict[int, Layout] = {}
+
+        def run(t: Tree) -> tuple:
+            own = kept.get(id(t._like)) if t._like is not None else None
+            if own is None:
+                own = Layout(t._like or t, names, wanted, texts)
+                if t._like is not None:
+                    if len(kept) >= LAYOUTS:
+                        kept.clear()
+                    kept[id(t._like)] = own  # which holds the tree, so that the number stays its own
+            values = [t.value[i] for i in own.some] if "value" in names else []
+            given = [a[2] for i in own.marked for a in t.attrs[i]] if "attrs" in names else []
+            return own, t.base, values, given, [texts.text(t, i) if asked else None for i, asked in zip(own.some, own.asked, strict=True)] if texts else []
 
         more = [T.StructField("text", T.StringType())] if texts else []
-        return self.each(run, T.StructType([T.StructField("root_id", T.IntegerType()), T.StructField("base", T.StringType()), *(known[c] for c in names), *more]))
+        return self.each(run, T.StructType([T.StructField("root_id", T.IntegerType()), T.StructField("base", T.StringType()), *(known[c] for c in names), *more]), LaidOut)
 
     def options(self) -> dict:
         return {"encoding": self.encoding, "context": self.context, "comments": self.comments, "limits": self.limits}
 
-    def each(self, fn: Callable[[Tree], Iterable[tuple]], schema: T.StructType) -> DataFrame:
+    def each(self, fn: Callable[[Tree], Iterable[tuple]], schema: T.StructType, gatherer: type[Gather] | None = None) -> DataFrame:
         """The key, `keep` and the rows that `fn` yields for each page's tree; schema: of what `fn` yields. Pages with an error, or on
-        which `fn` reaches a limit, yield none, or raise in FAILFAST."""
+        which `fn` reaches a limit, yield none, or raise in FAILFAST. gatherer: what makes batches of what `fn` yields."""
         p = self
         names = [p.key, *p.keep]
         out = T.StructType([p.df.schema[c] for c in names] + schema.fields)
         options, content, base, key, strict = p.options(), p.content, p.base_url, names, p.mode == "FAILFAST"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            gather = Gather(out)
+            gather = (gatherer or Gather)(out)
             for part in _slices(batches, PLAIN_PAGES):
                 for k, (x, u) in zip(zip(*(part.column(c).to_pylist() for c in key), strict=True), _inputs(part, content, base), strict=True):
                     try:
@@ -263,7 +301,7 @@ class Gather:
     """Rows of tuples into Arrow batches, column by column."""
 
     def __init__(self, schema: T.StructType):
-        self.schema, self.rows = to_arrow_schema(schema), []
+        self.schema, self.rows, self.count = to_arrow_schema(schema), [], 0
 
     def add(self, head: tuple, rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
         self.rows += [(*head, *r) for r in rows]
@@ -277,6 +315,56 @@ class Gather:
             self.rows = []
 
 
+class LaidOut(Gather):
+    """Rows of nodes, page by page, into Arrow batches: layouts go in once a batch, and are taken as often as there are pages of them."""
+
+    def add(self, head: tuple, rows: list) -> Iterator[pa.RecordBatch]:
+        if rows[0].some:
+            self.rows.append((head, *rows))
+            self.count += len(rows[0].some)
+        if self.count >= BATCH_ROWS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
+            return
+        heads, own, bases, values, given, texts = zip(*self.rows, strict=True)
+        pool = list({id(x): x for x in own}.values())
+        number = {id(x): i for i, x in enumerate(pool)}
+        which = np.array([number[id(x)] for x in own])
+        page, node = _taken(which, [len(x.some) for x in pool])
+        _, mark = _taken(which, [len(x.attrs) for x in pool])
+        flat = lambda lists: [v for x in lists for v in x]
+        out = []
+        for i, f in enumerate(self.schema):
+            if f.name == "attrs":
+                sizes = np.array(flat(x.sizes for x in pool), np.int32)[node]
+                of = f.type.value_type
+                names = [pa.array(flat([a[k] for a in x.attrs] for x in pool), of.field(k).type).take(mark) for k in (0, 1)]
+                parts = pa.StructArray.from_arrays([*names, pa.array(flat(given), of.field(2).type)], fields=list(of))
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), parts, type=f.type))
+            elif i < len(heads[0]):
+                out.append(pa.array([h[i] for h in heads], f.type).take(page))
+            elif f.name == "root_id":
+                out.append(pa.array([x.root for x in own], f.type).take(page))
+            elif f.name == "base":
+                out.append(pa.array(bases, f.type).take(page))
+            elif f.name in ("value", "text"):
+                out.append(pa.array(flat(values if f.name == "value" else texts), f.type))
+            else:
+                out.append(pa.array(flat(x.held[f.name] for x in pool), f.type).take(node))
+        yield pa.RecordBatch.from_arrays(out, schema=self.schema)
+        self.rows, self.count = [], 0
+
+
+def _taken(which: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists that lie behind each other, of these sizes: the place in `which` of each element of the lists `which`, and where it is."""
+    sizes = np.array(sizes, np.int64)
+    starts, counts = np.cumsum(sizes) - sizes, sizes[which]
+    place = np.repeat(np.arange(len(which)), counts)
+    return place, np.repeat(starts[which] - (np.cumsum(counts) - counts), counts) + np.arange(len(place))
+
+
 def _array(values: tuple, kind: pa.DataType) -> pa.Array:
     """An Arrow array. Lists of tuples (attributes) are made field by field, which is far faster than tuple by tuple."""
     if not (pa.types.is_list(kind) and pa.types.is_struct(kind.value_type)) or any(v is None or (v and not isinstance(v[0], tuple)) for v in values):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leafloom.operators import nodes as N
 from leafloom.plans import selectors as S
-from leafloom.sources.pages import Cleaned, Pages, Wanted, tasks_for
+from leafloom.sources.pages import Below, Cleaned, Pages, Wanted, tasks_for
 from leafloom.sources.work import shared_dir
 
 
@@ -29,6 +29,7 @@ def page_session(spark: SparkSession) -> SparkSession:
     own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     own.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     own.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    own.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")  # where rows lie in order already
     return own
 
 
@@ -61,11 +62,15 @@ def default_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def store_nodes(pages: Pages, *columns: str, wanted: Wanted | None = None, texts: Cleaned | None = None, table: str | None = None, path: str | None = None, buckets: int | None = None) -> Stored:
+def store_nodes(pages: Pages, *columns: str, wanted: Wanted | None = None, texts: Cleaned | Below | None = None, table: str | None = None, path: str | None = None, buckets: int | None = None) -> Stored:
     """Parses pages and stores their nodes (see `Pages.node_rows`). Pages are dealt to buckets before they are parsed: markup takes less room
-    than nodes. By default there are as many buckets as a shuffle has partitions, and more where a bucket would have over PAGES_A_TASK pages."""
-    buckets = buckets or max(default_buckets(pages.df.sparkSession), tasks_for(pages.df))
-    dealt = replace(pages, df=pages.df.repartition(buckets, pages.key))
+    than nodes. By default there are as many buckets as a shuffle has partitions, and more where a bucket would have over PAGES_A_TASK pages; pages
+    that are dealt by their key lie in buckets as they are."""
+    if pages.dealt and buckets in (None, pages.dealt):
+        dealt, buckets = pages, pages.dealt
+    else:
+        buckets = buckets or max(default_buckets(pages.df.sparkSession), tasks_for(pages.df))
+        dealt = replace(pages, df=pages.df.repartition(buckets, pages.key))
     return store(dealt.node_rows(*columns, wanted=wanted, texts=texts), pages.key, table, path, buckets, dealt=True)
 
 

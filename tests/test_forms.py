@@ -71,3 +71,27 @@ def test_one_parse_and_no_exchange_once_stored(spark, pages):
     assert "Exchange" not in plan and "Python" not in plan and "InArrow" not in plan and "Bucketed: true" in plan
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"  # only the table's session is another
     kept.drop()
+
+
+NESTED = [
+    "<form><select name=a><option>1<object><select name=b><optgroup disabled><option>2<object><select name=c><option selected>3</select></object><option>4</select></object><option disabled>5</select></form>",
+    "<form id=a><div></form><form id=b><table><tr><td><form id=c></form><input name=x></td></tr></table><input name=y></div></form><input name=z form=b>",
+    "<table><form id=a><tr><td><table><form id=b><tr><td><input name=i></table><input name=j><tr><td><table></table><input name=k></table><input name=l>",
+    "<form><select name=s><optgroup disabled><div><optgroup><option>1</optgroup></div><option>2</select><fieldset disabled><legend><fieldset disabled><legend></legend><input name=p></fieldset><input name=q></legend></fieldset></form>",
+]
+
+
+def test_what_nests_is_told_as_by_walking(spark):
+    kept = form_nodes(Pages(spark.createDataFrame(list(enumerate(NESTED)), "page_id long, html string")))
+    want = sorted(((k, plain(f)) for k, html in enumerate(NESTED) for f in structure.forms(parse_html(html), [0])), key=str)
+    got = forms(kept.df)
+    assert sorted(((r["page_id"], plain({c: r[c] for c in got.columns if c != "page_id"})) for r in got.collect()), key=str) == want
+    kept.drop()
+
+
+def test_fields_take_few_scans_and_joins(spark, pages):
+    kept = form_nodes(Pages(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")))
+    plan = form_fields(kept.df)._jdf.queryExecution().executedPlan().toString()
+    counts = [plan.count(x) for x in ("FileScan", "SortMergeJoin", "Generate explode")]
+    assert counts[0] <= 8 and counts[1] <= 5 and counts[2] <= 4, counts
+    kept.drop()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafloom.plans import intervals
-from leafloom.plans.intervals import holding, nearest, pairs, within
+from leafloom.plans.intervals import around, holding, innermost, nearest, pairs, within
 
 
 def tree(seed, n, wide):
@@ -86,3 +86,16 @@ def test_a_large_page_is_split_over_tasks(spark):
     left = page.where(flag).select(F.explode(intervals.blocks_of_interval(F.col("id") + 1, F.col("subtree_end"))).alias("b")).count()
     right = page.select(F.explode(intervals.blocks_of_node(F.col("id"))).alias("b")).count()
     assert left <= 3 * n // 1000 and right < 3 * n
+
+
+def test_what_is_around(spark, rows):
+    df = around(spark.createDataFrame(rows, "page_id long, id int, subtree_end int, f boolean"), {"d": F.col("f").cast("int"), "s": F.col("id") % 3 - 1}, ["page_id"])
+    value = F.struct("id", "subtree_end")
+    one = {(r[0], r["id"]): (r["d"], r["s"], r["o"] and tuple(r["o"])) for r in innermost(df, F.col("f"), "d", value, ["page_id"], "o").collect()}
+    every = {(r[0], r["id"], r["o"] and r["o"]["id"]) for r in innermost(df, F.col("f"), "d", value, ["page_id"], "o", ~F.col("f")).where("not f").collect()}
+    assert len(one) == len(rows)
+    for k, i, e, f in rows:
+        out = [(a, b, g) for p, a, b, g in rows if p == k and a < i <= b]
+        flagged = [(a, b) for a, b, g in out if g]
+        assert one[k, i] == (len(flagged), sum(a % 3 - 1 for a, _, _ in out), flagged[-1] if flagged and not f else None)
+        assert f or {o for p, j, o in every if (p, j) == (k, i)} == ({a for a, _ in flagged} or {None})

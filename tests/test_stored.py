@@ -83,3 +83,21 @@ def test_no_side_of_a_join_is_broadcast_unasked(kept):
     found = N.fetch(kept.df, N.parent(p)).join(N.fetch(kept.df, N.sibling(p)).select("page_id", "id"), "page_id")
     found.collect()
     assert "SortMergeJoin" in plan_of(found) and "Broadcast" not in plan_of(found)
+
+
+def test_rows_of_pages_that_share_a_shape(spark):
+    html = [f"<base href=b{k % 2}/><p id=p{k} class='a {k}'>x{k}<!--c--><b title=t{k}>y</b><template><i lang=l{k}>z</i></template>" if k % 5 else f"<ul><li>{k}&amp;" for k in range(60)] + ["", "<p>"]
+    pages = Pages(spark.createDataFrame([(k, h, f"https://h/{k}/") for k, h in enumerate(html)], "page_id long, html string, url string").coalesce(1), base_url="url")
+    plain = N.nodes(pages.parsed())
+    got = pages.node_rows().select(*plain.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() > 500
+    some = pages.node_rows("id", "attrs", wanted=Wanted(frozenset({"b"}), frozenset({"lang"})), texts=Cleaned(names=frozenset({"b"})))
+    want = [(k, v, t) for k in range(60) if k % 5 for v, t in ((f"t{k}", "y"), (f"l{k}", None))]
+    assert [(r["page_id"], r["attrs"][0]["value"], r["text"]) for r in some.orderBy("page_id", "id").collect()] == want
+
+
+def test_pages_that_lie_by_their_key_are_stored_as_they_lie(spark):
+    docs = spark.range(50).selectExpr("id AS page_id", "'<p>x' AS html").repartition(3, "page_id")
+    kept = store_nodes(Pages(docs, dealt=3), "id", "name")
+    assert kept.df.count() == 50 * 6 and len(kept.df.inputFiles()) == 3 and "Exchange" not in plan_of(kept.df.groupBy("page_id").count())
+    kept.drop()
