@@ -1,12 +1,13 @@
 """Tables as relations over nodes: the grid of cells with spans, header rows, names and types of columns. Nothing here runs in Python.
 
-Rows and cells are equality joins on parents. Where no cell of a group of rows spans rows, columns are running sums; elsewhere a fold over the
-group's rows carries, for each column, the last row that holds it, and finds cells that overlap. (The fold copies what it has placed so
-far, so that it is meant for groups of thousands of cells, not of millions.) Names of columns that occur again get the least numbers that
-are free. A column's type is all or nothing, told by tests of each value and a window over the column; the window is by name too,
-so that a filter on the name goes below it.
-
-`nodes` are rows of nodes with `text` (the cleaned text of cells), as `cell_nodes` parses and stores them. They are read several times.
+Outermost tables, their sections and rows lie behind each other, so that running maxima over document order tell each cell its own: one scan, and
+no join. Where no cell of a group of rows spans rows, columns are running sums; elsewhere a fold over the group's cells carries, for each column,
+the last row that holds it, and finds cells that overlap. (The fold copies what it has placed so far, so that it is meant for groups of
+thousands of cells, not of millions.) Names are told from a table's cells in one row of arrays, which `Limits.max_table_cells` bounds; names that
+occur again get the least numbers that are free. A column's type is all or nothing, told by tests of each value and a window over the
+column; the window is by name too, so that a filter on the name goes below it.
+
+`nodes` are rows of nodes with `text` (the cleaned text of cells), as `cell_nodes` parses and stores them.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ from pyspark.sql import functions as F
 
 from leafloom.errors import InputError
 from leafloom.functions.columns import raw_attr, resolve, trim
+from leafloom.kernel.selectors import parse_selector
 from leafloom.kernel.tables import MAX_COLSPAN, MAX_ROWSPAN
 from leafloom.limits import Limits
-from leafloom.operators import nodes as N
 from leafloom.operators.nodes import KEY
 from leafloom.plans import selectors as S
 from leafloom.plans.intervals import nearest
 from leafloom.sources.pages import Cleaned, Pages, Wanted
-from leafloom.sources.stored import Stored, default_buckets, store, store_nodes
+from leafloom.sources.stored import Stored, store_nodes
 
 COLUMNS = ("id", "parent", "subtree_end", "elem_pos", "elem_count", "n_elem_children", "n_text_children", "type", "ns", "name", "attrs", "in_template_of")
 SECTIONS = ("thead", "tbody", "tfoot")
@@ -45,66 +46,93 @@ def _whole(name: str, most: int) -> Column:
     return F.when(digits != "", F.when(F.length(digits) > 6, most).otherwise(F.least(digits.cast("int"), F.lit(most))))
 
 
-def _rows(nodes: DataFrame, css: str, key: str) -> DataFrame:
-    """The rows of outermost tables: table_no, table (its node), tr, section, row (from 1), last (of its group)."""
-    found = N.outermost(S.select(nodes, css, key).where("ns = 'html' AND name = 'table'").select(key, "id", "subtree_end"), key)
-    tables = found.select(F.col(key).alias("t_key"), F.col("id").alias("table"), F.row_number().over(Window.partitionBy(key).orderBy("id")).alias("table_no"))
-    parts = _html(nodes, *SECTIONS, "tr").join(tables, (F.col(key) == F.col("t_key")) & (F.col("parent") == F.col("table"))).select(key, "table", "table_no", "id", "name")
-    before = F.max(F.when(F.col("name") != "tr", F.col("id"))).over(Window.partitionBy(key, "table").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.withColumn("run", F.coalesce(before, F.lit(0)))
-    direct = parts.where("name = 'tr'").select(key, "table", "table_no", F.lit("tbody").alias("section"), (-F.col("run")).alias("group"), F.col("id").alias("tr"))
-    sections = parts.where("name <> 'tr'").select(F.col(key).alias("s_key"), "table", "table_no", F.col("name").alias("section"), F.col("id").alias("group"))
-    inside = _html(nodes, "tr").join(sections, (F.col(key) == F.col("s_key")) & (F.col("parent") == F.col("group"))).select(key, "table", "table_no", "section", "group", F.col("id").alias("tr"))
-    rank = F.when(F.col("section") == "thead", 1).when(F.col("section") == "tbody", 2).otherwise(3)
-    rows = inside.unionByName(direct).withColumn("row", F.row_number().over(Window.partitionBy(key, "table_no", "table").orderBy(rank, "tr")))
-    return rows.withColumn("last", F.max("row").over(Window.partitionBy(key, "table_no", "table", "section", "group")))
+def _hit(nodes: DataFrame, css: str, key: str) -> DataFrame:
+    """Parts of tables and cells, with a column `hit`: which are tables that match."""
+    selector = parse_selector(css)
+    parts = ("table", *SECTIONS, "tr", "td", "th")
+    if all(len(c.compounds) == 1 for c in selector):  # told by each row alone
+        rows, hit = _html(S.prepared(nodes, key, selector), *parts), F.lit(False)
+        for c in selector:
+            hit = hit | S.compound(c.compounds[0])
+    else:
+        found = S.select(nodes, css, key).select(F.col(key).alias("h_key"), F.col("id").alias("h_id"))
+        rows, hit = _html(nodes, *parts).join(found, (F.col(key) == F.col("h_key")) & (F.col("id") == F.col("h_id")), "left"), F.col("h_id").isNotNull()
+    return rows.withColumn("hit", F.coalesce((F.col("name") == "table") & F.col("in_template_of").isNull() & hit, F.lit(False)))
+
+
+def _groups(nodes: DataFrame, css: str, key: str) -> DataFrame:
+    """The groups of rows of outermost tables, as they follow each other: table_no, rank and place (their order), table (its node), section, n_rows and n_head (rows
+    of the table and of its head), bad (where cells overlap first) and the cells: row and number (in it) from 1, col from 0, id, subtree_end, rowspan, colspan,
+    header, text."""
+    so_far = Window.partitionBy(key).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    name, parent, node = F.col("name"), F.col("parent"), F.col("id")
+    # of what opens before a node, the outermost one that may be around it ends last (and opens first)
+    outermost = lambda which, *more: F.max(F.when(which, F.struct("subtree_end", (-node).alias("neg"), *more))).over(so_far)
+    rows = _hit(nodes, css, key).withColumn("t", outermost(F.col("hit"))).where(F.col("t.subtree_end") >= node).withColumn("table", -F.col("t.neg"))
+    # a table's own sections lie behind each other, and its own rows are the outermost ones in it
+    rows = rows.withColumns({
+        "s": F.max(F.when(name.isin(*SECTIONS) & (parent == F.col("table")), F.struct("id", "name"))).over(so_far), "r": outermost(name == "tr", "parent"),
+        "table_no": F.count(F.when(F.col("table") == node, True)).over(so_far).cast("int"),
+    })
+    direct, tr = F.col("r.parent") == F.col("table"), -F.col("r.neg")
+    is_cell = name.isin("td", "th") & (parent == tr)
+    own = (F.col("r.subtree_end") >= node) & (direct | F.coalesce(F.col("r.parent") == F.col("s.id"), F.lit(False)))
+    section = F.when(direct, "tbody").otherwise(F.col("s.name"))
+    place = F.when(F.col("s.id") > F.col("table"), F.col("s.id") * 2).otherwise(0) + direct.cast("int")
+    down, colspan = F.coalesce(_whole("rowspan", MAX_ROWSPAN), F.lit(1)), F.coalesce(_whole("colspan", MAX_COLSPAN), F.lit(1))
+    rows = rows.where(own & (is_cell | (node == tr))).select(
+        key, "table_no", "table", section.alias("section"), place.alias("place"), tr.alias("tr"), "id", "subtree_end", is_cell.alias("is_cell"), F.when(is_cell, down).alias("down"), F.when(is_cell, F.when(colspan == 0, 1).otherwise(colspan)).alias("colspan"),
+        (name == "th").alias("header"), "text",
+    )
+    row = Window.partitionBy(key, "tr").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"number": F.count(F.when(F.col("is_cell"), True)).over(row).cast("int") + 1, "col": F.coalesce(F.sum("colspan").over(row), F.lit(0)).cast("int")})
+    cell = F.when(F.col("is_cell"), F.struct("number", "col", "id", "subtree_end", "down", "colspan", "header", "text"))
+    rows = rows.groupBy(key, "tr").agg(*(F.first(c).alias(c) for c in ("table_no", "table", "section", "place")), F.array_sort(F.collect_list(cell)).alias("cells"))
+    rows = rows.withColumn("rank", F.when(F.col("section") == "thead", 1).when(F.col("section") == "tbody", 2).otherwise(3))
+    table = Window.partitionBy(key, "table_no").orderBy("rank", "place", "tr")
+    whole = table.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"row": F.row_number().over(table), "n_rows": F.count("*").over(whole).cast("int"), "n_head": F.count(F.when(F.col("rank") == 1, True)).over(whole).cast("int")})
+    rows = rows.groupBy(key, "table_no", "rank", "place").agg(*(F.first(c).alias(c) for c in ("table", "section", "n_rows", "n_head")), F.max("row").alias("last"), F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rows"))
+
+    def laid(c: Column, row: Column) -> Column:
+        left = F.col("last") - row + 1
+        rowspan = F.when(c["down"] == 0, left).otherwise(F.least(c["down"], left))
+        return F.struct(row.alias("row"), c["number"].alias("number"), c["col"].alias("col"), *(c[n].alias(n) for n in ("id", "subtree_end")), rowspan.alias("rowspan"), *(c[n].alias(n) for n in ("colspan", "header", "text")))
+
+    groups = rows.withColumn("cells", F.flatten(F.transform("rows", lambda r: F.transform(r["cells"], lambda c: laid(c, r["row"]))))).drop("rows", "last")
+    folded = groups.withColumn("f", F.when(F.exists("cells", lambda c: c["rowspan"] > 1), _folded()))
+    moved = F.zip_with("cells", "f.cols", lambda c, at: c.withField("col", at))
+    return folded.withColumn("bad", F.col("f.bad")).withColumn("cells", F.when(F.col("f").isNotNull(), moved).otherwise(F.col("cells"))).drop("f")
 
 
 def _folded() -> Column:
-    """Of a group's `rows` (row, cells): the cells' columns from 0, and where cells overlap first."""
+    """Of a group's `cells`: their columns from 0, and where cells overlap first."""
 
-    def cell(row: Column):
-        def step(state: Column, c: Column) -> Column:
-            held, at = state["held"], state["at"]
-            free = F.array_position(F.transform(F.slice(held, at + 1, F.size(held)), lambda h: h < row), True).cast("int")
-            col = F.when(free > 0, at + free - 1).otherwise(F.greatest(F.size(held), at))
-            clash = F.exists(F.slice(held, col + 1, c["colspan"]), lambda h: h >= row)
-            after = F.concat(F.slice(held, 1, col), F.array_repeat(row + c["rowspan"] - 1, c["colspan"]), F.slice(held, col + c["colspan"] + 1, F.size(held)))
-            placed = F.concat(state["out"], F.array(F.struct(c["id"].alias("id"), col.alias("col"))))
-            bad = F.coalesce(state["bad"], F.when(clash, F.struct(row.alias("row"), c["number"].alias("number"))))
-            return F.struct((col + c["colspan"]).alias("at"), after.alias("held"), placed.alias("out"), bad.alias("bad"))
+    def step(state: Column, c: Column) -> Column:
+        row = c["row"]
+        held, at = state["held"], F.when(state["row"] == row, state["at"]).otherwise(0)
+        free = F.array_position(F.transform(F.slice(held, at + 1, F.size(held)), lambda h: h < row), True).cast("int")
+        col = F.when(free > 0, at + free - 1).otherwise(F.greatest(F.size(held), at))
+        clash = F.exists(F.slice(held, col + 1, c["colspan"]), lambda h: h >= row)
+        after = F.concat(F.slice(held, 1, col), F.array_repeat(row + c["rowspan"] - 1, c["colspan"]), F.slice(held, col + c["colspan"] + 1, F.size(held)))
+        bad = F.coalesce(state["bad"], F.when(clash, F.struct(row.alias("row"), c["number"].alias("number"))))
+        return F.struct(row.alias("row"), (col + c["colspan"]).alias("at"), after.alias("held"), F.concat(state["cols"], F.array(col)).alias("cols"), bad.alias("bad"))
 
-        return step
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("row"), F.lit(0).alias("at"), none.alias("held"), none.alias("cols"), F.lit(None).cast("struct<row: int, number: int>").alias("bad"))
+    return F.aggregate("cells", start, step)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("held"), F.array().cast("array<struct<id: int, col: int>>").alias("out"), F.lit(None).cast("struct<row: int, number: int>").alias("bad"))
-    again = lambda s: F.struct(F.lit(0).alias("at"), s["held"].alias("held"), s["out"].alias("out"), s["bad"].alias("bad"))
-    return F.aggregate("rows", start, lambda s, r: F.aggregate(r["cells"], again(s), cell(r["row"])))
+
+def _overlap(bad: Column) -> Column:
+    return F.when(bad.isNotNull(), F.format_string("cells overlap in row %d, at cell %d", bad["row"], bad["number"]))
 
 
 def placed(nodes: DataFrame, css: str = "table", key: str = KEY) -> DataFrame:
     """Cells in their grids: table_no, table, section, row and col (from 1), number (in its row), id, subtree_end, rowspan, colspan, header, text, n_rows
     and n_head (rows of its head) of the table, and `error` in the cells of a table where some overlap."""
-    table = Window.partitionBy(key, "table_no", "table")
-    rows = _rows(nodes, css, key).withColumn("n_rows", F.max("row").over(table)).withColumn("n_head", F.coalesce(F.max(F.when(F.col("section") == "thead", F.col("row"))).over(table), F.lit(0)))
-    own = rows.select(F.col(key).alias("r_key"), "table_no", "table", "section", "group", "tr", "row", "last", "n_rows", "n_head")
-    cells = _html(nodes, "td", "th").join(own, (F.col(key) == F.col("r_key")) & (F.col("parent") == F.col("tr")))
-    down, left = F.coalesce(_whole("rowspan", MAX_ROWSPAN), F.lit(1)), F.col("last") - F.col("row") + 1
-    colspan = F.coalesce(_whole("colspan", MAX_COLSPAN), F.lit(1))
-    cells = cells.select(
-        key, "table_no", "table", "section", "group", "row", "n_rows", "n_head", "id", "subtree_end", F.row_number().over(Window.partitionBy(key, "tr").orderBy("id")).alias("number"), F.when(down == 0, left).otherwise(F.least(down, left)).alias("rowspan"),
-        F.when(colspan == 0, 1).otherwise(colspan).alias("colspan"), (F.col("name") == "th").alias("header"), "text",
-    )
-    group = [key, "table_no", "table", "section", "group"]
-    cells = cells.withColumn("tall", F.max("rowspan").over(Window.partitionBy(*group)) > 1)
-    plain = F.coalesce(F.sum("colspan").over(Window.partitionBy(key, "table_no", "row").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    cells = cells.withColumn("col", plain)
-    tall = cells.where("tall").groupBy(*group, "row").agg(F.array_sort(F.collect_list(F.struct("number", "id", "rowspan", "colspan"))).alias("cells"))
-    tall = tall.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rows")).select(key, "table_no", _folded().alias("f"))
-    where = tall.select(F.col(key).alias("f_key"), F.col("f.bad").alias("bad"), F.explode("f.out").alias("x")).select("f_key", "bad", F.col("x.id").alias("f_id"), F.col("x.col").alias("f_col"))
-    out = cells.join(where, (F.col(key) == F.col("f_key")) & (F.col("id") == F.col("f_id")), "left")
     bad = F.min("bad").over(Window.partitionBy(key, "table_no"))
-    error = F.when(bad.isNotNull(), F.format_string("cells overlap in row %d, at cell %d", bad["row"], bad["number"]))
-    return out.select(key, "table_no", "table", "section", "row", (F.coalesce("f_col", "col") + 1).alias("col"), "number", "id", "subtree_end", "rowspan", "colspan", "header", "text", "n_rows", "n_head", error.alias("error"))
+    out = _groups(nodes, css, key).withColumn("error", _overlap(bad)).select(key, "table_no", "table", "section", "n_rows", "n_head", "error", F.inline("cells"))
+    return out.select(key, "table_no", "table", "section", "row", (F.col("col") + 1).alias("col"), "number", "id", "subtree_end", "rowspan", "colspan", "header", "text", "n_rows", "n_head", "error")
 
 
 def table_cells(nodes: DataFrame, css: str = "table", absolute: bool = False, key: str = KEY) -> DataFrame:
@@ -131,42 +159,75 @@ def tables(nodes: DataFrame, css: str = "table", header="auto", na: tuple[str, .
 
     header: "auto" (rows of the head, else the first rows of header cells alone), True (the first row), False, or row numbers."""
     most = (limits or Limits()).max_table_cells
-    cells = placed(nodes, css, key).withColumn("width", F.max(F.col("col") + F.col("colspan") - 1).over(Window.partitionBy(key, "table_no")))
+    cells = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "place", "cells"))), lambda g: g["cells"]))
+    whole = _groups(nodes, css, key).sortWithinPartitions(key, "table_no").groupBy(key, "table_no").agg(F.first("table").alias("id"), F.first("n_rows").alias("n_rows"), F.first("n_head").alias("n_head"), F.min("bad").alias("bad"), cells.alias("cells"))
+    # step by step: what a later one looks at often is a column of its own
+    whole = whole.where(F.size("cells") > 0).withColumn("width", F.array_max(F.transform("cells", lambda c: c["col"] + c["colspan"])))
     size = F.col("width").cast("long") * F.col("n_rows")
-    cells = cells.withColumn("error", F.coalesce("error", F.when(size > most, F.format_string(f"max_table_cells is {most}, and %d was reached", size))))
-    # read three times below, and what places them is a chain of joins: stored by page, in as many buckets as the nodes
-    cells = store(cells, key, buckets=max(default_buckets(nodes.sparkSession), len(nodes.inputFiles()))).df
-    failed = cells.where("error IS NOT NULL").groupBy(key, "table_no", F.col("table").alias("id")).agg(F.first("error").alias("error"))
-    slots = cells.where("error IS NULL").select(key, "table_no", "table", "section", "header", "text", "width", "n_rows", "n_head", "colspan", "col", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("rowspan") - 1)).alias("row"))
-    slots = slots.select(key, "table_no", "table", "section", "header", "text", "width", "n_rows", "n_head", "row", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("colspan") - 1)).alias("col"))
-    table = Window.partitionBy(key, "table_no", "table")
+    whole = whole.withColumn("error", F.coalesce(_overlap(F.col("bad")), F.when(size > most, F.format_string(f"max_table_cells is {most}, and %d was reached", size))))
+    whole = whole.select(key, "table_no", "id", "n_rows", "n_head", "width", "error", F.when(F.col("error").isNull(), _slots(F.col("cells"))).alias("slots"))
     if header == "auto":
-        # the first row that is not of header cells alone; a row without a cell is none
-        solid = F.min(F.col("header").cast("int")).over(Window.partitionBy(key, "table_no", "table", "row")) == 1
-        last = F.coalesce(F.max("row").over(table.orderBy("row").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        slots = slots.withColumn("solid", solid).withColumn("last", last)
-        end = F.min(F.when(F.col("last") < F.col("row") - 1, F.col("last") + 1).when(~F.col("solid"), F.col("row"))).over(table)
-        heads = F.when(F.col("n_head") > 0, F.col("n_head")).otherwise(F.coalesce(end - 1, F.max("row").over(table)))
-        head_rows = F.when(heads > 0, F.sequence(F.lit(1), heads)).otherwise(F.array().cast("array<int>"))
+        whole = whole.withColumn("heads", F.when(F.col("n_head") > 0, F.col("n_head")).otherwise(_heads(F.col("slots"))))
+        is_head, heads_before = (lambda s: s["row"] <= F.col("heads")), lambda s: F.col("heads")
     else:
-        numbers = ([1] if header else []) if isinstance(header, bool) else list(header)
-        head_rows = F.array(*map(F.lit, numbers)).cast("array<int>")
-    slots = slots.withColumn("head_rows", head_rows).withColumn("is_head", F.array_contains("head_rows", F.col("row")))
-    piece = F.when(F.col("is_head") & (trim(F.col("text")) != ""), F.struct("row", trim(F.col("text")).alias("s")))
-    per_column = slots.groupBy(key, "table_no", "table", "width", "n_rows", "head_rows", "col").agg(F.array_sort(F.collect_list(piece)).alias("p"))
-    join = F.aggregate("p", F.array().cast("array<string>"), lambda acc, x: F.when(F.element_at(F.concat(F.array(F.lit("")), acc), -1) == x["s"], acc).otherwise(F.concat(acc, F.array(x["s"]))))
-    named = per_column.select(key, "table_no", "table", "width", "n_rows", "head_rows", "col", F.when(F.size("p") > 0, F.array_join(join, " / ")).alias("name"))
-    whole = named.groupBy(key, "table_no", "table", "width", "n_rows", "head_rows").agg(F.map_from_entries(F.collect_list(F.struct("col", "name"))).alias("by_col"))
-    names = unique_names(F.transform(F.sequence(F.lit(1), F.col("width")), lambda c: F.coalesce(F.col("by_col")[c], F.concat(F.lit("V"), c.cast("string")))))
-    whole = whole.withColumn("names", names)
-    body = F.array_except(F.sequence(F.lit(1), F.col("n_rows")), F.col("head_rows"))
-    grid = whole.select(F.col(key).alias("g_key"), F.col("table_no").alias("g_no"), F.col("table").alias("id"), "names", F.posexplode(body).alias("at", "g_row"))
-    grid = grid.select("g_key", "g_no", "id", (F.col("at") + 1).alias("row_no"), "g_row", F.posexplode("names").alias("x", "name"))
-    held = slots.select(key, "table_no", "row", "col", "text")
-    out = grid.join(held, (F.col("g_key") == F.col(key)) & (F.col("g_no") == F.col("table_no")) & (F.col("g_row") == F.col("row")) & (F.col("x") + 1 == F.col("col")), "left")
-    value = F.when(~F.col("text").isin(*na), F.col("text")) if na else F.col("text")
-    out = out.select(F.col("g_key").alias(key), F.col("g_no").alias("table_no"), "id", "row_no", (F.col("x") + 1).alias("col_no"), "name", value.alias("value"), F.lit(None).cast("string").alias("error"))
-    return out.unionByName(failed.select(key, "table_no", "id", *(F.lit(None).cast(out.schema[n].dataType).alias(n) for n in ("row_no", "col_no", "name", "value")), "error"))
+        numbers = F.array(*map(F.lit, ([1] if header else []) if isinstance(header, bool) else sorted(set(header)))).cast("array<int>")
+        is_head, heads_before = (lambda s: F.array_contains(numbers, s["row"])), lambda s: F.size(F.filter(numbers, lambda h: h < s["row"]))
+    whole = whole.withColumn("given", _names(F.filter("slots", is_head), F.col("width"))).withColumn("names", unique_names(F.col("given")))
+    value = lambda s: F.when(~s["text"].isin(*na), s["text"]) if na else s["text"]
+    row = lambda *v: F.struct(*(c.cast(k).alias(n) for c, (n, k) in zip(v, LONG, strict=True)))
+    name = lambda s: F.when(s["col"] < F.size("names"), F.get("names", s["col"]))
+    every = F.when(F.size("slots") < size, F.concat("slots", _missing(F.col("slots"), F.col("width"), size))).otherwise(F.col("slots"))
+    long = F.transform(F.filter(every, lambda s: ~is_head(s)), lambda s: row(s["row"] - heads_before(s), s["col"] + 1, name(s), value(s), F.lit(None)))
+    failed = F.array(row(*[F.lit(None)] * 4, F.col("error")))
+    return whole.select(key, "table_no", "id", F.inline(F.when(F.col("error").isNull(), long).otherwise(failed)))
+
+
+#: What a row of a table in long form has, beside the table.
+LONG = (("row_no", "int"), ("col_no", "int"), ("name", "string"), ("value", "string"), ("error", "string"))
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), which may look at the value often: it is evaluated once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _slots(cells: Column) -> Column:
+    """Cells as they are, those with spans once for each row and column that they stand in."""
+    across = lambda c, r: F.transform(F.sequence(c["col"], c["col"] + c["colspan"] - 1), lambda k: c.withField("row", r).withField("col", k))
+    spread = F.flatten(F.transform(cells, lambda c: F.flatten(F.transform(F.sequence(c["row"], c["row"] + c["rowspan"] - 1), lambda r: across(c, r)))))
+    return F.when(F.exists(cells, lambda c: (c["rowspan"] > 1) | (c["colspan"] > 1)), spread).otherwise(cells)
+
+
+def _heads(slots: Column) -> Column:
+    """How many rows come before the first one that is not of header cells alone; a row without a cell is none of these."""
+    rows = F.transform(slots, lambda s: s["row"])
+    mixed = F.array_min(F.transform(F.filter(slots, lambda s: ~s["header"]), lambda s: s["row"]))
+    end = F.least(mixed, F.array_min(F.array_except(F.sequence(F.lit(1), F.col("n_rows")), rows)))
+    return F.coalesce(end - 1, F.array_max(rows))
+
+
+def _missing(slots: Column, width: Column, size: Column) -> Column:
+    """Slots without a cell, told by their numbers row by row."""
+    numbers = F.transform(slots, lambda s: (s["row"].cast("long") - 1) * width + s["col"])
+    blank = lambda p: F.get(slots, F.lit(0)).withField("text", F.lit(None).cast("string")).withField("row", (F.floor(p / width) + 1).cast("int")).withField("col", (p % width).cast("int"))
+    return F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), size - 1), numbers), blank)
+
+
+def _names(heads: Column, width: Column) -> Column:
+    """A name for each column: the texts of its slots in head rows, none twice in a row, else V and its number."""
+    pieces = F.filter(F.transform(heads, lambda s: F.struct(s["col"].alias("col"), s["row"].alias("row"), trim(s["text"]).alias("s"))), lambda p: p["s"] != "")
+
+    def named(all_: Column) -> Column:
+        kept = F.filter(all_, lambda p, i: (i == 0) | (p["col"] != F.get(all_, i - 1)["col"]) | (p["s"] != F.get(all_, i - 1)["s"]))
+        return _let(kept, lambda k: _let(F.filter(F.transform(k, lambda p, i: i), lambda i: (i == 0) | (F.get(k, i)["col"] != F.get(k, i - 1)["col"])), lambda first: columns(k, first)))
+
+    def columns(k: Column, first: Column) -> Column:
+        """first: where the pieces of each column begin in `k`."""
+        of = lambda i, j: F.transform(F.slice(k, i + 1, F.coalesce(F.get(first, j + 1), F.size(k)) - i), lambda p: p["s"])
+        by_col = F.map_from_entries(F.transform(first, lambda i, j: F.struct(F.get(k, i)["col"] + 1, F.array_join(of(i, j), " / "))))
+        return _let(by_col, lambda m: F.transform(F.sequence(F.lit(1), width), lambda c: F.coalesce(F.element_at(m, c), F.concat(F.lit("V"), c.cast("string")))))
+
+    return _let(F.array_sort(pieces), named)
 
 
 def unique_names(names: Column) -> Column:
@@ -208,15 +269,18 @@ def converted(long: DataFrame, decimal: str = ".", thousands: str | None = None,
         v = F.replace(v, F.lit(mark), F.lit(""))
     plain = F.when(fits & v.rlike(rf"^[+-]?(?:[0-9]+(?:{d}[0-9]*)?|{d}[0-9]+)(?:[eE][+-]?[0-9]+)?$"), F.replace(v, F.lit(decimal), F.lit(".")))
     rows = long.withColumn("_v", plain).withColumn("_x", F.expr("try_cast(_v AS double)"))
+    # most numbers are short and plain: all that is asked of others below holds for them
+    short = (F.length("_v") <= 16) & F.col("_v").rlike(r"^[+-]?(?:0|[1-9][0-9]{0,13})(?:\.[0-9]*)?$")
     digits = F.regexp_replace(F.regexp_replace("_v", r"^[+-]", ""), "[eE].*$", "")
     significant = F.length(F.regexp_replace(F.replace(digits, F.lit("."), F.lit("")), "^0+|0+$", ""))
     small = (significant > 0) & (F.abs("_x") < 2.2250738585072014e-308)
-    number = F.coalesce(F.col("_x").isNotNull() & ~digits.rlike("^0[0-9]") & (significant <= 15) & (F.abs("_x") < float("inf")) & ~small, F.lit(False))
-    whole = number & F.col("_v").rlike("^[+-]?[0-9]+$") & (F.abs("_x") < 2.0**31)
+    number = F.when(short, True).otherwise(F.col("_x").isNotNull() & ~digits.rlike("^0[0-9]") & (significant <= 15) & (F.abs("_x") < float("inf")) & ~small)
+    number = F.coalesce(number, F.lit(False))
     column = Window.partitionBy(key, "table_no", "col_no", "name")
     there = F.col("value").isNotNull()
     all_are = lambda c: F.coalesce(F.min(F.when(there, c.cast("int"))).over(column), F.lit(0)) == 1
-    rows = rows.withColumn("_n", number).withColumn("_i", whole)
+    rows = rows.withColumn("_n", number)
+    rows = rows.withColumn("_i", F.col("_n") & F.coalesce(F.abs("_x") < 2.0**31, F.lit(False)) & F.col("_v").rlike("^[+-]?[0-9]+$"))
     kind = F.when(all_are(F.col("value").isin(*TRUE, *FALSE)), "logical").when(all_are(F.col("_n")), F.when(all_are(F.col("_i")), "integer").otherwise("double")).otherwise("character")
     rows = rows.withColumn("col_type", F.when(F.col("row_no").isNotNull(), kind))
     numeric = F.col("col_type").isin("integer", "double")

@@ -117,3 +117,14 @@ def test_named_columns_alone_leave_the_parser(spark, pages):
     every = E.tables(source, convert_types=True)
     some = E.tables(source, convert_types=True, columns=("a", "n.1"))
     assert sorted(map(str, some.collect())) == sorted(map(str, every.where("name IN ('a', 'n.1') OR error IS NOT NULL").collect()))
+
+
+def test_a_grid_takes_one_scan_and_no_join(kept):
+    for css in ("table", "table:first-child"):
+        plan = G.tables(kept.df, css)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Join" not in plan and "Exchange" not in plan
+
+
+def test_tables_by_selectors_with_combinators(pages, kept):
+    found = sorted({(r["page_id"], r["table_no"]) for r in G.tables(kept.df, "td > table").collect()})
+    assert found == [(k, 1) for k, html in enumerate(pages) if "<td><table" in html or "</a><table" in html]
